@@ -38,31 +38,45 @@ def word_tokens(code: Column) -> Column:
     return F.regexp_extract_all(without_accents(F.lower(code)), F.lit(TOKEN), F.lit(0))
 
 
-def word_ngrams(tokens: Column, sizes: tuple[int, int] = WORD_RANGE) -> Column:
-    """All runs of ``sizes[0]`` to ``sizes[1]`` tokens, joined by a space."""
+def with_tokens(df: DataFrame, code: Column) -> DataFrame:
+    """Add ``_code`` and ``_tokens``, the inputs of the n-gram columns.
+
+    They must stay columns of their own, because an expression inside a lambda
+    is evaluated again for every element; ``inline`` keeps the optimizer from
+    substituting them into a later filter.
+    """
+    return df.select("*", F.inline(F.array(F.struct(code.alias("_code"), word_tokens(code).alias("_tokens")))))
+
+
+def word_ngrams(sizes: tuple[int, int] = WORD_RANGE) -> Column:
+    """All runs of ``sizes[0]`` to ``sizes[1]`` of the ``_tokens``, joined by a space."""
+    tokens = F.col("_tokens")
+
     def runs(n: int) -> Column:
         if n == 1:
             return tokens
-        starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
-        joined = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
+        starts = F.sequence(F.lit(0), F.size(tokens) - n)
+        joined = F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(tokens, i + k) for k in range(n)]))
         return F.when(F.size(tokens) >= n, joined).otherwise(F.array().cast("array<string>"))
 
     return F.concat(*[runs(n) for n in range(sizes[0], sizes[1] + 1)])
 
 
-def char_ngrams(code: Column, sizes: tuple[int, int] = CHAR_RANGE) -> Column:
-    """Substrings of every white-space token, padded by one space on each side."""
-    words = F.filter(F.split(F.lower(code), f"{_SPACE}+"), lambda w: w != "")
+def char_ngrams(sizes: tuple[int, int] = CHAR_RANGE) -> Column:
+    """Substrings of every white-space token of ``_code``, padded by one space on each side."""
+    words = F.filter(F.split(F.lower("_code"), f"{_SPACE}+"), lambda w: w != "")
+    padded = F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+
+    def windows(word: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(word) - (n - 1))
+        cut = F.transform(starts, lambda i: F.substring(word, i, F.lit(n)))
+        # A padded token has at least three characters.
+        return cut if n <= 3 else F.when(F.length(word) >= n, cut).otherwise(F.array().cast("array<string>"))
 
     def pieces(word: Column) -> Column:
-        padded = F.concat(F.lit(" "), word, F.lit(" "))
-        longest = F.least(F.length(padded), F.lit(sizes[1]))
-        return F.flatten(F.transform(
-            F.sequence(F.lit(sizes[0]), F.greatest(longest, F.lit(sizes[0]))),
-            lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))),
-                                  lambda i: F.substring(padded, i, n))))
-
-    return F.flatten(F.transform(words, pieces))
+        return F.concat(*[windows(word, n) for n in range(sizes[0], sizes[1] + 1)])
+
+    return F.flatten(F.transform(padded, pieces))
 
 
 def term_counts(samples: DataFrame, terms: Column) -> DataFrame:

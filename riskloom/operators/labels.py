@@ -175,12 +175,15 @@ def line_chunks(samples: DataFrame, content: str, keep: tuple[str, ...], size: i
                 least: int = 10) -> DataFrame:
     """Overlapping chunks of ``size`` lines every ``step`` lines of the stripped text."""
     lines = text.split_lines(text.strip(text.universal_newlines(F.col(content))))
+
+    def chunk(start: Column) -> Column:
+        return text.strip(F.concat_ws("\n", *[F.get("all_lines", start + k) for k in range(size)]))
+
     return (
         samples.select(*keep, lines.alias("all_lines"))
-        .select(*keep, "all_lines", F.sequence(F.lit(1), F.greatest(F.size("all_lines"), F.lit(1)), F.lit(step)).alias("starts"))
+        .filter(F.size("all_lines") > 0)
         .select(*keep, F.posexplode(F.transform(
-            "starts", lambda i: text.strip(F.array_join(F.slice("all_lines", i, F.lit(size)), "\n"))
-        )).alias("chunk", "code"))
+            F.sequence(F.lit(0), F.size("all_lines") - 1, F.lit(step)), chunk)).alias("chunk", "code"))
         .filter(F.length("code") >= least)
         .withColumn("code", F.substring("code", 1, SAMPLE_WIDTH))
     )

@@ -110,13 +110,13 @@ def line_windows(files: DataFrame, around: int = CONTEXT_LINES) -> DataFrame:
     raw = files.select("repo", "file", text.split_lines(content).alias("all_lines"))
 
     def window(value: Column, pos: Column) -> Column:
-        first = F.greatest(pos - around, F.lit(0))
+        near = [F.get("all_lines", pos + k) for k in range(-around, around + 1)]
         return F.struct(
             (pos + 1).alias("line"),
             value.alias("raw"),
             text.strip(value).alias("code"),
-            (first + 1).alias("first_line"),
-            F.slice("all_lines", first + 1, pos - first + 1 + around).alias("context"),
+            F.greatest(pos - (around - 1), F.lit(1)).alias("first_line"),
+            F.array_compact(F.array(*near)).alias("context"),
         )
 
     return raw.select("repo", "file", F.inline(F.transform("all_lines", window)))

@@ -44,11 +44,10 @@ class Vectorizer:
     char_idf: list[float]
 
     def counts(self, df: DataFrame, code: Column) -> DataFrame:
-        words = features.word_ngrams(F.col("_tokens"), self.settings.word_range)
-        chars = features.char_ngrams(F.col("_code"), self.settings.char_range)
-        out = df.withColumn("_code", code).withColumn("_tokens", features.word_tokens(F.col("_code")))
-        out = features.counted(out, words, self.words, "_word_counts")
-        return features.counted(out, chars, self.chars, "_char_counts").drop("_code", "_tokens")
+        out = features.with_tokens(df, code)
+        out = features.counted(out, features.word_ngrams(self.settings.word_range), self.words, "_word_counts")
+        out = features.counted(out, features.char_ngrams(self.settings.char_range), self.chars, "_char_counts")
+        return out.drop("_code", "_tokens")
 
     def stages(self) -> list:
         out = []
@@ -72,15 +71,14 @@ def fit_vectorizer(data: DataFrame, settings: Settings = Settings(), code: str =
     Term counts are combined before the shuffle; document counts are summed as
     one vector of vocabulary length.
     """
-    tokens = features.word_tokens(F.col(code))
-    prepared = data.select(F.col(code).alias("_code"), tokens.alias("_tokens"))
+    prepared = features.with_tokens(data.select(code), F.col(code))
 
     def top(terms: Column, size: int) -> list[str]:
         kept = features.vocabulary(features.term_counts(prepared, terms), size).select("term")
         return [row.term for row in kept.collect()]      # at most ``size`` rows
 
-    words = top(features.word_ngrams(F.col("_tokens"), settings.word_range), settings.word_features)
-    chars = top(features.char_ngrams(F.col("_code"), settings.char_range), settings.char_features)
+    words = top(features.word_ngrams(settings.word_range), settings.word_features)
+    chars = top(features.char_ngrams(settings.char_range), settings.char_features)
     draft = Vectorizer(settings, words, chars, [], [])
     sums = Summarizer.metrics("numNonZeros", "count")
     row = draft.counts(data.select(code), F.col(code)).agg(
