@@ -181,9 +181,8 @@ def line_chunks(samples: DataFrame, content: str, keep: tuple[str, ...], size: i
 
     return (
         samples.select(*keep, lines.alias("all_lines"))
-        .filter(F.size("all_lines") > 0)
         .select(*keep, F.posexplode(F.transform(
-            F.sequence(F.lit(0), F.size("all_lines") - 1, F.lit(step)), chunk)).alias("chunk", "code"))
+            F.sequence(F.lit(0), F.greatest(F.size("all_lines") - 1, F.lit(0)), F.lit(step)), chunk)).alias("chunk", "code"))
         .filter(F.length("code") >= least)
         .withColumn("code", F.substring("code", 1, SAMPLE_WIDTH))
     )
