@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.functions.matching import lookup
+
 # One-line samples: hits and near misses for every signature, comments in
 # several styles, blank, import, function and class lines.
 SNIPPETS: tuple[str, ...] = (
@@ -135,14 +137,13 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``files(repo, file, content, size_bytes, doc_id)``"""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
-    snippets = F.array(*[F.lit(s) for s in SNIPPETS])
     woven = F.transform(
         F.split("text", "\n"),
         lambda prose, i: F.concat(
             prose, F.lit("\n"),
-            F.get(snippets, ((F.col("doc_id") * 7 + i.cast("bigint") * 13) % len(SNIPPETS)).cast("int"))),
+            lookup(((F.col("doc_id") * 7 + i.cast("bigint") * 13) % len(SNIPPETS)).cast("int"), SNIPPETS)),
     )
-    ext = F.get(F.array(*[F.lit(e) for e in EXTENSIONS]), (F.col("doc_id") % len(EXTENSIONS)).cast("int"))
+    ext = lookup((F.col("doc_id") % len(EXTENSIONS)).cast("int"), EXTENSIONS)
     content = F.array_join(woven, "\n")
     return docs.select(
         F.col("source").alias("repo"),

@@ -15,6 +15,7 @@ def session(cores: str | None = None) -> SparkSession:
         .config("spark.driver.memory", "16g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")   # no call-site capture per column operation
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )

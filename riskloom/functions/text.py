@@ -15,7 +15,9 @@ WHITESPACE = "".join(map(chr, [
     0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0x20, 0x85, 0xA0, 0x1680,
     *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
 ]))
-# FIXED VALUES: the characters (besides \r and \r\n) at which a text breaks into lines.
+# FIXED VALUES: the characters (besides \r) at which a text breaks into lines.
+NEWLINE = "\n"
+RARE_BREAKS = "".join(map(chr, [0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x85, 0x2028, 0x2029]))
 LINE_BREAKS = r"[\n\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
 
 
@@ -42,10 +44,15 @@ def universal_newlines(content: Column) -> Column:
 
 
 def split_lines(content: Column) -> Column:
-    """Lines of a newline-translated text, without terminators and without a last empty line."""
-    parts = F.split(content, LINE_BREAKS)
-    closed = F.element_at(parts, -1) == ""
-    return F.when(closed, F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    """Lines of a newline-translated text, without terminators and without a last empty line.
+
+    ``content`` should be a plain column, as it is used several times.  Texts
+    without rare separators take the plain split, which needs no regular expression.
+    """
+    closed = any_of(content.endswith(c) for c in NEWLINE + RARE_BREAKS)
+    body = F.when(closed, F.substring(content, F.lit(1), F.length(content) - 1)).otherwise(content)
+    lines = F.when(contains_any(content, RARE_BREAKS), F.split(body, LINE_BREAKS)).otherwise(F.split(body, NEWLINE))
+    return F.when(content == "", F.array().cast("array<string>")).otherwise(lines)
 
 
 def base_name(path: Column) -> Column:

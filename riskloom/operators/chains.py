@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom import prose
@@ -30,10 +30,9 @@ def _blocks(facts: DataFrame) -> DataFrame:
     )
 
 
-def _preceding() -> Window:
-    """The lines before the current one within the source window, by line number."""
-    return (Window.partitionBy("repo", "file", "block").orderBy("line")
-            .rangeBetween(-R.SOURCE_WINDOW, -1))
+# The lines before the current one within the source window, by line number.
+_PRECEDING = (f"(PARTITION BY repo, file, block ORDER BY line "
+              f"RANGE BETWEEN {R.SOURCE_WINDOW} PRECEDING AND 1 PRECEDING)")
 
 
 def reach(facts: DataFrame) -> DataFrame:
@@ -42,7 +41,7 @@ def reach(facts: DataFrame) -> DataFrame:
     Every chain of a line is one (source in ``reach_mask``, sink in ``snk_mask``)
     pair, so counts need no chain rows.
     """
-    before = F.bit_or("src_mask").over(_preceding())
+    before = F.expr(f"bit_or(src_mask) OVER {_PRECEDING}")
     return (
         _blocks(facts)
         .withColumn("reach_mask", F.col("src_mask").bitwiseOR(F.coalesce(before, F.lit(0))))
@@ -58,9 +57,8 @@ def attack_chains(facts: DataFrame) -> DataFrame:
     earliest source line of the window.  One shuffle, by file and block.
     """
     flows = facts.filter("src_mask <> 0 OR snk_mask <> 0").drop("vuln_id", "entry_id")
-    window = _preceding()
-    earliest = F.array(*[F.min(F.when(F.expr(f"getbit(src_mask, {i}) = 1"), F.col("line"))).over(window)
-                         for i in range(len(R.SOURCES))])
+    earliest = F.expr("array(" + ", ".join(
+        f"min(CASE WHEN getbit(src_mask, {i}) = 1 THEN line END) OVER {_PRECEDING}" for i in range(len(R.SOURCES))) + ")")
     pairs = (
         _blocks(flows)
         .withColumn("earliest", earliest)

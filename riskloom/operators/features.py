@@ -9,12 +9,12 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.matching import _SPACE, _WORD
+from riskloom.functions.matching import SPACE_CLASS, WORD_CLASS
 
 WORD_FEATURES, CHAR_FEATURES = 4000, 2000
 WORD_RANGE, CHAR_RANGE = (1, 3), (2, 5)
 # A word character followed by word characters or dots, which keeps os.system whole.
-TOKEN = f"{_WORD}[\\p{{L}}\\p{{N}}_.]*{_WORD}"
+TOKEN = f"{WORD_CLASS}[\\p{{L}}\\p{{N}}_.]*{WORD_CLASS}"
 
 
 def _accent_table() -> tuple[str, str]:
@@ -64,7 +64,7 @@ def word_ngrams(sizes: tuple[int, int] = WORD_RANGE) -> Column:
 
 def char_ngrams(sizes: tuple[int, int] = CHAR_RANGE) -> Column:
     """Substrings of every white-space token of ``_code``, padded by one space on each side."""
-    words = F.filter(F.split(F.lower("_code"), f"{_SPACE}+"), lambda w: w != "")
+    words = F.filter(F.split(F.lower("_code"), f"{SPACE_CLASS}+"), lambda w: w != "")
     padded = F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
 
     def windows(word: Column, n: int) -> Column:

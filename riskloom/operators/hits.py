@@ -16,28 +16,26 @@ def line_facts(line_table: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     ``carry`` names further line columns to keep, such as ``raw``.
 
     Narrow from the file to the result.  ``inline`` keeps the optimizer from
-    pushing the final filter below the matching, which would run every
-    pattern twice.
+    pushing a filter below the column it tests, which would compute that
+    column once per use; it also keeps every generated method small enough to
+    be compiled to machine code.
     """
-    code, trigger = F.col("code"), F.col("trigger")
+    code = F.col("code")
     searchable = (code != "") & ~text.starts_with_any(code, R.CHAIN_COMMENTS)
-    block_comment = code.startswith("/*")
-    by_line = F.struct(
-        F.when(~block_comment, matching.first_match(code, trigger, R.VULNERABILITIES)).alias("vuln_id"),
-        F.when(~block_comment, matching.first_match(code, trigger, R.ENTRY_POINTS)).alias("entry_id"),
-    )
-    by_flow = F.struct(
-        matching.match_mask(code, trigger, R.SOURCES).alias("src_mask"),
-        matching.match_mask(code, trigger, R.SINKS).alias("snk_mask"),
-    )
+    no_block = "NOT startswith(code, '/*')"
+    by_line = F.expr(f"""inline(array(named_struct(
+        'vuln_id', CASE WHEN {no_block} THEN {matching.first_match(R.VULNERABILITIES)} END,
+        'entry_id', CASE WHEN {no_block} THEN {matching.first_match(R.ENTRY_POINTS)} END)))""")
+    by_flow = F.expr(f"""inline(array(named_struct(
+        'src_mask', {matching.match_mask(R.SOURCES)}, 'snk_mask', {matching.match_mask(R.SINKS)})))""")
     ids = ["repo", "file", "line", *carry]
     return (
         line_table.filter(searchable)
-        .select(*ids, "code", F.lower("code").alias("folded"))
-        .select(*ids, "code", matching.triggers(code, F.col("folded")).alias("trigger"))
-        .select(*ids, "code", "trigger", F.inline(F.array(by_line)))
-        .select(*ids, F.substring("code", 1, R.CODE_WIDTH).alias("code"), "vuln_id", "entry_id",
-                F.inline(F.array(by_flow)))
+        .select(*ids, "code", F.inline(F.array(F.struct(F.coalesce(matching.fold(code), F.lit("")).alias("folded")))))
+        .filter(matching.may_match())
+        .select(*ids, "code", "folded", matching.triggers().alias("trigger"))
+        .select(*ids, "code", "folded", "trigger", by_line)
+        .select(*ids, F.substring("code", 1, R.CODE_WIDTH).alias("code"), "vuln_id", "entry_id", by_flow)
         .filter("vuln_id IS NOT NULL OR entry_id IS NOT NULL OR src_mask <> 0 OR snk_mask <> 0")
     )
 
@@ -89,13 +87,9 @@ def sink_hits(facts: DataFrame) -> DataFrame:
     return signature_hits(facts, "snk_mask", R.SINKS, "sink")
 
 
-def shortcut_mask(content: Column, folded: Column) -> Column:
-    """INT with one bit per shortcut signature found anywhere in a text."""
-    odd = text.contains_any(content, matching.FOLDING_LETTERS)
-    mask = F.lit(0)
-    for i, s in enumerate(R.SHORTCUTS):
-        test = content.rlike(matching.java_pattern(s.pattern))
-        for need in s.needs:
-            test = (odd | text.contains_any(folded, R.TRIGGERS[need])) & test
-        mask = mask.bitwiseOR(F.when(test, F.lit(1 << i)).otherwise(F.lit(0)))
-    return mask
+def shortcut_mask(folded: str = "folded") -> Column:
+    """INT with one bit per shortcut signature found anywhere in a folded text.
+
+    Patterns see the whole text, so a match may span lines.
+    """
+    return F.expr(matching.text_mask(R.SHORTCUTS, folded))

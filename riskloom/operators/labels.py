@@ -174,13 +174,14 @@ def pairs_to_samples(pairs: DataFrame, vulnerable: Column, fixed: Column, label:
 def line_chunks(samples: DataFrame, content: str, keep: tuple[str, ...], size: int = 6, step: int = 4,
                 least: int = 10) -> DataFrame:
     """Overlapping chunks of ``size`` lines every ``step`` lines of the stripped text."""
-    lines = text.split_lines(text.strip(text.universal_newlines(F.col(content))))
+    stripped = text.strip(text.universal_newlines(F.col(content)))
 
     def chunk(start: Column) -> Column:
         return text.strip(F.concat_ws("\n", *[F.get("all_lines", start + k) for k in range(size)]))
 
     return (
-        samples.select(*keep, lines.alias("all_lines"))
+        samples.select(*keep, stripped.alias("_stripped"))
+        .select(*keep, text.split_lines(F.col("_stripped")).alias("all_lines"))
         .select(*keep, F.posexplode(F.transform(
             F.sequence(F.lit(0), F.greatest(F.size("all_lines") - 1, F.lit(0)), F.lit(step)), chunk)).alias("chunk", "code"))
         .filter(F.length("code") >= least)

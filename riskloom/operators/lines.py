@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import text
+from riskloom.functions.matching import fold
 from riskloom.operators.hits import shortcut_mask
 from riskloom.registry import (
     CLASS_PREFIXES,
@@ -22,9 +23,9 @@ def lines(files: DataFrame) -> DataFrame:
 
     A narrow transformation: every file is split where it is read.
     """
-    content = text.universal_newlines(F.col("content"))
     return (
-        files.select("repo", "file", F.posexplode(text.split_lines(content)).alias("pos", "raw"))
+        files.select("repo", "file", text.universal_newlines(F.col("content")).alias("content"))
+        .select("repo", "file", F.posexplode(text.split_lines(F.col("content"))).alias("pos", "raw"))
         .select("repo", "file", (F.col("pos") + 1).alias("line"), "raw", text.strip(F.col("raw")).alias("code"))
     )
 
@@ -64,7 +65,7 @@ def file_profile(files: DataFrame) -> DataFrame:
     return (
         files.select("repo", "file", "size_bytes", text.universal_newlines(F.col("content")).alias("content"))
         .withColumn("stripped", F.transform(text.split_lines(F.col("content")), text.strip))
-        .withColumn("folded", F.lower("content"))
+        .withColumn("folded", fold(F.col("content")))
         .select(
             "repo",
             "file",
@@ -76,7 +77,7 @@ def file_profile(files: DataFrame) -> DataFrame:
             count("is_class").alias("classes"),
             F.length("content").cast("bigint").alias("total_characters"),
             F.round(F.col("size_bytes") / 1024, 2).alias("size_kb"),
-            shortcut_mask(F.col("content"), F.col("folded")).alias("shortcut_mask"),
+            shortcut_mask().alias("shortcut_mask"),
         )
     )
 
@@ -106,8 +107,8 @@ def line_windows(files: DataFrame, around: int = CONTEXT_LINES) -> DataFrame:
     The neighbours are cut from the file row itself, so nothing is shuffled.
     Filter the result to the wanted lines before keeping it.
     """
-    content = text.universal_newlines(F.col("content"))
-    raw = files.select("repo", "file", text.split_lines(content).alias("all_lines"))
+    content = files.select("repo", "file", text.universal_newlines(F.col("content")).alias("content"))
+    raw = content.select("repo", "file", text.split_lines(F.col("content")).alias("all_lines"))
 
     def window(value: Column, pos: Column) -> Column:
         near = [F.get("all_lines", pos + k) for k in range(-around, around + 1)]

@@ -13,7 +13,7 @@ from riskloom.functions.matching import java_pattern
 _FIX = prose.FIX_TEXT
 # FIXED VALUE: assignment of a quoted literal: indent, declaration, name, rest.
 ASSIGNMENT = r"^(\s*)(const\s+|let\s+|var\s+)?(\w+)\s*=\s*['\"][^'\"]+['\"](.*)"
-_ASSIGNMENT = java_pattern(ASSIGNMENT).replace("(?iud)", "(?d)", 1)
+_ASSIGNMENT = java_pattern(ASSIGNMENT)
 
 
 def _has(raw: Column, part: str) -> Column:
@@ -39,20 +39,19 @@ def _rules(issue: Column, raw: Column) -> list[tuple[Column, Column, Column]]:
     env = F.upper(group(3))
     assigned = issue.isin(*R.SECRET_ISSUES) & raw.rlike(_ASSIGNMENT)
     declared = group(2) != ""
-    ignore_case = java_pattern
     no_loader = F.regexp_replace(_swap(raw, "yaml.load(", "yaml.safe_load("),
-                                 java_pattern(r",\s*Loader\s*=\s*\w+(\.\w+)*").replace("(?iud)", "(?d)", 1), "")
+                                 java_pattern(r",\s*Loader\s*=\s*\w+(\.\w+)*"), "")
     shell_free = _swap(_swap(raw, "os.system(", "subprocess.run("), ")", ", shell=False)")
     query_text = text.contains_any(raw, ['f"', "f'", ".format(", "+"])
     return [
         (is_("SSL Verification Disabled") & _has(raw, "verify"),
-         F.regexp_replace(raw, ignore_case(r"verify\s*=\s*False"), "verify=True"), F.lit(_FIX["ssl"])),
+         F.regexp_replace(raw, java_pattern(r"verify\s*=\s*False", ignore_case=True), "verify=True"), F.lit(_FIX["ssl"])),
         (is_("Weak Hashing (MD5)") & _has(raw, "hashlib.md5"),
          _swap(raw, "hashlib.md5(", "hashlib.sha256("), F.lit(_FIX["md5"])),
         (is_("Weak Hashing (SHA1)") & _has(raw, "hashlib.sha1"),
          _swap(raw, "hashlib.sha1(", "hashlib.sha256("), F.lit(_FIX["sha1"])),
         (is_("Debug Mode Enabled"),
-         F.regexp_replace(raw, ignore_case(r"debug\s*=\s*True"), "debug=False"), F.lit(_FIX["debug"])),
+         F.regexp_replace(raw, java_pattern(r"debug\s*=\s*True", ignore_case=True), "debug=False"), F.lit(_FIX["debug"])),
         (is_("Insecure Deserialization (yaml)") & _has(raw, "yaml.load("), no_loader, F.lit(_FIX["yaml"])),
         (is_("Insecure Deserialization (pickle)") & _has(raw, "pickle.loads("),
          _swap(raw, "pickle.loads(", "json.loads("), F.lit(_FIX["pickle"])),

@@ -50,6 +50,9 @@ TRIGGERS: dict[str, tuple[str, ...]] = {
     "except": ("except",),
     "print": ("print", "debug", "console.log"),
     "bypass": ("bypass", "skip", "remove"),
+    "guard": ("auth", "login", "check"),
+    "runner": ("eval", "exec", "os.system"),
+    "credential": ("password", "secret", "api_key", "token"),
     "pass": ("password", "passwd", "pwd"),
     "api": ("api",),
     "token": ("token", "bearer"),
@@ -187,9 +190,9 @@ SINKS: tuple[Signature, ...] = (
 # --- FIXED VALUES: shortcut signatures, searched in the whole file text ----
 SHORTCUTS: tuple[Signature, ...] = (
     Signature("No Input Validation (direct use)",
-              r"(eval|exec|os\.system)\s*\(\s*\w*(input|request|req|args|form|json|body)\w*", ("paren",), weight=15),
+              r"(eval|exec|os\.system)\s*\(\s*\w*(input|request|req|args|form|json|body)\w*", ("runner", "paren"), weight=15),
     Signature("Hardcoded Credential", r"(password|secret|api_key|token)\s*=\s*['\"][^'\"]{3,}['\"]",
-              ("assign", "quote"), weight=10),
+              ("credential", "assign", "quote"), weight=10),
     Signature("Bare Except Clause", r"except\s*:", ("except",), weight=5),
     Signature("Shell=True in Subprocess", r"shell\s*=\s*True", ("assign",), weight=12),
     Signature("Debug Code in Production", r"(print\s*\(.*password|debug\s*=\s*True|console\.log.*token)",
@@ -200,7 +203,7 @@ SHORTCUTS: tuple[Signature, ...] = (
     Signature("SSL Disabled", r"verify\s*=\s*False", ("verify", "assign"), weight=10),
     Signature("Wildcard CORS", r"Access-Control-Allow-Origin.*\*", ("cors", "star"), weight=8),
     Signature("MD5 for Passwords", r"md5\s*\(.*password", ("pass", "paren"), weight=12),
-    Signature("Auth Bypass Comment", r"(#|//|/\*).*?(bypass|skip|remove).*?(auth|login|check)", ("bypass",), weight=8),
+    Signature("Auth Bypass Comment", r"(#|//|/\*).*?(bypass|skip|remove).*?(auth|login|check)", ("bypass", "guard"), weight=8),
 )
 
 # --- FIXED VALUES: scan limits and file rules ------------------------------
