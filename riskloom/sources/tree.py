@@ -1,14 +1,26 @@
-"""Source trees as a table of files."""
+"""Source trees as a table of files.
+
+Spark's own file sources ignore names that start with ``_`` (and so every
+``__init__.py``).  The tree is therefore listed level by level, one task per
+group of directories, and file contents are read in the tasks that use them.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom import registry as R
 from riskloom.functions import text
+from riskloom.functions.durable import durable
 from riskloom.functions.ranking import top_per_group
 
+DIRECTORIES_PER_TASK = 64
+BYTES_PER_TASK = 128 * 1024 * 1024
+BYTES_PER_BATCH = 16 * 1024 * 1024
+
 
 def in_skipped_directory(path: Column) -> Column:
     """True when a directory of a repository-relative path is hidden or on the skip list."""
@@ -33,43 +45,122 @@ def cap_files(listing: DataFrame, max_files: int) -> DataFrame:
     return top_per_group(listing, ["repo"], [F.col("file")], max_files, spread_by=("file",))
 
 
+def scannable(listing: DataFrame, max_bytes: int = R.MAX_FILE_BYTES) -> DataFrame:
+    """Directory, extension and size rules on a listing."""
+    name = F.col("file")
+    return listing.filter(fits_size(F.col("size_bytes"), max_bytes) & has_scanned_extension(name)
+                          & ~in_skipped_directory(name))
+
+
+def _list_directories(root: str):
+    """``mapInArrow`` function: the entries of every directory of a batch; unreadable ones have none."""
+    def run(batches):
+        import os
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+        local = isinstance(system, fs.LocalFileSystem)
+        for batch in batches:
+            paths, folders, sizes = [], [], []
+            for directory in batch.column("path").to_pylist():
+                try:
+                    entries = system.get_file_info(fs.FileSelector(f"{base}/{directory}".rstrip("/")))
+                except OSError:
+                    continue
+                for entry in entries:
+                    is_folder = entry.type == fs.FileType.Directory
+                    if local and is_folder and os.path.islink(entry.path):
+                        continue                        # links to directories are not followed
+                    paths.append(f"{directory}/{entry.base_name}".lstrip("/"))
+                    folders.append(is_folder)
+                    sizes.append(entry.size or 0)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(paths, pa.string()), pa.array(folders, pa.bool_()), pa.array(sizes, pa.int64())],
+                names=["path", "is_folder", "size_bytes"])
+    return run
+
+
+def _read_files(root: str, batch_bytes: int = BYTES_PER_BATCH):
+    """``mapInArrow`` function: add the content of every file; unreadable files are left out."""
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+        for batch in batches:
+            kept, contents, held = [], [], 0
+            for i, path in enumerate(batch.column("path").to_pylist()):
+                try:
+                    with system.open_input_stream(f"{base}/{path}") as stream:
+                        data = stream.read()
+                except OSError:
+                    continue
+                kept.append(i)
+                contents.append(data)
+                held += len(data)
+                if held >= batch_bytes:
+                    yield _with_content(batch, kept, contents, pa)
+                    kept, contents, held = [], [], 0
+            if kept:
+                yield _with_content(batch, kept, contents, pa)
+
+    def _with_content(batch, kept, contents, pa):
+        rows = batch.take(pa.array(kept))
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(contents, pa.binary())], names=[*rows.schema.names, "bytes"])
+
+    return run
+
+
+def _clean(root: str) -> str:
+    return root.rstrip("/").replace("s3a://", "s3://", 1)
+
+
 def list_tree(spark: SparkSession, root: str, repo: str | None = None) -> DataFrame:
-    """``(repo, file, size_bytes, bytes)`` below ``root``; ``bytes`` is read only where it is used.
+    """``(repo, file, size_bytes, path)`` of everything below ``root`` outside skipped directories.
 
     Without ``repo``, every directory directly below ``root`` is a repository;
-    with it, ``root`` itself is the one repository of that name.
+    with it, ``root`` itself is the one repository of that name.  One Spark job
+    per level of the tree; each level is written to the shared folder, so a
+    lost executor repeats one level at most.  Skipped directories are not entered.
     """
-    below = root.rstrip("/") + "/"
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load(root)
-    path = F.expr(f"substring(path, instr(path, {_literal(below)}) + {len(below)})")
-    rows = raw.select(path.alias("path"), F.col("length").alias("size_bytes"), F.col("content").alias("bytes"))
+    root = _clean(root)
+    inside = F.col("path") if repo is not None else F.expr("substring(path, instr(path, '/') + 1)")
+    found: list[DataFrame] = []
+    level = spark.createDataFrame([("",)], "path string")
+    depth = 0
+    while True:
+        listed = durable(level.mapInArrow(_list_directories(root), "path string, is_folder boolean, size_bytes bigint"), "tree")
+        found.append(listed.filter("NOT is_folder"))
+        folders = listed.filter("is_folder")
+        if repo is not None or depth > 0:               # a repository itself may have any name
+            folders = folders.filter(~in_skipped_directory(F.concat(inside, F.lit("/"))))
+        count = folders.count()
+        if count == 0:
+            break
+        level = folders.select("path").repartition(-(-count // DIRECTORIES_PER_TASK), "path")
+        depth += 1
+    rows = reduce(DataFrame.unionByName, found).drop("is_folder")
     if repo is not None:
-        return rows.select(F.lit(repo).alias("repo"), F.col("path").alias("file"), "size_bytes", "bytes")
-    inside = F.expr("substring(path, instr(path, '/') + 1)")
+        return rows.select(F.lit(repo).alias("repo"), F.col("path").alias("file"), "size_bytes", "path")
     return rows.filter(F.contains("path", F.lit("/"))).select(
-        F.substring_index("path", "/", 1).alias("repo"), inside.alias("file"), "size_bytes", "bytes")
-
-
-def _literal(value: str) -> str:
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def scannable(listing: DataFrame, max_bytes: int = R.MAX_FILE_BYTES) -> DataFrame:
-    """Directory, extension and size rules; the size rule is pushed into the file listing."""
-    name = F.col("file")
-    return listing.filter(fits_size(F.col("size_bytes"), max_bytes) & has_scanned_extension(name)
-                          & ~in_skipped_directory(name))
+        F.substring_index("path", "/", 1).alias("repo"), inside.alias("file"), "size_bytes", "path")
 
 
 def read_tree(spark: SparkSession, root: str, repo: str | None = None, max_files: int | None = None,
               max_bytes: int = R.MAX_FILE_BYTES) -> DataFrame:
     """``files(repo, file, content, size_bytes)`` of all scannable files.
 
-    ``max_files`` (off by default) keeps the first files of a repository; it is
-    decided on the listing, before any content is read.
+    All rules, and the optional cap ``max_files`` per repository, are applied
+    to the listing before any content is read.  Files are spread over tasks by
+    a hash of their path, about ``BYTES_PER_TASK`` each.
     """
-    found = scannable(list_tree(spark, root, repo), max_bytes)
+    wanted = scannable(list_tree(spark, root, repo), max_bytes)
     if max_files is not None:
-        kept = cap_files(found.select("repo", "file"), max_files)
-        found = found.join(kept, ["repo", "file"], "left_semi")
-    return found.select("repo", "file", decode(F.col("bytes")).alias("content"), "size_bytes")
+        wanted = wanted.join(cap_files(wanted.select("repo", "file"), max_files), ["repo", "file"], "left_semi")
+    total = wanted.agg(F.coalesce(F.sum("size_bytes"), F.lit(0))).first()[0]
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // BYTES_PER_TASK))
+    read = wanted.repartition(tasks, "path").mapInArrow(
+        _read_files(_clean(root)), "repo string, file string, size_bytes bigint, path string, bytes binary")
+    return read.select("repo", "file", decode(F.col("bytes")).alias("content"), "size_bytes")
