@@ -38,7 +38,7 @@ def register(name: str, oracle: str | None = None):
 
 def corpus_scan(spark: SparkSession, sf_dir: str) -> Scan:
     files = corpus.files(spark, sf_dir)
-    return scan(files, file_risks=corpus.file_risks(files), store=False)
+    return scan(files, file_risks=corpus.file_risks(files))
 
 
 def corpus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

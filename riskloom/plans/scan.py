@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -16,17 +15,33 @@ from riskloom.operators import lines as line_ops
 from riskloom.plans import train
 
 
-@dataclass(frozen=True)
 class Scan:
-    """Inputs of a scan; every result is a lazy DataFrame derived from them.
+    """A scan; every result is a DataFrame derived from three tables.
 
     ``facts`` are the matching lines, ``profile`` one row per file, ``risks``
-    the classifier's row per file.
+    the classifier's row per file.  With ``store`` each of them is written to
+    the shared checkpoint folder when it is first used, so file contents are
+    read once per table however many results follow.
     """
 
-    facts: DataFrame
-    profile: DataFrame
-    risks: DataFrame
+    def __init__(self, facts: DataFrame, profile: DataFrame, risks: DataFrame, store: bool = False):
+        self._tables = {"facts": facts, "profile": profile, "risks": risks}
+        self._store = store
+
+    def _table(self, name: str) -> DataFrame:
+        return durable(self._tables[name], name) if self._store else self._tables[name]
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        return self._table("facts")
+
+    @cached_property
+    def profile(self) -> DataFrame:
+        return self._table("profile")
+
+    @cached_property
+    def risks(self) -> DataFrame:
+        return self._table("risks")
 
     @cached_property
     def repos(self) -> DataFrame:
@@ -127,17 +142,12 @@ def scan(files: DataFrame, model: train.RiskModel | None = None, file_risks: Dat
     """Scan ``files(repo, file, content, size_bytes)``.
 
     File risks come from ``file_risks``, else from ``model``, else they are
-    unknown.  With ``store`` the three inputs of all later results are written
-    once to the shared checkpoint folder, so file contents are read three
-    times at most however many results are used; all three passes are narrow.
+    unknown.  All passes over the contents are narrow: nothing is shuffled
+    before the matching lines are known.
     """
     facts = hits.line_facts(line_ops.lines(files))
     profile = line_ops.file_profile(files)
     if file_risks is None:
         file_risks = train.unknown_risks(files) if model is None else model.predict(files).select(
             "repo", "file", "ml_prediction", "confidence", "all_scores")
-    if store:
-        facts, profile, file_risks = durable(facts, "facts"), durable(profile, "profile"), durable(file_risks, "risks")
-    return Scan(facts, profile, file_risks)
-
-
+    return Scan(facts, profile, file_risks, store)

@@ -17,7 +17,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.functions import text
+from riskloom.functions.durable import durable
 from riskloom.operators import features, samples
 
 INPUT_WIDTH = 8000          # characters of a file that are classified
@@ -191,7 +191,7 @@ def train_and_evaluate(data: DataFrame, key: Column, settings: Settings = Settin
 
     The vectorizer of the evaluation sees training rows only.
     """
-    split = samples.stratified_split(data, key)
+    split = durable(samples.stratified_split(data, key), "split")
     held_out = split.filter("is_test")
     trial = train(split.filter("NOT is_test"), settings)
     return train(data, settings), trial.predict(held_out, "code")
@@ -199,7 +199,7 @@ def train_and_evaluate(data: DataFrame, key: Column, settings: Settings = Settin
 
 def cross_validate(data: DataFrame, key: Column, settings: Settings = Settings(), folds: int = 5) -> DataFrame:
     """``(fold, rows, accuracy)`` per fold; vectorizer and classifier are fitted inside the fold."""
-    dealt = samples.stratified_folds(data, key, folds=folds)
+    dealt = durable(samples.stratified_folds(data, key, folds=folds), "folds")
     parts = []
     for fold in range(folds):
         model = train(dealt.filter(F.col("fold") != fold), settings)
@@ -222,27 +222,24 @@ def tune(data: DataFrame, key: Column, grid: dict = GRID, folds: int = 5, max_it
     Features depend on the vectorizer settings only: they are fitted once per
     fold and shared by all values of ``c``.
     """
-    dealt = samples.stratified_folds(data, key, folds=folds).persist()
+    dealt = durable(samples.stratified_folds(data, key, folds=folds), "folds")
     names = [n for n in grid if n != "c"]
     results = []
-    try:
-        for values in itertools.product(*[grid[n] for n in names]):
-            base = Settings(max_iter=max_iter, **dict(zip(names, values)))
-            scores: dict[float, list[float]] = {c: [] for c in grid["c"]}
-            for fold in range(folds):
-                kept, held = dealt.filter(F.col("fold") != fold), dealt.filter(F.col("fold") == fold)
-                vectorizer = fit_vectorizer(kept, base)
-                rows, labels, total = _weighted(kept, vectorizer, "label")
-                rows = rows.persist()
-                for c in grid["c"]:
-                    model = RiskModel(vectorizer, labels, _fit_classifier(rows, total, replace(base, c=c)))
-                    hit = (F.col("label") == F.col("ml_prediction")).cast("int")
-                    scores[c].append(model.predict(held, "code").agg(F.avg(hit)).first()[0])
-                rows.unpersist()
-            for c, values_of_c in scores.items():
-                results.append((*map(str, values), float(c), sum(values_of_c) / len(values_of_c)))
-    finally:
-        dealt.unpersist()
+    for values in itertools.product(*[grid[n] for n in names]):
+        base = Settings(max_iter=max_iter, **dict(zip(names, values)))
+        scores: dict[float, list[float]] = {c: [] for c in grid["c"]}
+        for fold in range(folds):
+            kept, held = dealt.filter(F.col("fold") != fold), dealt.filter(F.col("fold") == fold)
+            vectorizer = fit_vectorizer(kept, base)
+            rows, labels, total = _weighted(kept, vectorizer, "label")
+            rows = rows.persist()
+            for c in grid["c"]:
+                model = RiskModel(vectorizer, labels, _fit_classifier(rows, total, replace(base, c=c)))
+                hit = (F.col("label") == F.col("ml_prediction")).cast("int")
+                scores[c].append(model.predict(held, "code").agg(F.avg(hit)).first()[0])
+            rows.unpersist()
+        for c, values_of_c in scores.items():
+            results.append((*map(str, values), float(c), sum(values_of_c) / len(values_of_c)))
     schema = ", ".join(f"{n} string" for n in names) + ", c double, accuracy double"
     return data.sparkSession.createDataFrame(results, schema).orderBy(F.col("accuracy").desc(), *names, "c")
 
