@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskloom.llm import simhash, toxicity
+from riskloom.llm import decontaminate, simhash, toxicity
 from riskloom.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -34,3 +34,8 @@ def op7_toxicity(spark, sf_dir):
     model = toxicity_model(spark, sf_dir)
     scored = table(spark, sf_dir, "documents").select("doc_id", HELD_OUT.alias("held_out"), toxicity.score_column(spark, model).alias("score"))
     return scored.select("*", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op1_decontamination(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
