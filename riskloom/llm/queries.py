@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskloom.llm import decontaminate, simhash, toxicity
+from riskloom.llm import decontaminate, mixing, sharding, simhash, toxicity
 from riskloom.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -39,3 +39,40 @@ def op7_toxicity(spark, sf_dir):
 @query
 def op1_decontamination(spark, sf_dir):
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op2_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLE["op2_mixing"] = f"""
+WITH keyed AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+         xx, -ln((('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT + 0.5::DOUBLE) / {1 << 48}::DOUBLE)
+           / (coalesce(length(regexp_replace(text, '[^A-Za-z]+', '', 'g')) / nullif(length(text), 0)::DOUBLE, 0) + 0.5) AS key
+  FROM (SELECT *, md5(coalesce(text, '')) AS xx FROM documents)),
+sizes AS (
+  SELECT source, sum(size)::BIGINT AS source_size, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight
+  FROM keyed GROUP BY source),
+levels AS (
+  SELECT a.source, a.source_size, a.weight, 2.0::DOUBLE * a.source_size / a.weight AS full_at,
+         (SELECT (1.5::DOUBLE * sum(source_size)::BIGINT - coalesce(sum(CASE WHEN b.source_size / b.weight < a.source_size / a.weight THEN 2 * source_size END), 0)::DOUBLE)
+                 / sum(CASE WHEN b.source_size / b.weight >= a.source_size / a.weight THEN b.weight END) FROM sizes b) AS level
+  FROM sizes a),
+goal AS (
+  SELECT source, source_size, least(2.0::DOUBLE * source_size, weight * (SELECT coalesce(arg_min(level, full_at), 1e300) FROM levels WHERE level < full_at)) AS target FROM levels),
+cut AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-12)::BIGINT ELSE 1 END AS epochs FROM goal),
+run AS (
+  SELECT keyed.*, source_size, target, epochs, greatest(0.0::DOUBLE, target - epochs * source_size) AS rest,
+         sum(size) OVER (PARTITION BY keyed.source ORDER BY key, xx ROWS UNBOUNDED PRECEDING) - size AS ahead
+  FROM keyed JOIN cut ON keyed.source IS NOT DISTINCT FROM cut.source)
+SELECT doc_id, size, source_size, target, (size * (epochs + CASE WHEN rest > 0 AND ahead + size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM run
+"""
+
+
+@query
+def op4_sharding(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.shard(docs).drop("text")
