@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from riskloom.llm import decontaminate, mixing, sharding, simhash, toxicity
+from riskloom.llm import decontaminate, mixing, sharding, simhash, token_counts, toxicity
 from riskloom.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -76,3 +77,8 @@ SELECT doc_id, size, source_size, target, (size * (epochs + CASE WHEN rest > 0 A
 def op4_sharding(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.shard(docs).drop("text")
+
+
+@query
+def op5_token_counts(spark, sf_dir):
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
