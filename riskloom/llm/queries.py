@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from riskloom.llm import decontaminate, mixing, sharding, simhash, token_counts, toxicity
+from riskloom.llm import decontaminate, mixing, sharding, simhash, token_counts, toxicity, weighted_prints
 from riskloom.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -82,3 +82,8 @@ def op4_sharding(spark, sf_dir):
 @query
 def op5_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op6_weighted_fingerprints(spark, sf_dir):
+    return weighted_prints.edit_prints(table(spark, sf_dir, "documents"))
