@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from riskloom.llm import decontaminate, mixing, sharding, simhash, token_counts, toxicity, weighted_prints
+from riskloom.llm import decontaminate, mixing, sharding, simhash, token_counts, toxicity, url_filter, weighted_prints
 from riskloom.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -87,3 +87,34 @@ def op5_token_counts(spark, sf_dir):
 @query
 def op6_weighted_fingerprints(spark, sf_dir):
     return weighted_prints.edit_prints(table(spark, sf_dir, "documents"))
+
+
+RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
+
+
+@query
+def op8_url_filter(spark, sf_dir):
+    """The rules, and a list of the pages' own: URLs whose canonical form was fetched more than once are blocked."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    again = pages.groupBy(url_filter.canonical(F.col("url")).alias("form")).agg(F.count(F.lit(1)).alias("n"), F.min("url").alias("url")).filter("n > 1").select("url")
+    rules = spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, RULES))} AS t(rule, verdict)")
+    return url_filter.judge(pages, rules, again).drop("url")
+
+
+_RULES = ", ".join(f"('{r}', '{r.split('/')[0]}', '{r[len(r.split('/')[0]):]}', '{v}')" for r, v in RULES)
+ORACLE["op8_url_filter"] = f"""
+WITH cut AS (
+  SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+forms AS (SELECT *, regexp_replace(host, '^www\\.', '') || rtrim(path, '/') AS form FROM parts),
+again AS (SELECT form FROM forms GROUP BY form HAVING count(*) > 1 AND form <> ''),
+rules(rule, rule_host, rule_path, verdict) AS (VALUES {_RULES}),
+fits AS (
+  SELECT page_id, url, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+  FROM forms JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id, url)
+SELECT forms.page_id, host, path, rule,
+       coalesce(verdict, CASE WHEN form IN (SELECT form FROM again) THEN 'block' ELSE 'allow' END) AS verdict
+FROM forms LEFT JOIN fits ON forms.page_id = fits.page_id AND forms.url = fits.url
+"""
