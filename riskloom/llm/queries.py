@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from riskloom.llm import decontaminate, mixing, sharding, simhash, token_counts, toxicity, url_filter, weighted_prints
+from riskloom.llm import decontaminate, mixing, sharding, simhash, token_counts, token_files, toxicity, url_filter, weighted_prints
 from riskloom.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -118,3 +118,8 @@ SELECT forms.page_id, host, path, rule,
        coalesce(verdict, CASE WHEN form IN (SELECT form FROM again) THEN 'block' ELSE 'allow' END) AS verdict
 FROM forms LEFT JOIN fits ON forms.page_id = fits.page_id AND forms.url = fits.url
 """
+
+
+@query
+def op9_token_files(spark, sf_dir):
+    return token_files.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
