@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from riskloom.llm import decontaminate, mixing, sharding, simhash, token_counts, token_files, toxicity, url_filter, weighted_prints
+from riskloom.llm import decontaminate, line_dedup, mixing, sharding, simhash, token_counts, token_files, toxicity, url_filter, weighted_prints
 from riskloom.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -123,3 +123,9 @@ FROM forms LEFT JOIN fits ON forms.page_id = fits.page_id AND forms.url = fits.u
 @query
 def op9_token_files(spark, sf_dir):
     return token_files.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op3_line_dedup(spark, sf_dir):
+    cleaned = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_lines", "n_deleted", F.sha2(F.encode("clean_text", "UTF-8"), 256).alias("clean_sha256"))
