@@ -46,10 +46,12 @@ def targets(sizes: DataFrame, share: float = SHARE, cap: float = CAP, cycle: tup
                           F.coalesce(F.sum(F.lit(cap) * F.col("source_size")).over(before), F.lit(0.0)).alias("spent"),
                           F.sum("weight").over(after).alias("heavy"))
     level = (F.col("pool") - F.col("spent")) / F.col("heavy")
-    cut = pool.select("*", level.alias("level"), (level * F.col("weight") >= F.lit(cap) * F.col("source_size")).alias("cut"))
-    # those that are not cut come last and share one level, the first one's
-    free = cut.withColumn("free", F.min(F.when(~F.col("cut"), F.struct(F.col("source_size") / F.col("weight"), "level"))).over(everything)["level"])
-    return free.select("source", "source_size", F.when(F.col("cut"), F.lit(cap) * F.col("source_size")).otherwise(F.col("free") * F.col("weight")).alias("target"))
+    place = F.row_number().over(filled)
+    cut = pool.select("*", level.alias("level"), place.alias("place"), (level * F.col("weight") >= F.lit(cap) * F.col("source_size")).alias("cut"))
+    # the first that is not cut and all after it share its level
+    free = cut.withColumn("free", F.min(F.when(~F.col("cut"), F.struct("place", "level"))).over(everything))
+    below = F.col("free").isNull() | (F.col("place") < F.col("free.place"))
+    return free.select("source", "source_size", F.when(below, F.lit(cap) * F.col("source_size")).otherwise(F.col("free.level") * F.col("weight")).alias("target"))
 
 
 def _plan(rows: DataFrame, share: float, cap: float, cycle: tuple[int, ...]) -> DataFrame:

@@ -156,20 +156,19 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, do
     """
     found = durable(_grouped(docs, shingle, radius, doc_id, text), "found")
     is_first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    key, made, one, gone, least = fresh(docs, "doc_key", "doc_print", "doc_row", "doc_gone", "doc_least")
     # ids that do not name one row: these rows are told apart by their fingerprint and text
-    tied = durable(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR doc_id IS NULL").select("doc_id"), "tied")
-    gone = durable(found.filter(~is_first).select("doc_id").union(tied).distinct().withColumnRenamed("doc_id", "gone"), "gone")
-    key, made = fresh(docs, "key", "print")
+    tied = durable(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias(gone)), "tied")
+    others = durable(found.filter(~is_first).select(F.col("doc_id").alias(gone)).union(tied).distinct(), "gone")
     keyed = docs.withColumn(key, F.col(f"`{doc_id}`").cast("long"))
-    plain = keyed.join(gone, F.col(key).eqNullSafe(F.col("gone")), "left_anti").drop(key)
+    plain = keyed.join(others, F.col(key).eqNullSafe(F.col(gone)), "left_anti").drop(key)
     if tied.isEmpty():
         return plain
-    firsts = found.filter(is_first).groupBy("root").agg(F.first("doc_id").alias("first"), F.min("print").alias("least"))
-    rows = keyed.join(tied.withColumnRenamed("doc_id", "gone"), F.col(key).eqNullSafe(F.col("gone")), "left_semi")
-    rows = rows.withColumn(made, _one(shingle)(utf8(text)))
-    rows = rows.join(firsts, F.col(key).eqNullSafe(F.col("first")) & (F.col(made) == F.col("least")), "left_semi")
-    one = rows.groupBy(key, made).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(f"`{text}`")).alias(key + "_row"))
-    return plain.unionByName(one.select(f"{key}_row.*"))
+    firsts = found.filter(is_first).groupBy("root").agg(F.first("doc_id").alias(gone), F.min("print").alias(least)).drop("root")
+    rows = keyed.join(tied, F.col(key).eqNullSafe(F.col(gone)), "left_semi").withColumn(made, _one(shingle)(utf8(text)))
+    rows = rows.join(firsts, F.col(key).eqNullSafe(F.col(gone)) & (F.col(made) == F.col(least)), "left_semi")
+    picked = rows.groupBy(key, made).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(f"`{text}`")).alias(one))
+    return plain.unionByName(picked.select(f"{one}.*"))
 
 
 def _one(shingle: int):

@@ -193,13 +193,24 @@ def _chained(batches, samples):
             ("near_edited", pa.float64()), ("near_next", pa.float64())]))
 
 
+def _range_tops(batches, cuts):
+    for batch in batches:
+        key = np.sort(np.asarray(batch.column(0)))
+        ends = np.unique(np.searchsorted(key, cuts, side="right"))
+        yield pa.record_batch([pa.array(np.searchsorted(cuts, key[ends[ends > 0] - 1]).astype(np.int32)), pa.array(key[ends[ends > 0] - 1])], names=["range", "key"])
+
+
 def _tops(rows: DataFrame, count: int) -> list[int]:
-    """Keys that cut the rows into about ``count`` even ranges, each the largest of its range."""
-    edges = rows.agg(F.max("key").alias("most"), F.count(F.lit(1)).alias("n")).first()
-    if not edges["n"]:
-        return []
+    """The largest key of each of about ``count`` even ranges, ascending.
+
+    The quantiles that cut the ranges are approximate; the largest keys, one for each range, are exact.
+    """
     cuts = rows.agg(F.percentile_approx("key", F.array(*[F.lit((k + 1) / count) for k in range(count)]), 10 * count)).first()[0]
-    return sorted({*cuts, edges["most"]})
+    if not cuts:
+        return []
+    edges = np.append(np.unique(np.array(cuts, dtype=np.int64)), np.iinfo(np.int64).max)
+    found = rows.mapInArrow(partial(_range_tops, cuts=edges), "range int, key long").groupBy("range").agg(F.max("key").alias("key"))
+    return sorted(r["key"] for r in found.collect())
 
 
 def edit_prints(docs: DataFrame, samples: int = SAMPLES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
