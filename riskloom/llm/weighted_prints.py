@@ -16,7 +16,7 @@ from xxhash import xxh64_intdigest
 from riskloom.llm.common import shuffle_tasks, slices
 
 SAMPLES = 128
-TERMS = 1 << 15         # terms whose random numbers a Python worker remembers
+TERMS = 1 << 16         # terms whose random numbers a Python worker remembers
 FLUSH = 1 << 13         # weighted terms sampled at a time
 BUCKETS = 8             # ranges of doc_id for each shuffle task
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
@@ -31,6 +31,7 @@ def _gamma_quantiles() -> np.ndarray:
     return x
 
 
+_PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _GAMMA = _gamma_quantiles().astype(np.float32)
 _LOG_GAMMA = np.log(_gamma_quantiles()).astype(np.float32)
 
@@ -45,13 +46,24 @@ def _scrambled(x: np.ndarray) -> np.ndarray:
 
 def _sortable(x: np.ndarray) -> np.ndarray:
     """Unsigned integers in the order of the 32-bit floats, in the upper half of 64 bits."""
-    raw = x.view(np.uint32)
-    sign = (raw >> np.uint32(31)) * np.uint32(0x7FFFFFFF)
-    return (raw ^ (sign | np.uint32(0x80000000))).astype(np.uint64) << np.uint64(32)
+    raw = x.view(np.int32)
+    flipped = (raw >> np.int32(31)).view(np.uint32)
+    flipped |= np.uint32(0x80000000)
+    flipped ^= raw.view(np.uint32)
+    out = flipped.astype(np.uint64)
+    out <<= np.uint64(32)
+    return out
+
+
+def _floats(keys: np.ndarray) -> np.ndarray:
+    """The floats of ``_sortable`` keys."""
+    high = (keys >> np.uint64(32)).astype(np.uint32)
+    flip = ~(high.view(np.int32) >> np.int32(31)).view(np.uint32) | np.uint32(0x80000000)
+    return (high ^ flip).view(np.float32)
 
 
 class Sampler:
-    """Signatures of texts as bags of words, a word's weight being its count.
+    """Signatures of texts as bags of words, a word's weight being its count; case and ASCII punctuation do not matter.
 
     For every word and sample: r and c from Gamma(2, 1) and b from the uniform distribution, all from the word's
     hash.  A weight w gives t = floor(ln w / r + b) and ln a = ln c - r (t - b) - r; the word with
@@ -66,8 +78,7 @@ class Sampler:
     def _empty(self) -> None:
         self.rows: dict[bytes, int] = {}
         shape = (TERMS, self.samples)
-        self.r, self.b, self.a = (np.empty(shape, np.float32) for _ in range(3))
-        self.code, self.key = np.empty(shape, np.uint32), np.empty(shape, np.uint64)
+        self.r, self.b, self.key = np.empty(shape, np.float32), np.empty(shape, np.float32), np.empty(shape, np.uint64)
 
     def _learn(self, words: list[bytes]) -> None:
         start = len(self.rows)
@@ -76,12 +87,17 @@ class Sampler:
             own = slice(start + first, start + first + len(part))
             term = np.array([xxh64_intdigest(w) for w in part], dtype=np.uint64)[:, None]
             digits = _scrambled(term ^ self.seeds).view(np.uint16).reshape(len(part), self.samples, 4)
-            r, c = _GAMMA[digits[..., 0]], _LOG_GAMMA[digits[..., 1]]
-            b = (digits[..., 2].astype(np.float32) + np.float32(0.5)) * np.float32(2 ** -16)
-            a = c - r + r * b
-            code = digits[..., 3].astype(np.uint32)
-            self.r[own], self.b[own], self.a[own], self.code[own] = r, b, a, code
-            self.key[own] = _sortable(a) | code
+            r, c = _GAMMA.take(digits[..., 0]), _LOG_GAMMA.take(digits[..., 1])
+            b = digits[..., 2].astype(np.float32)
+            b += np.float32(0.5)
+            b *= np.float32(2 ** -16)
+            self.r[own], self.b[own] = r, b
+            b -= np.float32(1)
+            b *= r
+            b += c              # ln a for weight 1, where t is 0
+            key = _sortable(b)
+            key |= digits[..., 3]
+            self.key[own] = key
         self.rows.update(zip(words, range(start, start + len(words))))
 
     def _least(self, words: list[bytes], counts: np.ndarray, starts: list[int]) -> np.ndarray:
@@ -98,8 +114,9 @@ class Sampler:
             own = at[many]
             r = self.r[own]
             t = np.floor(np.log(counts[many]).astype(np.float32)[:, None] / r + self.b[own])
-            a = self.a[own] - r * t
-            keys[many] = _sortable(a) | (self.code[own] ^ (t.astype(np.int32).view(np.uint32) * np.uint32(0x9E3779B1)))
+            one = keys[many]
+            a = _floats(one) - r * t
+            keys[many] = _sortable(a) | ((one ^ (t.astype(np.uint64) * _MIX[2])) & np.uint64(0xFFFFFFFF))
         ends = [*starts[1:], len(words)]
         return np.stack([keys[s:e].min(axis=0) for s, e in zip(starts, ends)])
 
@@ -118,7 +135,7 @@ class Sampler:
                     x.clear()
 
         for k, text in enumerate(texts):
-            bag = Counter(text.encode().split())
+            bag = Counter(text.lower().encode().translate(_PLAIN).split())
             terms, weights = list(bag), list(bag.values())
             for first in range(0, len(terms), FLUSH):
                 starts.append(len(words))

@@ -12,7 +12,8 @@ from riskloom.llm.queries import QUERIES
 
 
 def generalised_jaccard(a, b):
-    x, y = Counter(a.split()), Counter(b.split())
+    plain = str.maketrans({c: " " for c in map(chr, range(128)) if not c.isalnum()})
+    x, y = Counter(a.lower().translate(plain).split()), Counter(b.lower().translate(plain).split())
     words = set(x) | set(y)
     return sum(min(x[w], y[w]) for w in words) / sum(max(x[w], y[w]) for w in words)
 
@@ -30,6 +31,12 @@ def test_collision_rate_is_the_similarity():
     assert np.sqrt(np.mean(np.square(errors))) < 1.25 * 0.5 / np.sqrt(W.SAMPLES)
 
 
+def test_sortable_floats():
+    x = np.array([-3.5, -0.0, 0.0, 1e-9, 7.25, -1e9, 1e9], dtype=np.float32)
+    assert (W._floats(W._sortable(x)) == x).all()
+    assert (np.argsort(W._sortable(x), kind="stable") == np.argsort(x, kind="stable")).all()
+
+
 def test_weights_count():
     sampler = W.Sampler(512)
     a, b = sampler.signatures(["x " * 9 + "y", "x y"])
