@@ -83,14 +83,20 @@ def _plan(rows: DataFrame, share: float, cap: float, cycle: tuple[int, ...]) ->
                               F.col("last.key").alias("last_key"), F.col("last.tie").alias("last_tie")), "mix-plan")
 
 
-def _keyed(docs: DataFrame, names: dict[str, str], doc_id: str, source: str, text: str, quality: Column | None, seed: str) -> DataFrame:
-    """``docs`` with its size and sampling key: exponential, scaled by quality, so that the smallest keys are a weighted sample."""
-    body = F.col(f"`{text}`").cast("string")
+KEYED = ("source", "size", "key", "bucket", "tie")
+ADDED = ("size", "source_size", "target", "epochs", "taken", "times")
+
+
+def _keyed(docs: DataFrame, names: dict[str, str], doc_id: str, source: str, text: str, quality: Column | None, seed: str,
+           kept: list[Column] | None = None) -> DataFrame:
+    """``docs`` (or the kept columns) with size and sampling key: exponential, scaled by quality, so that the smallest keys are a weighted sample."""
+    body, id_ = F.col(f"`{text}`").cast("string"), F.col(f"`{doc_id}`")
     weight = text_quality(body) if quality is None else quality
-    key = F.when(F.coalesce(weight, F.lit(0.0)) > 0, -F.log(uniform(F.col(f"`{doc_id}`"), seed)) / weight).otherwise(F.lit(float("inf")))
-    out = docs.withColumn(names["size"], word_count(body)).withColumn(names["key"], key)
-    out = out.withColumn(names["bucket"], F.floor((1 - F.exp(-F.col(names["key"]))) * BUCKETS).cast("long"))
-    return out.withColumn(names["tie"], F.xxhash64(F.col(f"`{doc_id}`"), body)).withColumn(names["source"], F.col(f"`{source}`").cast("string"))
+    key = F.when(F.coalesce(weight, F.lit(0.0)) > 0, -F.log(uniform(id_, seed)) / weight).otherwise(F.lit(float("inf")))
+    whole = [F.col(f"`{c}`") for c in docs.columns] if kept is None else kept
+    out = docs.select(*whole, F.col(f"`{source}`").cast("string").alias(names["source"]), word_count(body).alias(names["size"]),
+                      key.alias(names["key"]), F.xxhash64(id_, body).alias(names["tie"]))
+    return out.withColumn(names["bucket"], F.floor((1 - F.exp(-F.col(names["key"]))) * BUCKETS).cast("long"))
 
 
 def mix(docs: DataFrame, share: float = SHARE, cap: float = CAP, cycle: tuple[int, ...] = CYCLE, doc_id: str = "doc_id",
@@ -104,20 +110,32 @@ def mix(docs: DataFrame, share: float = SHARE, cap: float = CAP, cycle: tuple[in
     of 0 or null comes last.  Documents without words are taken like others but move no budget.  Rows that agree in id
     and text tie: at the budget's end all or none of them are taken.  An empty table gives no rows; other columns stay.
     """
-    inner = dict(zip(("size", "key", "bucket", "tie", "source"), fresh(docs, "mix_size", "mix_key", "mix_bucket", "mix_tie", "mix_source")))
+    inner = dict(zip(KEYED, fresh(docs, *(f"mix_{c}" for c in KEYED))))
     keyed = _keyed(docs, inner, doc_id, source, text, quality, seed)
-    plan = _plan(keyed.select(*[F.col(inner[k]).alias(k) for k in ("source", "size", "key", "bucket", "tie")]), share, cap, cycle)
-    size, source_size, target, epochs, taken = fresh(docs, "size", "source_size", "target", "epochs", "taken")
-    plan = plan.select(*[F.col(c).alias(f"plan_{c}") for c in plan.columns])
-    clash = {c.lower() for c in keyed.columns} & {c.lower() for c in plan.columns}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are reserved")
-    joined = keyed.join(plan, F.col(inner["source"]).eqNullSafe(F.col("plan_source")))
-    below = (F.col(inner["bucket"]) < F.col("plan_edge")) | ((F.col(inner["bucket"]) == F.col("plan_edge")) & (
-        F.struct(F.col(inner["key"]), F.col(inner["tie"])) <= F.struct("plan_last_key", "plan_last_tie")) & F.col("plan_last_key").isNotNull())
-    times = F.col("plan_epochs") + F.coalesce(below, F.lit(False)).cast("long")
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(inner["size"]).alias(size), F.col("plan_source_size").alias(source_size),
-                         F.col("plan_target").alias(target), F.col("plan_epochs").alias(epochs), (times * F.col(inner["size"])).alias(taken), times.alias(fresh(docs, "times")[0]))
+    plan = _plan(durable(keyed.select(*[F.col(inner[c]).alias(c) for c in KEYED]), "mix-keys"), share, cap, cycle)
+    return _taken(keyed, plan, docs.columns, inner, dict(zip(ADDED, fresh(docs, *ADDED))))
+
+
+def allot(docs: DataFrame, share: float = SHARE, cap: float = CAP, cycle: tuple[int, ...] = CYCLE, doc_id: str = "doc_id",
+          source: str = "source", text: str = "text", quality: Column | None = None, seed: str = SEED) -> DataFrame:
+    """``mix`` without the documents' own columns but the id: ``(doc_id, size, source_size, target, epochs, taken, times)``.  Texts are read once."""
+    keyed = _keyed(docs, dict(zip(KEYED, KEYED)), doc_id, source, text, quality, seed, [F.col(f"`{doc_id}`").alias("doc_id")])
+    rows = durable(keyed, "mix-keys")
+    own = dict(zip(KEYED, (f"mix_{c}" for c in KEYED)))
+    return _taken(rows.withColumnsRenamed(own), _plan(rows, share, cap, cycle), ["doc_id"], own, dict(zip(ADDED, ADDED)))
+
+
+def _taken(keyed: DataFrame, plan: DataFrame, kept: list[str], inner: dict[str, str], names: dict[str, str]) -> DataFrame:
+    """The rows with what the plan takes of each; the plan has one row a source and Spark broadcasts it when its file is small."""
+    own = dict(zip(plan.columns, fresh(keyed, *(f"plan_{c}" for c in plan.columns))))
+    joined = keyed.join(plan.withColumnsRenamed(own), F.col(inner["source"]).eqNullSafe(F.col(own["source"])))
+    key, bucket, edge = F.col(inner["key"]), F.col(inner["bucket"]), F.col(own["edge"])
+    last = F.struct(F.col(own["last_key"]), F.col(own["last_tie"]))
+    first = (bucket < edge) | ((bucket == edge) & F.col(own["last_key"]).isNotNull() & (F.struct(key, F.col(inner["tie"])) <= last))
+    times = F.col(own["epochs"]) + F.coalesce(first, F.lit(False)).cast("long")
+    made = {"size": F.col(inner["size"]), "source_size": F.col(own["source_size"]), "target": F.col(own["target"]), "epochs": F.col(own["epochs"]),
+            "taken": times * F.col(inner["size"]), "times": times}
+    return joined.select(*[F.col(f"`{c}`") for c in kept], *[made[c].alias(names[c]) for c in ADDED])
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:

@@ -45,7 +45,7 @@ def op1_decontamination(spark, sf_dir):
 
 @query
 def op2_mixing(spark, sf_dir):
-    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.allot(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 ORACLE["op2_mixing"] = f"""
