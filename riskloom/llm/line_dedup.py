@@ -8,14 +8,13 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest, xxh128_digest
+from xxhash import xxh64_intdigest
 
 from riskloom.functions.durable import durable
-from riskloom.llm.common import fresh, slices, utf8
+from riskloom.llm.common import SLICE, fresh, slices, utf8
 
 RARE = 8                # a line in at most this many different texts is rare
 MIN_WORDS = 5           # words of an aligned block that is deleted
@@ -27,9 +26,10 @@ def filled_lines(text: bytes) -> list[tuple[int, bytes]]:
     return [(n, s) for n, line in enumerate(text.split(b"\n")) if (s := line.strip(SPACE))]
 
 
-def sequence(lines: list[tuple[int, bytes]]) -> bytes:
-    """What texts with the same lines have in common, blank lines and outer white space aside."""
-    return xxh128_digest(b"\n".join(line for _, line in lines))
+def sequence(text: str) -> Column:
+    """What texts with the same lines have in common, blank lines and outer white space aside: 16 bytes."""
+    lines = F.transform(F.split(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(SPACE.decode())))
+    return F.unhex(F.md5(F.concat_ws("\n", F.filter(lines, lambda x: x != "")).cast("binary")))
 
 
 def anchors(a: list[int], b: list[int], alo: int, ahi: int, blo: int, bhi: int) -> list[tuple[int, int]]:
@@ -112,9 +112,9 @@ def common_blocks(earlier: list[tuple[int, int]], later: list[tuple[int, int, in
 def _lined(batches):
     for batch in slices(batches):
         out = []
-        for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for name, seq, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
             lines = filled_lines(text)
-            out.append((name, sequence(lines), np.array([xxh64_intdigest(x) for _, x in lines], dtype=np.uint64).view(np.int64), [len(x.split()) for _, x in lines]))
+            out.append((name, seq, np.array([xxh64_intdigest(x) for _, x in lines], dtype=np.uint64).view(np.int64), [len(x.split()) for _, x in lines]))
         columns = list(zip(*out)) or [(), (), (), ()]
         kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))
         yield pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["doc_id", "seq", "hashes", "words"])
@@ -155,7 +155,7 @@ def overlaps(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id"
     Texts with the same lines are one node here.  Only lines that several texts have are aligned, and every
     pair of texts travels on its own: no group of texts is gathered.
     """
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), utf8(text).alias("text"))
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), sequence(text).alias("seq"), utf8(text).alias("text"))
     lined = durable(rows.mapInArrow(_lined, "doc_id long, seq binary, hashes array<long>, words array<int>"), "lines")
     texts = durable(lined.groupBy("seq").agg(F.min("doc_id").alias("first"), F.any_value(F.struct("hashes", "words")).alias("l")).select("seq", "first", "l.*"), "texts")
     places = texts.select("seq", "first", F.posexplode(F.arrays_zip("hashes", "words")).alias("at", "line")).select("seq", "first", "at", F.col("line.hashes").alias("hash"), F.col("line.words").alias("n"))
@@ -172,7 +172,7 @@ def overlaps(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id"
     return texts.select("seq", "first").join(gone, "seq", "left")
 
 
-def _cut(text: bytes, gone: np.ndarray | None, copy: bool, min_words: int) -> tuple[bytes, int, int]:
+def _cut(text: bytes, gone: list[int] | None, copy: bool, min_words: int) -> tuple[bytes, int, int]:
     """The text without the given places (or, for a later copy, without all its lines), its lines and how many went."""
     lines = filled_lines(text)
     numbers = {lines[k][0] for k in (gone if gone is not None else ())}
@@ -195,17 +195,16 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_i
     inner = fresh(docs, "seq", "first", "gone", "copy", "cut")
     seq, first, gone, copy, cut = inner
 
-    @F.pandas_udf("binary")
-    def sequence_of(texts: pd.Series) -> pd.Series:
-        return pd.Series([sequence(filled_lines(t)) for t in texts], dtype=object)
-
-    @F.pandas_udf("text binary, n_lines int, n_deleted int")
-    def cut_out(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("text binary, n_lines int, n_deleted int")
+    def cut_out(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        kinds = (pa.binary(), pa.int32(), pa.int32())
         for batch in batches:
-            yield pd.DataFrame([_cut(t, g, c, min_words) for t, g, c in zip(*batch)], columns=["text", "n_lines", "n_deleted"])
+            parts = [[x.slice(k, SLICE).to_pylist() for x in batch] for k in range(0, len(batch[0]), SLICE)]
+            rows = zip(*(_cut(*row, min_words) for part in parts for row in zip(*part)))
+            yield pa.StructArray.from_arrays([pa.array(list(c), k) for c, k in zip(list(rows) or [()] * 3, kinds)], ["text", "n_lines", "n_deleted"])
 
     found = durable(overlaps(docs, min_words, doc_id, text), "overlaps").select(F.col("seq").alias(seq + "_of"), F.col("first").alias(first), F.col("gone").alias(gone))
-    keyed = docs.withColumn(seq, sequence_of(utf8(text)))
+    keyed = docs.withColumn(seq, sequence(text))
     joined = keyed.join(found, F.col(seq) == F.col(seq + "_of")).withColumn(copy, ~F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col(first)))
     made = joined.withColumn(cut, cut_out(utf8(text), F.col(gone), F.col(copy)))
     names = fresh(docs, "clean_text", "n_lines", "n_deleted")
