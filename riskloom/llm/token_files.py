@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache, partial
@@ -15,12 +17,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskloom.functions.durable import shared_folder
+from riskloom.functions.durable import durable, shared_folder
 from riskloom.llm.common import shuffle_tasks, slices, utf8
 
 END = 2
-CACHE = 1 << 19             # words whose identifiers a Python worker remembers
-MARKS = b".,;:!?"
+CACHE = 3 << 18             # words whose identifiers a Python worker remembers, and as many older ones
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"      # ASCII punctuation but the apostrophe, which starts pieces
 LANES = 512                 # coder states that take turns in a block
 SEGMENT = 128               # steps (one symbol for every lane) between two checkpoints
 BLOCK = 2                   # segments of a block; a block has its own states, words and checksum
@@ -31,6 +33,12 @@ SCHEMA = ("part int, seq int, n_tokens long, doc_ids array<long>, lengths array<
           "words binary, offsets array<long>, states binary, checksums array<long>")
 
 
+@lru_cache(maxsize=4096)
+def _ends_alike(char: str) -> bool:
+    """Whether a word's last character is a letter or digit, and still ends in one when normalised and lower-cased."""
+    return char.isalnum() and unicodedata.normalize("NFC", char).lower()[-1].isalnum()
+
+
 class WordEncoder:
     """Identifiers of whole texts from a tokenizers file.
 
@@ -43,36 +51,58 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            suffix = json.load(file)["model"].get("end_of_word_suffix") or ""
+        vocabulary = self.library.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)        # identifiers that end a word
+        self.last[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
         self.known: dict[bytes, bytes] = {}           # a word's identifiers, four bytes each
+        self.older: dict[bytes, bytes] = {}
 
     def words(self, text: bytes) -> list[bytes]:
         # added tokens are the only words in which the case of ASCII letters counts
         return (text if b"<|" in text else text.lower()).split()
 
-    def learn(self, texts: list[list[bytes]]) -> None:
-        every = set(chain.from_iterable(texts))
-        new = every.difference(self.known)
+    def learn(self, words: set[bytes]) -> None:
+        new = words.difference(self.known)
         if len(self.known) + len(new) > CACHE:
-            self.known = {}
-            new = every
-        # a mark that ends a word is a piece of its own after an ASCII letter or digit
-        ended = [w for w in new if w[-1] in MARKS and w[-2:-1].isalnum()]
-        plain = new.difference(ended).union(w[:-1] for w in ended).union(w[-1:] for w in ended).difference(self.known)
-        for part in self._parts(list(plain)):
+            # words that still occur come over from the older half, the others are forgotten
+            self.known, self.older = {}, self.known
+            new = words
+        back = self.older.keys() & new
+        self.known.update((w, self.older[w]) for w in back)
+        new = new.difference(back)
+        # punctuation that ends a word is a piece of its own after a letter or digit, whatever the letters are
+        stems = {w: stem for w in new if (stem := w.rstrip(MARKS)) and len(stem) < len(w) and b"<|" not in w and _ends_alike(stem[-4:].decode(errors="ignore")[-1:])}
+        plain = new.difference(stems).union(stems.values()).union(w[len(stem):] for w, stem in stems.items()).difference(self.known)
+        letters = [w for w in plain if w.decode().isalpha()]
+        for part in self._parts(letters, 1 << 9):
+            plain.difference_update(part if self._learn_joined(part) else ())
+        for part in self._parts(list(plain), 1 << 14):
             made = self.library.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
             self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, made))
-        self.known.update((w, self.known[w[:-1]] + self.known[w[-1:]]) for w in ended)
+        self.known.update((w, self.known[stem] + self.known[w[len(stem):]]) for w, stem in stems.items())
+
+    def _learn_joined(self, words: list[bytes]) -> bool:
+        """Learn words of letters from one text: each is one piece, so each has one identifier that ends a word, its last."""
+        ids = np.array(self.library.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
+        ends = (np.nonzero(self.last[ids])[0] + 1) * 4
+        if len(ends) != len(words) or ends[-1] != 4 * len(ids):
+            return False
+        raw, ends = ids.tobytes(), ends.tolist()
+        self.known.update((w, raw[s:e]) for w, s, e in zip(words, [0, *ends], ends))
+        return True
 
     @staticmethod
-    def _parts(words: list[bytes], size: int = 1 << 14) -> Iterator[list[bytes]]:
+    def _parts(words: list[bytes], size: int) -> Iterator[list[bytes]]:
         return (words[k:k + size] for k in range(0, len(words), size))
 
     def encode(self, texts: list[bytes], end: int) -> Iterator[np.ndarray]:
         split = [self.words(t) for t in texts]
-        self.learn(split)
-        last = end.to_bytes(4, "little")
+        self.learn(set(chain.from_iterable(split)))
+        last = (end.to_bytes(4, "little"),)
         for words in split:
-            yield np.frombuffer(b"".join(chain(map(self.known.__getitem__, words), (last,))), "<u4")
+            yield np.frombuffer(b"".join(chain(map(self.known.__getitem__, words), last)), "<u4")
 
 
 @lru_cache(maxsize=2)
@@ -120,22 +150,30 @@ def pack(ids: np.ndarray) -> dict:
     last = -(-len(ids) // LANES) - (blocks - 1) * steps             # steps that the last block needs
     x = np.full((blocks, LANES), LOW, dtype=np.uint64)
     shift, half = np.uint64(bits), np.uint64(32)
-    room = (LOW >> shift) << half
+    room = ((LOW >> shift) << half) * freq64
+    total = np.uint64(1 << bits)
     written: list[np.ndarray] = []
     sizes: list[np.ndarray] = []
     states = np.zeros((blocks, BLOCK, LANES), dtype=np.uint64)
     for t in range(steps - 1, -1, -1):
         live = blocks if t < last else blocks - 1
         if live:
-            f, c, state = freq64[full[:live, t]], first[full[:live, t]], x[:live]
-            over = state >= room * f
+            which, state = full[:live, t], x[:live]
+            f = freq64.take(which)
+            over = state >= room.take(which)
             words = np.zeros(blocks, dtype=np.int64)
             words[:live] = over.sum(axis=1)
-            written.append((state[over] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+            out = state[over]
+            written.append(out.astype(np.uint32))       # the lower half
             sizes.append(words)
-            state = np.where(over, state >> half, state)
+            out >>= half
+            state[over] = out
             quotient = state // f
-            x[:live] = (quotient << shift) + (state - quotient * f) + c
+            # (quotient << bits) + remainder + start, the remainder being state - quotient * f
+            np.subtract(total, f, out=f)
+            quotient *= f
+            state += quotient
+            state += first.take(which)
         else:
             written.append(np.zeros(0, dtype=np.uint32))
             sizes.append(np.zeros(blocks, dtype=np.int64))
@@ -184,9 +222,12 @@ def unpack(group: dict, first_block: int = 0, last_block: int | None = None) ->
             break
         state = x[live]
         low = state & mask
-        which = slot[low.astype(np.int64)]
-        out[live, t] = symbols[which]
-        state = freq[which] * (state >> shift) + low - start[which]
+        which = slot.take(low.view(np.int64))
+        out[live, t] = symbols.take(which)
+        state >>= shift
+        state *= freq.take(which)
+        low -= start.take(which)
+        state += low
         short = state < LOW
         rank = np.cumsum(short, axis=1)
         place = (at[live, None] + rank - 1)[short]
@@ -226,19 +267,19 @@ def _arrow() -> pa.Schema:
 def write_token_files(docs: DataFrame, vocabulary: str, path: str, end: int = END, doc_id: str = "doc_id", text: str = "text") -> None:
     """Encode every whole text, append ``end``, and write all identifiers in ascending order of doc_id.
 
-    Texts are shuffled once, into ranges of doc_id (null first; rows that share an id by a hash of their text).  A range is
+    Texts are shuffled once, into ranges of doc_id (null first; rows that share an id by their text).  A range is
     walked in order and written group by group, so a task holds ``GROUP`` identifiers, or one document's.  The files are Parquet, a
     row for each group: documents, lengths, frequency table, checkpoints, checksums and the coder's words.
     """
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), utf8(text).alias("text"))
-    ranged = rows.repartitionByRange(shuffle_tasks(docs.sparkSession), F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"))
+    ranged = rows.repartitionByRange(shuffle_tasks(docs.sparkSession), F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
     ranged.mapInArrow(partial(_packed, path=vocabulary, end=end), SCHEMA).write.parquet(path)
 
 
 def _documents(batches):
     for batch in slices(batches, 1):
         row = batch.to_pylist()[0]
-        ids, out, at = unpack(row).astype("<u4"), [], 0
+        ids, out, at = unpack(row), [], 0
         for name, length in zip(row["doc_ids"], row["lengths"]):
             out.append((name, row["start"] + at, length, crc32(ids[at:at + length].tobytes())))
             at += length
@@ -256,6 +297,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     own = files.select("part", "seq", "n_tokens")
     inside = own.select("part", "seq", (F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_tokens")).alias("ahead"))
     starts = inside.join(parts, F.col("part") == F.col("p")).select(F.col("part").alias("p"), F.col("seq").alias("s"), (F.col("before") + F.col("ahead")).alias("start"))
+    # one narrow row a group, written first: when its file is small, Spark broadcasts it and the words stay where they are
+    starts = durable(starts, "token-starts")
     placed = files.join(starts, (F.col("part") == F.col("p")) & (F.col("seq") == F.col("s"))).drop("p", "s")
     return placed.mapInArrow(_documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
