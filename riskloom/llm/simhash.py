@@ -19,7 +19,8 @@ from riskloom.llm.components import components
 SHINGLE = 3
 RADIUS = 2
 SEED = 42
-PARTS = 4               # a fingerprint's population count is taken in this many parts of 16 bits
+#: A fingerprint's population count is taken in so many parts, from so many different fingerprints on.
+PARTS = ((0, 4), (1 << 22, 8), (1 << 29, 16))
 TILE = 2048             # fingerprints in a tile, as an average bound
 STEP = 256              # rows of a tile compared at a time
 CHUNK = 1 << 16         # shingles whose bits are counted at a time
@@ -60,12 +61,17 @@ def hexadecimal(prints: Column) -> Column:
     return F.lpad(F.lower(F.hex(prints)), 16, "0")
 
 
-def _steps(radius: int) -> list[list[int]]:
+def parts_for(count: int) -> int:
+    """More parts for more fingerprints: a tile pair is compared more seldom, and each tile goes to more others."""
+    return max(parts for least, parts in PARTS if count >= least)
+
+
+def _steps(radius: int, parts: int) -> list[list[int]]:
     """Differences of part counts that lie within the radius, one of each opposite pair."""
     out: list[list[int]] = [[]]
-    for _ in range(PARTS):
+    for _ in range(parts):
         out = [[*x, d] for x in out for d in range(-radius, radius + 1) if sum(map(abs, x)) + abs(d) <= radius]
-    return [x for x in out if x >= [0] * PARTS]
+    return [x for x in out if x >= [0] * parts]
 
 
 def linked(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,23 +106,23 @@ def _links(batches, radius):
                 yield pa.record_batch([as_long(u), as_long(v)], names=["a", "b"])
 
 
-def near_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+def near_links(prints: DataFrame, radius: int = RADIUS, parts: int = 4) -> DataFrame:
     """Links ``(a, b)`` that join all distinct fingerprints within ``radius`` bits of each other.
 
-    Fingerprints lie in tiles by the population counts of their four parts.  Two
+    Fingerprints lie in tiles by the population counts of their ``parts``.  Two
     fingerprints within the radius have part counts whose differences add up to at most the radius, so
-    only such tile pairs are compared, every pair of fingerprints in them exactly.
+    only such tile pairs are compared, every pair of fingerprints in them exactly: the links are the same for any number of parts.
     A tile pair yields a spanning forest of its links (at most one link for each
     fingerprint), not all its pairs.  Tiles over ``TILE`` are cut by a hash.
     """
-    part = [F.bit_count(F.shiftrightunsigned("print", 64 // PARTS * i).bitwiseAND(F.lit((1 << 64 // PARTS) - 1))) for i in range(PARTS)]
+    part = [F.bit_count(F.shiftrightunsigned("print", 64 // parts * i).bitwiseAND(F.lit((1 << 64 // parts) - 1))) for i in range(parts)]
     keyed = prints.select("print", F.array(*part).alias("key"))
     sizes = keyed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE)).alias("cuts"))
     cut = keyed.join(sizes, "key").withColumn("cut", F.pmod(F.xxhash64("print"), F.col("cuts")))
     tiles = durable(cut.groupBy("key", "cut").agg(F.collect_list("print").alias("prints")), "tiles")
-    steps = F.array(*[F.array(*map(F.lit, x)) for x in _steps(radius)])
+    steps = F.array(*[F.array(*map(F.lit, x)) for x in _steps(radius, parts)])
     near = tiles.select("key", "cut", "prints", F.explode(steps).alias("step")).select(
-        F.zip_with("key", "step", lambda x, y: x + y).alias("near"), "cut", "prints", (F.col("step") == F.array(*[F.lit(0)] * PARTS)).alias("same"))
+        F.zip_with("key", "step", lambda x, y: x + y).alias("near"), "cut", "prints", (F.col("step") == F.array(*[F.lit(0)] * parts)).alias("same"))
     near = near.join(tiles.select(F.col("key").alias("near"), F.col("cut").alias("cut_b"), F.col("prints").alias("prints_b")), "near")
     pairs = near.filter("NOT same OR cut <= cut_b").select(
         "prints", F.when(~(F.col("same") & (F.col("cut") == F.col("cut_b"))), F.col("prints_b")).alias("prints_b"))
@@ -127,7 +133,7 @@ def _grouped(docs: DataFrame, shingle: int, radius: int, doc_id: str, text: str)
     """``(doc_id, print, root, component_id)``; the root names a group even when none of its rows has a doc_id."""
     made = durable(fingerprints(docs, shingle, doc_id, text), "prints")
     nodes = durable(made.groupBy("print").agg(F.min("doc_id").alias("first")), "nodes")
-    roots = components(near_links(nodes.select("print"), radius))
+    roots = components(near_links(nodes.select("print"), radius, parts_for(nodes.count())))
     named = durable(nodes.join(roots, nodes["print"] == roots["node"], "left").select(
         "print", "first", F.coalesce("root", "print").alias("root")), "named")
     groups = named.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 
 from riskloom.llm import simhash
 from riskloom.llm.common import table
+from riskloom.llm.components import components
 from riskloom.llm.queries import QUERIES
 
 
@@ -62,11 +63,27 @@ def test_tiles_yield_a_spanning_forest():
 
 
 def test_steps_cover_each_pair_once():
-    steps = {tuple(s) for s in simhash._steps(2)}
+    steps = {tuple(s) for s in simhash._steps(2, 4)}
     assert (0, 0, 0, 0) in steps and len(steps) == 21
     assert not any(tuple(-x for x in s) in steps for s in steps if any(s))
 
 
+def test_any_number_of_parts_finds_the_same_groups(spark):
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    prints = np.unique(np.concatenate([base, *[base[:120] ^ np.uint64(1 << a) ^ np.uint64(1 << b) for a, b in rng.integers(0, 63, (6, 2))]]))
+    table = spark.createDataFrame([(int(x),) for x in prints.view(np.int64)], "print long")
+    own = prints.view(np.int64).tolist()
+    want = groups(list(range(len(own))), [p & (1 << 64) - 1 for p in own], 2)
+    for parts in (4, 8, 16):
+        roots = {r.node: r.root for r in components(simhash.near_links(table, 2, parts)).collect()}
+        named = {}
+        for i, p in enumerate(own):
+            named.setdefault(roots.get(p, p), set()).add(want[i])
+        assert all(len(x) == 1 for x in named.values()) and len(named) == len(set(want)), parts
+    assert [simhash.parts_for(n) for n in (0, 10 ** 6, 1 << 22, 1 << 29, 10 ** 11)] == [4, 4, 8, 16, 16]
+
+
 def test_query_equals_all_pairs(spark, sf):
     rows = QUERIES["op10_simhash_near_dedup"](spark, sf).collect()
     texts = {r.doc_id: r.text for r in table(spark, sf, "documents").collect()}
