@@ -126,12 +126,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread an input of fewer files than cores over all cores.
-
-    Larger inputs are left as they are read: at scale this adds no shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(4 * cores, *keys) if len(df.inputFiles()) < cores else df
+    """Spread an input over all cores, whatever its files: the plan is the same at every size."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:

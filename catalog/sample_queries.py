@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalog import corpus, sql
 from catalog.scan_queries import B, D, L, S, corpus_lines, register
-from riskloom.functions.durable import durable
+from riskloom.functions import text
+from riskloom.functions.durable import durable, remove, shared_folder
 from riskloom.operators import features, hits, labels, samples
 from riskloom.plans import train
+from riskloom.sinks import export
 from riskloom.sources import samples as readers
 
 # Raw labels as third parties write them: every branch and trap of the rules.
@@ -87,11 +91,11 @@ _label_query("label_fallback", lambda c: labels.or_high(labels.from_name(c)), f"
 
 def _clean_sql(column: str) -> str:
     value = _strip(f"replace({column}, '\\n', chr(10))")
-    return (f"CASE WHEN {_strip(column)} NOT IN ('', 'nan', 'None') AND length({value}) >= 5 THEN left({value}, 1500) END")
+    return (f"CASE WHEN {_strip(column)} NOT IN ('', 'nan', 'None') AND length({value}) >= 5 THEN {value} END")
 
 
 def _plain_sql(column: str) -> str:
-    return f"CASE WHEN {_strip(column)} <> 'nan' AND length({_strip(column)}) >= 5 THEN left({_strip(column)}, 2000) END"
+    return f"CASE WHEN {_strip(column)} <> 'nan' AND length({_strip(column)}) >= 5 THEN {_strip(column)} END"
 
 
 CODES = """codes AS (SELECT 'line' AS kind, row_id, code || '\\n' || code AS code FROM raw_samples
@@ -134,7 +138,7 @@ def training_clean(spark, sf_dir):
 
 @register("row_limit", sql.query(SAMPLES, "SELECT row_id, code FROM raw_samples ORDER BY row_id LIMIT 5000", row_id=B, code=S))
 def row_limit(spark, sf_dir):
-    return samples.first_rows(raw_samples(spark, sf_dir).select("row_id", "code"), [F.col("row_id")])
+    return samples.first_rows(raw_samples(spark, sf_dir).select("row_id", "code"), [F.col("row_id")], 5000)
 
 
 def _records(spark, sf_dir) -> DataFrame:
@@ -150,8 +154,8 @@ _chosen = _strip("coalesce(nullif(CASE WHEN line % 3 = 0 THEN code ELSE '' END,
 
 
 @register("field_fallback", sql.query(SAMPLES, f"""
-  SELECT left({_chosen}, 2000) AS code, coalesce({FROM_CWE}, 'High Risk') AS label FROM raw_samples WHERE length({_chosen}) >= 5
-  UNION ALL SELECT left({_strip('reverse(code)')}, 2000), 'Safe' FROM raw_samples WHERE line % 3 = 1 AND length({_strip('reverse(code)')}) >= 5""",
+  SELECT {_chosen} AS code, coalesce({FROM_CWE}, 'High Risk') AS label FROM raw_samples WHERE length({_chosen}) >= 5
+  UNION ALL SELECT {_strip('reverse(code)')}, 'Safe' FROM raw_samples WHERE line % 3 = 1 AND length({_strip('reverse(code)')}) >= 5""",
     code=S, label=S))
 def field_fallback(spark, sf_dir):
     return readers.weakness_records(_records(spark, sf_dir))
@@ -202,6 +206,52 @@ def discovered_samples(spark, sf_dir):
         readers.flagged_samples(rows).withColumn("reader", F.lit("flagged")))
 
 
+# --- files written and read back ----------------------------------------------------
+
+def _read_back(spark, name: str, write, read) -> DataFrame:
+    """What ``read`` finds in the folder that ``write`` filled; the folder is deleted, the rows are kept as a table."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    write(folder)
+    try:
+        return durable(read(folder), name)
+    finally:
+        remove(spark, [folder])
+
+
+@register("training_csv", sql.query(SAMPLES, f"""
+  SELECT {_strip('code')} AS code, {_strip('raw_label')} AS label FROM raw_samples WHERE {_strip('code')} <> '' AND {_strip('raw_label')} <> ''""",
+    code=S, label=S))
+def training_csv(spark, sf_dir):
+    rows = raw_samples(spark, sf_dir).select("code", F.col("raw_label").alias("label"))
+    return _read_back(spark, "training-csv", lambda to: export.write_training_csv(rows, to), lambda at: readers.read_training_csv(spark, at))
+
+
+@register("csv_directory", sql.query(SAMPLES, f"""
+  SELECT CAST(row_id AS VARCHAR) AS id, {_strip('code')} AS snippet, {_strip('raw_label')} AS target FROM raw_samples
+  WHERE {_strip('code')} <> '' AND {_strip('raw_label')} <> ''""", id=S, snippet=S, target=S))
+def csv_directory(spark, sf_dir):
+    """Files with three headers in one folder, two columns selected besides the id."""
+    rows = raw_samples(spark, sf_dir).select(
+        F.col("row_id").alias("id"), F.trim("language").alias("other"), text.strip(F.col("code")).alias("snippet"), text.strip(F.col("raw_label")).alias("target"))
+    rows = rows.filter("snippet <> '' AND target <> ''")
+
+    def write(to):
+        for part, columns in enumerate((("id", "snippet", "target"), ("target", "other", "snippet", "id"), ("snippet", "id", "target", "other"))):
+            rows.filter(F.col("id") % 3 == part).select(*columns).write.mode("append").csv(to, header=True, quoteAll=True, escape='"')
+
+    return _read_back(spark, "csv-directory", write, lambda at: readers.read_csv(spark, at, ("id", "snippet", "target")).drop("origin"))
+
+
+@register("json_files", sql.query(SAMPLES, "SELECT CAST(row_id AS VARCHAR) AS id, code AS snippet, raw_label AS target FROM raw_samples", id=S, snippet=S, target=S))
+def json_files(spark, sf_dir):
+    """A file for every 64 documents: an array of objects."""
+    record = F.to_json(F.struct(F.col("raw_label").alias("target"), F.col("code").alias("snippet"), F.col("row_id").alias("id")))
+    arrays = raw_samples(spark, sf_dir).groupBy(F.floor(F.col("doc_id") / 64)).agg(
+        F.concat(F.lit("["), F.array_join(F.collect_list(record), ","), F.lit("]")).alias("value"))
+    return _read_back(spark, "json-files", lambda to: arrays.select("value").write.option("maxRecordsPerFile", 1).text(to),
+                      lambda at: readers.read_json(spark, at, "*.txt").select("id", "snippet", "target"))
+
+
 # --- deduplication and sampling -------------------------------------------------
 
 def _documents(spark, sf_dir) -> DataFrame:
@@ -238,20 +288,20 @@ _dedupe_query("dedupe_prefix400", 400)
   SELECT source_rank, row_id, code, label FROM (
     SELECT 0 AS source_rank, * FROM docs WHERE label <> 'none' UNION ALL SELECT 1, row_id, code, 'Safe' FROM docs)
   WHERE {_strip('code')} <> ''
-  QUALIFY row_number() OVER (PARTITION BY left({_strip('code')}, 500) ORDER BY source_rank, row_id) = 1""",
+  QUALIFY row_number() OVER (PARTITION BY {_strip('code')} ORDER BY source_rank, row_id) = 1""",
     source_rank=B, row_id=B, code=S, label=S))
 def merge_sources(spark, sf_dir):
     docs = _documents(spark, sf_dir)
     merged = samples.merge(docs.filter("label <> 'none'"), docs.withColumn("label", F.lit("Safe")))
-    return samples.keep_first(merged, ["source_rank", "row_id"], 500)
+    return samples.keep_first(merged, ["source_rank", "row_id"])
 
 
 @register("augment_anti", sql.query([SQL_DOCS], f"""
   SELECT row_id, code, label FROM docs WHERE label <> 'none'
   UNION ALL
   (SELECT row_id, code, 'Safe' FROM docs
-   WHERE left({_strip('code')}, 400) NOT IN (SELECT left({_strip('code')}, 400) FROM docs WHERE label <> 'none')
-   QUALIFY row_number() OVER (PARTITION BY left({_strip('code')}, 400) ORDER BY row_id) = 1)""", row_id=B, code=S, label=S))
+   WHERE {_strip('code')} NOT IN (SELECT {_strip('code')} FROM docs WHERE label <> 'none')
+   QUALIFY row_number() OVER (PARTITION BY {_strip('code')} ORDER BY row_id) = 1)""", row_id=B, code=S, label=S))
 def augment_anti(spark, sf_dir):
     docs = _documents(spark, sf_dir)
     return samples.augment(docs.filter("label <> 'none'"), docs.withColumn("label", F.lit("Safe")), ["row_id"])
@@ -260,14 +310,14 @@ def augment_anti(spark, sf_dir):
 @register("source_cap", sql.query(SAMPLES, """
   SELECT source, row_id FROM raw_samples QUALIFY row_number() OVER (PARTITION BY source ORDER BY row_id) <= 800""", source=S, row_id=B))
 def source_cap(spark, sf_dir):
-    return samples.cap_per_source(raw_samples(spark, sf_dir).select("source", "row_id"), "source", [F.col("row_id")])
+    return samples.cap_per_source(raw_samples(spark, sf_dir).select("source", "row_id"), "source", [F.col("row_id")], 800)
 
 
 @register("stratified_sample", sql.query(SAMPLES, """
   SELECT raw_label, row_id FROM raw_samples
   QUALIFY row_number() OVER (PARTITION BY raw_label ORDER BY md5(CAST(row_id AS VARCHAR))) <= 80""", raw_label=S, row_id=B))
 def stratified_sample(spark, sf_dir):
-    return samples.stratified_sample(raw_samples(spark, sf_dir).select("raw_label", "row_id"), "raw_label", F.col("row_id"))
+    return samples.stratified_sample(raw_samples(spark, sf_dir).select("raw_label", "row_id"), "raw_label", F.col("row_id"), 80)
 
 
 _NORMED = f"normed AS (SELECT row_id, doc_id, line, code, coalesce({FROM_CWE}, 'none') AS label FROM raw_samples)"
@@ -313,21 +363,19 @@ def class_count(spark, sf_dir):
     return samples.class_count(_normed(spark, sf_dir))
 
 
-_CATEGORIES = "CASE doc_id % 3 WHEN 0 THEN 'High Risk' WHEN 1 THEN 'Medium Risk' END"
+_CATEGORIES = "CASE doc_id % 3 WHEN 0 THEN 'High Risk' WHEN 1 THEN 'Medium Risk' ELSE 'Safe' END"
 
 
 @register("line_chunks", sql.query([corpus.SQL_LINES, f"""
   parts AS (SELECT repo, file, {_CATEGORIES} AS label, string_split({_strip('content')}, chr(10)) AS parts
-            FROM contents WHERE {_CATEGORIES} IS NOT NULL),
+            FROM contents),
   chunks AS (SELECT repo, file, label, (start - 1) // 4 AS chunk, {_strip("array_to_string(parts[start:start + 5], chr(10))")} AS code
             FROM (SELECT *, unnest(range(1, len(parts) + 1, 4)) AS start FROM parts))"""],
-    "SELECT file, label, chunk, left(code, 2000) AS code FROM chunks WHERE length(code) >= 10", file=S, label=S, chunk=B, code=S))
+    "SELECT repo, file, label, chunk, code FROM chunks WHERE length(code) >= 10", repo=S, file=S, label=S, chunk=B, code=S))
 def line_chunks(spark, sf_dir):
     files = corpus.files(spark, sf_dir)
     kind = F.col("doc_id") % 3
-    categories = files.select("file", F.when(kind == 0, "High Risk").when(kind == 1, "Medium Risk").alias("label")) \
-        .filter("label IS NOT NULL")
-    return readers.labelled_files(files, categories)
+    return readers.labelled_files(files.withColumn("label", F.when(kind == 0, "High Risk").when(kind == 1, "Medium Risk").otherwise("Safe")))
 
 
 # --- features ---------------------------------------------------------------------
@@ -378,14 +426,12 @@ def _vocab_sql(table: str, size: int) -> str:
 
 @register("word_vocab", sql.query([SQL_WORDS], _vocab_sql("words", 4000), term=S, uses=B))
 def word_vocab(spark, sf_dir):
-    texts = _texts(spark, sf_dir)
-    return features.vocabulary(features.term_counts(texts, features.word_ngrams()), features.WORD_FEATURES)
+    return features.word_vocabulary(_texts(spark, sf_dir), features.WORD_FEATURES)
 
 
 @register("char_vocab", sql.query([SQL_CHARS], _vocab_sql("grams", 2000), term=S, uses=B))
 def char_vocab(spark, sf_dir):
-    texts = _texts(spark, sf_dir)
-    return features.vocabulary(features.term_counts(texts, features.char_ngrams()), features.CHAR_FEATURES)
+    return features.char_vocabulary(_texts(spark, sf_dir), features.CHAR_FEATURES)
 
 
 def _idf_sql(table: str, size: int) -> str:
@@ -399,7 +445,7 @@ def _idf_sql(table: str, size: int) -> str:
 def idf(spark, sf_dir):
     texts = _texts(spark, sf_dir)
     terms = features.word_ngrams()
-    vocab = features.vocabulary(features.term_counts(texts, terms), features.WORD_FEATURES)
+    vocab = features.word_vocabulary(texts, features.WORD_FEATURES)
     return features.inverse_document_frequency(texts, terms, vocab).withColumn("idf", F.round("idf", 6))
 
 
@@ -474,26 +520,43 @@ def labelled_lines(spark, sf_dir) -> DataFrame:
     """``(row_id, code, label)``: distinct corpus lines, labelled by the severity of their finding."""
     lines = corpus_lines(spark, sf_dir)
     doc = F.regexp_extract("file", r"f(\d+)", 1).cast("bigint")
-    found = hits.findings(hits.line_facts(lines)).select("repo", "file", "line", "severity")
     label = F.when(F.col("severity") == "High", "High Risk").when(F.col("severity") == "Medium", "Medium Risk").otherwise("Safe")
-    rows = lines.join(found, ["repo", "file", "line"], "left").select(
+    rows = hits.line_severity(lines).select(
         (doc * 100000 + F.col("line")).alias("row_id"), "code", label.alias("label"))
     return train.clean_training(rows, ["row_id"])
 
 
-# Enough iterations for stable labels; the library's default allows 5000.
-QUICK = train.Settings(max_iter=100)
-
-
-@register("file_predictions")
+@register("file_predictions", sql.query([corpus.SQL_LINES], """
+  SELECT repo, file, true AS known_label, true AS largest_score, true AS scores_add_up FROM contents""",
+    repo=S, file=S, known_label=L, largest_score=L, scores_add_up=L))
 def file_predictions(spark, sf_dir):
-    model = train.train(durable(labelled_lines(spark, sf_dir), "samples"), QUICK)
-    scored = model.predict(corpus.files(spark, sf_dir))
-    return scored.select("repo", "file", "ml_prediction", "confidence", F.to_json("all_scores").alias("all_scores"))
+    """Every whole file classified; what must hold for each row whatever the model."""
+    model = train.train(durable(labelled_lines(spark, sf_dir), "samples"))
+    values = F.map_values("all_scores")
+    return model.predict(corpus.files(spark, sf_dir)).select(
+        "repo", "file", F.col("ml_prediction").isin("High Risk", "Medium Risk", "Safe").alias("known_label"),
+        ((F.col("confidence") == F.array_max(values)) & (F.col("confidence") == F.col("all_scores")[F.col("ml_prediction")])).alias("largest_score"),
+        (F.abs(F.aggregate(values, F.lit(0.0), lambda a, x: a + x) - 100) <= 0.3).alias("scores_add_up"))
+
+
+_LINE_LABELS = f"""labelled AS (
+  SELECT row_id, label FROM (
+    SELECT doc_id * 100000 + line AS row_id, code,
+      CASE severity WHEN 'High' THEN 'High Risk' WHEN 'Medium' THEN 'Medium Risk' ELSE 'Safe' END AS label
+    FROM lines LEFT JOIN (SELECT repo, file, line, severity FROM findings) USING (repo, file, line))
+  WHERE {_strip('code')} <> ''
+  QUALIFY row_number() OVER (PARTITION BY {_strip('code')} ORDER BY row_id) = 1),
+placed AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(row_id AS VARCHAR)))
+    <= floor(count(*) OVER (PARTITION BY label) * 0.2) AS is_test FROM labelled)"""
 
 
-@register("held_out_report")
+@register("held_out_report", sql.query([corpus.SQL_LINES, sql.SQL_FINDINGS, _LINE_LABELS], """
+  SELECT label, count(*) AS support, true AS accurate FROM placed WHERE is_test GROUP BY label
+  UNION ALL SELECT name, (SELECT count(*) FROM placed WHERE is_test), true FROM (VALUES ('accuracy'), ('macro avg'), ('weighted avg')) v(name)""",
+    label=S, support=B, accurate=L))
 def held_out_report(spark, sf_dir):
-    _, scored = train.train_and_evaluate(durable(labelled_lines(spark, sf_dir), "samples"), F.col("row_id"), QUICK)
-    return train.classification_report(scored)
-
+    """Labels and supports of the held-out rows, and whether the accuracy reaches 0.9."""
+    _, scored = train.train_and_evaluate(durable(labelled_lines(spark, sf_dir), "samples"), F.col("row_id"))
+    report = train.classification_report(scored)
+    accuracy = F.max(F.when(F.col("label") == "accuracy", F.col("precision"))).over(Window.partitionBy())
+    return report.filter("support > 0").select("label", "support", (accuracy >= 0.9).alias("accurate"))

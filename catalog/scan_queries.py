@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,11 +11,13 @@ from catalog import corpus, sql
 from riskloom import prose
 from riskloom import registry as R
 from riskloom.functions import text
+from riskloom.functions.durable import durable, remove, shared_folder
 from riskloom.operators import advice, chains, hits, narrative, patching, rollup, scores, search
 from riskloom.operators import lines as line_ops
 from riskloom.plans.scan import Scan, scan
 from riskloom.sinks import export
 from riskloom.sources import tree
+from riskloom.sources.samples import read_csv
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -36,9 +40,10 @@ def register(name: str, oracle: str | None = None):
     return add
 
 
-def corpus_scan(spark: SparkSession, sf_dir: str) -> Scan:
+def corpus_scan(spark: SparkSession, sf_dir: str, *store: str) -> Scan:
+    """The scan of the corpus; ``store`` names the tables that a query reads more than once."""
     files = corpus.files(spark, sf_dir)
-    return scan(files, file_risks=corpus.file_risks(files))
+    return scan(files, file_risks=corpus.file_risks(files), store=store)
 
 
 def corpus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +111,7 @@ def ext_filter(spark, sf_dir):
 
 @register("size_guard", sql.query([PATHS], "SELECT * FROM paths WHERE size_bytes <= 1048576", **_path))
 def size_guard(spark, sf_dir):
-    return _paths(spark, sf_dir).filter(tree.fits_size(F.col("size_bytes")))
+    return _paths(spark, sf_dir).filter(tree.fits_size(F.col("size_bytes"), R.MAX_FILE_BYTES))
 
 
 @register("file_cap", sql.query(
@@ -248,7 +253,7 @@ CHAIN_TOP = """SELECT *, row_number() OVER (PARTITION BY repo ORDER BY attack_ra
 
 @register("chains_top50", sql.query(CHAINS, f"SELECT * FROM ({CHAIN_TOP}) WHERE position <= 50", **CHAIN, position=B))
 def chains_top50(spark, sf_dir):
-    return corpus_scan(spark, sf_dir).top_chains()
+    return corpus_scan(spark, sf_dir).top_chains(50)
 
 
 @register("chain_summary", sql.query(CHAINS, "SELECT repo, attack_type, count(*) AS chains FROM chains GROUP BY ALL",
@@ -263,7 +268,7 @@ def chain_summary(spark, sf_dir):
   SELECT repo, file, line, issue, (repo, lower(file)) IN (SELECT (repo, lower(file)) FROM chains) AS has_chain FROM findings""",
     **AT_LINE, issue=S, has_chain=L))
 def has_chain(spark, sf_dir):
-    found = corpus_scan(spark, sf_dir)
+    found = corpus_scan(spark, sf_dir, "facts")
     flags = found.counts.select("repo", "file_norm", (F.col("chains") > 0).alias("has_chain"))
     return found.findings.withColumn("file_norm", text.path_key(F.col("file"))) \
         .join(flags, ["repo", "file_norm"], "left").select("repo", "file", "line", "issue", "has_chain")
@@ -274,7 +279,7 @@ def has_chain(spark, sf_dir):
     (SELECT (repo, lower(file)) FROM entries WHERE severity IN ('High', 'Medium')) AS has_input FROM findings""",
     **AT_LINE, issue=S, has_input=L))
 def has_input(spark, sf_dir):
-    found = corpus_scan(spark, sf_dir)
+    found = corpus_scan(spark, sf_dir, "facts")
     flags = found.counts.select("repo", "file_norm", (F.col("exposed_inputs") > 0).alias("has_input"))
     return found.findings.withColumn("file_norm", text.path_key(F.col("file"))) \
         .join(flags, ["repo", "file_norm"], "left").select("repo", "file", "line", "issue", "has_input")
@@ -287,13 +292,13 @@ PRIORITY_TOP = """SELECT *, row_number() OVER (PARTITION BY repo ORDER BY
 
 @register("priority", sql.query(PRIORITY, "SELECT * FROM prioritized", **PRIORITIZED))
 def priority(spark, sf_dir):
-    return corpus_scan(spark, sf_dir).prioritized
+    return corpus_scan(spark, sf_dir, "facts").prioritized
 
 
 @register("priority_top200", sql.query(PRIORITY, f"SELECT * FROM ({PRIORITY_TOP}) WHERE position <= 200",
                                        **PRIORITIZED, position=B))
 def priority_top200(spark, sf_dir):
-    return corpus_scan(spark, sf_dir).top_prioritized()
+    return corpus_scan(spark, sf_dir, "facts").top_prioritized(200)
 
 
 @register("priority_filters", sql.query(PRIORITY, """
@@ -301,7 +306,7 @@ def priority_top200(spark, sf_dir):
   UNION ALL SELECT 'high_and_above', repo, file, line, priority FROM prioritized WHERE priority IN ('Critical', 'High')""",
     kept=S, **AT_LINE, priority=S))
 def priority_filters(spark, sf_dir):
-    found = corpus_scan(spark, sf_dir).prioritized.select("repo", "file", "line", "priority")
+    found = corpus_scan(spark, sf_dir, "facts").prioritized.select("repo", "file", "line", "priority")
     return scores.critical_findings(found).withColumn("kept", F.lit("critical")).unionByName(
         scores.high_and_above(found).withColumn("kept", F.lit("high_and_above")))
 
@@ -426,10 +431,9 @@ def maturity_indicators(spark, sf_dir):
     return corpus_scan(spark, sf_dir).report.select("repo", F.explode("indicators").alias("indicator"))
 
 
-@register("indicator_buckets", sql.query([*REPO, SQL_MATURITY, """
-  marked AS (SELECT *, regexp_matches(indicator, 'secure|validate|sanitize|hardened|header|CSP|SSL|TLS|HTTPS|middleware', 'i') AS hardening,
-    regexp_matches(indicator, 'clean|unused|dead|unreachable|comment|imports|size|lines|vulnerability', 'i')
-      AND NOT regexp_matches(indicator, 'secure|validate|sanitize|hardened|header', 'i') AS hygiene FROM told)"""], """
+@register("indicator_buckets", sql.query([*REPO, SQL_MATURITY, f"""
+  marked AS (SELECT *, regexp_matches(indicator, '{narrative.HARDENING}') AS hardening,
+    regexp_matches(indicator, '{narrative.HYGIENE}') AND NOT regexp_matches(indicator, '{narrative.NOT_HYGIENE}') AS hygiene FROM told)"""], """
   SELECT repo, 'hardening' AS bucket, indicator FROM marked WHERE hardening
   UNION ALL SELECT repo, 'hygiene', indicator FROM marked WHERE hygiene
   UNION ALL SELECT repo, 'classification', indicator FROM marked WHERE NOT hardening AND NOT hygiene""",
@@ -483,7 +487,7 @@ def fingerprint(spark, sf_dir):
   SELECT *, row_number() OVER (PARTITION BY repo ORDER BY confidence DESC, file) AS position FROM risks QUALIFY position <= 10""",
     **AT, ml_prediction=S, confidence=D, position=B))
 def top_risks(spark, sf_dir):
-    return corpus_scan(spark, sf_dir).top_risks()
+    return corpus_scan(spark, sf_dir).top_risks(10)
 
 
 @register("result_caps", sql.query(PRIORITY, f"""
@@ -497,10 +501,11 @@ def top_risks(spark, sf_dir):
     (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY composite_score DESC, file) AS position FROM ({RANKED_BODY}))
     WHERE position <= 50""", part=S, **AT_LINE, position=B))
 def result_caps(spark, sf_dir):
-    found = corpus_scan(spark, sf_dir)
-    parts = {"findings": found.top_findings(), "prioritized_findings": found.top_prioritized(),
-             "entry_points": found.top_entry_points(), "attack_chains": found.top_chains(),
-             "ranked_files": found.top_files().withColumn("line", F.lit(0))}
+    found = corpus_scan(spark, sf_dir, "facts")
+    caps = R.RESULT_CAPS
+    parts = {"findings": found.top_findings(caps["findings"]), "prioritized_findings": found.top_prioritized(caps["prioritized_findings"]),
+             "entry_points": found.top_entry_points(caps["entry_points"]), "attack_chains": found.top_chains(caps["attack_chains"]),
+             "ranked_files": found.top_files(caps["ranked_files"]).withColumn("line", F.lit(0))}
     out = None
     for name, part in parts.items():
         rows = part.select(F.lit(name).alias("part"), "repo", "file", "line", "position")
@@ -522,12 +527,44 @@ _report_head = " UNION ALL ".join(
     (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY composite_score DESC, file) AS position FROM ({RANKED_BODY}))
     WHERE position <= 5""", repo=S, section=B, seq=B, text=S))
 def report_sections(spark, sf_dir):
-    return export.report_sections(corpus_scan(spark, sf_dir))
-
-
-@register("json_extract")
+    return export.report_sections(corpus_scan(spark, sf_dir, "facts"))
+
+
+@register("findings_csv", sql.query(PRIORITY, "SELECT repo, file, CAST(line AS VARCHAR) AS line, issue, severity, priority FROM prioritized",
+                                     repo=S, file=S, line=S, issue=S, severity=S, priority=S))
+def findings_csv(spark, sf_dir):
+    """The prioritised findings, written as CSV and read back."""
+    folder = f"{shared_folder(spark)}/findings-csv-{uuid.uuid4().hex}"
+    export.write_findings_csv(corpus_scan(spark, sf_dir, "facts").prioritized, folder)
+    try:
+        return durable(read_csv(spark, folder).select("repo", "file", "line", "issue", "severity", "priority"), "findings-csv")
+    finally:
+        remove(spark, [folder])
+
+
+# What each part's records are compared by, as JSON fields.
+_EXTRACTED = {"fingerprint": ("security_grade", "total_vulnerabilities", "attack_chains"), "security_grade": ("grade", "label"),
+              "attack_chains": ("attack_type", "source", "sink"), "prioritized_findings": ("issue", "severity", "priority", "priority_score"),
+              "stats": ("total_files", "total_lines", "comments", "classes")}
+
+
+@register("json_extract", sql.query([*REPO, GRADES, f"fingerprint AS ({FINGERPRINT_BODY})"], """
+  SELECT repo, 'fingerprint' AS part, NULL::VARCHAR AS file, NULL::BIGINT AS line,
+    concat_ws('|', security_grade, total_vulnerabilities, attack_chains) AS fields FROM fingerprint
+  UNION ALL SELECT repo, 'security_grade', NULL, NULL, concat_ws('|', security_grade, grade_label) FROM fingerprint
+  UNION ALL SELECT repo, 'attack_chains', file, line, concat_ws('|', attack_type, source, sink) FROM chains
+  UNION ALL SELECT repo, 'prioritized_findings', file, line, concat_ws('|', issue, severity, priority, priority_score) FROM prioritized
+  UNION ALL SELECT repo, 'stats', NULL, NULL, concat_ws('|', count(*), sum(total_lines), sum(comments), sum(classes))
+    FROM file_stats JOIN sizes USING (repo, file) GROUP BY repo""", **AT_LINE, part=S, fields=S))
 def json_extract(spark, sf_dir):
-    return export.json_extract(corpus_scan(spark, sf_dir))
+    """Every record, parsed again: nothing is capped."""
+    records = export.json_extract(corpus_scan(spark, sf_dir, "facts"))
+    fields = None
+    for part, names in _EXTRACTED.items():
+        value = F.concat_ws("|", *[F.get_json_object("record", f"$.{n}") for n in names])
+        fields = F.when(F.col("part") == part, value) if fields is None else fields.when(F.col("part") == part, value)
+    return records.select("repo", "part", F.get_json_object("record", "$.file").alias("file"),
+                          F.get_json_object("record", "$.line").cast("bigint").alias("line"), fields.alias("fields"))
 
 
 # --- texts ----------------------------------------------------------------------
@@ -741,4 +778,4 @@ def line_fix(spark, sf_dir):
   GROUP BY repo, file HAVING count(fixed_line) > 0""", **AT, fixed_lines=B, patched_content=S))
 def patched_files(spark, sf_dir):
     files = corpus.files(spark, sf_dir)
-    return patching.patched_files(files, _fixes(files))
+    return patching.patched_files(files)

@@ -56,14 +56,14 @@ _attack_rows = [(a, i, R.ATTACK_SEVERITY[a], prose.CHAIN_DESCRIPTIONS[a], prose.
 SQL_FINDINGS = f"""
 vulnerabilities AS (SELECT * FROM {sql_values(_vuln_rows, "v(vuln_id, issue, severity, description)")}),
 findings AS (
-  SELECT repo, file, line, issue, severity, left(code, {R.CODE_WIDTH}) AS matched_code, description, raw
+  SELECT repo, file, line, issue, severity, code AS matched_code, description, raw
   FROM (SELECT *, {first_match('code', R.VULNERABILITIES)} AS vuln_id FROM lines
         WHERE code <> '' AND NOT {starts('code', R.FINDING_COMMENTS)}) JOIN vulnerabilities USING (vuln_id))
 """
 SQL_ENTRIES = f"""
 entry_kinds AS (SELECT * FROM {sql_values(_entry_rows, "e(entry_id, type, name, severity)")}),
 entries AS (
-  SELECT repo, file, line, type, name, severity, left(code, {R.CODE_WIDTH}) AS matched_code
+  SELECT repo, file, line, type, name, severity, code AS matched_code
   FROM (SELECT *, {first_match('code', R.ENTRY_POINTS)} AS entry_id FROM lines
         WHERE code <> '' AND NOT {starts('code', R.FINDING_COMMENTS)}) JOIN entry_kinds USING (entry_id))
 """
@@ -76,7 +76,7 @@ SQL_CHAINS = f"""
 {SQL_FLOWS},
 attacks AS (SELECT * FROM {sql_values(_attack_rows, "a(attack_type, attack_rank, severity_label, description, alert_message)")}),
 chains AS (
-  SELECT k.repo, k.file, k.line, left(min(k.code), {R.CODE_WIDTH}) AS matched_code, source, sink, k.kind AS attack_type,
+  SELECT k.repo, k.file, k.line, min(k.code) AS matched_code, source, sink, k.kind AS attack_type,
          source_id, sink_id,
          CASE WHEN bool_or(s.line = k.line) THEN NULL ELSE min(s.line) END AS source_line
   FROM sinks k JOIN sources s

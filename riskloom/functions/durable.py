@@ -23,13 +23,23 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def durable(df: DataFrame, name: str) -> DataFrame:
+def durable(df: DataFrame, name: str, written: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet and read it back.
 
     Lineage is cut, lost executors cost nothing that is already written, and
-    later jobs prune columns and push filters into the files.
+    later jobs prune columns and push filters into the files.  The folder is added
+    to ``written``, for an owner that will ``remove`` it.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if written is not None:
+        written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stored tables, in whatever file system they are."""
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

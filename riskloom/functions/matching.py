@@ -8,12 +8,13 @@ per row.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from riskloom.functions.text import contains_any
-from riskloom.registry import ENTRY_POINTS, SINKS, SOURCES, TRIGGERS, VULNERABILITIES, Signature
+from riskloom.registry import DEFAULT, Registry, Signature
 
 WORD_CLASS = r"[\p{L}\p{N}_]"
 SPACE_CLASS = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -54,10 +55,29 @@ def folded_pattern(pattern: str) -> str:
     return java_pattern(re.sub(r"(?<!\\)\((?!\?)", "(?:", pattern.lower()))
 
 
-# One bit per trigger that a signature of a line registry needs.
-_LINE_TRIGGERS = {n: TRIGGERS[n] for n in TRIGGERS
-                  if any(n in s.needs for s in (*VULNERABILITIES, *ENTRY_POINTS, *SOURCES, *SINKS))}
-_TRIGGER_BIT = {name: 1 << i for i, name in enumerate(_LINE_TRIGGERS)}
+@lru_cache(maxsize=8)
+def _bits(signatures: tuple[Signature, ...]) -> dict[str, int]:
+    """One bit per trigger that a signature of a line registry needs."""
+    names = sorted({n for s in signatures for n in s.needs})
+    if len(names) > 63:
+        raise ValueError("signatures need more than 63 triggers")
+    return {name: 1 << i for i, name in enumerate(names)}
+
+
+def gate(registry: Registry = DEFAULT) -> tuple[str, ...] | None:
+    """Symbols and words of which a line has one before any signature can match; None when some signature needs none.
+
+    The given signatures are covered by ``GATE``.  Any other adds the literals of its rarest-looking trigger, the one with the
+    longest literals.
+    """
+    known = set(DEFAULT.line_signatures())
+    words = set(GATE) if any(s in known for s in registry.line_signatures()) else set()
+    for s in registry.line_signatures():
+        if s not in known:
+            if not s.needs:
+                return None
+            words.update(max((registry.triggers[n] for n in s.needs), key=lambda t: min(map(len, t))))
+    return tuple(sorted(words))
 
 
 def sql_text(value: str) -> str:
@@ -69,45 +89,56 @@ def _contains(column: str, words) -> str:
     return "(" + " OR ".join(f"contains({column}, {sql_text(w)})" for w in words) + ")"
 
 
-def may_match(folded: str = "folded") -> Column:
-    return F.expr(_contains(folded, GATE))
+def may_match_sql(folded: str = "folded", registry: Registry = DEFAULT) -> str:
+    words = gate(registry)
+    return "true" if words is None else _contains(folded, words) if words else "false"
+
+
+def may_match(folded: str = "folded", registry: Registry = DEFAULT) -> Column:
+    return F.expr(may_match_sql(folded, registry))
 
 
 # The registries become SQL text, which is one call to the JVM instead of one
 # per column operation.
 
-def triggers(folded: str = "folded") -> Column:
-    """BIGINT with one bit per trigger present in a folded line."""
-    parts = [f"CASE WHEN {_contains(folded, words)} THEN {_TRIGGER_BIT[name]}L ELSE 0L END"
-             for name, words in _LINE_TRIGGERS.items()]
-    return F.expr(" | ".join(parts))
+def triggers_sql(folded: str = "folded", registry: Registry = DEFAULT) -> str:
+    """SQL for a BIGINT with one bit per trigger present in a folded line."""
+    parts = [f"CASE WHEN {_contains(folded, registry.triggers[name])} THEN {bit}L ELSE 0L END"
+             for name, bit in _bits(registry.line_signatures()).items()]
+    return " | ".join(parts) or "0L"
+
+
+def triggers(folded: str = "folded", registry: Registry = DEFAULT) -> Column:
+    return F.expr(triggers_sql(folded, registry))
 
 
-def _match(signature: Signature, folded: str, trigger: str) -> str:
-    mask = sum(_TRIGGER_BIT[n] for n in signature.needs)
+def _match(signature: Signature, folded: str, trigger: str, registry: Registry) -> str:
+    mask = sum(_bits(registry.line_signatures())[n] for n in signature.needs)
     return f"({trigger} & {mask}L) = {mask}L AND rlike({folded}, {sql_text(folded_pattern(signature.pattern))})"
 
 
-def first_match(signatures: tuple[Signature, ...], folded: str = "folded", trigger: str = "trigger") -> str:
+def first_match(signatures: tuple[Signature, ...], folded: str = "folded", trigger: str = "trigger", registry: Registry = DEFAULT) -> str:
     """SQL for the position of the first matching signature, or null."""
-    whens = " ".join(f"WHEN {_match(s, folded, trigger)} THEN {i}" for i, s in enumerate(signatures))
-    return f"CASE {whens} END"
+    whens = " ".join(f"WHEN {_match(s, folded, trigger, registry)} THEN {i}" for i, s in enumerate(signatures))
+    return f"CASE {whens} END" if whens else "CAST(NULL AS INT)"
 
 
-def match_mask(signatures: tuple[Signature, ...], folded: str = "folded", trigger: str = "trigger") -> str:
+def match_mask(signatures: tuple[Signature, ...], folded: str = "folded", trigger: str = "trigger", registry: Registry = DEFAULT) -> str:
     """SQL for an INT with bit ``i`` set when signature ``i`` matches."""
-    return " | ".join(f"CASE WHEN {_match(s, folded, trigger)} THEN {1 << i} ELSE 0 END" for i, s in enumerate(signatures))
+    if len(signatures) > 31:
+        raise ValueError("at most 31 signatures fit a mask")
+    return " | ".join(f"CASE WHEN {_match(s, folded, trigger, registry)} THEN {1 << i} ELSE 0 END" for i, s in enumerate(signatures)) or "0"
 
 
-def text_mask(signatures: tuple[Signature, ...], folded: str = "folded") -> str:
+def text_mask(signatures: tuple[Signature, ...], folded: str = "folded", registry: Registry = DEFAULT) -> str:
     """Like ``match_mask`` for whole texts, which have no triggers of their own."""
     def found(s: Signature) -> str:
-        return " AND ".join([*(_contains(folded, TRIGGERS[n]) for n in s.needs),
+        return " AND ".join([*(_contains(folded, registry.triggers[n]) for n in s.needs),
                              f"rlike({folded}, {sql_text(folded_pattern(s.pattern))})"])
 
-    return " | ".join(f"CASE WHEN {found(s)} THEN {1 << i} ELSE 0 END" for i, s in enumerate(signatures))
+    return " | ".join(f"CASE WHEN {found(s)} THEN {1 << i} ELSE 0 END" for i, s in enumerate(signatures)) or "0"
 
 
 def lookup(index: Column, values: list[str]) -> Column:
     """``values[index]`` for a literal list, null when the index is null."""
-    return F.get(F.expr(f"array({', '.join(map(sql_text, values))})"), index)
+    return F.get(F.expr(f"array({', '.join(map(sql_text, values))})").cast("array<string>"), index)

@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 64
-HASH_BUCKETS = 4096
+from riskloom.functions.durable import durable
+
+ROWS_PER_BUCKET = 2048
+
 
+def salts(df: DataFrame) -> int:
+    """Parts of a group: as many as shuffle tasks have a square, so that parts and their merger are alike in size."""
+    return max(1, math.isqrt(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
-def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, position: str | None = None,
-                  spread_by: tuple[str, ...] = ()) -> DataFrame:
-    """The first ``k`` rows of every group under a total order.
 
-    Each group is first cut into ``SALTS`` parts that keep ``k`` rows each, so
-    the final sort sees at most ``SALTS * k`` rows of a group however large
-    the group is.  ``spread_by`` names columns that tell the rows of a group
-    apart (by default all columns).
+def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, position: str | None = None) -> DataFrame:
+    """The first ``k`` rows of every group under a total order; without keys, of all rows.
+
+    Rows are salted by the task that reads them, so a task passes on at most
+    ``k`` rows of a group; a salted part gets the rows of its share of the tasks,
+    and the final sort at most ``salts * k`` rows of a group however large it is.
     """
     rank = position or "_rank"
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*(spread_by or _hashable(df))), F.lit(SALTS)))
+    salted = df.withColumn("_salt", F.spark_partition_id() % F.lit(salts(df)))
     first = Window.partitionBy(*keys, "_salt").orderBy(*order)
     final = Window.partitionBy(*keys).orderBy(*order)
     out = (
@@ -30,20 +36,18 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, p
     return out if position else out.drop(rank)
 
 
-def _hashable(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if not f.dataType.typeName() == "map"]
-
-
 def hashed_position(df: DataFrame, groups: list[str], key: Column, name: str, total: str) -> DataFrame:
     """Exact 1-based position of each row within its group, in md5 order of a unique key.
 
-    Rows are bucketed by the leading hash digits.  Only bucket sizes (at most
-    ``HASH_BUCKETS`` per group) are summed up across a group; positions are
-    counted inside a bucket, whose size is even because the hash is.
-    ``groups`` must be few, such as class labels.
+    Rows are bucketed by leading hash digits, as many as keep a bucket near
+    ``ROWS_PER_BUCKET`` rows.  Only bucket sizes are summed up across a group;
+    positions are counted inside a bucket, whose size is even because the hash
+    is.  ``df`` is computed once and stored with its hash.  ``groups`` must be few,
+    such as class labels.  Spark may broadcast either side of the join by its size.
     """
-    hashed = df.withColumn("_hash", F.md5(key.cast("string").cast("binary")))
-    hashed = hashed.withColumn("_bucket", F.substring("_hash", 1, 3))
+    hashed = durable(df.withColumn("_hash", F.md5(key.cast("string").cast("binary"))), "hashed")
+    digits = max(1, math.ceil(math.log(max(1, hashed.count() / ROWS_PER_BUCKET), 16)))
+    hashed = hashed.withColumn("_bucket", F.substring("_hash", 1, digits))
     sizes = hashed.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
     ordered = Window.partitionBy(*groups).orderBy("_bucket")
     whole = Window.partitionBy(*groups)

@@ -50,7 +50,7 @@ def reach(facts: DataFrame) -> DataFrame:
     )
 
 
-def attack_chains(facts: DataFrame) -> DataFrame:
+def attack_chains(facts: DataFrame, registry: R.Registry = R.DEFAULT) -> DataFrame:
     """One row per (file, sink line, source, sink).
 
     A source on the sink's own line wins (``source_line`` is null), else the
@@ -58,7 +58,7 @@ def attack_chains(facts: DataFrame) -> DataFrame:
     """
     flows = facts.filter("src_mask <> 0 OR snk_mask <> 0").drop("vuln_id", "entry_id")
     earliest = F.expr("array(" + ", ".join(
-        f"min(CASE WHEN getbit(src_mask, {i}) = 1 THEN line END) OVER {_PRECEDING}" for i in range(len(R.SOURCES))) + ")")
+        f"min(CASE WHEN getbit(src_mask, {i}) = 1 THEN line END) OVER {_PRECEDING}" for i in range(len(registry.sources))) + ")")
     pairs = (
         _blocks(flows)
         .withColumn("earliest", earliest)
@@ -66,20 +66,20 @@ def attack_chains(facts: DataFrame) -> DataFrame:
         .select("repo", "file", "line", "code", "src_mask", "snk_mask", F.posexplode("earliest").alias("source_id", "before"))
         .withColumn("same_line", F.expr("getbit(src_mask, source_id) = 1"))
         .filter("same_line OR before IS NOT NULL")
-        .withColumn("sink_id", F.explode(F.sequence(F.lit(0), F.lit(len(R.SINKS) - 1))))
+        .withColumn("sink_id", F.explode(F.sequence(F.lit(0), F.lit(len(registry.sinks) - 1))))
         .filter("getbit(snk_mask, sink_id) = 1")
     )
     sink_id = F.col("sink_id")
-    attack = [s.kind for s in R.SINKS]
+    attack = [s.kind for s in registry.sinks]
     return pairs.select(
         "repo", "file", "line",
         F.col("code").alias("matched_code"),
-        matching.lookup(F.col("source_id"), [s.name for s in R.SOURCES]).alias("source"),
-        matching.lookup(sink_id, [s.name for s in R.SINKS]).alias("sink"),
+        matching.lookup(F.col("source_id"), [s.name for s in registry.sources]).alias("source"),
+        matching.lookup(sink_id, [s.name for s in registry.sinks]).alias("sink"),
         matching.lookup(sink_id, attack).alias("attack_type"),
-        matching.lookup(sink_id, [prose.CHAIN_DESCRIPTIONS[a] for a in attack]).alias("description"),
-        matching.lookup(sink_id, [prose.CHAIN_ALERTS[a] for a in attack]).alias("alert_message"),
-        matching.lookup(sink_id, [R.ATTACK_SEVERITY[a] for a in attack]).alias("severity_label"),
+        matching.lookup(sink_id, [prose.CHAIN_DESCRIPTIONS.get(a, a) for a in attack]).alias("description"),
+        matching.lookup(sink_id, [prose.CHAIN_ALERTS.get(a, a) for a in attack]).alias("alert_message"),
+        matching.lookup(sink_id, [R.ATTACK_SEVERITY.get(a, "High") for a in attack]).alias("severity_label"),
         F.when(~F.col("same_line"), F.col("before")).alias("source_line"),
         "source_id", "sink_id",
     )

@@ -63,7 +63,7 @@ SAMPLE_LANGUAGES = ("python", "javascript", "java", "php", "go", "ruby", "c", "c
                     "kotlin", "scala")
 VULNERABLE_WORDS = ("1", "True", "true", "vulnerable", "Vulnerable")
 SAFE_WORDS = ("0", "False", "false", "safe", "Safe", "clean")
-SAMPLE_WIDTH, SHORT_SAMPLE_WIDTH, MIN_SAMPLE = 2000, 1500, 5
+MIN_SAMPLE = 5
 
 
 def _key(label: Column) -> Column:
@@ -119,25 +119,30 @@ def or_high(label: Column) -> Column:
     return F.coalesce(label, F.lit(HIGH_RISK))
 
 
-def clean_code(code: Column) -> Column:
-    """Stripped sample with written-out newlines resolved, at most 1500 characters; null when unusable."""
+def cut(value: Column, width: int | None) -> Column:
+    """The whole value, or its first ``width`` characters where a width is asked for."""
+    return value if width is None else F.substring(value, 1, width)
+
+
+def clean_code(code: Column, width: int | None = None) -> Column:
+    """Stripped sample with written-out newlines resolved, cut only on request; null when unusable."""
     raw = text.strip(code)
     value = text.strip(F.replace(code, F.lit("\\n"), F.lit("\n")))
     usable = ~raw.isin("", "nan", "None") & (F.length(value) >= MIN_SAMPLE)
-    return F.when(usable, F.substring(value, 1, SHORT_SAMPLE_WIDTH))
+    return F.when(usable, cut(value, width))
 
 
-def plain_code(code: Column) -> Column:
-    """Stripped sample of at most 2000 characters; null when unusable."""
+def plain_code(code: Column, width: int | None = None) -> Column:
+    """Stripped sample, cut only on request; null when unusable."""
     value = text.strip(code)
     usable = (value != "nan") & (F.length(value) >= MIN_SAMPLE)
-    return F.when(usable, F.substring(value, 1, SAMPLE_WIDTH))
+    return F.when(usable, cut(value, width))
 
 
 def allowed_language(language: Column) -> Column:
-    """Known languages pass, and so does an empty one."""
+    """Known languages pass, and so does an empty one; a missing one does not."""
     key = _key(language)
-    return key.isNull() | (key == "") | key.isin(*SAMPLE_LANGUAGES)
+    return F.coalesce((key == "") | key.isin(*SAMPLE_LANGUAGES), F.lit(False))
 
 
 def first_filled(df: DataFrame, *names: str) -> Column:
@@ -172,8 +177,8 @@ def pairs_to_samples(pairs: DataFrame, vulnerable: Column, fixed: Column, label:
 
 
 def line_chunks(samples: DataFrame, content: str, keep: tuple[str, ...], size: int = 6, step: int = 4,
-                least: int = 10) -> DataFrame:
-    """Overlapping chunks of ``size`` lines every ``step`` lines of the stripped text."""
+                least: int = 10, width: int | None = None) -> DataFrame:
+    """Overlapping chunks of ``size`` lines every ``step`` lines of the stripped text; ``width`` cuts a chunk, which is whole by default."""
     stripped = text.strip(text.universal_newlines(F.col(content)))
 
     def chunk(start: Column) -> Column:
@@ -185,5 +190,5 @@ def line_chunks(samples: DataFrame, content: str, keep: tuple[str, ...], size: i
         .select(*keep, F.posexplode(F.transform(
             F.sequence(F.lit(0), F.greatest(F.size("all_lines") - 1, F.lit(0)), F.lit(step)), chunk)).alias("chunk", "code"))
         .filter(F.length("code") >= least)
-        .withColumn("code", F.substring("code", 1, SAMPLE_WIDTH))
+        .withColumn("code", cut(F.col("code"), width))
     )

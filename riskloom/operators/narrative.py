@@ -104,16 +104,16 @@ def ml_explanations(file_risks: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 # FIXED VALUES: words that sort a maturity indicator into a bucket.
-_HARDENING = "(?i)secure|validate|sanitize|hardened|header|CSP|SSL|TLS|HTTPS|middleware"
-_HYGIENE = "(?i)clean|unused|dead|unreachable|comment|imports|size|lines|vulnerability"
-_NOT_HYGIENE = "(?i)secure|validate|sanitize|hardened|header"
+HARDENING = "(?i)secure|validate|sanitize|hardened|header|CSP|SSL|TLS|HTTPS|middleware"
+HYGIENE = "(?i)clean|unused|dead|unreachable|comment|imports|size|lines|vulnerability"
+NOT_HYGIENE = "(?i)secure|validate|sanitize|hardened|header"
 
 
 def indicator_buckets(report: DataFrame) -> DataFrame:
     """``(repo, bucket, indicator)``; an indicator may fall into both named buckets."""
     told = F.col("indicator")
-    hardening = told.rlike(_HARDENING)
-    hygiene = told.rlike(_HYGIENE) & ~told.rlike(_NOT_HYGIENE)
+    hardening = told.rlike(HARDENING)
+    hygiene = told.rlike(HYGIENE) & ~told.rlike(NOT_HYGIENE)
     buckets = F.array_compact(F.array(
         F.when(hardening, F.lit("hardening")), F.when(hygiene, F.lit("hygiene")),
         F.when(~hardening & ~hygiene, F.lit("classification"))))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from riskloom import prose
 from riskloom import registry as R
-from riskloom.functions import text
+from riskloom.functions import matching, text
 from riskloom.functions.matching import java_pattern
 
 _FIX = prose.FIX_TEXT
@@ -87,26 +87,45 @@ def line_fixes(findings: DataFrame) -> DataFrame:
                            F.inline(F.array(fix)))
 
 
-def patched_files(files: DataFrame, fixes: DataFrame) -> DataFrame:
-    """``(repo, file, fixed_lines, patched_content)`` with every fixed line put in place.
+def _fixed_line(issue: Column, raw: Column) -> Column:
+    fix = None
+    for guard, fixed, _ in _rules(issue, raw):
+        fix = F.when(guard, fixed) if fix is None else fix.when(guard, fixed)
+    return fix
+
+
+def patched_files(files: DataFrame) -> DataFrame:
+    """``(repo, file, fixed_lines, patched_content)`` of the files with findings, every fixed line in place.
 
-    The fixes of one file (at most one per line) are gathered next to its
-    content, which is one row already; line terminators are kept.
+    Lines are searched and fixed inside the row of their file: contents are
+    neither shuffled nor joined.  Line terminators are kept.
     """
-    by_file = fixes.groupBy("repo", "file").agg(
-        F.map_from_entries(F.collect_list(F.struct("line", "fixed_line"))).alias("fixed"))
     content = text.universal_newlines(F.col("content"))
     # Cut before every line that follows a terminator, so that terminators stay with their lines.
     pieces = F.split(content, "(?<=" + text.LINE_BREAKS + ")")
     ending = "(?s)" + text.LINE_BREAKS + "?\\z"
 
-    def put(piece: Column, i: Column) -> Column:
-        new = F.try_element_at("fixed", i + 1)
-        return F.when(new.isNull(), piece).otherwise(F.concat(new, F.regexp_extract(piece, ending, 0)))
-
-    return (
-        files.select("repo", "file", content.alias("content"))
-        .join(by_file, ["repo", "file"])
-        .select("repo", "file", F.size("fixed").cast("bigint").alias("fixed_lines"),
-                F.array_join(F.transform(pieces, put), "").alias("patched_content"))
+    def read(piece: Column) -> Column:
+        raw = F.regexp_replace(piece, ending, "")
+        code = text.strip(raw)
+        searchable = (code != "") & ~text.starts_with_any(code, R.FINDING_COMMENTS)
+        return F.struct(raw.alias("raw"), F.substring(piece, F.length(raw) + 1, F.length(piece)).alias("ending"),
+                        F.when(searchable, matching.fold(code)).alias("folded"))
+
+    names = [s.name for s in R.VULNERABILITIES]
+    gate, triggers = matching.may_match_sql("x.folded"), matching.triggers_sql("x.folded")
+    staged = (
+        files.select("repo", "file", F.transform(pieces, read).alias("lines"))
+        .withColumn("lines", F.expr(f"transform(lines, x -> named_struct('raw', x.raw, 'ending', x.ending, 'folded', x.folded, "
+                                    f"'trigger', CASE WHEN {gate} THEN {triggers} END))"))
+        .withColumn("lines", F.expr(f"transform(lines, x -> named_struct('raw', x.raw, 'ending', x.ending, "
+                                    f"'vuln_id', CASE WHEN x.trigger IS NOT NULL THEN {matching.first_match(R.VULNERABILITIES, 'x.folded', 'x.trigger')} END))"))
+        .filter(F.exists("lines", lambda x: x["vuln_id"].isNotNull()))
     )
+
+    def put(x: Column) -> Column:
+        issue = matching.lookup(x["vuln_id"], names)
+        return F.concat(F.when(x["vuln_id"].isNull(), x["raw"]).otherwise(_fixed_line(issue, x["raw"])), x["ending"])
+
+    return staged.select("repo", "file", F.size(F.filter("lines", lambda x: x["vuln_id"].isNotNull())).cast("bigint").alias("fixed_lines"),
+                         F.array_join(F.transform("lines", put), "").alias("patched_content"))

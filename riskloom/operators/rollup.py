@@ -13,18 +13,18 @@ def _count(condition: Column, name: str) -> Column:
     return F.count_if(condition).alias(name)
 
 
-def _issues(wanted) -> Column:
+def _issues(wanted, registry: R.Registry) -> Column:
     """Test that ``vuln_id`` is one of the wanted vulnerability signatures."""
-    return F.coalesce(F.col("vuln_id").isin([i for i, s in enumerate(R.VULNERABILITIES) if wanted(s)]), F.lit(False))
+    return F.coalesce(F.col("vuln_id").isin([i for i, s in enumerate(registry.vulnerabilities) if wanted(s)]), F.lit(False))
 
 
-def _entries(wanted) -> Column:
-    return F.coalesce(F.col("entry_id").isin([i for i, s in enumerate(R.ENTRY_POINTS) if wanted(s)]), F.lit(False))
+def _entries(wanted, registry: R.Registry) -> Column:
+    return F.coalesce(F.col("entry_id").isin([i for i, s in enumerate(registry.entry_points) if wanted(s)]), F.lit(False))
 
 
-def _attacks(kind: str) -> Column:
+def _attacks(kind: str, registry: R.Registry) -> Column:
     """Chains of one attack type on a line: reaching sources times sinks of that type."""
-    sinks = F.lit(R.bits(R.SINKS, lambda s: s.kind == kind))
+    sinks = F.lit(R.bits(registry.sinks, lambda s: s.kind == kind))
     return F.sum(F.bit_count("reach_mask") * F.bit_count(F.col("snk_mask").bitwiseAND(sinks))).cast("bigint")
 
 
@@ -65,15 +65,15 @@ ENTRY_COUNTS = {
 COUNT_COLUMNS = (*FINDING_COUNTS, *ENTRY_COUNTS, *ATTACK_COLUMNS.values(), "chains")
 
 
-def count_by_file_key(reached: DataFrame) -> DataFrame:
+def count_by_file_key(reached: DataFrame, registry: R.Registry = R.DEFAULT) -> DataFrame:
     """``(repo, file_norm)`` with every count that later scores need, from ``chains.reach(facts)``.
 
     Rows are combined where they are before the shuffle; a file with very many
     matches costs one row per task.
     """
-    counts = [_count(_issues(w), n) for n, w in FINDING_COUNTS.items()]
-    counts += [_count(_entries(w), n) for n, w in ENTRY_COUNTS.items()]
-    counts += [_attacks(kind).alias(n) for kind, n in ATTACK_COLUMNS.items()]
+    counts = [_count(_issues(w, registry), n) for n, w in FINDING_COUNTS.items()]
+    counts += [_count(_entries(w, registry), n) for n, w in ENTRY_COUNTS.items()]
+    counts += [_attacks(kind, registry).alias(n) for kind, n in ATTACK_COLUMNS.items()]
     total = sum((F.col(n) for n in ATTACK_COLUMNS.values()), F.lit(0)).cast("bigint")
     return (
         reached.withColumn("file_norm", text.path_key(F.col("file")))

@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from riskloom.functions import text
 from riskloom.functions.ranking import hashed_position, top_per_group
 
-PER_SOURCE = 800
-PER_TYPE = 80
-ROW_LIMIT = 5000
+#: Larger than the distance of any two values of an order column after the first.
+SPAN = 1 << 62
 
 
 def merge(*sources: DataFrame) -> DataFrame:
@@ -27,20 +26,33 @@ def code_key(width: int | None = None) -> Column:
     return key if width is None else F.substring(key, 1, width)
 
 
+def _digest(key: Column) -> Column:
+    return F.coalesce(F.sha2(key.cast("binary"), 256), F.lit(""))
+
+
+def _packed(order: list[str]) -> Column:
+    """Whole numbers as one number that sorts the same way: fixed in width, so it can be hash-aggregated."""
+    out = F.lit(0).cast("decimal(38,0)")
+    for name in order:
+        out = out * F.lit(SPAN).cast("decimal(38,0)") + F.col(name).cast("decimal(38,0)")
+    return out.cast("decimal(38,0)")
+
+
 def keep_first(samples: DataFrame, order: list[str], width: int | None = None, keep_empty: bool = False) -> DataFrame:
     """One row per key, the first by ``order``.
 
-    A minimum per key is combined before the shuffle, so a sample with very
-    many copies costs one row per task instead of one huge group.
+    ``order`` names one or two whole-number columns that tell all rows apart.
+    Keys and order alone are aggregated, hashed and combined before the
+    shuffle, so a sample with very many copies costs one row per task; the rows
+    that won are then fetched by one join.
     """
+    if not 1 <= len(order) <= 2:
+        raise ValueError("order is one or two columns")
     key = code_key(width)
-    rest = [c for c in samples.columns if c not in order]
     rows = samples if keep_empty else samples.filter(key != "")
-    return (
-        rows.groupBy(F.sha2(key.cast("binary"), 256).alias("_key"))
-        .agg(F.min(F.struct(*order, *rest)).alias("_first"))
-        .select(*[F.col("_first")[c].alias(c) for c in samples.columns])
-    )
+    keyed = rows.withColumns({"_key": _digest(key), "_order": _packed(order)})
+    first = keyed.groupBy("_key").agg(F.min("_order").alias("_order"))
+    return keyed.join(first, ["_key", "_order"], "left_semi").drop("_key", "_order")
 
 
 def drop_incomplete(samples: DataFrame) -> DataFrame:
@@ -51,20 +63,20 @@ def drop_incomplete(samples: DataFrame) -> DataFrame:
     )
 
 
-def augment(existing: DataFrame, extra: DataFrame, order: list[str], width: int = 400) -> DataFrame:
-    """Existing rows as they are, plus the extra rows whose key does not occur among them."""
-    key = F.sha2(code_key(width).cast("binary"), 256)
+def augment(existing: DataFrame, extra: DataFrame, order: list[str], width: int | None = None) -> DataFrame:
+    """Existing rows as they are, plus the extra rows whose key (the whole code, or a prefix on request) does not occur among them."""
+    key = _digest(code_key(width))
     known = existing.select(key.alias("_key")).distinct()
     new = keep_first(extra, order, width, keep_empty=True).withColumn("_key", key)
     added = new.join(known, "_key", "left_anti").drop("_key")
     return existing.unionByName(added)
 
 
-def cap_per_source(samples: DataFrame, source: str, order: list[Column], cap: int = PER_SOURCE) -> DataFrame:
+def cap_per_source(samples: DataFrame, source: str, order: list[Column], cap: int) -> DataFrame:
     return top_per_group(samples, [source], order, cap)
 
 
-def stratified_sample(samples: DataFrame, kind: str, key: Column, per_kind: int = PER_TYPE, seed: str = "") -> DataFrame:
+def stratified_sample(samples: DataFrame, kind: str, key: Column, per_kind: int, seed: str = "") -> DataFrame:
     """At most ``per_kind`` rows of every kind, chosen by a seeded hash of a unique key."""
     drawn = F.md5(F.concat(F.lit(seed), key.cast("string")).cast("binary"))
     return (
@@ -72,9 +84,9 @@ def stratified_sample(samples: DataFrame, kind: str, key: Column, per_kind: int
     )
 
 
-def first_rows(samples: DataFrame, order: list[Column], n: int = ROW_LIMIT) -> DataFrame:
-    """The first ``n`` rows by a total order: every task keeps ``n``, then they are merged."""
-    return samples.orderBy(*order).limit(n)
+def first_rows(samples: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The first ``n`` rows by a total order: every task keeps ``n``, salted parts merge these, and one task merges the parts."""
+    return top_per_group(samples, [], order, n)
 
 
 def stratified_split(samples: DataFrame, key: Column, label: str = "label", test_share: float = 0.2) -> DataFrame:

@@ -179,30 +179,20 @@ def with_ml_adjustment(scored: DataFrame) -> DataFrame:
         .otherwise(R.SAFE)
     return scored.withColumn("project_ml_risk", risk).withColumn(
         "security_score",
-        F.greatest(F.col("base_score") - ml_points(F.col("project_ml_risk"), 20, 10), F.lit(0)))
-
-
-VIBE_FACTORS = ("High Severity Issues", "Hardcoded Secrets", "Attack Chains", "Insecure Shortcuts",
-                "Exposed Attack Surface")
+        F.greatest(F.col("base_score") - ml_points(F.col("project_ml_risk"), *R.ML_POINTS), F.lit(0)))
 
 
 def with_vibe_index(facts: DataFrame) -> DataFrame:
     """``vibe_score``, ``vibe_category`` and the points of the five factors."""
     shortcuts = sum((F.getbit("shortcut_mask", F.lit(i)) * s.weight for i, s in enumerate(R.SHORTCUTS)), F.lit(0))
-    points = (
-        F.least(F.col("high") * 7, F.lit(35)),
-        F.least(F.col("secrets") * 8, F.lit(20)),
-        F.least(F.col("chains") * 10, F.lit(25)),
-        F.least(shortcuts, F.lit(15)),
-        F.least(F.col("high_inputs"), F.lit(5)),
-    )
+    points = [F.least((shortcuts if name == "shortcuts" else F.col(name)) * each, F.lit(cap)) for name, (each, cap) in R.VIBE_POINTS.items()]
     names = ("pts_high", "pts_secrets", "pts_chains", "pts_shortcuts", "pts_surface")
     out = facts.withColumns({n: p.cast("int") for n, p in zip(names, points)})
     out = out.withColumn("vibe_score", F.least(F.greatest(sum(F.col(n) for n in names), F.lit(0)), F.lit(100)))
     return out.withColumns({
-        "vibe_category": F.when(F.col("vibe_score") <= 30, "Low Risk").when(F.col("vibe_score") <= 70, "Medium Risk")
-        .otherwise("High Risk"),
-        "vibe_breakdown": F.create_map(*[x for f, n in zip(VIBE_FACTORS, names) for x in (F.lit(f), F.col(n))]),
+        "vibe_category": F.when(F.col("vibe_score") <= R.VIBE_STEPS[0][0], R.VIBE_STEPS[0][1])
+        .when(F.col("vibe_score") <= R.VIBE_STEPS[1][0], R.VIBE_STEPS[1][1]).otherwise("High Risk"),
+        "vibe_breakdown": F.create_map(*[x for f, n in zip(R.VIBE_FACTORS, names) for x in (F.lit(f), F.col(n))]),
     })
 
 
@@ -211,29 +201,30 @@ def with_maturity(facts: DataFrame) -> DataFrame:
     high, medium, secrets = F.col("high"), F.col("medium"), F.col("secrets")
     sql, entries = F.col("sql_issues"), F.col("high_inputs")
     clean = (high == 0) & (medium == 0)
-    raw = (F.lit(100) - high * 15 - medium * 7 - secrets * 10 - sql * 8 - F.when(entries > 5, 10).otherwise(0))
-    value = F.greatest(F.when(clean, F.least(raw + 10, F.lit(100))).otherwise(raw), F.lit(0))
+    many_entries = entries > R.MATURITY_ENTRIES
+    raw = F.lit(100) - sum(F.col(n) * each for n, each in R.MATURITY_POINTS.items()) - F.when(many_entries, R.MATURITY_ENTRY_POINTS).otherwise(0)
+    value = F.greatest(F.when(clean, F.least(raw + R.MATURITY_CLEAN_BONUS, F.lit(100))).otherwise(raw), F.lit(0))
     messages = [
         F.when(high > 0, F.format_string("- %d findings of high severity", high)),
         F.when(medium > 0, F.format_string("- %d findings of medium severity", medium)),
         F.when(secrets > 0, F.format_string("- %d credentials written into the source", secrets)),
         F.when(sql > 0, F.lit("- queries are built from text instead of bound")),
-        F.when(entries > 5, F.format_string("- %d entry points of high severity", entries)),
+        F.when(many_entries, F.format_string("- %d entry points of high severity", entries)),
         F.when(F.col("comments") > 10, F.lit("+ comment lines are present")),
         F.when(F.col("functions") > 3, F.lit("+ code is split into functions")),
         F.when(clean, F.lit("+ no findings of high or medium severity")),
     ]
     return facts.withColumn("maturity_score", value).withColumns({
-        "maturity_level": text.steps(F.col("maturity_score"), ((75, "Advanced"), (45, "Intermediate")), "Beginner"),
+        "maturity_level": text.steps(F.col("maturity_score"), R.MATURITY_STEPS, "Beginner"),
         "indicators": F.array_compact(F.array(*messages)),
     })
 
 
 def with_grade(scored: DataFrame) -> DataFrame:
     """``grade``, ``grade_score``, ``grade_label``, ``grade_color`` and ``grade_explanation``."""
-    vibe = F.when(F.col("vibe_score") > 80, 15).when(F.col("vibe_score") > 60, 10).otherwise(0)
-    value = (F.col("security_score") - F.col("critical_priority") * 8 - F.col("high_priority") * 3
-             - F.col("chains") * 5 - vibe)
+    (most, most_points), (much, much_points) = R.GRADE_VIBE_STEPS
+    vibe = F.when(F.col("vibe_score") > most, most_points).when(F.col("vibe_score") > much, much_points).otherwise(0)
+    value = F.col("security_score") - sum(F.col(n) * each for n, each in R.GRADE_DEDUCTIONS.items()) - vibe
     out = scored.withColumn("grade_score", F.greatest(F.least(value, F.lit(100)), F.lit(0))) \
         .withColumn("grade", text.steps(F.col("grade_score"), R.GRADE_STEPS, "F"))
     texts = F.create_map(*[x for g, t in prose.GRADES.items() for x in (F.lit(g), F.array(*map(F.lit, t)))])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom import registry as R
-from riskloom.functions.durable import durable
+from riskloom.functions.durable import durable, remove
 from riskloom.functions.ranking import top_per_group
 from riskloom.operators import advice, chains, hits, narrative, rollup, scores
 from riskloom.operators import lines as line_ops
@@ -19,17 +19,34 @@ class Scan:
     """A scan; every result is a DataFrame derived from three tables.
 
     ``facts`` are the matching lines, ``profile`` one row per file, ``risks``
-    the classifier's row per file.  With ``store`` each of them is written to
-    the shared checkpoint folder when it is first used, so file contents are
-    read once per table however many results follow.
+    the classifier's row per file.  Results are lazy: nothing runs while one is
+    built, and a result computes only what it needs.  Tables named in ``store``
+    are written to the shared checkpoint folder when they are first used, so
+    that several results share one pass over the contents; ``close``, or the end
+    of a ``with`` block, deletes what was written.
     """
 
-    def __init__(self, facts: DataFrame, profile: DataFrame, risks: DataFrame, store: bool = False):
+    def __init__(self, facts: DataFrame, profile: DataFrame, risks: DataFrame, store: tuple[str, ...] = (),
+                 registry: R.Registry = R.DEFAULT):
         self._tables = {"facts": facts, "profile": profile, "risks": risks}
-        self._store = store
+        if unknown := set(store) - set(self._tables):
+            raise ValueError(f"no tables {sorted(unknown)}")
+        self._store, self._registry = store, registry
+        self._written: list[str] = []
 
     def _table(self, name: str) -> DataFrame:
-        return durable(self._tables[name], name) if self._store else self._tables[name]
+        return durable(self._tables[name], name, self._written) if name in self._store else self._tables[name]
+
+    def close(self) -> None:
+        """Delete the stored tables; results that read them can't be computed any more."""
+        remove(self._tables["facts"].sparkSession, self._written)
+        self._written.clear()
+
+    def __enter__(self) -> "Scan":
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
     @cached_property
     def facts(self) -> DataFrame:
@@ -49,15 +66,15 @@ class Scan:
 
     @cached_property
     def findings(self) -> DataFrame:
-        return hits.findings(self.facts)
+        return hits.findings(self.facts, registry=self._registry)
 
     @cached_property
     def entry_points(self) -> DataFrame:
-        return hits.entry_points(self.facts)
+        return hits.entry_points(self.facts, self._registry)
 
     @cached_property
     def chain_rows(self) -> DataFrame:
-        return chains.attack_chains(self.facts)
+        return chains.attack_chains(self.facts, self._registry)
 
     @cached_property
     def attack_chains(self) -> DataFrame:
@@ -65,7 +82,7 @@ class Scan:
 
     @cached_property
     def counts(self) -> DataFrame:
-        return rollup.count_by_file_key(chains.reach(self.facts))
+        return rollup.count_by_file_key(chains.reach(self.facts), self._registry)
 
     @cached_property
     def risk_by_key(self) -> DataFrame:
@@ -115,39 +132,41 @@ class Scan:
     def advice(self) -> DataFrame:
         return advice.issue_advice(self.findings)
 
-    def top_findings(self, n: int = R.RESULT_CAPS["findings"]) -> DataFrame:
-        return top_per_group(self.findings, ["repo"], [F.col("file"), F.col("line")], n, "position", ("file", "line"))
+    def top_findings(self, n: int) -> DataFrame:
+        return top_per_group(self.findings, ["repo"], [F.col("file"), F.col("line")], n, "position")
 
-    def top_prioritized(self, n: int = R.RESULT_CAPS["prioritized_findings"]) -> DataFrame:
-        return top_per_group(self.prioritized, ["repo"], scores.priority_order(), n, "position", ("file", "line"))
+    def top_prioritized(self, n: int) -> DataFrame:
+        return top_per_group(self.prioritized, ["repo"], scores.priority_order(), n, "position")
 
-    def top_entry_points(self, n: int = R.RESULT_CAPS["entry_points"]) -> DataFrame:
-        return top_per_group(self.entry_points, ["repo"], [F.col("file"), F.col("line")], n, "position", ("file", "line"))
+    def top_entry_points(self, n: int) -> DataFrame:
+        return top_per_group(self.entry_points, ["repo"], [F.col("file"), F.col("line")], n, "position")
 
-    def top_chains(self, n: int = R.RESULT_CAPS["attack_chains"]) -> DataFrame:
-        spread = ("file", "line", "source_id", "sink_id")
-        return top_per_group(self.chain_rows, ["repo"], chains.chain_order(), n, "position", spread) \
+    def top_chains(self, n: int) -> DataFrame:
+        return top_per_group(self.chain_rows, ["repo"], chains.chain_order(), n, "position") \
             .select(*chains.CHAIN_COLUMNS, "position")
 
-    def top_files(self, n: int = R.RESULT_CAPS["ranked_files"]) -> DataFrame:
-        return top_per_group(self.ranked, ["repo"], scores.file_order(), n, "position", ("file",))
+    def top_files(self, n: int) -> DataFrame:
+        return top_per_group(self.ranked, ["repo"], scores.file_order(), n, "position")
 
-    def top_risks(self, n: int = R.RESULT_CAPS["file_risks"]) -> DataFrame:
+    def top_risks(self, n: int) -> DataFrame:
         order = [F.col("confidence").desc(), F.col("file")]
-        return top_per_group(self.risks, ["repo"], order, n, "position", ("file",))
+        return top_per_group(self.risks, ["repo"], order, n, "position")
 
 
 def scan(files: DataFrame, model: train.RiskModel | None = None, file_risks: DataFrame | None = None,
-         store: bool = True) -> Scan:
+         store: tuple[str, ...] = (), code_width: int | None = None,
+         registry: R.Registry = R.DEFAULT) -> Scan:
     """Scan ``files(repo, file, content, size_bytes)``.
 
     File risks come from ``file_risks``, else from ``model``, else they are
     unknown.  All passes over the contents are narrow: nothing is shuffled
-    before the matching lines are known.
+    before the matching lines are known.  ``store`` names the tables to be
+    written when first used; ``code_width`` cuts the code kept with a match.
+    ``registry`` replaces the line signatures that are looked for; shortcuts and the scores keep their rules.
     """
-    facts = hits.line_facts(line_ops.lines(files))
+    facts = hits.line_facts(line_ops.lines(files), code_width=code_width, registry=registry)
     profile = line_ops.file_profile(files)
     if file_risks is None:
         file_risks = train.unknown_risks(files) if model is None else model.predict(files).select(
             "repo", "file", "ml_prediction", "confidence", "all_scores")
-    return Scan(facts, profile, file_risks, store)
+    return Scan(facts, profile, file_risks, store, registry)

@@ -20,11 +20,14 @@ from pyspark.sql import functions as F
 from riskloom.functions.durable import durable
 from riskloom.operators import features, samples
 
-INPUT_WIDTH = 8000          # characters of a file that are classified
+
+MAX_CLASSES = 100           # distinct labels that a classifier is trained for
 
 
 @dataclass(frozen=True)
 class Settings:
+    """Sizes, ranges, ``c`` and ``max_iter`` default to FIXED VALUES that give the expected model."""
+
     word_features: int = features.WORD_FEATURES
     word_range: tuple[int, int] = features.WORD_RANGE
     char_features: int = features.CHAR_FEATURES
@@ -43,6 +46,11 @@ class Vectorizer:
     word_idf: list[float]
     char_idf: list[float]
 
+    def narrowed(self, settings: Settings) -> "Vectorizer":
+        """The vectorizer of smaller vocabularies with the same n-gram ranges."""
+        w, c = settings.word_features, settings.char_features
+        return Vectorizer(settings, self.words[:w], self.chars[:c], self.word_idf[:w], self.char_idf[:c])
+
     def counts(self, df: DataFrame, code: Column) -> DataFrame:
         out = features.with_tokens(df, code)
         out = features.counted(out, features.word_ngrams(self.settings.word_range), self.words, "_word_counts")
@@ -73,12 +81,9 @@ def fit_vectorizer(data: DataFrame, settings: Settings = Settings(), code: str =
     """
     prepared = features.with_tokens(data.select(code), F.col(code))
 
-    def top(terms: Column, size: int) -> list[str]:
-        kept = features.vocabulary(features.term_counts(prepared, terms), size).select("term")
-        return [row.term for row in kept.collect()]      # at most ``size`` rows
-
-    words = top(features.word_ngrams(settings.word_range), settings.word_features)
-    chars = top(features.char_ngrams(settings.char_range), settings.char_features)
+    # at most as many rows as the settings allow
+    words = [r.term for r in features.word_vocabulary(prepared, settings.word_features, settings.word_range).collect()]
+    chars = [r.term for r in features.char_vocabulary(prepared, settings.char_features, settings.char_range).collect()]
     draft = Vectorizer(settings, words, chars, [], [])
     sums = Summarizer.metrics("numNonZeros", "count")
     row = draft.counts(data.select(code), F.col(code)).agg(
@@ -96,11 +101,15 @@ class RiskModel:
     labels: list[str]
     classifier: object
 
-    def predict(self, df: DataFrame, code: str = "content") -> DataFrame:
-        """Add ``ml_prediction``, ``confidence`` and ``all_scores`` (percent, one decimal)."""
+    def predict(self, df: DataFrame, code: str = "content", width: int | None = None) -> DataFrame:
+        """Add ``ml_prediction``, ``confidence`` and ``all_scores`` (percent, one decimal).
+
+        Texts are classified whole; ``width`` looks at their first characters only.
+        """
+        seen = F.col(code) if width is None else F.substring(code, 1, width)
         classifier = self.classifier.setFeaturesCol("features").setProbabilityCol("_probability") \
             .setPredictionCol("_prediction").setRawPredictionCol("_raw")
-        scored = classifier.transform(self.vectorizer.transform(df, F.substring(code, 1, INPUT_WIDTH)))
+        scored = classifier.transform(self.vectorizer.transform(df, seen))
         names = F.array(*map(F.lit, self.labels))
         percent = F.transform(vector_to_array("_probability"), lambda p: F.round(p * 100, 1))
         index = F.col("_prediction").cast("int")
@@ -154,8 +163,10 @@ def clean_training(data: DataFrame, order: list[str]) -> DataFrame:
 
 
 def _weighted(data: DataFrame, vectorizer: Vectorizer, label: str) -> tuple[DataFrame, list[str], int]:
-    counts = {r[label]: r["n"] for r in data.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
-    labels = sorted(counts)                              # class labels: a handful
+    counts = {r[label]: r["n"] for r in data.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()}
+    if len(counts) > MAX_CLASSES:
+        raise ValueError(f"{label} has more than {MAX_CLASSES} values: not a class label")
+    labels = sorted(counts)
     total = sum(counts.values())
     weight = F.create_map(*[x for name in labels for x in (F.lit(name), F.lit(total / (len(labels) * counts[name])))])
     index = F.create_map(*[x for i, name in enumerate(labels) for x in (F.lit(name), F.lit(float(i)))])
@@ -176,7 +187,8 @@ def _fit_classifier(rows: DataFrame, total: int, settings: Settings):
 
 
 def train(data: DataFrame, settings: Settings = Settings(), label: str = "label") -> RiskModel:
-    """Fit vectorizer and classifier on cleaned samples."""
+    """Fit vectorizer and classifier on cleaned samples, which are stored once: several passes read them."""
+    data = durable(data.select("code", label), "training")
     vectorizer = fit_vectorizer(data, settings)
     rows, labels, total = _weighted(data, vectorizer, label)
     rows = rows.persist()
@@ -219,27 +231,32 @@ GRID = {
 def tune(data: DataFrame, key: Column, grid: dict = GRID, folds: int = 5, max_iter: int = 5000) -> DataFrame:
     """Mean accuracy of every setting over the folds, best first.
 
-    Features depend on the vectorizer settings only: they are fitted once per
-    fold and shared by all values of ``c``.
+    A vocabulary is ordered by use, so the vocabularies of all sizes are prefixes of the largest: one vectorizer is
+    fitted for each fold and pair of n-gram ranges, and its features are shared by all values of ``c``.
     """
     dealt = durable(samples.stratified_folds(data, key, folds=folds), "folds")
     names = [n for n in grid if n != "c"]
-    results = []
-    for values in itertools.product(*[grid[n] for n in names]):
-        base = Settings(max_iter=max_iter, **dict(zip(names, values)))
-        scores: dict[float, list[float]] = {c: [] for c in grid["c"]}
-        for fold in range(folds):
-            kept, held = dealt.filter(F.col("fold") != fold), dealt.filter(F.col("fold") == fold)
-            vectorizer = fit_vectorizer(kept, base)
+    ranges = [n for n in names if n.endswith("_range")]
+    largest = {n: max(grid[n]) for n in names if n not in ranges}
+    scores: dict[tuple, list[float]] = {}
+    hit = (F.col("label") == F.col("ml_prediction")).cast("int")
+    for fold in range(folds):
+        kept, held = dealt.filter(F.col("fold") != fold), dealt.filter(F.col("fold") == fold)
+        fitted = {}
+        for values in itertools.product(*[grid[n] for n in names]):
+            chosen = dict(zip(names, values))
+            base = Settings(max_iter=max_iter, **chosen)
+            shape = tuple(chosen[n] for n in ranges)
+            if shape not in fitted:
+                fitted[shape] = fit_vectorizer(kept, replace(base, **largest))
+            vectorizer = fitted[shape].narrowed(base)
             rows, labels, total = _weighted(kept, vectorizer, "label")
             rows = rows.persist()
             for c in grid["c"]:
                 model = RiskModel(vectorizer, labels, _fit_classifier(rows, total, replace(base, c=c)))
-                hit = (F.col("label") == F.col("ml_prediction")).cast("int")
-                scores[c].append(model.predict(held, "code").agg(F.avg(hit)).first()[0])
+                scores.setdefault((values, c), []).append(model.predict(held, "code").agg(F.avg(hit)).first()[0])
             rows.unpersist()
-        for c, values_of_c in scores.items():
-            results.append((*map(str, values), float(c), sum(values_of_c) / len(values_of_c)))
+    results = [(*map(str, values), float(c), sum(found) / len(found)) for (values, c), found in scores.items()]
     schema = ", ".join(f"{n} string" for n in names) + ", c double, accuracy double"
     return data.sparkSession.createDataFrame(results, schema).orderBy(F.col("accuracy").desc(), *names, "c")
 

@@ -236,7 +236,8 @@ RECOMMENDATION_FALLBACK = (
     ("Look for a safer construct.", "Consult OWASP material.", "Ask for a second review."),
 )
 
-GRADES: dict[str, tuple[str, str, str]] = {   # label, colour, explanation
+# FIXED VALUES: label and colour; the explanation is our own.
+GRADES: dict[str, tuple[str, str, str]] = {
     "A": ("Excellent", "#10B981", "Little exposure and sound practice."),
     "B": ("Good", "#34D399", "Sound overall, with some minor points."),
     "C": ("Average", "#FBBF24", "Moderate weaknesses that should be planned in."),

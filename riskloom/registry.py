@@ -207,6 +207,26 @@ SHORTCUTS: tuple[Signature, ...] = (
 )
 
 # --- FIXED VALUES: scan limits and file rules ------------------------------
+class Registry(NamedTuple):
+    """The signatures that a scan looks for; replace any of them to look for others.
+
+    At most 31 sources and 31 sinks, since a line keeps them as bits.  ``triggers`` has the literals of every name
+    that a signature ``needs``; a signature that needs nothing is tried on every line.
+    """
+
+    vulnerabilities: tuple[Signature, ...] = VULNERABILITIES
+    entry_points: tuple[Signature, ...] = ENTRY_POINTS
+    sources: tuple[Signature, ...] = SOURCES
+    sinks: tuple[Signature, ...] = SINKS
+    shortcuts: tuple[Signature, ...] = SHORTCUTS
+    triggers: dict[str, tuple[str, ...]] = TRIGGERS
+
+    def line_signatures(self) -> tuple[Signature, ...]:
+        return (*self.vulnerabilities, *self.entry_points, *self.sources, *self.sinks)
+
+
+DEFAULT = Registry()
+
 SOURCE_WINDOW = 15                 # lines between a source and a later sink
 CODE_WIDTH = 120                   # characters of code kept with a match
 MAX_FILE_BYTES = 1024 * 1024
@@ -252,6 +272,18 @@ GRADE_STEPS = ((90, "A"), (75, "B"), (55, "C"), (35, "D"))
 HIGH_RISK, MEDIUM_RISK, SAFE = "High Risk", "Medium Risk", "Safe"
 
 # --- FIXED VALUES: how many rows a result bundle shows per repository ------
+# FIXED VALUES: points, caps and steps of the repository scores.
+VIBE_FACTORS = ("High Severity Issues", "Hardcoded Secrets", "Attack Chains", "Insecure Shortcuts",
+                "Exposed Attack Surface")
+VIBE_POINTS = {"high": (7, 35), "secrets": (8, 20), "chains": (10, 25), "shortcuts": (1, 15), "high_inputs": (1, 5)}     # points each, cap
+VIBE_STEPS = ((30, "Low Risk"), (70, "Medium Risk"))        # up to and including; above, High Risk
+MATURITY_POINTS = {"high": 15, "medium": 7, "secrets": 10, "sql_issues": 8}
+MATURITY_ENTRIES, MATURITY_ENTRY_POINTS, MATURITY_CLEAN_BONUS = 5, 10, 10
+MATURITY_STEPS = ((75, "Advanced"), (45, "Intermediate"))   # else Beginner
+GRADE_DEDUCTIONS = {"critical_priority": 8, "high_priority": 3, "chains": 5}
+GRADE_VIBE_STEPS = ((80, 15), (60, 10))                     # above this vibe score, so many points
+ML_POINTS = (20, 10)                                        # off the base score for High and Medium Risk
+
 RESULT_CAPS = {"findings": 200, "prioritized_findings": 200, "entry_points": 100,
                "attack_chains": 50, "ranked_files": 50, "file_risks": 10}
 

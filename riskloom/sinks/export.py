@@ -5,14 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.operators import chains
 from riskloom.plans.scan import Scan
 
 REPORT_FIELDS = ("security_grade", "grade_label", "risk_score", "total_files", "total_vulnerabilities",
                  "attack_chains", "critical_count")
 
 
-def result_bundle(scan: Scan) -> dict[str, DataFrame]:
-    """The parts of a scan result, with the usual row caps per repository."""
+def _capped(caps: dict[str, int] | None, name: str, whole, top) -> DataFrame:
+    return top(caps[name]) if caps and name in caps else whole()
+
+
+def result_bundle(scan: Scan, caps: dict[str, int] | None = None) -> dict[str, DataFrame]:
+    """The parts of a scan result, whole.
+
+    ``caps`` names lists and the rows of them that a repository keeps at most, such as ``registry.RESULT_CAPS``; a
+    capped list has a ``position``.
+    """
     severity = scan.repo_facts.select("repo", "high", "medium", "low")
     report = scan.report
     return {
@@ -22,13 +31,13 @@ def result_bundle(scan: Scan) -> dict[str, DataFrame]:
                                    F.col("vibe_breakdown").alias("breakdown")),
         "maturity": report.select("repo", F.col("maturity_level").alias("level"), F.col("maturity_score").alias("score"),
                                   "indicators"),
-        "findings": scan.top_findings(),
-        "prioritized_findings": scan.top_prioritized(),
-        "entry_points": scan.top_entry_points(),
+        "findings": _capped(caps, "findings", lambda: scan.findings, scan.top_findings),
+        "prioritized_findings": _capped(caps, "prioritized_findings", lambda: scan.prioritized, scan.top_prioritized),
+        "entry_points": _capped(caps, "entry_points", lambda: scan.entry_points, scan.top_entry_points),
         "attack_surface": scan.attack_surface,
-        "attack_chains": scan.top_chains(),
-        "file_risks": scan.top_risks(),
-        "ranked_files": scan.top_files(),
+        "attack_chains": _capped(caps, "attack_chains", lambda: scan.chain_rows.select(*chains.CHAIN_COLUMNS), scan.top_chains),
+        "file_risks": _capped(caps, "file_risks", lambda: scan.risks, scan.top_risks),
+        "ranked_files": _capped(caps, "ranked_files", lambda: scan.ranked, scan.top_files),
         "severity_counts": severity,
         "security_grade": report.select("repo", "grade", "grade_score", F.col("grade_label").alias("label"),
                                         F.col("grade_color").alias("color"), F.col("grade_explanation").alias("explanation")),
@@ -40,13 +49,13 @@ def result_bundle(scan: Scan) -> dict[str, DataFrame]:
     }
 
 
-def write_bundle(scan: Scan, folder: str) -> list[str]:
+def write_bundle(scan: Scan, folder: str, caps: dict[str, int] | None = None) -> list[str]:
     """One Parquet table per part, clustered by repository so that readers of one repository skip the rest.
 
     Repositories may be many, hence no directory per repository.  A failed
-    write can be repeated.
+    write can be repeated.  Nothing is left out unless ``caps`` says so.
     """
-    parts = result_bundle(scan)
+    parts = result_bundle(scan, caps)
     for name, part in parts.items():
         part.repartitionByRange("repo").sortWithinPartitions("repo") \
             .write.mode("overwrite").parquet(f"{folder}/{name}")
@@ -65,14 +74,16 @@ def write_training_csv(samples: DataFrame, path: str) -> None:
     samples.select("code", "label").write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"')
 
 
-def json_extract(scan: Scan) -> DataFrame:
-    """``(repo, part, record)``: fingerprint, grade, stats, chains and prioritised findings as JSON.
+EXTRACT = ("fingerprint", "security_grade", "attack_chains", "prioritized_findings", "stats")
+
+
+def json_extract(scan: Scan, caps: dict[str, int] | None = None) -> DataFrame:
+    """``(repo, part, position, record)``: fingerprint, grade, chains, prioritised findings and stats as JSON, whole unless capped.
 
-    The two lists have one JSON record per row instead of one array per
-    repository, so no repository is gathered in one place; they are capped as
-    in the result bundle.
+    The two lists have one record per row instead of one array per repository, so no repository is gathered in one
+    place.  ``position`` counts a capped list and is 1 elsewhere.
     """
-    bundle = result_bundle(scan)
+    bundle = result_bundle(scan, caps)
 
     def records(part: str) -> DataFrame:
         rows = bundle[part]
@@ -80,19 +91,31 @@ def json_extract(scan: Scan) -> DataFrame:
         position = F.col("position") if "position" in rows.columns else F.lit(1)
         return rows.select("repo", F.lit(part).alias("part"), position.alias("position"), F.to_json(F.struct(*body)).alias("record"))
 
-    out = records("fingerprint")
-    for part in ("security_grade", "attack_chains", "prioritized_findings", "stats"):
+    out = records(EXTRACT[0])
+    for part in EXTRACT[1:]:
         out = out.unionByName(records(part))
     return out
 
 
-def write_json(scan: Scan, path: str) -> None:
-    """One JSON object per repository: capped lists are gathered per repository (at most 250 small records)."""
-    per_part = (
-        json_extract(scan).groupBy("repo", "part")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "record"))), lambda r: r["record"]).alias("records"))
-    )
-    per_part.write.mode("overwrite").json(path)
+def write_json_lines(scan: Scan, path: str, caps: dict[str, int] | None = None) -> None:
+    """The extract as JSON lines, one record each: any number of records in a repository."""
+    json_extract(scan, caps).write.mode("overwrite").json(path)
+
+
+def write_json(scan: Scan, path: str, caps: dict[str, int]) -> None:
+    """One JSON object with the five parts for each repository.
+
+    An object is one row, so both lists must be capped; ``write_json_lines`` writes them whole.
+    """
+    if missing := {"attack_chains", "prioritized_findings"} - set(caps):
+        raise ValueError(f"give caps for {sorted(missing)}")
+    record = F.struct("position", "record")
+    lists = json_extract(scan, caps).groupBy("repo").pivot("part", list(EXTRACT)).agg(
+        F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(record)), lambda r: r["record"]), ","), F.lit("]")))
+    whole = F.concat(F.lit("{"), F.concat_ws(",", F.concat(F.lit('"repo":'), F.regexp_extract(F.to_json(F.struct("repo")), r"^\{\"repo\":(.*)\}$", 1)), *[
+        F.concat(F.lit(f'"{part}":'), F.coalesce(F.col(part), F.lit("[]")) if part in ("attack_chains", "prioritized_findings")
+                 else F.regexp_replace(part, r"^\[|\]$", "")) for part in EXTRACT]), F.lit("}"))
+    lists.select(whole.alias("value")).write.mode("overwrite").text(path)
 
 
 def report_sections(scan: Scan) -> DataFrame:

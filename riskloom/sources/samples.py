@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,7 +12,7 @@ from pyspark.sql import types as T
 from riskloom.operators import labels, samples
 from riskloom.registry import HIGH_RISK
 
-TRAINING_SCHEMA = "code string, label string"
+# FIXED VALUES: parts of column names that tell code and label columns.
 CODE_PARTS = ("code", "snippet", "source", "func", "function")
 LABEL_PARTS = ("label", "vuln", "cwe", "type", "class", "target", "vul")
 FIX_PAIR_COLUMNS = ("CVE_ID", "vuln_type", "language", "vulnerable_code", "patched_code")
@@ -24,26 +27,93 @@ def _csv(spark: SparkSession, **options):
     return spark.read.options(header=True, multiLine=True, quote='"', escape='"', maxCharsPerColumn=_TEXT_LIMIT, **options)
 
 
+def _headers(spark: SparkSession, path: str, suffix: str) -> list[tuple[tuple[str, ...], list[str]]]:
+    """The files below ``path`` grouped by their header line; one job finds the first line of every file."""
+    lines = spark.read.option("pathGlobFilter", suffix).text(path)
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    heads = lines.select("value", F.col("_metadata.file_path").alias("path"), at.alias("at")).filter("at.block = 0") \
+        .groupBy("path").agg(F.min_by("value", "at").alias("head"))
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for row in heads.orderBy("path").collect():         # one line for each file
+        header = tuple(next(csv.reader([row["head"].removeprefix("\ufeff")]), ()))
+        if header:
+            groups.setdefault(header, []).append(row["path"])
+    return list(groups.items())
+
+
+def read_csv_groups(spark: SparkSession, path: str, columns: tuple[str, ...] | None = None, suffix: str = "*.csv") -> list[DataFrame]:
+    """A third-party file or directory: one table for each header that occurs, all columns as text, with ``origin`` (the file).
+
+    Every file is read with its own header.  Rows with too few fields are kept, padded with nulls; rows with too many are
+    dropped.  ``columns`` selects those that exist; Spark then parses only these.
+    """
+    out = []
+    for header, files in _headers(spark, path, suffix):
+        names = _unique(header)
+        fields = [T.StructField(n, T.StringType()) for n in names]
+        raw = _csv(spark, mode="PERMISSIVE", enforceSchema=True) \
+            .schema(T.StructType([*fields, T.StructField(_MORE, T.StringType())])).csv(files)
+        kept = [n for n in names if columns is None or n in columns]
+        out.append(raw.filter(F.col(_MORE).isNull()).select(*[_named(n) for n in kept], F.col("_metadata.file_path").alias("origin")))
+    return out
+
+
+_MORE = "_one_field_too_many"
+
+
+def _unique(header: tuple[str, ...]) -> list[str]:
+    """Column names of a header; repeated and empty ones get a number, as two columns can't share a name."""
+    seen: dict[str, int] = {}
+    out = []
+    for i, name in enumerate(header):
+        name = name.strip() or f"column {i}"
+        n = seen[name.lower()] = seen.get(name.lower(), -1) + 1
+        out.append(f"{name}.{n}" if n else name)
+    return out
+
+
 def read_training_csv(spark: SparkSession, path: str) -> DataFrame:
-    """``(code, label)``, stripped, without incomplete rows."""
-    return samples.drop_incomplete(_csv(spark).schema(TRAINING_SCHEMA).csv(path))
+    """``(code, label)`` by header name, whatever the order of columns, stripped, without incomplete rows."""
+    parts = read_csv_groups(spark, path, ("code", "label"))
+    if not parts or any(not {"code", "label"} <= set(p.columns) for p in parts):
+        raise ValueError("a training file has the columns code and label")
+    return samples.drop_incomplete(reduce(DataFrame.unionByName, [p.select("code", "label") for p in parts]))
 
 
 def read_csv(spark: SparkSession, path: str, columns: tuple[str, ...] | None = None, suffix: str = "*.csv") -> DataFrame:
-    """A third-party file or directory of files, all columns as text, malformed rows dropped.
+    """All tables of ``read_csv_groups`` by column name; a column that a file lacks is null there."""
+    parts = read_csv_groups(spark, path, columns, suffix)
+    if not parts:
+        raise ValueError(f"no file with a header at {path}")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def read_samples(spark: SparkSession, path: str, reader, suffix: str = "*.csv") -> DataFrame:
+    """A directory of files with different headers: ``reader`` (such as ``discovered_samples``) finds its columns in each.
 
-    ``columns`` selects those that exist; Spark then parses only these.  Rows
-    carry ``origin`` (the file), the order in which files are concatenated.
+    Files in which it finds no code column are skipped; without any other file that is an error.
     """
-    raw = _csv(spark, mode="DROPMALFORMED", pathGlobFilter=suffix).csv(path)
-    kept = [c for c in raw.columns if columns is None or c in columns]
-    return raw.select(*kept, F.col("_metadata.file_path").alias("origin"))
+    parts, reasons = [], []
+    for table in read_csv_groups(spark, path, None, suffix):
+        try:
+            parts.append(reader(table))
+        except ValueError as reason:
+            reasons.append(str(reason))
+    if not parts:
+        raise ValueError(f"no usable file at {path}: {reasons}")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def read_json(spark: SparkSession, path: str, suffix: str = "*.json") -> DataFrame:
-    """An array of objects, or one object, per file; all fields as text."""
-    raw = spark.read.options(multiLine=True, pathGlobFilter=suffix, primitivesAsString=True).json(path)
-    return raw.select("*", F.col("_metadata.file_path").alias("origin"))
+    """An array of objects, or one object, per file; all fields as text, in the order in which the records name them."""
+    files = spark.read.options(pathGlobFilter=suffix, wholetext=True).text(path).select("value", F.col("_metadata.file_path").alias("origin"))
+    objects = files.select("origin", F.explode(F.when(F.ltrim("value").startswith("["), F.from_json("value", "array<string>"))
+                                               .otherwise(F.array("value"))).alias("record"))
+    keyed = objects.select("origin", F.posexplode(F.json_object_keys("record")).alias("at", "key"))
+    order = keyed.groupBy("key").agg(F.min("at").alias("at"), F.min("origin").alias("first")).orderBy("at", "first", "key")
+    names = [r.key for r in order.collect()]        # the names of fields, not their values
+    parsed = objects.select("origin", F.from_json("record", T.StructType([T.StructField(n, T.StringType()) for n in names])).alias("r"))
+    return parsed.select(*[F.col("r")[n].alias(n) for n in names], "origin")
 
 
 def _text_columns(df: DataFrame) -> list[str]:
@@ -125,17 +195,16 @@ def weakness_records(df: DataFrame) -> DataFrame:
     return labels.pairs_to_samples(df, _long(code), _long(safe), label, distinct_fix=False).drop("part")
 
 
-def labelled_files(files: DataFrame, categories: DataFrame, key: str = "file") -> DataFrame:
-    """Chunks of files that carry the label of their file; files without a label are dropped.
+def labelled_files(files: DataFrame) -> DataFrame:
+    """Chunks of ``files(repo, file, content, label)`` that carry the label of their file; files without a label are dropped.
 
-    ``categories`` is joined by file name and broadcast only when Spark finds it small.
+    ``read_tree(categories=...)`` puts the label on the listing, so contents are never joined.
     """
-    labelled = files.join(categories.select(key, "label"), key)
-    return labels.line_chunks(labelled, "content", (key, "label"))
+    return labels.line_chunks(files.filter("label IS NOT NULL"), "content", ("repo", "file", "label"))
 
 
 def _long(code: Column) -> Column:
-    return F.when(F.length(code) >= labels.MIN_SAMPLE, F.substring(code, 1, labels.SAMPLE_WIDTH))
+    return F.when(F.length(code) >= labels.MIN_SAMPLE, code)
 
 
 def _plain(name: str | None) -> Column:

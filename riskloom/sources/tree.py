@@ -18,6 +18,7 @@ from riskloom.functions.durable import durable
 from riskloom.functions.ranking import top_per_group
 
 DIRECTORIES_PER_TASK = 64
+ENTRIES_PER_BATCH = 4096
 BYTES_PER_TASK = 128 * 1024 * 1024
 BYTES_PER_BATCH = 16 * 1024 * 1024
 
@@ -31,7 +32,7 @@ def has_scanned_extension(path: Column) -> Column:
     return text.extension(path).isin(*R.SCANNED_EXTENSIONS)
 
 
-def fits_size(size: Column, limit: int = R.MAX_FILE_BYTES) -> Column:
+def fits_size(size: Column, limit: int) -> Column:
     return size <= limit
 
 
@@ -42,14 +43,30 @@ def decode(content: Column) -> Column:
 
 def cap_files(listing: DataFrame, max_files: int) -> DataFrame:
     """The first ``max_files`` files of every repository by name."""
-    return top_per_group(listing, ["repo"], [F.col("file")], max_files, spread_by=("file",))
+    return top_per_group(listing, ["repo"], [F.col("file")], max_files)
 
 
-def scannable(listing: DataFrame, max_bytes: int = R.MAX_FILE_BYTES) -> DataFrame:
-    """Directory, extension and size rules on a listing."""
+def skip_reason(max_bytes: int | None = None) -> Column:
+    """Why a listed file is not scanned; null when it is.  Sizes matter only when a limit is given."""
     name = F.col("file")
-    return listing.filter(fits_size(F.col("size_bytes"), max_bytes) & has_scanned_extension(name)
-                          & ~in_skipped_directory(name))
+    reason = F.when(in_skipped_directory(name), "directory").when(~has_scanned_extension(name), "extension")
+    return reason if max_bytes is None else reason.when(~fits_size(F.col("size_bytes"), max_bytes), "size")
+
+
+def scannable(listing: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Directory and extension rules on a listing, and a size rule where a limit is given."""
+    return listing.filter(skip_reason(max_bytes).isNull())
+
+
+def skipped_files(listing: DataFrame, max_bytes: int | None = None, max_files: int | None = None) -> DataFrame:
+    """``(repo, file, size_bytes, reason)`` of the listed files that ``read_tree`` leaves out under the same limits."""
+    judged = listing.withColumn("reason", skip_reason(max_bytes))
+    out = judged.filter("reason IS NOT NULL")
+    if max_files is not None:
+        wanted = judged.filter("reason IS NULL")
+        kept = cap_files(wanted.select("repo", "file"), max_files)
+        out = out.unionByName(wanted.join(kept, ["repo", "file"], "left_anti").withColumn("reason", F.lit("cap")))
+    return out.select("repo", "file", "size_bytes", "reason")
 
 
 def _list_directories(root: str):
@@ -62,9 +79,17 @@ def _list_directories(root: str):
 
         system, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
         local = isinstance(system, fs.LocalFileSystem)
+        def rows(paths, folders, sizes):
+            return pa.RecordBatch.from_arrays(
+                [pa.array(paths, pa.string()), pa.array(folders, pa.bool_()), pa.array(sizes, pa.int64())],
+                names=["path", "is_folder", "size_bytes"])
+
         for batch in batches:
             paths, folders, sizes = [], [], []
             for directory in batch.column("path").to_pylist():
+                if len(paths) >= ENTRIES_PER_BATCH:
+                    yield rows(paths, folders, sizes)
+                    paths, folders, sizes = [], [], []
                 try:
                     entries = system.get_file_info(fs.FileSelector(f"{base}/{directory}".rstrip("/")))
                 except OSError:
@@ -76,9 +101,7 @@ def _list_directories(root: str):
                     paths.append(f"{directory}/{entry.base_name}".lstrip("/"))
                     folders.append(is_folder)
                     sizes.append(entry.size or 0)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(paths, pa.string()), pa.array(folders, pa.bool_()), pa.array(sizes, pa.int64())],
-                names=["path", "is_folder", "size_bytes"])
+            yield rows(paths, folders, sizes)
     return run
 
 
@@ -149,18 +172,23 @@ def list_tree(spark: SparkSession, root: str, repo: str | None = None) -> DataFr
 
 
 def read_tree(spark: SparkSession, root: str, repo: str | None = None, max_files: int | None = None,
-              max_bytes: int = R.MAX_FILE_BYTES) -> DataFrame:
+              max_bytes: int | None = None, categories: DataFrame | None = None) -> DataFrame:
     """``files(repo, file, content, size_bytes)`` of all scannable files.
 
-    All rules, and the optional cap ``max_files`` per repository, are applied
-    to the listing before any content is read.  Files are spread over tasks by
+    All rules, and the optional limits ``max_files`` per repository and
+    ``max_bytes`` per file, are applied to the listing before any content is
+    read; ``skipped_files`` tells what they leave out.  ``categories(repo,
+    file, label)`` adds a label to the listing, so no content is ever joined.  Files are spread over tasks by
     a hash of their path, about ``BYTES_PER_TASK`` each.
     """
     wanted = scannable(list_tree(spark, root, repo), max_bytes)
     if max_files is not None:
         wanted = wanted.join(cap_files(wanted.select("repo", "file"), max_files), ["repo", "file"], "left_semi")
+    extra = []
+    if categories is not None:
+        wanted, extra = wanted.join(categories.select("repo", "file", "label"), ["repo", "file"], "left"), ["label"]
     total = wanted.agg(F.coalesce(F.sum("size_bytes"), F.lit(0))).first()[0]
     tasks = max(spark.sparkContext.defaultParallelism, -(-total // BYTES_PER_TASK))
     read = wanted.repartition(tasks, "path").mapInArrow(
-        _read_files(_clean(root)), "repo string, file string, size_bytes bigint, path string, bytes binary")
-    return read.select("repo", "file", decode(F.col("bytes")).alias("content"), "size_bytes")
+        _read_files(_clean(root)), "repo string, file string, size_bytes bigint, path string, " + "label string, " * len(extra) + "bytes binary")
+    return read.select("repo", "file", decode(F.col("bytes")).alias("content"), "size_bytes", *extra)

@@ -1,7 +1,10 @@
 import json
+from pathlib import Path
 
 import pytest
 
+from riskloom import registry as R
+from riskloom.functions.durable import durable
 from riskloom.plans.scan import scan
 from riskloom.sinks import export
 
@@ -15,7 +18,7 @@ def result(spark):
 
 
 def test_bundle_caps_per_repository(result):
-    bundle = export.result_bundle(result)
+    bundle = export.result_bundle(result, R.RESULT_CAPS)
     counts = {name: {r.repo: r["count"] for r in part.groupBy("repo").count().collect()} for name, part in bundle.items()
               if name in ("findings", "prioritized_findings", "entry_points", "attack_chains", "ranked_files", "file_risks")}
     assert counts == {
@@ -28,7 +31,10 @@ def test_bundle_caps_per_repository(result):
 
 def test_bundle_on_disk(spark, result, tmp_path):
     names = export.write_bundle(result, str(tmp_path))
-    assert spark.read.parquet(f"{tmp_path}/findings").count() == 201 and len(names) == 18
+    assert spark.read.parquet(f"{tmp_path}/findings").count() == 241 and len(names) == 18
+    assert spark.read.parquet(f"{tmp_path}/attack_chains").count() == result.chain_rows.count() > 50
+    export.write_bundle(result, str(tmp_path), {"findings": 7})
+    assert spark.read.parquet(f"{tmp_path}/findings").count() == 8
     assert spark.read.parquet(f"{tmp_path}/fingerprint").count() == 2
 
 
@@ -41,11 +47,32 @@ def test_csv(spark, result, tmp_path):
 
 
 def test_json(result, tmp_path):
-    export.write_json(result, str(tmp_path / "json"))
-    rows = [json.loads(line) for f in (tmp_path / "json").glob("*.json") for line in f.read_text().splitlines()]
-    part = next(r for r in rows if r["repo"] == "r" and r["part"] == "attack_chains")
-    assert len(part["records"]) == 50 and json.loads(part["records"][0])["file"] == "f000.py"
-    assert {r["part"] for r in rows if r["repo"] == "s"} == {"fingerprint", "security_grade", "prioritized_findings", "stats"}
+    export.write_json(result, str(tmp_path / "json"), R.RESULT_CAPS)
+    rows = {r["repo"]: r for f in (tmp_path / "json").glob("*.txt") for r in map(json.loads, f.read_text().splitlines())}
+    assert set(rows) == {"r", "s"} and all(set(r) == {"repo", *export.EXTRACT} for r in rows.values())
+    assert len(rows["r"]["attack_chains"]) == 50 and rows["r"]["attack_chains"][0]["file"] == "f000.py"
+    assert rows["s"]["attack_chains"] == [] and rows["s"]["fingerprint"]["total_files"] == 1
+    with pytest.raises(ValueError):
+        export.write_json(result, str(tmp_path / "none"), {})
+    export.write_json_lines(result, str(tmp_path / "lines"))
+    records = [json.loads(line) for f in (tmp_path / "lines").glob("*.json") for line in f.read_text().splitlines()]
+    assert sum(r["part"] == "prioritized_findings" for r in records) == 241
+
+
+def test_lazy_unless_stored(spark, tmp_path, monkeypatch):
+    from riskloom.plans import scan as plan
+    written = []
+    monkeypatch.setattr(plan, "durable", lambda df, name, paths: written.append(name) or durable(df, name, paths))
+    df = spark.createDataFrame([("r", "a.py", "q = request.args\neval(q)\n", 20)], "repo string, file string, content string, size_bytes bigint")
+    lazy = scan(df)
+    assert lazy.report.count() == 1 and lazy.attack_surface.count() == 1 and written == []
+    with scan(df, store=("facts",)) as stored:
+        assert stored.prioritized.count() == 1 and stored.fingerprint.count() == 1
+        assert written == ["facts"] and Path(stored._written[0].removeprefix("file:")).exists()
+        path = stored._written[0].removeprefix("file:")
+    assert not Path(path).exists()
+    with pytest.raises(ValueError):
+        scan(df, store=("fact",))
 
 
 def test_report_sections(result):

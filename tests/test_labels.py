@@ -39,12 +39,12 @@ def test_dispatch(spark):
 
 def test_cleaners(spark):
     assert apply(spark, labels.clean_code, " a\\nbcd ", "nan", "None", "", "abcd", "x" * 1600, None) == \
-        ["a\nbcd", None, None, None, None, "x" * 1500, None]
-    assert apply(spark, labels.plain_code, " abcde ", "nan", "abcd", "x" * 2100, "None!") == ["abcde", None, None, "x" * 2000, "None!"]
+        ["a\nbcd", None, None, None, None, "x" * 1600, None]
+    assert apply(spark, labels.plain_code, " abcde ", "nan", "abcd", "x" * 2100, "None!") == ["abcde", None, None, "x" * 2100, "None!"]
 
 
 def test_languages(spark):
-    assert apply(spark, labels.allowed_language, " Python ", "", None, "cobol", "C++") == [True, True, True, False, True]
+    assert apply(spark, labels.allowed_language, " Python ", "", None, "cobol", "C++") == [True, True, False, False, True]
 
 
 def test_column_discovery():
@@ -114,3 +114,45 @@ def test_unlabelled(spark):
     assert readers.discovered_samples(df).count() == 0
     with pytest.raises(ValueError):
         readers.typed_samples(df.withColumnRenamed("code", "body"))
+
+
+def test_every_file_is_read_with_its_own_header(spark, csv, tmp_path):
+    csv("a.csv", "code,label\nfoo(1) one,sqli\n")
+    csv("b.csv", "label,code\nsafe,foo(2) two\n")
+    csv("c.csv", "id,snippet,target\n7,foo(3) three,1\n8,foo(9) nine\n")
+    csv("d.csv", "code,label,extra\nfoo(4) four,csrf,x\nfoo(5) five,csrf,x,too many\nfoo(6) six\n")
+    csv("e.csv", "name,size\nno code here,3\n")
+    table = readers.read_csv(spark, str(tmp_path))
+    assert set(table.columns) == {"code", "label", "id", "snippet", "target", "extra", "name", "size", "origin"}
+    rows = {(r.code, r.label, r.id, r.snippet, r.target, r.extra) for r in table.filter("name IS NULL").collect()}
+    assert rows == {("foo(1) one", "sqli", None, None, None, None), ("foo(2) two", "safe", None, None, None, None), (None, None, "7", "foo(3) three", "1", None),
+                    (None, None, "8", "foo(9) nine", None, None), ("foo(4) four", "csrf", None, None, None, "x"), ("foo(6) six", None, None, None, None, None)}
+    got = {tuple(r) for r in readers.read_samples(spark, str(tmp_path), readers.discovered_samples).collect()}
+    assert got == {("foo(1) one", H), ("foo(2) two", S), ("foo(3) three", H), ("foo(4) four", M)}
+    with pytest.raises(ValueError):
+        readers.read_samples(spark, str(tmp_path), readers.discovered_samples, "e.csv")
+
+
+def test_training_csv_by_name(spark, csv):
+    path = csv("t.csv", "label,code\nSafe,x = 1\n")
+    assert [tuple(r) for r in readers.read_training_csv(spark, path).collect()] == [("x = 1", "Safe")]
+    with pytest.raises(ValueError):
+        readers.read_training_csv(spark, csv("u.csv", "text,label\na,b\n"))
+
+
+def test_json_fields_keep_their_order(spark, csv, tmp_path):
+    csv("a.json", '[{"target": "1", "snippet": "run(x) now", "a_code_id": 77777}]')
+    table = readers.read_json(spark, str(tmp_path))
+    assert table.columns == ["target", "snippet", "a_code_id", "origin"]
+    assert [tuple(r) for r in readers.discovered_samples(table).collect()] == [("run(x) now", H)]
+
+
+def test_missing_language_is_not_allowed(spark):
+    df = spark.createDataFrame([(None,), ("",), ("Go",), ("perl",)], "language string")
+    assert [r.language for r in df.filter(labels.allowed_language(F.col("language"))).collect()] == ["", "Go"]
+
+
+def test_nothing_is_cut_unless_asked(spark):
+    df = spark.createDataFrame([("x" * 5000,)], "code string")
+    row = df.select(labels.clean_code(F.col("code")).alias("a"), labels.plain_code(F.col("code")).alias("b"), labels.plain_code(F.col("code"), 2000).alias("c")).first()
+    assert (len(row.a), len(row.b), len(row.c)) == (5000, 5000, 2000)

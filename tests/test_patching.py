@@ -1,7 +1,7 @@
 import pytest
 
 from riskloom import prose
-from riskloom.operators import hits, lines, patching
+from riskloom.operators import patching
 
 X = prose.FIX_TEXT
 CASES = [
@@ -44,7 +44,9 @@ def test_fix(fixed, i):
 def test_files_are_put_together_again(files):
     content = "a = 1\r\n  x = eval(b)\n\n\x0cpickle.loads(c)\n"
     df = files(("r", "a.py", content), ("r", "b.py", "clean\n"))
-    fixes = patching.line_fixes(hits.findings(hits.line_facts(lines.lines(df), carry=("raw",)), carry=("raw",)))
-    rows = patching.patched_files(df, fixes).collect()
+    patched = patching.patched_files(df)
+    rows = patched.collect()
+    plan = patched._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
     assert [(r.file, r.fixed_lines, r.patched_content) for r in rows] == \
         [("a.py", 2, "a = 1\n  x = ast.literal_eval(b)\n\n\x0cjson.loads(c)\n")]

@@ -29,7 +29,7 @@ def test_prefix_width(rows):
 
 def test_copies_are_combined_before_the_shuffle(spark, rows):
     plan = samples.keep_first(rows(("a", "H")), ["row_id"])._jdf.queryExecution().executedPlan().toString()
-    assert "partial_min" in plan and "Window" not in plan
+    assert "partial_min" in plan and "HashAggregate" in plan and "SortAggregate" not in plan and "Window" not in plan
 
 
 def test_earlier_source_wins(rows):
@@ -38,6 +38,23 @@ def test_earlier_source_wins(rows):
     assert got == {"a": "old", "b": "new"}
 
 
+def test_two_order_columns_and_missing_code(spark):
+    df = spark.createDataFrame([(1, -5, "a"), (1, -9, "a"), (0, 2 ** 60, "a"), (0, 7, None), (1, 3, None)], "rank int, row_id long, code string")
+    got = {(r.rank, r.row_id) for r in samples.keep_first(df, ["rank", "row_id"], keep_empty=True).collect()}
+    assert got == {(0, 2 ** 60), (0, 7)}
+
+
+def test_whole_code_tells_samples_apart_unless_a_width_is_given(rows):
+    existing, extra = rows(("x" * 500, "H")), rows(("x" * 500 + "y", "S"))
+    assert samples.augment(existing, extra, ["row_id"]).count() == 2
+    assert samples.augment(existing, extra, ["row_id"], 400).count() == 1
+
+
+def test_a_task_passes_on_few_rows_of_a_group(spark):
+    plan = top_per_group(spark.range(0, 9000, 1, 9).withColumn("g", F.lit(1)), ["g"], [F.col("id")], 5)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
 def test_augment_keeps_existing_copies(rows):
     existing = rows(("a", "H"), ("a", "H"))
     extra = rows((" a", "S"), ("c", "S"), ("c ", "S"))
@@ -75,9 +92,9 @@ def test_split_and_folds_are_stratified(spark):
 
 def test_caps_and_distribution(spark):
     df = spark.range(900).select(F.lit("s").alias("source"), "id", F.when(F.col("id") < 300, "a").otherwise("b").alias("label"))
-    assert {r.id for r in samples.cap_per_source(df, "source", [F.col("id")]).collect()} == set(range(800))
-    assert samples.stratified_sample(df, "label", F.col("id")).groupBy("label").count().filter("count = 80").count() == 2
-    assert samples.stratified_sample(df, "label", F.col("id"), seed="x").count() == 160
+    assert {r.id for r in samples.cap_per_source(df, "source", [F.col("id")], 800).collect()} == set(range(800))
+    assert samples.stratified_sample(df, "label", F.col("id"), 80).groupBy("label").count().filter("count = 80").count() == 2
+    assert samples.stratified_sample(df, "label", F.col("id"), 80, seed="x").count() == 160
     assert [r.id for r in samples.first_rows(df, [F.col("id")], 3).collect()] == [0, 1, 2]
     assert {r.label: (r.samples, r.percent) for r in samples.label_distribution(df).collect()} == {"a": (300, 33.3), "b": (600, 66.7)}
     assert samples.top_kinds(df, "label", 1).first().label == "b" and samples.class_count(df).first().classes == 2

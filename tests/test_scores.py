@@ -90,4 +90,4 @@ def test_advice_falls_back(spark, scanned):
 
 
 def test_without_classifier_risks_are_unknown(files):
-    assert scan(files(("r", "a.py", "x")), store=False).risks.first().ml_prediction == "Unknown"
+    assert scan(files(("r", "a.py", "x"))).risks.first().ml_prediction == "Unknown"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from catalog.corpus import SNIPPETS
 from riskloom import prose
 from riskloom import registry as R
+from riskloom.plans.scan import scan
 from riskloom.functions import matching
 from riskloom.operators import hits, lines
 
@@ -118,6 +119,31 @@ def test_comment_rules_differ(spark, files):
     assert got == {3: (None, True, True), 4: (0, True, True), 5: (0, True, True)}
 
 
-def test_code_is_cut_after_120_characters(spark, files):
-    row = hits.findings(hits.line_facts(lines.lines(files(("r", "a.py", "  eval(" + "x" * 300))))).first()
-    assert row.matched_code == ("eval(" + "x" * 300)[:120]
+def test_code_is_whole_unless_a_width_is_given(spark, files):
+    table = lines.lines(files(("r", "a.py", "  eval(" + "x" * 300)))
+    assert hits.findings(hits.line_facts(table)).first().matched_code == "eval(" + "x" * 300
+    assert hits.findings(hits.line_facts(table, code_width=120)).first().matched_code == ("eval(" + "x" * 300)[:120]
+
+
+def test_severity_of_every_line(spark, files):
+    table = lines.lines(files(("r", "a.py", "eval(x)\n\nplain\n# eval(x)\nrequests.get(u, verify=False)")))
+    found = {r.line: r.severity for r in hits.findings(hits.line_facts(table)).collect()}
+    assert {r.line: r.severity for r in hits.line_severity(table).collect()} == {n: found.get(n) for n in range(1, 6)}
+    assert "Join" not in hits.line_severity(table)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_own_signatures(spark, files):
+    own = R.Signature("Own rule", r"zonk\s+\d+", (), "High")
+    quick = R.Signature("Quick rule", r"frobnicate\(x", ("frob",), "Low")
+    registry = R.Registry(vulnerabilities=(*R.VULNERABILITIES, own, quick), triggers={**R.TRIGGERS, "frob": ("frobnicate",)})
+    table = lines.lines(files(("r", "a.py", "zonk 12 plain words\nfrobnicate(x)\neval(q)\nnothing here")))
+    rows = hits.findings(hits.line_facts(table, registry=registry), registry=registry).collect()
+    assert {(r.line, r.issue, r.severity) for r in rows} == {(1, "Own rule", "High"), (2, "Quick rule", "Low"), (3, "Dangerous Execution (eval)", "High")}
+    only = R.Registry(vulnerabilities=(quick,), entry_points=(), sources=(), sinks=(), triggers={"frob": ("frobnicate",)})
+    assert matching.gate(only) == ("frobnicate",) and matching.gate(registry) is None and set(matching.gate()) == set(matching.GATE)
+    assert {r.issue for r in hits.findings(hits.line_facts(table, registry=only), registry=only).collect()} == {"Quick rule"}
+    assert {r.issue for r in scan(table_files(spark), registry=only).prioritized.collect()} == {"Quick rule"}
+
+
+def table_files(spark):
+    return spark.createDataFrame([("r", "a.py", "frobnicate(x)\neval(q)", 20)], "repo string, file string, content string, size_bytes bigint")
