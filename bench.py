@@ -16,7 +16,7 @@ from catalog.session import session  # noqa: E402
 HEADLINE = (
     "lines", "file_stats", "findings", "entry_points", "chains", "vibe_presence", "priority_top200", "ranked_files",
     "fingerprint", "context", "line_fix", "patched_files", "dedupe_exact", "training_clean", "line_chunks",
-    "stratified_split", "word_vocab", "char_vocab",
+    "stratified_split", "word_vocab", "char_vocab", "idf", "tfidf_features",
 )
 
 

@@ -426,12 +426,12 @@ def _vocab_sql(table: str, size: int) -> str:
 
 @register("word_vocab", sql.query([SQL_WORDS], _vocab_sql("words", 4000), term=S, uses=B))
 def word_vocab(spark, sf_dir):
-    return features.word_vocabulary(_texts(spark, sf_dir), features.WORD_FEATURES)
+    return features.vocabulary(features.term_counts(_texts(spark, sf_dir), features.word_ngrams()), features.WORD_FEATURES)
 
 
 @register("char_vocab", sql.query([SQL_CHARS], _vocab_sql("grams", 2000), term=S, uses=B))
 def char_vocab(spark, sf_dir):
-    return features.char_vocabulary(_texts(spark, sf_dir), features.CHAR_FEATURES)
+    return features.vocabulary(features.term_counts(_texts(spark, sf_dir), features.char_ngrams()), features.CHAR_FEATURES)
 
 
 def _idf_sql(table: str, size: int) -> str:
@@ -445,7 +445,7 @@ def _idf_sql(table: str, size: int) -> str:
 def idf(spark, sf_dir):
     texts = _texts(spark, sf_dir)
     terms = features.word_ngrams()
-    vocab = features.word_vocabulary(texts, features.WORD_FEATURES)
+    vocab = features.vocabulary(features.term_counts(texts, terms), features.WORD_FEATURES)
     return features.inverse_document_frequency(texts, terms, vocab).withColumn("idf", F.round("idf", 6))
 
 

@@ -10,7 +10,6 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.durable import durable
 from riskloom.functions.matching import SPACE_CLASS, WORD_CLASS
 
 WORD_FEATURES, CHAR_FEATURES = 4000, 2000
@@ -105,73 +104,6 @@ def vocabulary(counts: DataFrame, size: int) -> DataFrame:
     return counts.orderBy(F.col("uses").desc(), "term").limit(size)
 
 
-def _floor(counts: DataFrame, size: int) -> int:
-    """How often a term is used that is certain of a place among the ``size`` most used ones; 0 while there are fewer."""
-    place = counts.orderBy(F.col("uses").desc()).limit(size).agg(F.count(F.lit(1)).alias("n"), F.min("uses").alias("least")).first()
-    return place["least"] if place["n"] >= size else 0
-
-
-def _reaching(counts: DataFrame, floor: int, size: int) -> list[str] | None:
-    """The terms used at least ``floor`` times; None when they are too many to be worth listing."""
-    kept = counts.filter(F.col("uses") >= floor).select("term").limit(4 * size + 1)
-    terms = [r.term for r in kept.collect()]
-    return terms if len(terms) <= 4 * size else None
-
-
-def word_vocabulary(samples: DataFrame, size: int, sizes: tuple[int, int] = WORD_RANGE) -> DataFrame:
-    """The ``size`` most used word n-grams.
-
-    A run of words is used no more often than any of its words.  So single words are counted first, and only
-    runs are counted whose words all reach the use of the last single word that has a place: the result is exact.
-    """
-    if sizes[0] != 1 or sizes[1] == 1:
-        return vocabulary(term_counts(samples, word_ngrams(sizes)), size)
-    single = durable(term_counts(samples, F.col("_tokens")), "word-counts")
-    floor = _floor(single, size)
-    frequent = _reaching(single, floor, size) if floor >= 2 else None
-    if frequent is None:
-        return vocabulary(term_counts(samples, word_ngrams(sizes)), size)
-    known = F.transform("_tokens", lambda t: F.when(t.isin(frequent), t))
-
-    def runs(n: int) -> Column:
-        # null as soon as one of the words is
-        joined = F.transform(F.sequence(F.lit(0), F.size("_known") - n), lambda i: F.concat(*[
-            x for k in range(n) for x in ((F.lit(" "),) if k else ()) + (F.get("_known", i + k),)]))
-        return F.when(F.size("_known") >= n, F.array_compact(joined)).otherwise(F.array().cast("array<string>"))
-
-    marked = samples.select(F.inline(F.array(F.struct(known.alias("_known")))))
-    longer = term_counts(marked, F.concat(*[runs(n) for n in range(2, sizes[1] + 1)]))
-    return vocabulary(single.unionByName(longer), size)
-
-
-def char_vocabulary(samples: DataFrame, size: int, sizes: tuple[int, int] = CHAR_RANGE) -> DataFrame:
-    """The ``size`` most used character n-grams, exact, by the same rule: windows of up to three characters are counted first,
-    longer ones only where all their windows of three reach the floor."""
-    if sizes[0] > 3 or sizes[1] <= 3:
-        return vocabulary(term_counts(samples, char_ngrams(sizes)), size)
-    short = durable(term_counts(samples, char_ngrams((sizes[0], 3))), "char-counts")
-    floor = _floor(short, size)
-    frequent = _reaching(short.filter(F.length("term") == 3), floor, size) if floor >= 2 else None
-    if frequent is None:
-        return vocabulary(term_counts(samples, char_ngrams(sizes)), size)
-    words = F.filter(F.split(F.lower("_code"), f"{SPACE_CLASS}+"), lambda w: w != "")
-    padded = F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
-
-    def marks(word: Column) -> Column:
-        """Which windows of three reach the floor."""
-        return F.struct(word.alias("word"), F.transform(F.sequence(F.lit(1), F.length(word) - 2), lambda i: F.substring(word, i, F.lit(3)).isin(frequent)).alias("ok"))
-
-    def longer(x: Column) -> Column:
-        def cut(n: int) -> Column:
-            starts = F.sequence(F.lit(1), F.length(x["word"]) - (n - 1))
-            kept = F.filter(starts, lambda i: F.forall(F.slice(x["ok"], i, F.lit(n - 2)), lambda ok: ok))
-            return F.when(F.length(x["word"]) >= n, F.transform(kept, lambda i: F.substring(x["word"], i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-        return F.concat(*[cut(n) for n in range(4, sizes[1] + 1)])
-
-    marked = samples.select(F.inline(F.array(F.struct(F.transform(padded, marks).alias("_marked")))))
-    return vocabulary(short.unionByName(term_counts(marked, F.flatten(F.transform("_marked", longer)))), size)
-
-
 def inverse_document_frequency(samples: DataFrame, terms: Column, vocab: DataFrame) -> DataFrame:
     """``(term, documents, idf)`` with idf = ln((1 + samples) / (1 + documents)) + 1.
 
