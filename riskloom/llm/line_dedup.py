@@ -1,4 +1,4 @@
-"""Line dedup by pairwise alignment: documents that share rare lines are aligned, and common blocks go from the later one."""
+"""Line dedup by pairwise alignment: documents that share enough adjacent lines are aligned, and common blocks go from the later one."""
 
 from __future__ import annotations
 
@@ -11,12 +11,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh3_128_digest, xxh64_intdigest
 
 from riskloom.functions.durable import durable
 from riskloom.llm.common import SLICE, fresh, slices, utf8
 
-RARE = 8                # a line in at most this many different texts is rare
+RARE = 8                # a window in at most this many shapes is rare: all its pairs are aligned at once
+CELL = 16               # holders of a frequent window that are tried together, about
+CELLS = 4               # cells tried in the first round; each round goes up to GROWTH times as many
+GROWTH = 16
 MIN_WORDS = 5           # words of an aligned block that is deleted
 SPACE = b" \t\n\r\x0b\x0c"
 
@@ -120,6 +123,59 @@ def _lined(batches):
         yield pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["doc_id", "seq", "hashes", "words"])
 
 
+def windows(rows: list[tuple[int, int, int]], min_words: int) -> tuple[list[tuple[int, int, int]], list[int]]:
+    """Windows ``(key, start, end)`` of a text's shared lines, and the places in runs of at least ``min_words`` words.
+
+    ``rows`` has (place, line, words), ascending.  A window is a run of adjacent places that has ``min_words`` words and would
+    not have them without its first, or without its last line.  A block that two texts share is covered by windows that they
+    share, so texts without a common window have no block in common, and lines outside common windows can't go.
+    """
+    found: dict[tuple[int, int], None] = {}
+    full: list[int] = []
+    first = 0
+    while first < len(rows):
+        last = first
+        while last + 1 < len(rows) and rows[last + 1][0] == rows[last][0] + 1:
+            last += 1
+        if sum(x[2] for x in rows[first:last + 1]) >= min_words:
+            full += [x[0] for x in rows[first:last + 1]]
+            words, end = 0, first
+            for start in range(first, last + 1):
+                while end <= last and (words < min_words or end == start):
+                    words, end = words + rows[end][2], end + 1
+                if words < min_words:
+                    break
+                found[start, end - 1] = None
+                words -= rows[start][2]
+            words, start = 0, first
+            for end in range(first, last + 1):
+                words += rows[end][2]
+                while start < end and words - rows[start][2] >= min_words:
+                    words, start = words - rows[start][2], start + 1
+                if words >= min_words:
+                    found[start, end] = None
+        first = last + 1
+    hashes = np.array([x[1] for x in rows], dtype=np.int64)
+    keys = [rows[s][1] if s == e else int(np.uint64(xxh64_intdigest(hashes[s:e + 1].tobytes())).view(np.int64)) for s, e in found]
+    return [(k, rows[s][0], rows[e][0]) for k, (s, e) in zip(keys, found)], full
+
+
+def _shaped(batches, min_words):
+    names = ["seq", "first", "shape", "full", "keys", "starts", "ends"]
+    kinds = (pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
+    for batch in slices(batches):
+        out = []
+        for seq, first, lines in zip(*(batch.column(c).to_pylist() for c in ("seq", "first", "lines"))):
+            rows = sorted((x["at"], x["hash"], x["n"]) for x in lines)
+            found, full = windows(rows, min_words)
+            if found:
+                at = np.array([x[0] for x in rows])
+                shape = xxh3_128_digest(np.array([x[1] for x in rows], dtype=np.int64).tobytes() + (np.diff(at) == 1).tobytes())
+                out.append((seq, first, shape, full, *(list(x) for x in zip(*found))))
+        columns = list(zip(*out)) or [()] * len(kinds)
+        yield pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
+
+
 def _aligned(batches, min_words):
     for batch in slices(batches):
         seqs, gone = [], []
@@ -131,44 +187,85 @@ def _aligned(batches, min_words):
         yield pa.record_batch([pa.array(seqs, pa.binary()), pa.array(gone, pa.list_(pa.int32()))], names=["seq", "gone"])
 
 
-def _is_before(a: str, b: str) -> Column:
+def _order(prefix: str = "") -> Column:
     """Texts are ordered by their smallest doc_id, those without one last, then by their lines' hash."""
-    return F.struct(F.col(f"{a}first").isNull(), F.col(f"{a}first"), F.col(f"{a}seq")) < F.struct(F.col(f"{b}first").isNull(), F.col(f"{b}first"), F.col(f"{b}seq"))
+    return F.struct(F.col(f"{prefix}first").isNull().alias("nameless"), F.col(f"{prefix}first").alias("first"), F.col(f"{prefix}seq").alias("seq"))
 
 
-def candidate_pairs(shared: DataFrame) -> DataFrame:
-    """``(seq, earlier)``: texts to be aligned, from the lines that several texts share.
+def candidate_pairs(held: DataFrame) -> DataFrame:
+    """``(seq, earlier)``: texts to be aligned first, from the windows that several texts share.
 
-    A rare line proposes every pair of its at most ``RARE`` texts.  A more frequent line pairs each of its texts with
-    the earliest one that has it, so its pairs grow with its texts and not with their square.
+    A rare window proposes every pair of its at most ``RARE`` texts.  A more frequent one pairs each of its texts with
+    the earliest one that has it; what that leaves is for ``further_pairs``.
     """
-    rare = shared.filter(F.col("df") <= RARE).select("hash", "seq", "first").distinct()
-    other = rare.select("hash", F.col("seq").alias("b_seq"), F.col("first").alias("b_first"))
-    near = rare.join(other, "hash").filter(_is_before("b_", "")).select("seq", F.col("b_seq").alias("earlier"))
-    star = shared.filter((F.col("df") > RARE) & (F.col("seq") != F.col("earliest"))).select("seq", F.col("earliest").alias("earlier"))
+    rare = held.filter(F.col("df") <= RARE).select("key", "seq", "first").distinct()
+    other = rare.select("key", F.col("seq").alias("b_seq"), F.col("first").alias("b_first"))
+    near = rare.join(other, "key").filter(_order("b_") < _order()).select("seq", F.col("b_seq").alias("earlier"))
+    star = held.filter((F.col("df") > RARE) & (F.col("seq") != F.col("earliest"))).select("seq", F.col("earliest").alias("earlier"))
     return near.union(star).distinct()
 
 
+def further_pairs(open_: DataFrame, held: DataFrame, low: int, high: int) -> DataFrame:
+    """``(seq, earlier)``: texts with a window of ``open_`` and its earlier holders in the cells from ``low`` to before ``high``.
+
+    The holders of a window are dealt to cells of about ``CELL`` by their hash, so no task meets all holders of a window.
+    """
+    wanted = open_.select("key", "seq", "first", F.explode(F.sequence(F.lit(low), F.least(F.lit(high), F.col("cells")) - 1)).alias("cell")).distinct()
+    cell = F.pmod(F.xxhash64("seq"), F.col("cells")).cast("int")
+    holders = held.filter(F.col("df") > RARE).select("key", F.col("seq").alias("b_seq"), F.col("first").alias("b_first"), cell.alias("cell")).distinct()
+    return wanted.join(holders, ["key", "cell"]).filter(_order("b_") < _order()).select("seq", F.col("b_seq").alias("earlier")).distinct()
+
+
+def still_open(held: DataFrame, gone: DataFrame, low: int) -> DataFrame:
+    """Frequent windows with a line that is not gone, where holders in cells from ``low`` on have not been tried."""
+    own = gone.groupBy("seq").agg(F.collect_set("at").alias("gone"))
+    rows = held.filter((F.col("df") > RARE) & (F.col("seq") != F.col("earliest")) & (F.col("cells") > low))
+    left = F.array_except(F.sequence("start", "end"), F.coalesce("gone", F.array().cast("array<int>")))
+    return rows.join(own, "seq", "left").filter(F.size(left) > 0).drop("gone")
+
+
 def overlaps(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(seq, first, gone)``: for every different text its smallest doc_id and the places of the lines that an earlier text has.
 
     Texts with the same lines are one node here.  Only lines that several texts have are aligned, and every
     pair of texts travels on its own: no group of texts is gathered.
+
+    What an alignment finds follows from the shared lines and from which of them are adjacent, the shape of a text.  A text with
+    the shape of an earlier one loses all its runs of enough words; only the first text of each shape is aligned, with
+    the first texts of others.  A frequent window is compared with more and more of its earlier holders, with all in the
+    end, as long as one of its lines is left: the result is that of aligning every text with every earlier one.
     """
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), sequence(text).alias("seq"), utf8(text).alias("text"))
     lined = durable(rows.mapInArrow(_lined, "doc_id long, seq binary, hashes array<long>, words array<int>"), "lines")
     texts = durable(lined.groupBy("seq").agg(F.min("doc_id").alias("first"), F.any_value(F.struct("hashes", "words")).alias("l")).select("seq", "first", "l.*"), "texts")
     places = texts.select("seq", "first", F.posexplode(F.arrays_zip("hashes", "words")).alias("at", "line")).select("seq", "first", "at", F.col("line.hashes").alias("hash"), F.col("line.words").alias("n"))
-    each = places.select("hash", "seq", "first").distinct()
-    spread = each.groupBy("hash").agg(F.count(F.lit(1)).alias("df"), F.min(F.struct(F.col("first").isNull().alias("nameless"), "first", "seq")).alias("least")).filter("df > 1")
-    spread = durable(spread.select("hash", "df", F.col("least.seq").alias("earliest")), "shared-lines")
-    shared = durable(places.join(spread, "hash"), "shared")
-    parts = durable(shared.groupBy("seq").agg(F.collect_list(F.struct("at", "hash", "n")).alias("lines")), "shared-by-text")
-    pairs = candidate_pairs(shared)
-    paired = pairs.join(parts.select(F.col("seq").alias("earlier"), F.col("lines").alias("earlier_lines")), "earlier") \
-        .join(parts.select("seq", F.col("lines").alias("later_lines")), "seq").select("seq", F.col("later_lines").alias("later"), F.col("earlier_lines").alias("earlier"))
-    found = paired.mapInArrow(partial(_aligned, min_words=min_words), "seq binary, gone array<int>")
-    gone = found.select("seq", F.explode("gone").alias("at")).distinct().groupBy("seq").agg(F.collect_list("at").alias("gone"))
+    common = durable(places.select("hash", "seq").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("hash"), "shared-lines")
+    shared = places.join(common, "hash")
+    parts = durable(shared.groupBy("seq").agg(F.any_value("first").alias("first"), F.collect_list(F.struct("at", "hash", "n")).alias("lines")), "shared-by-text")
+    shaped = durable(parts.mapInArrow(partial(_shaped, min_words=min_words), "seq binary, first long, shape binary, full array<int>, keys array<long>, starts array<int>, ends array<int>"), "shapes")
+    nodes = durable(shaped.groupBy("shape").agg(F.min(_order()).alias("top")).select("top.seq"), "nodes")
+    each = shaped.join(nodes, "seq", "left_semi").select("seq", "first", F.explode(F.arrays_zip("keys", "starts", "ends")).alias("w")) \
+        .select("seq", "first", F.col("w.keys").alias("key"), F.col("w.starts").alias("start"), F.col("w.ends").alias("end"))
+    spread = each.select("key", "seq", "first").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("df"), F.min(_order()).alias("least")).filter("df > 1") \
+        .select("key", "df", F.col("least.seq").alias("earliest"), F.ceil(F.col("df") / CELL).cast("int").alias("cells"))
+    held = durable(each.join(spread, "key"), "windows")
+
+    def aligned(pairs: DataFrame) -> DataFrame:
+        paired = pairs.join(parts.select(F.col("seq").alias("earlier"), F.col("lines").alias("earlier_lines")), "earlier") \
+            .join(parts.select("seq", F.col("lines").alias("later_lines")), "seq").select("seq", F.col("later_lines").alias("later"), F.col("earlier_lines").alias("earlier"))
+        found = paired.mapInArrow(partial(_aligned, min_words=min_words), "seq binary, gone array<int>")
+        return durable(found.select("seq", F.explode("gone").alias("at")).distinct(), "gone")
+
+    taken = aligned(candidate_pairs(held))
+    left, low, high = held, 0, CELLS
+    while True:
+        left = durable(still_open(left, taken, low), "open")
+        if left.isEmpty():
+            break
+        taken = taken.union(aligned(further_pairs(left, held, low, high)))
+        low, high = high, high * GROWTH
+    copies = shaped.join(nodes, "seq", "left_anti").select("seq", F.col("full").alias("gone"))
+    gone = taken.groupBy("seq").agg(F.collect_set("at").alias("gone")).union(copies)
     return texts.select("seq", "first").join(gone, "seq", "left")
 
 

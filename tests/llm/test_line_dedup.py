@@ -112,3 +112,62 @@ def test_rows_of_every_kind(documents):
 def test_rows_with_one_id_and_text_are_one_document(documents):
     docs = documents(*[(1, "the same words stand in here")] * 3, clashing=False)
     assert [r.clean_text for r in L.line_dedup(docs).collect()] == ["the same words stand in here"] * 3
+
+def every_pair(rows, min_words=L.MIN_WORDS):
+    """rows: (doc_id, text) with distinct ids and different lines; the cleaned texts when every text is aligned with every earlier one."""
+    lines = {i: L.filled_lines(text.encode()) for i, text in rows}
+    out = {}
+    for i, text in rows:
+        later = [(k, x, len(x.split())) for k, (_, x) in enumerate(lines[i])]
+        gone = {k for j in lines if j < i for k in L.common_blocks([(k, x) for k, (_, x) in enumerate(lines[j])], later, min_words)}
+        cut = {lines[i][k][0] for k in gone}
+        out[i] = "\n".join(x for n, x in enumerate(text.split("\n")) if n not in cut)
+    return out
+
+
+def cleaned(spark, rows):
+    return {r.doc_id: r.clean_text for r in L.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def test_frequent_line_that_the_earliest_text_does_not_align(spark):
+    a, b = "first frequent line of many words", "second frequent line of many words"
+    rows = [(0, f"{a}\nown 0\n{b}")] + [(i, f"own {i}\n{(a, b)[i % 2]}\nend {i}") for i in range(1, 30)]
+    rows += [(30, f"{b}\nx 30\ny 30\n{a}\nz 30"), (31, f"{a}\nx 31\n{a}\ny 31\n{a}"), (32, f"{a}\nx 32\n{a}\nz 32\n{a}\ny 32")]
+    got = cleaned(spark, rows)
+    assert got == every_pair(rows)
+    assert a not in got[30] and b not in got[30]        # text 0 has the two lines in another order, texts 1 and 2 have one each
+    assert a not in got[32]                             # only text 31 has the line three times
+
+
+def test_block_of_short_frequent_lines(spark):
+    rows = [(i, f"own {i}\nshort {'abc'[i % 3]}\nmore {i}") for i in range(30)]
+    rows += [(30 + i, f"own {30 + i}\nshort a\nshort b\nshort c\nmore {30 + i}") for i in range(12)]
+    got = cleaned(spark, rows)
+    assert got == every_pair(rows)
+    assert "short" in got[30] and not any("short" in got[30 + i] for i in range(1, 12))
+
+
+def test_frequent_lines_equal_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(L, "RARE", 2)
+    monkeypatch.setattr(L, "CELL", 2)
+    monkeypatch.setattr(L, "CELLS", 1)
+    monkeypatch.setattr(L, "GROWTH", 2)
+    rng = random.Random(3)
+    pool = [" ".join([f"w{k}"] * (1 + k % 6)) for k in range(8)]
+    rows = [(i, "\n".join([f"id {i}", *rng.choices([*pool, f"gap {i}", ""], k=rng.randint(2, 9))])) for i in range(150)]
+    got = cleaned(spark, rows)
+    assert got == every_pair(rows)
+
+
+def test_windows_cover_common_blocks():
+    rows = [(0, 7, 5), (1, 8, 1), (2, 9, 3), (4, 7, 2), (5, 8, 2), (8, 9, 9)]
+    found, full = L.windows(rows, 5)
+    assert {(s, e) for _, s, e in found} == {(0, 0), (0, 1), (0, 2), (8, 8)} and full == [0, 1, 2, 8]
+    assert L.windows(rows, 10) == ([], [])
+
+
+def test_query_equals_every_pair(spark, sf, monkeypatch):
+    docs = table(spark, sf, "documents")
+    got = {r.doc_id: r.clean_text for r in L.line_dedup(docs).collect()}
+    monkeypatch.setattr(L, "RARE", 1 << 60)         # for by_hand alone, which then compares all earlier texts
+    assert got == by_hand([(r.doc_id, r.text) for r in docs.collect()])
