@@ -31,7 +31,6 @@ def _gamma_quantiles() -> np.ndarray:
     return x
 
 
-_PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _GAMMA = _gamma_quantiles().astype(np.float32)
 _LOG_GAMMA = np.log(_gamma_quantiles()).astype(np.float32)
 
@@ -63,7 +62,7 @@ def _floats(keys: np.ndarray) -> np.ndarray:
 
 
 class Sampler:
-    """Signatures of texts as bags of words, a word's weight being its count; case and ASCII punctuation do not matter.
+    """Signatures of texts as bags of words, a word's weight being its count; words are what stands between white space, as it is.
 
     For every word and sample: r and c from Gamma(2, 1) and b from the uniform distribution, all from the word's
     hash.  A weight w gives t = floor(ln w / r + b) and ln a = ln c - r (t - b) - r; the word with
@@ -135,7 +134,7 @@ class Sampler:
                     x.clear()
 
         for k, text in enumerate(texts):
-            bag = Counter(text.lower().encode().translate(_PLAIN).split())
+            bag = Counter(text.encode().split())
             terms, weights = list(bag), list(bag.values())
             for first in range(0, len(terms), FLUSH):
                 starts.append(len(words))

@@ -43,6 +43,13 @@ def test_weights_count():
     assert W.likeness(a, b) == pytest.approx(2 / 10, abs=0.07)
 
 
+def test_case_and_punctuation_count():
+    sampler = W.Sampler(512)
+    a, b, c, empty = sampler.signatures(["x = f(y) Z", "x , f[y] z", "+ - ;", ""])
+    assert W.likeness(a, b) == pytest.approx(1 / 7, abs=0.07)
+    assert c.any() and not empty.any() and W.likeness(c, empty) == 0
+
+
 def test_gamma_quantiles():
     for p, x in ((0.5, 1.67835), (0.95, 4.74386), (0.05, 0.35536)):
         assert W._GAMMA[int(p * 65536)] == pytest.approx(x, rel=1e-3)
