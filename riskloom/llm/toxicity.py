@@ -141,7 +141,7 @@ def fit(texts: list[str], labels: list[int], langs: list[str | None], prior: flo
 
     Four of five texts train the weights, in batches with as many of either label; the rest calibrates
     the score to the prior and chooses, for each language, the threshold with the
-    best F1 (the overall one where a language has fewer than five texts of a label).  With only
+    best F1 at that prior (the overall one where a language has fewer than five texts of a label).  With only
     one label, or none, every score is that label's prior.
     """
     rng = np.random.default_rng(seed)
@@ -228,18 +228,19 @@ def _calibrate(model, texts, truth, langs, prior) -> None:
     if found[0] > 0:
         model.scale, model.shift = float(found[0]), float(found[1])
     score = model_scores(model, texts)
-    model.threshold = _threshold(score, truth)
+    model.threshold = _threshold(score, truth, weight)
     for lang in {x for x in langs if x is not None}:
         own = np.array([x == lang for x in langs])
         if min(truth[own].sum(), (1 - truth[own]).sum()) >= 5:
-            model.thresholds[lang] = _threshold(score[own], truth[own])
+            model.thresholds[lang] = _threshold(score[own], truth[own], weight[own])
 
 
-def _threshold(score: np.ndarray, truth: np.ndarray) -> float:
-    """The middle of the gap below the cut with the best F1."""
+def _threshold(score: np.ndarray, truth: np.ndarray, weight: np.ndarray | None = None) -> float:
+    """The middle of the gap below the cut with the best F1, rows counting by ``weight``."""
+    weight = np.ones(len(score)) if weight is None else weight
     order = np.argsort(-score, kind="stable")
-    hits = np.cumsum(truth[order])
-    f1 = 2 * hits / (np.arange(1, len(order) + 1) + truth.sum())
+    hits = np.cumsum((weight * truth)[order])
+    f1 = 2 * hits / (np.cumsum(weight[order]) + (weight * truth).sum())
     last = np.concatenate([np.diff(score[order]) != 0, [True]])       # a cut does not part equal scores
     k = int(np.argmax(np.where(last, f1, -1)))
     below = score[order[k + 1]] if k + 1 < len(order) else 0.0

@@ -63,6 +63,27 @@ def test_thresholds_part_the_labels(toy):
     assert toxicity._threshold(np.array([0.5, 0.5, 0.2]), np.array([1, 0, 0])) == pytest.approx(0.35)
 
 
+def test_thresholds_are_those_of_the_whole_labelled_table(monkeypatch):
+    class Given:            # the texts are the scores
+        def __init__(self, model):
+            pass
+
+        def scores(self, texts):
+            return np.array([float(t) for t in texts])
+
+    def calibrated(ones, zeros, prior):
+        model = toxicity.ToxicityModel(*[np.zeros(1, np.float32)] * 4)
+        texts, truth = [*ones, *zeros], np.array([1] * len(ones) + [0] * len(zeros))
+        toxicity._calibrate(model, [str(x) for x in texts], truth, ["en"] * len(texts), prior)
+        return model.threshold, model.thresholds["en"]
+
+    monkeypatch.setattr(toxicity, "Scorer", Given)
+    ones, zeros = [0.95, 0.9, 0.85, 0.8, 0.45, 0.4], [0.6, 0.5, 0.3, 0.2, 0.1, 0.05]
+    whole = calibrated(ones, zeros * 9, 0.1)
+    assert whole == pytest.approx((0.7, 0.7)) and calibrated(ones, zeros, 0.1) == pytest.approx(whole)
+    assert calibrated(ones, zeros, 0.5)[0] == pytest.approx(0.35)
+
+
 def test_without_both_labels():
     for labels in ([], [0, 0, 0], [1, 1]):
         model = toxicity.fit(["a b"] * len(labels), labels, ["en"] * len(labels), float(np.mean(labels)) if labels else 0.0)
