@@ -48,25 +48,40 @@ def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:
     return words[:cut], words[cut:]
 
 
+def units_of(text: str) -> list[tuple[int, list[bytes]]]:
+    """The numbered units of an item: its words by ``PART``, and, below zero, those of question and answer alone.
+
+    A document may hold question and answer far apart, so that no passage has most of a unit with both.
+    """
+    words = words_of(text)
+    out = [(k // PART, words[k:k + PART]) for k in range(0, len(words), PART)]
+    for side in question_and_answer(text) if words else ():
+        for k in range(0, len(side), PART):
+            if all(side[k:k + PART] != unit for _, unit in out):
+                out.append((-1 - len(out), side[k:k + PART]))
+    return out
+
+
 def postings(items: DataFrame) -> DataFrame:
     """``(unit, word, share)``: BM25 weights of the words of every unit, as shares of the unit's score for itself.
 
-    ``items`` has ``item`` (a key) and ``text``.  Document frequency and length are taken over all items.
+    ``items`` has ``item`` (a key) and ``text``.  Document frequency and length are taken over all items, each word
+    of an item counting once: units of question and answer are left out there.
     """
     @F.pandas_udf("array<struct<part:int,word:binary,tf:int,length:int>>")
     def counted(texts: pd.Series) -> pd.Series:
         out = []
         for text in texts:
-            words, rows = words_of(text), []
-            for part in range(0, len(words), PART):
-                unit = words[part:part + PART]
-                rows += [{"part": part // PART, "word": w, "tf": unit.count(w), "length": len(unit)} for w in dict.fromkeys(unit)]
+            rows = []
+            for part, unit in units_of(text):
+                rows += [{"part": part, "word": w, "tf": unit.count(w), "length": len(unit)} for w in dict.fromkeys(unit)]
             out.append(rows)
         return pd.Series(out)
 
     rows = durable(items.select("item", F.explode(counted("text")).alias("w")).select("item", "w.*"), "item-words")
-    units = rows.select("item", "part", "length").distinct().agg(F.count(F.lit(1)).alias("units"), F.avg("length").alias("average")).first()
-    frequency = rows.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    whole = rows.filter("part >= 0")
+    units = whole.select("item", "part", "length").distinct().agg(F.count(F.lit(1)).alias("units"), F.avg("length").alias("average")).first()
+    frequency = whole.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(float(units["average"] or 1))))
     idf = F.log(1 + (F.lit(units["units"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = rows.join(frequency, "word").select("item", "part", "word", (tf * idf).alias("weight"))
@@ -180,8 +195,9 @@ class Index:
                 item = self.owner[unit]
                 best[item] = max(best.get(item, 0.0), score)
         out = []
+        held = {n: np.unique(rolled(ids, n)) for n in {n for item in best for n, _ in self.parts[item] if n}}
         for item, score in sorted(best.items()):
-            shares = [float(np.isin(grams, rolled(ids, n)).mean()) if n else 1.0 for n, grams in self.parts[item]]
+            shares = [float(np.isin(grams, held[n]).mean()) if n else 1.0 for n, grams in self.parts[item]]
             if min(shares) >= overlap - 1e-9:
                 out.append({"item_id": self.items[item], "score": score, "question_overlap": shares[0], "answer_overlap": shares[1]})
         return out

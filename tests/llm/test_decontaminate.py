@@ -96,6 +96,13 @@ def test_rows_of_every_kind(documents, items):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [3, 4, 5, 7, 8]
 
 
+def test_question_and_answer_far_apart(spark, documents):
+    question, answer = " ".join(f"ask{i}" for i in range(12)), " ".join(f"reply{i}" for i in range(12))
+    items = spark.createDataFrame([(1, f"{question}? Answer: {answer}"), (2, "another item of some words. with its own end")], "item_id long, text string")
+    docs = documents((1, f"{question} {FAR} {answer}"), (2, f"{answer} {FAR} {question}"), (3, f"{question} {FAR}"), (4, f"{answer} {FAR}"))
+    assert sorted((r.doc_id, r.item_id) for r in D.leaks(docs, items).collect()) == [(1, 1), (2, 1)]
+
+
 def test_empty_tables(documents, items):
     docs = documents((1, "a b c d e f"), (2, None))
     assert D.leaks(docs, items.filter("item_id < 0")).count() == 0
