@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -19,18 +20,24 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.6         # BM25 score, as a share of the score that the unit has for itself
 NGRAM = 5
 OVERLAP = 0.8           # share of the n-grams of question and of answer that the document must hold
-MIN_WORDS = 5           # shorter items name nothing in particular and are not looked for
+MIN_WORDS = 5           # shorter items are found by their whole word sequence
 BLOCK = 8               # units under one maximum
 COMMON = 0.05           # a word of more than this share of the units is common
 LIVE = 1 << 21          # bounds (of a passage and a block) held at a time
 INDEX_BYTES = 32 << 20  # item text indexed, and broadcast, at a time
 ANSWER_MARKS = ("answer:", "réponse:", "antwort:", "respuesta:")
 _PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+# Thai to Khmer, kana and Han have no spaces between words: each character counts as a word, their punctuation parts
+_UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
+_MARKS = re.compile("[\u3000-\u3004\u3008-\u303f\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
 
 
 def words_of(text: str | None) -> list[bytes]:
-    """Lower-cased words; ASCII punctuation parts them."""
-    return (text or "").lower().encode().translate(_PLAIN).split()
+    """Lower-cased words; ASCII punctuation parts them.  In scripts without spaces every character is one."""
+    text = (text or "").lower()
+    if not text.isascii() and _UNSPACED.search(text):
+        text = _UNSPACED.sub(r" \1 ", _MARKS.sub(" ", text))
+    return text.encode().translate(_PLAIN).split()
 
 
 def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:
@@ -93,15 +100,16 @@ class Index:
     """Postings of a bounded set of units with a maximum for each block of units, and the items' n-grams for the check.
 
     Blocks are runs of ``BLOCK`` units, the same for all words.  Words of many units are common; for
-    these a block keeps only the largest sum that one of its units has of them.
+    these a block keeps only the largest sum that one of its units has of them.  ``short`` items have no units: they
+    are found by a hash of all their words.
     """
 
-    def __init__(self, items: list[tuple[int | None, str]], rows: list[tuple[int, int, bytes, float]]):
+    def __init__(self, items: list[tuple[int | None, str]], rows: list[tuple[int, int, bytes, float]], short: list[tuple[int | None, str]] = ()):
         units = sorted({(i, p) for i, p, _, _ in rows})
         number = {u: k for k, u in enumerate(units)}
         self.items = [i for i, _ in items]
         self.owner = [i for i, _ in units]
-        self.terms = {w: k for k, w in enumerate(sorted({w for _, _, w, _ in rows}))}
+        self.terms = {w: k for k, w in enumerate(sorted({w for _, _, w, _ in rows} | {w for _, text in short for w in words_of(text)}))}
         self.units: list[list[int]] = [[] for _ in self.terms]
         self.shares: list[list[float]] = [[] for _ in self.terms]
         for i, p, w, share in sorted(rows, key=lambda r: (r[0], r[1])):
@@ -122,9 +130,14 @@ class Index:
                 tops += best.values()
             starts.append(len(blocks))
         self.starts, self.block, self.top = np.array(starts), np.array(blocks, dtype=np.int64), np.array(tops)
-        self.usual = np.maximum.reduceat(usual, np.arange(0, len(units), BLOCK))
+        self.usual = np.maximum.reduceat(usual, np.arange(0, len(units), BLOCK)) if units else usual
         self.listed = np.append(np.diff(self.starts), 0)                # the last: a word of no item
         self.parts = [[self._grams(x) for x in question_and_answer(text)] for _, text in items]
+        self.short: dict[int, tuple[np.ndarray, list[int | None]]] = {}
+        sequences = [(i, self.ids(words_of(text))) for i, text in short]
+        for n in sorted({len(x) for _, x in sequences}):
+            own = [(i, rolled(x, n)[0]) for i, x in sequences if len(x) == n]
+            self.short[n] = np.array([h for _, h in own], dtype=np.uint64), [i for i, _ in own]
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         unknown, get = len(self.terms), self.terms.get
@@ -189,7 +202,7 @@ class Index:
         if not len(ids):
             return []
         best: dict[int, float] = {}
-        for passage, block in self.live(ids, threshold):
+        for passage, block in self.live(ids, threshold) if self.owner else ():
             terms = np.unique(ids[passage * PART:passage * PART + PASSAGE])
             for unit, score in self.search(terms[terms < len(self.terms)].tolist(), block, threshold):
                 item = self.owner[unit]
@@ -200,6 +213,9 @@ class Index:
             shares = [float(np.isin(grams, held[n]).mean()) if n else 1.0 for n, grams in self.parts[item]]
             if min(shares) >= overlap - 1e-9:
                 out.append({"item_id": self.items[item], "score": score, "question_overlap": shares[0], "answer_overlap": shares[1]})
+        for n, (hashes, owners) in self.short.items():
+            for k in np.nonzero(np.isin(hashes, rolled(ids, n)))[0]:
+                out.append({"item_id": owners[k], "score": 1.0, "question_overlap": 1.0, "answer_overlap": 1.0})
         return out
 
 
@@ -214,10 +230,11 @@ def rolled(ids: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def build_indexes(items: DataFrame, item_id: str = "item_id", text: str = "text", index_bytes: int = INDEX_BYTES) -> Iterator[Index]:
+def build_indexes(items: DataFrame, item_id: str = "item_id", text: str = "text", index_bytes: int = INDEX_BYTES, min_words: int = MIN_WORDS) -> Iterator[Index]:
     """The index in pieces of at most about ``index_bytes`` of item text, each small enough for the driver and a broadcast.
 
-    Weights are those of all items together, so the pieces find what one index would.
+    Weights are those of all items together, so the pieces find what one index would.  Items of fewer than ``min_words``
+    words are left out, others of fewer than ``MIN_WORDS`` must be held word for word.
     """
     own = items.select(F.col(f"`{item_id}`").cast("long").alias("item_id"), F.col(f"`{text}`").cast("string").alias("text"))
     own = own.filter("text IS NOT NULL").distinct().withColumn("item", F.xxhash64("item_id", "text"))
@@ -227,11 +244,12 @@ def build_indexes(items: DataFrame, item_id: str = "item_id", text: str = "text"
     rows = durable(postings(own).withColumn("piece", F.pmod("item", F.lit(pieces))), "postings")
     for piece in range(pieces):
         texts = sorted(own.filter(F.pmod("item", F.lit(pieces)) == piece).collect(), key=lambda r: r["item"])
-        texts = [r for r in texts if len(words_of(r["text"])) >= MIN_WORDS]
+        short = [(r["item_id"], r["text"]) for r in texts if max(1, min_words) <= len(words_of(r["text"])) < MIN_WORDS]
+        texts = [r for r in texts if len(words_of(r["text"])) >= max(MIN_WORDS, min_words)]
         number = {r["item"]: k for k, r in enumerate(texts)}
         found = [(number[r["item"]], r["part"], bytes(r["word"]), r["share"]) for r in rows.filter(F.col("piece") == piece).collect() if r["item"] in number]
-        if found:
-            yield Index([(r["item_id"], r["text"]) for r in texts], found)
+        if found or short:
+            yield Index([(r["item_id"], r["text"]) for r in texts], found, short)
 
 
 FOUND = "array<struct<item_id:bigint,score:double,question_overlap:double,answer_overlap:double>>"
@@ -248,29 +266,29 @@ def leak_column(spark, index: Index, text: str, threshold: float, overlap: float
     return leaked(F.col(f"`{text}`").cast("string"))
 
 
-def _all_leaks(docs, items, text, item_id, item_text, threshold, overlap):
-    columns = [leak_column(docs.sparkSession, x, text, threshold, overlap) for x in build_indexes(items, item_id, item_text)]
+def _all_leaks(docs, items, text, item_id, item_text, threshold, overlap, min_words):
+    columns = [leak_column(docs.sparkSession, x, text, threshold, overlap) for x in build_indexes(items, item_id, item_text, min_words=min_words)]
     return F.concat(*columns) if columns else F.lit(None).cast(FOUND)
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
-          item_text: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+          item_text: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, min_words: int = MIN_WORDS) -> DataFrame:
     """``(doc_id, item_id, score, question_overlap, answer_overlap)`` for every test item that a document holds.
 
     Every passage of every whole text is a query; all units above the
     threshold are retrieved, without a limit on their number, and an item counts when the document holds
     most n-grams of its question and of its answer.  Null and empty texts hold nothing; equal item
     rows count once, repeated document rows each; an empty table on either side gives no rows; rows without id
-    keep a null id; other columns are not read.
+    keep a null id; other columns are not read.  With ``min_words`` 1 no item is left out.
     """
     found = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"),
-                        F.explode(_all_leaks(docs, items, text, item_id, item_text, threshold, overlap)).alias("f"))
+                        F.explode(_all_leaks(docs, items, text, item_id, item_text, threshold, overlap, min_words)).alias("f"))
     return found.select("doc_id", "f.*")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-                  threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+                  threshold: float = THRESHOLD, overlap: float = OVERLAP, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of ``docs`` that hold no test item, all columns as they are, without a shuffle."""
     found, = fresh(docs, "found")
-    kept = docs.withColumn(found, _all_leaks(docs, items, text, item_id, item_text, threshold, overlap))
+    kept = docs.withColumn(found, _all_leaks(docs, items, text, item_id, item_text, threshold, overlap, min_words))
     return kept.filter(F.coalesce(F.size(found), F.lit(0)) <= 0).drop(found)

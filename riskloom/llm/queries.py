@@ -40,7 +40,7 @@ def op7_toxicity(spark, sf_dir):
 
 @query
 def op1_decontamination(spark, sf_dir):
-    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), min_words=1)
 
 
 @query

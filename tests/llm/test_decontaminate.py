@@ -103,6 +103,13 @@ def test_question_and_answer_far_apart(spark, documents):
     assert sorted((r.doc_id, r.item_id) for r in D.leaks(docs, items).collect()) == [(1, 1), (2, 1)]
 
 
+def test_short_items_and_scripts_without_spaces(spark, documents):
+    items = spark.createDataFrame([(1, "Blue whale, 1758"), (2, "ok"), (3, "\u4f60\u597d\u3002"), (4, "\u8fd9\u662f\u4e00\u4e2a\u5f88\u957f\u7684\u95ee\u9898\u3002\u7b54\u6848\u662f\u4e03"), (5, "...")], "item_id long, text string")
+    docs = documents((1, f"{FAR} the blue WHALE 1758 swims"), (2, "blue 1758 whale"), (3, "\u6211\u8bf4\u4f60\u597d\u5417"), (4, "\u524d\u6587\u8fd9\u662f\u4e00\u4e2a\u5f88\u957f\u7684\u95ee\u9898\uff0c\u7b54\u6848\u662f\u4e03\u540e\u6587"), (5, "ok."), (6, "okay ..."))
+    assert sorted((r.doc_id, r.item_id) for r in D.leaks(docs, items, min_words=1).collect()) == [(1, 1), (3, 3), (4, 4), (5, 2)]
+    assert sorted(r.doc_id for r in D.decontaminate(docs, items.filter("item_id < 3"), min_words=1).collect()) == [2, 3, 4, 6]
+
+
 def test_empty_tables(documents, items):
     docs = documents((1, "a b c d e f"), (2, None))
     assert D.leaks(docs, items.filter("item_id < 0")).count() == 0
