@@ -5,7 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from riskloom.llm import decontaminate, line_dedup, mixing, sharding, simhash, token_counts, token_files, toxicity, url_filter, weighted_prints
+from riskloom.llm import (
+    decontaminate, fill_middle, line_dedup, mixing, sharding, simhash, suffix_dedup, token_counts, token_files, toxicity, url_filter, vector_clusters,
+    weighted_prints,
+)
 from riskloom.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -130,3 +133,67 @@ def op9_token_files(spark, sf_dir):
 def op3_line_dedup(spark, sf_dir):
     cleaned = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cleaned.select("doc_id", "n_lines", "n_deleted", F.sha2(F.encode("clean_text", "UTF-8"), 256).alias("clean_sha256"))
+
+
+@query
+def op12_fill_in_middle(spark, sf_dir):
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"), texts=False)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+ORACLE["op12_fill_in_middle"] = r"""
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+         sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+drawn AS (
+  SELECT *, len(units) AS n, ('0x' || substr(h, 1, 8))::BIGINT % (len(units) + 1) AS u1, ('0x' || substr(h, 9, 8))::BIGINT % (len(units) + 1) AS u2,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 50 THEN 'plain'
+              WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM units),
+parts AS (
+  SELECT *, array_to_string(units[1:least(u1, u2)], '') AS prefix, array_to_string(units[least(u1, u2) + 1:greatest(u1, u2)], '') AS middle,
+         array_to_string(units[greatest(u1, u2) + 1:], '') AS suffix FROM drawn)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
+@query
+def op13_vector_clusters(spark, sf_dir):
+    return vector_clusters.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def _lloyd_sql(rounds: int) -> str:
+    """All rounds one after another, a step for each; sums and distances over (vector, component) rows."""
+    step = """
+near{k} AS MATERIALIZED (
+  SELECT row, arg_min(cluster, (distance, cluster)) AS cluster, min(distance) AS distance FROM (
+    SELECT x.row, c.cluster, sum((x.x - c.x) * (x.x - c.x)) AS distance FROM x JOIN c{k} c USING (dim) GROUP BY ALL) GROUP BY row)"""
+    move = """,
+c{n} AS MATERIALIZED (
+  SELECT c.cluster, c.dim, CASE WHEN n IS NULL THEN c.x ELSE (s - ((s % n) + n) % n) // n END AS x
+  FROM c{k} c LEFT JOIN (SELECT cluster, dim, sum(x.x) AS s, count(*) AS n FROM x JOIN near{k} USING (row) GROUP BY ALL) USING (cluster, dim))"""
+    steps = "".join("," + step.format(k=k) + (move.format(k=k, n=k + 1) if k < rounds else "") for k in range(rounds + 1))
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, embedding FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda v: v IS NOT NULL AND isfinite(v))) = 64),
+x AS MATERIALIZED (SELECT row, i AS dim, floor(1024 * embedding[i]::DOUBLE)::HUGEINT AS x FROM kept, unnest(range(1, 65)) AS t(i)),
+first AS MATERIALIZED (
+  SELECT row, row_number() OVER (ORDER BY sha256('3:' || coalesce(vec_id::VARCHAR, '')), embedding) - 1 AS cluster FROM kept
+  QUALIFY cluster < 8),
+c0 AS MATERIALIZED (SELECT cluster, dim, x.x FROM first JOIN x USING (row)){steps}
+SELECT vec_id, cluster::INT AS cluster, distance::BIGINT AS distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+       (sum(distance) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM kept JOIN near{rounds} USING (row) JOIN (SELECT cluster, sha256(string_agg(x::VARCHAR, ',' ORDER BY dim)) AS centroid_sha256 FROM c{rounds} GROUP BY cluster) USING (cluster)
+"""
+
+
+ORACLE["op13_vector_clusters"] = _lloyd_sql(vector_clusters.ROUNDS)
+
+
+@query
+def op11_suffix_dedup(spark, sf_dir):
+    made = suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
