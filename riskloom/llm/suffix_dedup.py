@@ -13,6 +13,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,13 +23,12 @@ from riskloom.functions.durable import durable
 from riskloom.llm.common import shuffle_tasks, utf8
 
 LENGTH = 50             # bytes of a repeated string
-GRAM = 16               # bytes of a gram
+GRAM = 24               # bytes of a gram
 PIECE = 1 << 20         # bytes whose grams are hashed, or whose suffixes are sorted, at a time
-TEXT = 24 << 20         # bytes of text that a task describes at a time
+TEXT = 8 << 20          # bytes of text that a task describes at a time
 RUN = 256               # windows in a fragment at most
-BINS = 4                # bins of documents for each shuffle task
-HOT = 1 << 11           # a gram in more documents than this has its windows dealt out one by one
-HOT_GRAMS = 1 << 20     # as many grams are treated so at most: those in most documents
+HOT = 1 << 11           # a gram in more different fragments than this, and than a sixteenth of a bucket, has its windows dealt out one by one
+HOT_GRAMS = 1 << 20     # as many grams are treated so at most: those in most fragments
 LAST = np.iinfo(np.int64).max       # the place of rows without an id: after all others
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -96,10 +96,11 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tupl
 
 
 def fragments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """``(key, document, first window, windows)`` of all fragments; every window of every document is in one."""
+    """``(key, text, first window, windows, ends)`` of all fragments; every window of every text is in one.  ``ends`` hashes a fragment's first and last bytes."""
     out = []
     for doc, window, byte, size in _pieces(data, offsets, length):
-        least = _smallest_grams(data[_spread(byte, size)] if len(byte) > 1 else data[byte[0]:byte[0] + size[0]], length, gram)
+        buffer = data[_spread(byte, size)] if len(byte) > 1 else data[byte[0]:byte[0] + size[0]]
+        least = _smallest_grams(buffer, length, gram)
         ends = np.cumsum(size)
         first, last = ends - size, ends - length + 1           # windows last .. ends would cross into the next span
         cut = np.zeros(len(least) + 1, dtype=bool)
@@ -114,12 +115,20 @@ def fragments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) ->
         cuts = -(-counts // RUN)
         part = np.repeat(np.arange(len(starts)), cuts)
         skipped = RUN * _spread(np.zeros(len(cuts), dtype=np.int64), cuts)
-        out.append((_scrambled(least[starts])[part], doc[span][part], (window[span] + starts - first[span])[part] + skipped, np.minimum(RUN, counts[part] - skipped)))
+        begin, count = starts[part] + skipped, np.minimum(RUN, counts[part] - skipped)
+        words = np.ndarray((len(buffer) - 7,), np.uint64, buffer, strides=(1,))
+        sides = _scrambled(words[begin] + _scrambled(words[begin + count + length - 9] + count.astype(np.uint64)))
+        out.append((_scrambled(least[begin]), doc[span][part], window[span][part] + begin - first[span][part], count, sides))
     if not out:
-        return np.zeros(0, dtype=np.uint64), *[np.zeros(0, dtype=np.int64)] * 3
+        return np.zeros(0, dtype=np.uint64), *[np.zeros(0, dtype=np.int64)] * 3, np.zeros(0, dtype=np.uint64)
     return tuple(map(np.concatenate, zip(*out)))
 
 
+def _low(key: np.ndarray) -> np.ndarray:
+    """What is shipped of a key; its bucket holds the rest."""
+    return (key >> np.uint64(32)).astype(np.uint32)
+
+
 def _by(groups: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple]:
     """The arrays' rows of every group."""
     order = np.argsort(groups, kind="stable")
@@ -133,47 +142,60 @@ def _rows(rows: list[tuple[int, bytes]], name: str) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=[name, "blob"])
 
 
-def _texts(batches, name: str) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:
-    """Bytes and offsets of the texts of each batch, in parts of about ``TEXT`` bytes."""
+def _texts(batches) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, pa.RecordBatch]]:
+    """The different texts of each batch, in parts of about ``TEXT`` bytes: texts, hash, number of the text for each row, and the rows."""
     for batch in batches:
-        lengths = np.asarray(pa.compute.binary_length(batch.column(name)), dtype=np.int64)
-        ends = np.cumsum(lengths)
+        ends = np.cumsum(np.asarray(pc.binary_length(batch.column("text")), dtype=np.int64))
         start = 0
-        while start < len(lengths):
-            base = ends[start] - lengths[start]
+        while start < batch.num_rows:
+            base = ends[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, base + TEXT, side="right")))
             part = batch.slice(start, stop - start)
-            data = np.frombuffer(b"".join(part.column(name).to_pylist()), dtype=np.uint8)
-            yield data, np.append(0, ends[start:stop] - base), part
+            seen: dict[bytes, int] = {}
+            number = np.array([seen.setdefault(t, len(seen)) for t in part.column("text").to_pylist()], dtype=np.int64)
+            node = np.zeros(len(seen), dtype=np.int64)
+            node[number] = np.asarray(part.column("node"))
+            yield list(seen), node, number, part
             start = stop
 
 
+def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(texts), dtype=np.uint8), np.append(0, np.cumsum([len(t) for t in texts], dtype=np.int64))
+
+
 def _gram_rows(batches, buckets, length, gram):
-    """Which documents hold which smallest grams: of each gram the first document, and how many.
+    """Which texts hold which smallest grams: of each gram the first text, and in how many fragments it is, about.
 
-    Documents whose gram another document of the same part holds are known to share it at once.
+    Texts whose gram another text of the same part holds are known to share it at once: these go along without a count.
     """
-    for data, offsets, part in _texts(batches, "text"):
-        key, doc, _, _ = fragments(data, offsets, length, gram)
-        node = np.asarray(part.column("node"))
+    for texts, node, _, _ in _texts(batches):
+        key, doc, _, _, ends = fragments(*_joined(texts), length, gram)
+        order = np.lexsort((ends, key))
+        starts = _groups(key[order])
+        other = np.append(True, ends[order][1:] != ends[order][:-1]) if len(key) else np.zeros(0, dtype=bool)
+        other[starts] = True
+        different = np.add.reduceat(other, starts, dtype=np.int64) if len(starts) else starts
         order = np.lexsort((doc, key))
         key, doc = key[order], doc[order]
-        own = np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])) if len(key) else np.zeros(0, dtype=bool)
+        starts = _groups(key)
+        own = np.append(True, doc[1:] != doc[:-1]) if len(key) else np.zeros(0, dtype=bool)
+        own[starts] = True
         key, doc = key[own], doc[own]
         starts = _groups(key)
         holders = np.diff(np.append(starts, len(key)))
+        different = np.where(holders > 1, np.maximum(different, 2), 1).astype(np.uint32)        # 1: the text does not know yet whether others have it
         rows = []
         known = np.repeat(holders > 1, holders)
         if known.any():
-            rows.append((int(key[starts[0]] % np.uint64(buckets)), _pack(node[doc[known]], (key[known] >> np.uint64(32)).astype(np.uint32), None)))
-        for bucket, first, keys, count in _by((key[starts] % np.uint64(buckets)).astype(np.int64), doc[starts], key[starts], holders.astype(np.uint32)):
+            rows.append((int(key[starts[0]] % np.uint64(buckets)), _pack(node[doc[known]], _low(key[known]), None)))
+        for bucket, first, keys, count in _by((key[starts] % np.uint64(buckets)).astype(np.int64), doc[starts], key[starts], different):
             by = np.argsort(first, kind="stable")
-            rows.append((bucket, _pack(node[first[by]], (keys[by] >> np.uint64(32)).astype(np.uint32), count[by])))
+            rows.append((bucket, _pack(node[first[by]], _low(keys[by]), count[by])))
         yield _rows(rows, "bucket")
 
 
 def _shared(table: pa.Table, bins: int, hot: int) -> pa.Table:
-    """The shared grams of the documents that were not known to share them, and the grams of very many documents."""
+    """The shared grams of the texts that were not known to share them, and the grams of very many fragments."""
     bucket = table.column("bucket")[0].as_py()
     nodes, keys, counts, out = [], [], [], []
     for blob in table.column("blob").to_pylist():
@@ -189,71 +211,89 @@ def _shared(table: pa.Table, bins: int, hot: int) -> pa.Table:
         node, key, count = node[order], key[order], count[order]
         starts = _groups(key)
         size = np.diff(np.append(starts, len(key)))
-        holders = np.add.reduceat(count.astype(np.int64), starts)
+        fragments_ = np.add.reduceat(count.astype(np.int64), starts)
         told = np.repeat(size > 1, size) & (count == 1)
         out.append((node[told], key[told]))
-        most = holders > hot
+        most = fragments_ > hot
         if most.any():
-            rows.append((-1, _pack((key[starts[most]].astype(np.int64) << 32) | bucket, holders[most])))
+            rows.append((-1, _pack((key[starts[most]].astype(np.int64) << 32) | bucket, fragments_[most]), 0))
     node, key = map(np.concatenate, zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.uint32))
-    rows += [(b, _pack(*own)) for b, *own in _by(node % bins, node, key)]
-    made = _rows(rows, "bin")
-    return pa.Table.from_batches([made])
+    rows += [(b, _pack(*own), len(own[0])) for b, *own in _by(node % bins, node, key)]
+    return pa.table({"bin": pa.array([r[0] for r in rows], pa.int32()), "blob": pa.array([r[1] for r in rows], pa.binary()), "grams": pa.array([r[2] for r in rows], pa.int64())})
 
 
 def _hot_rows(batches):
     for batch in batches:
         for blob in batch.column("blob").to_pylist():
-            name, holders = _unpack(blob)
-            yield pa.record_batch([pa.array(name), pa.array(holders)], names=["name", "holders"])
+            name, size = _unpack(blob)
+            yield pa.record_batch([pa.array(name), pa.array(size)], names=["name", "size"])
 
 
 def _packed(batches, bins):
-    """Texts in compressed blobs by bin of documents."""
-    for _, _, part in _texts(batches, "text"):
-        node, place, null, times = (np.asarray(part.column(c)) for c in ("node", "place", "nameless", "times"))
-        texts = part.column("text").to_pylist()
-        rows = [(b, _pack(n, p, u, t, np.array([len(texts[k]) for k in at.tolist()], dtype=np.int64), b"".join(texts[k] for k in at.tolist())))
-                for b, n, p, u, t, at in _by(node % bins, node, place, null, times, np.arange(len(node)))]
-        yield _rows(rows, "bin")
+    """Different texts in compressed blobs by bin, each with the first place that has it and the rows of that place, with and without an id."""
+    for texts, node, number, part in _texts(batches):
+        place, nameless = np.asarray(part.column("place")), np.asarray(part.column("nameless"))
+        least = np.full(len(texts), LAST, dtype=np.int64)
+        np.minimum.at(least, number, place)
+        first = place == least[number]
+        named, unnamed = (np.bincount(number[first & (nameless == k)], minlength=len(texts)) for k in (0, 1))
+        second, size = np.zeros(len(texts), dtype=np.int64), np.array([len(t) for t in texts], dtype=np.int64)
+        second[number] = np.asarray(part.column("other"))
+        yield _rows([(b, _pack(*own, size[at], b"".join(texts[k] for k in at.tolist())))
+                     for b, at, *own in _by(node % bins, np.arange(len(texts)), node, second, least, named, unnamed)], "bin")
 
 
 class _Bin:
-    """The documents of a bin: arrays of node, place, whether they lack an id, times, and their bytes."""
+    """The different texts of a bin, in the order of their hashes, so that a text's number is the same whenever the bin is made."""
 
     def __init__(self, table: pa.Table):
         parts = [_unpack(b) for b in table.column("blob").to_pylist()]
         none = [np.zeros(0, dtype=np.int64)]
-        self.node, self.place, self.nameless, self.times, size = (np.concatenate([p[k] for p in parts] or none) for k in range(5))
-        self.data = b"".join(p[5] for p in parts)
-        self.offsets = np.append(0, np.cumsum(size))
+        node, other, place, named, unnamed, size = (np.concatenate([p[k] for p in parts] or none) for k in range(6))
+        order = np.lexsort((place, other, node))
+        node, other, place, named, unnamed = (x[order] for x in (node, other, place, named, unnamed))
+        starts = np.nonzero(np.append(True, (node[1:] != node[:-1]) | (other[1:] != other[:-1])))[0] if len(node) else none[0]
+        self.node, self.place = node[starts], place[starts]
+        first = place == np.repeat(self.place, np.diff(np.append(starts, len(node))))
+        self.named, self.unnamed = (np.add.reduceat(np.where(first, x, 0), starts) if len(starts) else x for x in (named, unnamed))
+        data = b"".join(p[6] for p in parts)
+        ends = np.cumsum(size)
+        at = order[starts]
+        self.data = b"".join([data[b:e] for b, e in zip((ends[at] - size[at]).tolist(), ends[at].tolist())])
+        self.offsets = np.append(0, np.cumsum(size[at]))
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint32) if not len(x) or x.max() < 1 << 32 else x
+
+
+def _spans(doc: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of windows that follow each other in a text as one."""
+    order = np.lexsort((start, doc))
+    doc, start, count = doc[order], start[order], count[order].astype(np.int64)
+    new = np.append(True, (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + count[:-1]))[:len(doc)]
+    at = np.nonzero(new)[0]
+    return _narrow(doc[at]), _narrow(start[at]), _narrow(np.add.reduceat(count, at) if len(at) else count)
 
 
 def _fragment_rows(left: pa.Table, right: pa.Table, buckets: int, length: int, gram: int, hot: np.ndarray) -> pa.Table:
-    """The fragments of one bin's documents that other documents may share: distinct ones, with their first documents.
+    """The fragments of one bin's texts that other texts may share: distinct ones, with the texts that are first to hold them.
 
-    A document after the first that holds the same fragment loses all of it.
+    A text after the first that holds the same fragment loses all of it.
     """
-    docs = _Bin(left)
-    data = np.frombuffer(docs.data, dtype=np.uint8)
-    key, doc, start, count = fragments(data, docs.offsets, length, gram)
-    cands = [_unpack(b) for b in right.column("blob").to_pylist()]
-    if not cands or not len(key):
+    docs, cands = _Bin(left), [_unpack(b) for b in right.column("blob").to_pylist()]
+    if not cands or not len(docs.node):
         return pa.Table.from_batches([_rows([], "bucket")])
+    number = left.column("bin")[0].as_py()
+    key, doc, start, count, _ = fragments(np.frombuffer(docs.data, dtype=np.uint8), docs.offsets, length, gram)
     node, low = map(np.concatenate, zip(*cands))
-    by_node = np.argsort(docs.node, kind="stable")
-    number = by_node.copy()
-    nodes = docs.node[by_node]
-    # documents of the same node (which repeat only by a collision of hashes) all take its grams
-    first, last = np.searchsorted(nodes, node), np.searchsorted(nodes, node, side="right")
-    owner = number[_spread(first, last - first)]
-    wanted = np.unique((owner.astype(np.uint64) << np.uint64(32)) | np.repeat(low, last - first).astype(np.uint64))
-    own = (doc.astype(np.uint64) << np.uint64(32)) | (key >> np.uint64(32))
-    at = np.minimum(np.searchsorted(wanted, own), max(0, len(wanted) - 1))
-    shared = wanted[at] == own if len(wanted) else np.zeros(len(own), dtype=bool)
+    # texts with the same first hash, of which there is hardly a pair, all take its grams
+    first, last = np.searchsorted(docs.node, node), np.searchsorted(docs.node, node, side="right")
+    wanted = np.unique((_spread(first, last - first).astype(np.uint64) << np.uint64(32)) | np.repeat(low, last - first).astype(np.uint64))
+    own = (doc.astype(np.uint64) << np.uint64(32)) | _low(key)
+    shared = np.isin(own, wanted)
     key, doc, start, count = key[shared], doc[shared], start[shared], count[shared]
-    name = ((key >> np.uint64(32)).astype(np.int64) << 32) | (key % np.uint64(buckets)).astype(np.int64)
-    dealt = np.isin(name, hot)
+    dealt = np.isin((_low(key).astype(np.int64) << 32) | (key % np.uint64(buckets)).astype(np.int64), hot)
     if dealt.any():
         each = np.where(dealt, count, 1)
         part = np.repeat(np.arange(len(key)), each)
@@ -271,15 +311,14 @@ def _fragment_rows(left: pa.Table, right: pa.Table, buckets: int, length: int, g
     least = np.full(len(strings), LAST, dtype=np.int64)
     np.minimum.at(least, uid, place)
     gone = place > least[uid]
-    rows = []
-    if gone.any():
-        rows.append((int(docs.node[0] % buckets), _pack("gone", docs.node[doc[gone]], place[gone], start[gone], count[gone])))
+    rows = [(number % buckets, _pack("gone", number, *_spans(doc[gone], start[gone], count[gone])))] if gone.any() else []
     heirs = np.nonzero(~gone)[0][np.argsort(uid[~gone], kind="stable")]
     held = np.bincount(uid[heirs], minlength=len(strings))
     first = np.cumsum(held) - held
     for bucket, ids in _by((keys % np.uint64(buckets)).astype(np.int64), np.arange(len(strings))):
         own = heirs[_spread(first[ids], held[ids])]
-        rows.append((bucket, _pack("strings", keys[ids], b"".join(strings[k] for k in ids.tolist()), count[one[ids]], least[ids], held[ids], docs.node[doc[own]], start[own])))
+        rows.append((bucket, _pack("strings", number, _low(keys[ids]), b"".join([strings[k] for k in ids.tolist()]), count[one[ids]].astype(np.uint16), least[ids],
+                                   held[ids].astype(np.uint32), _narrow(doc[own]), _narrow(start[own]))))
     return pa.Table.from_batches([_rows(rows, "bucket")])
 
 
@@ -403,44 +442,41 @@ def repeats(data: np.ndarray, sizes: np.ndarray, group: np.ndarray, place: np.nd
     return string, at[gone] - (np.cumsum(sizes) - sizes)[string]
 
 
-def _gone_rows(table: pa.Table, bins: int, length: int) -> pa.Table:
-    """The windows to remove from the documents that hold the strings of one bucket."""
-    out: list[tuple[np.ndarray, ...]] = []
+def _gone_rows(table: pa.Table, length: int) -> pa.Table:
+    """The windows to remove from the texts that hold the strings of one bucket."""
+    rows: list[tuple[int, bytes]] = []
     seen: dict[bytes, int] = {}
-    keys, uids, places, held, nodes, starts = [], [], [], [], [], []
+    parts: list[tuple[np.ndarray, ...]] = []
     for blob in table.column("blob").to_pylist():
-        kind, *arrays = _unpack(blob)
+        kind, number, *arrays = _unpack(blob)
         if kind == "gone":
-            out.append(tuple(arrays))
+            rows.append((number, _pack(*arrays)))
             continue
-        key, text, count, place, times, node, start = arrays
-        ends = np.cumsum(count + length - 1)
-        uids.append(np.array([seen.setdefault(text[b:e], len(seen)) for b, e in zip((ends - count - length + 1).tolist(), ends.tolist())], dtype=np.int64))
-        keys.append(key), places.append(place), held.append(times), nodes.append(node), starts.append(start)
-    if uids:
-        key, uid, place, times, node, start = map(np.concatenate, (keys, uids, places, held, nodes, starts))
+        key, text, count, place, held, doc, start = arrays
+        size = count.astype(np.int64) + length - 1
+        ends = np.cumsum(size)
+        uid = np.array([seen.setdefault(text[b:e], len(seen)) for b, e in zip((ends - size).tolist(), ends.tolist())], dtype=np.int64)
+        parts.append((uid, key, place, held.astype(np.int64), doc.astype(np.int64), start.astype(np.int64), np.full(len(doc), number)))
+    if parts:
+        uid, key, place, held, doc, start, number = map(np.concatenate, zip(*parts))
         strings = list(seen)
-        size = np.array([len(s) for s in strings], dtype=np.int64)
+        windows = np.array([len(s) for s in strings], dtype=np.int64) - length + 1
         least = np.full(len(strings), LAST, dtype=np.int64)
         np.minimum.at(least, uid, place)
-        group = np.zeros(len(strings), dtype=np.uint64)
+        group = np.zeros(len(strings), dtype=np.uint32)
         group[uid] = key
-        holder_uid, holder_place = np.repeat(uid, times), np.repeat(place, times)
-        later = holder_place > least[holder_uid]
-        out.append((node[later], holder_place[later], start[later], size[holder_uid[later]] - length + 1))
-        firsts = np.nonzero(~later)[0][np.argsort(holder_uid[~later], kind="stable")]
-        of = np.bincount(holder_uid[firsts], minlength=len(strings))
+        later = np.repeat(place > least[uid], held)
+        uid = np.repeat(uid, held)
+        out = [(number[later], doc[later], start[later], windows[uid[later]])]
+        firsts = np.nonzero(~later)[0][np.argsort(uid[~later], kind="stable")]
+        of = np.bincount(uid[firsts], minlength=len(strings))
         begin = np.cumsum(of) - of
-        for string, window in _sorted_groups(strings, size, group, least, length):
-            cut = np.append(True, (string[1:] != string[:-1]) | (window[1:] != window[:-1] + 1)) if len(string) else np.zeros(0, dtype=bool)
-            at = np.nonzero(cut)[0]
-            count, string, window = np.diff(np.append(at, len(string))), string[at], window[at]
+        for string, window in _sorted_groups(strings, windows + length - 1, group, least, length):
+            string, window, count = (x.astype(np.int64) for x in _spans(string, window, np.ones(len(window), dtype=np.int64)))
             own = firsts[_spread(begin[string], of[string])]
             part = np.repeat(np.arange(len(string)), of[string])
-            out.append((node[own], holder_place[own], start[own] + window[part], count[part]))
-    none = np.zeros(0, dtype=np.int64)
-    node, *rest = map(np.concatenate, zip(*out)) if out else (none,) * 4
-    rows = [(b, _pack(*own)) for b, *own in _by(node % bins, node, *rest)]
+            out.append((number[own], doc[own], start[own] + window[part], count[part]))
+        rows += [(b, _pack(*_spans(*own))) for b, *own in _by(*map(np.concatenate, zip(*out)))]
     return pa.Table.from_batches([_rows(rows, "bin")])
 
 
@@ -460,46 +496,35 @@ def _sorted_groups(strings: list[bytes], size: np.ndarray, group: np.ndarray, pl
         yield ids[string[by]], window[by]
 
 
-def _cut_rows(left: pa.Table, right: pa.Table, length: int) -> pa.Table:
-    """Every document of a bin without the bytes that its windows cover."""
+def _cut_rows(left: pa.Table, right: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
+    """Every text of a bin without the bytes that its windows cover, a slice of the bin at a time."""
     docs = _Bin(left)
-    delta = np.zeros(len(docs.data) + 1, dtype=np.int32)
     gone = [_unpack(b) for b in right.column("blob").to_pylist()]
-    if gone and len(docs.node):
-        node, place, start, count = map(np.concatenate, zip(*gone))
-        order = np.lexsort((docs.place, docs.node))
-        pairs = np.array([docs.node[order], docs.place[order]])
-        doc = order[_find(pairs, node, place)]
-        begin = docs.offsets[doc] + start
-        np.add.at(delta, begin, 1)
-        np.add.at(delta, begin + count + length - 1, -1)
-    covered = np.cumsum(delta[:-1]) > 0
-    data = np.frombuffer(docs.data, dtype=np.uint8)
-    counted = np.append(0, np.cumsum(covered))
-    removed = counted[docs.offsets[1:]] - counted[docs.offsets[:-1]]
-    edge = covered.copy()
-    edge[1:] &= ~covered[:-1]
-    heads = docs.offsets[:-1][np.diff(docs.offsets) > 0]
-    edge[heads] = covered[heads]
-    edges = np.append(0, np.cumsum(edge))
-    spans = edges[docs.offsets[1:]] - edges[docs.offsets[:-1]]
-    kept, size = data[~covered].tobytes(), np.diff(docs.offsets)
-    ends = np.cumsum(size - removed)
-    texts = [kept[b:e] for b, e in zip((ends - size + removed).tolist(), ends.tolist())]
-    ids = pa.array(docs.place, pa.int64(), mask=docs.nameless.astype(bool))
-    return pa.table({"doc_id": ids, "n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()),
-                     "kept": pa.array(texts, pa.binary()), "times": pa.array(docs.times, pa.int64())})
-
-
-def _find(pairs: np.ndarray, node: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Where ``(node, place)`` stands in sorted pairs; a node has one place but for a collision of hashes."""
-    at = np.searchsorted(pairs[0], node)
-    while True:
-        wrong = (pairs[1][at] != place) & (pairs[0][np.minimum(at + 1, pairs.shape[1] - 1)] == node)
-        wrong &= at + 1 < pairs.shape[1]
-        if not wrong.any():
-            return at
-        at = at + wrong
+    none = np.zeros(0, dtype=np.int64)
+    doc, start, count = (x.astype(np.int64) for x in map(np.concatenate, zip(*gone))) if gone else (none,) * 3
+    order = np.argsort(doc, kind="stable")
+    doc, begin, size = doc[order], (docs.offsets[doc] + start)[order], count[order] + length - 1
+    at = 0
+    while at < len(docs.node):
+        stop = max(at + 1, int(np.searchsorted(docs.offsets, docs.offsets[at] + PIECE, side="right")) - 1)
+        base, offsets = docs.offsets[at], docs.offsets[at:stop + 1] - docs.offsets[at]
+        own = slice(*np.searchsorted(doc, [at, stop]))
+        delta = np.zeros(offsets[-1] + 1, dtype=np.int32)
+        np.add.at(delta, begin[own] - base, 1)
+        np.add.at(delta, begin[own] - base + size[own], -1)
+        covered = np.cumsum(delta[:-1]) > 0
+        edge = covered.copy()
+        edge[1:] &= ~covered[:-1]
+        heads = offsets[:-1][np.diff(offsets) > 0]
+        edge[heads] = covered[heads]
+        removed, spans = (np.diff(np.append(0, np.cumsum(x))[offsets]) for x in (covered, edge))
+        kept = np.frombuffer(docs.data, dtype=np.uint8, count=offsets[-1], offset=base)[~covered].tobytes()
+        left_ = np.diff(offsets) - removed
+        ends = np.cumsum(left_)
+        texts = [kept[b:e] for b, e in zip((ends - left_).tolist(), ends.tolist())]
+        yield pa.record_batch([pa.array(x, pa.int64()) for x in (docs.place[at:stop], docs.named[at:stop], docs.unnamed[at:stop], np.diff(offsets), removed, spans)] + [pa.array(texts, pa.binary())],
+                              names=["place", "named", "unnamed", "n_bytes", "n_removed", "n_spans", "kept"])
+        at = stop
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -512,30 +537,40 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     follow all others (as the largest possible id would) and take nothing from each other.  Repeated rows have equal results;
     an empty table gives no rows; other columns are not read.
 
-    Texts are read once for their grams, and shuffled twice, compressed: to cut fragments, and to remove windows.  What meets in one task is a bin of
-    documents or the distinct fragments of a bucket of grams; equal fragments of a bin are one, and a gram that more than
-    ``hot`` documents hold is dealt out by whole windows.
+    Equal texts are one: the first keeps what no other text has, its copies lose everything by a join of hashes.  Different texts are
+    read for their grams and shuffled once, compressed; Spark reuses that shuffle to cut fragments and to remove windows.  What meets in one
+    task is a bin of different texts, or the distinct fragments of a bucket of grams: equal fragments of a bin are one, and a
+    gram of very many fragments is dealt out by whole windows.
     """
+    if not gram <= length or gram < 8:
+        raise ValueError("a gram has 8 bytes at least and length bytes at most")
     spark = docs.sparkSession
     tasks = shuffle_tasks(spark)
-    bins, buckets = BINS * tasks, BINS * tasks
-    own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), utf8(text).alias("text"))
-    node = F.xxhash64("doc_id", "text")
-    # rows that agree in id and text are one document, however many there are
-    alike = own.groupBy(node.alias("node")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
-    rows = own.withColumn("times", F.lit(1).cast("long")) if alike else own.groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("times"))
-    rows = rows.select(node.bitwiseAND(F.lit((1 << 63) - 1)).alias("node"), F.coalesce("doc_id", F.lit(int(LAST))).alias("place"), F.col("doc_id").isNull().cast("tinyint").alias("nameless"), "times", "text")
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), utf8(text).alias("text"))
+    node, other = F.xxhash64("text").bitwiseAND(F.lit((1 << 63) - 1)), F.xxhash64(F.lit(1), "text")
+    rows = rows.select("doc_id", node.alias("node"), other.alias("other"), F.coalesce("doc_id", F.lit(int(LAST))).alias("place"), "text")
     blob = "blob binary"
-    grams = rows.select("node", "text").mapInArrow(partial(_gram_rows, buckets=buckets, length=length, gram=gram), f"bucket int, {blob}")
-    shared = durable(grams.groupBy("bucket").applyInArrow(lambda t: _shared(t, bins, hot), f"bin int, {blob}"), "shared-grams")
-    most = shared.filter("bin < 0").select("blob").mapInArrow(_hot_rows, "name long, holders long").orderBy(F.desc("holders"), "name").limit(HOT_GRAMS)
-    hot_grams = np.array([r["name"] for r in most.select("name").collect()], dtype=np.int64)
-    texts = rows.mapInArrow(partial(_packed, bins=bins), f"bin int, {blob}")
-    cut = texts.groupBy("bin").cogroup(shared.filter("bin >= 0").groupBy("bin")).applyInArrow(
-        lambda a, b: _fragment_rows(a, b, buckets, length, gram, hot_grams), f"bucket int, {blob}")
-    gone = cut.groupBy("bucket").applyInArrow(lambda t: _gone_rows(t, bins, length), f"bin int, {blob}")
+    grams = rows.select("node", "text").mapInArrow(partial(_gram_rows, buckets=tasks, length=length, gram=gram), f"bucket int, {blob}")
+    shared = durable(grams.groupBy("bucket").applyInArrow(lambda t: _shared(t, tasks, hot), f"bin int, {blob}, grams long"), "shared-grams")
+    most = max(hot, (shared.agg(F.sum("grams")).first()[0] or 0) // (16 * tasks))
+    found = shared.filter("bin < 0").select("blob").mapInArrow(_hot_rows, "name long, size long").filter(F.col("size") > most)
+    hot_grams = np.array([r["name"] for r in found.orderBy(F.desc("size"), "name").limit(HOT_GRAMS).select("name").collect()], dtype=np.int64)
+    texts = rows.withColumn("nameless", F.col("doc_id").isNull().cast("int")).drop("doc_id").mapInArrow(partial(_packed, bins=tasks), f"bin int, {blob}")
+    cut = texts.groupBy("bin").cogroup(shared.filter("bin >= 0").select("bin", "blob").groupBy("bin")).applyInArrow(
+        lambda a, b: _fragment_rows(a, b, tasks, length, gram, hot_grams), f"bucket int, {blob}")
+    gone = cut.groupBy("bucket").applyInArrow(lambda t: _gone_rows(t, length), f"bin int, {blob}")
     made = texts.groupBy("bin").cogroup(gone.groupBy("bin")).applyInArrow(
-        lambda a, b: _cut_rows(a, b, length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, times long")
-    if not alike:
-        made = made.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
-    return made.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept")
+        lambda a, b: pa.Table.from_batches(_cut_rows(a, b, length), _CUT), "place long, named long, unnamed long, n_bytes long, n_removed long, n_spans long, kept binary")
+    ids = F.when(F.col("k") < F.col("named"), F.col("place"))
+    firsts = made.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("named") + F.col("unnamed") - 1))).select(ids.alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
+    # later copies, without their texts unless these are too short to lose anything
+    size = F.octet_length("text").cast("long")
+    copies = durable(rows.select("doc_id", "node", "other", "place", size.alias("n_bytes"), F.when(size < length, F.col("text")).otherwise(F.lit(b"")).alias("kept")), "text-keys")
+    least = copies.groupBy(F.col("node").alias("n"), F.col("other").alias("o")).agg(F.min("place").alias("least"), F.max("place").alias("most")).filter("least < most")
+    all_ = F.when(F.col("n_bytes") >= length, F.col("n_bytes")).otherwise(F.lit(0))
+    later = copies.join(least, (F.col("node") == F.col("n")) & (F.col("other") == F.col("o"))).filter("place > least") \
+        .select("doc_id", "n_bytes", all_.cast("long").alias("n_removed"), (all_ > 0).cast("long").alias("n_spans"), "kept")
+    return firsts.unionByName(later)
+
+
+_CUT = pa.schema([(n, pa.int64()) for n in ("place", "named", "unnamed", "n_bytes", "n_removed", "n_spans")] + [("kept", pa.binary())])
