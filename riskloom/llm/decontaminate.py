@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -56,16 +57,18 @@ def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:
 
 
 def units_of(text: str) -> list[tuple[int, list[bytes]]]:
-    """The numbered units of an item: its words by ``PART``, and, below zero, those of question and answer alone.
+    """The numbered units of an item: its words by ``PART``, and, below zero, those of the longer of question and answer alone.
 
-    A document may hold question and answer far apart, so that no passage has most of a unit with both.
+    A document may hold question and answer far apart, so that no passage has most of a unit with both.  It must hold
+    both, so the longer side, of which more words must agree, finds whatever the shorter one would: an answer of one
+    common word would only bring every passage to the check.
     """
     words = words_of(text)
     out = [(k // PART, words[k:k + PART]) for k in range(0, len(words), PART)]
-    for side in question_and_answer(text) if words else ():
-        for k in range(0, len(side), PART):
-            if all(side[k:k + PART] != unit for _, unit in out):
-                out.append((-1 - len(out), side[k:k + PART]))
+    side = max(question_and_answer(text), key=len) if words else []         # the question where they are alike
+    for k in range(0, len(side), PART):
+        if all(side[k:k + PART] != unit for _, unit in out):
+            out.append((-1 - len(out), side[k:k + PART]))
     return out
 
 
@@ -266,11 +269,6 @@ def leak_column(spark, index: Index, text: str, threshold: float, overlap: float
     return leaked(F.col(f"`{text}`").cast("string"))
 
 
-def _all_leaks(docs, items, text, item_id, item_text, threshold, overlap, min_words):
-    columns = [leak_column(docs.sparkSession, x, text, threshold, overlap) for x in build_indexes(items, item_id, item_text, min_words=min_words)]
-    return F.concat(*columns) if columns else F.lit(None).cast(FOUND)
-
-
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
           item_text: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, min_words: int = MIN_WORDS) -> DataFrame:
     """``(doc_id, item_id, score, question_overlap, answer_overlap)`` for every test item that a document holds.
@@ -279,16 +277,24 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     threshold are retrieved, without a limit on their number, and an item counts when the document holds
     most n-grams of its question and of its answer.  Null and empty texts hold nothing; equal item
     rows count once, repeated document rows each; an empty table on either side gives no rows; rows without id
-    keep a null id; other columns are not read.  With ``min_words`` 1 no item is left out.
+    keep a null id; other columns are not read.  With ``min_words`` 1 no item is left out.  The documents are read once for
+    every piece of the index, so that a task holds one piece at a time, however many items there are.
     """
-    found = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"),
-                        F.explode(_all_leaks(docs, items, text, item_id, item_text, threshold, overlap, min_words)).alias("f"))
-    return found.select("doc_id", "f.*")
+    found = [docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.explode(leak_column(docs.sparkSession, index, text, threshold, overlap)).alias("f"))
+             for index in build_indexes(items, item_id, item_text, min_words=min_words)]
+    none = docs.limit(0).select(F.lit(None).cast("long").alias("doc_id"), F.explode(F.lit(None).cast(FOUND)).alias("f"))
+    return reduce(DataFrame.unionByName, found or [none]).select("doc_id", "f.*")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
                   threshold: float = THRESHOLD, overlap: float = OVERLAP, min_words: int = MIN_WORDS) -> DataFrame:
-    """The rows of ``docs`` that hold no test item, all columns as they are, without a shuffle."""
+    """The rows of ``docs`` that hold no test item, all columns as they are, without a shuffle.
+
+    An index of several pieces is applied piece after piece, what is left being written in between: a task holds one piece at a time.
+    """
     found, = fresh(docs, "found")
-    kept = docs.withColumn(found, _all_leaks(docs, items, text, item_id, item_text, threshold, overlap, min_words))
-    return kept.filter(F.coalesce(F.size(found), F.lit(0)) <= 0).drop(found)
+    kept, before = docs, None
+    for index in build_indexes(items, item_id, item_text, min_words=min_words):
+        kept = kept if before is None else durable(before, "without-leaks")
+        before = kept.withColumn(found, leak_column(docs.sparkSession, index, text, threshold, overlap)).filter(F.coalesce(F.size(found), F.lit(0)) <= 0).drop(found)
+    return docs if before is None else before

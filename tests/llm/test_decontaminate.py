@@ -62,18 +62,37 @@ def test_question_and_answer():
     assert D.question_and_answer("a b c d e f g h") == ([b"a", b"b", b"c", b"d", b"e", b"f"], [b"g", b"h"])
 
 
+def held(docs, items):
+    """(doc_id, item_id) of all items whose question and answer n-grams a document mostly holds; docs and items are (id, text)."""
+    asked = [(i, [(p, min(D.NGRAM, len(p))) for p in D.question_and_answer(t)]) for i, t in items if t and D.words_of(t)]
+    out = []
+    for doc_id, text in docs:
+        words = D.words_of(text)
+        grams = {n: {tuple(words[i:i + n]) for i in range(len(words) - n + 1)} for n in range(1, D.NGRAM + 1)}
+        out += [(doc_id, item) for item, parts in asked
+                if all(sum(tuple(p[i:i + n]) in grams[n] for i in range(len(p) - n + 1)) >= D.OVERLAP * (len(p) - n + 1) for p, n in parts)]
+    return out
+
+
 def test_query_equals_ngram_overlap(spark, sf):
     got = {(r.doc_id, r.item_id) for r in QUERIES["op1_decontamination"](spark, sf).collect()}
-    items = table(spark, sf, "benchmark").collect()
-    expected = set()
-    for doc in table(spark, sf, "documents").collect():
-        words = D.words_of(doc.text)
-        grams = {n: {tuple(words[i:i + n]) for i in range(len(words) - n + 1)} for n in range(1, 6)}
-        for item in items:
-            if all(sum(tuple(p[i:i + n]) in grams[n] for i in range(len(p) - n + 1)) >= D.OVERLAP * (len(p) - n + 1)
-                   for p in D.question_and_answer(item.text) for n in [min(5, len(p))]):
-                expected.add((doc.doc_id, item.item_id))
-    assert got == expected and got
+    docs, items = (table(spark, sf, t).select(k, "text").collect() for t, k in (("documents", "doc_id"), ("benchmark", "item_id")))
+    assert got == set(held(docs, items)) and got
+
+
+def test_one_word_answer_is_found_by_its_question(spark, documents):
+    question = "which river runs past the old mill town and its seven bridges"
+    items = spark.createDataFrame([(1, f"{question}? Answer: the"), (2, f"of? Answer: {question} today"), (3, "a plain item with words. and an end")], "item_id long, text string")
+    docs = documents((1, f"the {FAR} {question}"), (2, f"{FAR} {question} {FAR}"), (3, f"of {FAR} {question} today"), (4, "the of the of"))
+    found = sorted((r.doc_id, r.item_id) for r in D.leaks(docs, items).collect())
+    assert found == sorted(held([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in items.collect()])) == [(1, 1), (2, 1), (3, 1), (3, 2)]
+
+
+def test_units_are_the_whole_item_and_its_longer_side():
+    assert D.units_of("one two three four? Answer: five") == [(0, [b"one", b"two", b"three", b"four", b"answer", b"five"]), (-2, [b"one", b"two", b"three", b"four"])]
+    assert D.units_of("who? Answer: a man of some means")[1:] == [(-2, [b"a", b"man", b"of", b"some", b"means"])]
+    assert D.units_of("a b. c d")[1:] == [(-2, [b"a", b"b"])]       # as long: the question
+    assert D.units_of("...") == []
 
 
 @pytest.fixture
@@ -126,3 +145,13 @@ def test_pieces_of_an_index_find_the_same(spark, sf):
     for row in docs.limit(60).collect():
         whole = [(m["item_id"], round(m["score"], 9)) for m in one.matches(row.text)]
         assert sorted((m["item_id"], round(m["score"], 9)) for p in pieces for m in p.matches(row.text)) == sorted(whole)
+
+
+def test_documents_of_an_index_in_pieces(spark, sf, monkeypatch):
+    docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    found = sorted(D.leaks(docs, items, min_words=1).collect())
+    kept = sorted(r.doc_id for r in D.decontaminate(docs, items, min_words=1).collect())
+    build = D.build_indexes
+    monkeypatch.setattr(D, "build_indexes", lambda *a, **k: build(*a, **k, index_bytes=9000))
+    assert sorted(D.leaks(docs, items, min_words=1).collect()) == found
+    assert sorted(r.doc_id for r in D.decontaminate(docs, items, min_words=1).collect()) == kept
