@@ -148,16 +148,18 @@ def clusters(vectors: DataFrame, count: int = CLUSTERS, rounds: int = ROUNDS, di
             slices_ = durable(slices_.groupBy("shard").cogroup(sums.groupBy("shard")).applyInArrow(_update, "shard int, slice binary"), "slices", written)
         last = _assigned(data, slices_).join(blocks.filter("shard = 0").select("block", "ids"), "block")
         result = durable(last.select("ids", "labels", "distances").mapInArrow(_rows, "vec_id long, cluster int, distance string")
-                         .select("vec_id", "cluster", F.col("distance").cast("decimal(38,0)").alias("distance")), "clusters")
+                         .select("vec_id", "cluster", F.expr("try_cast(distance AS long)").alias("distance")), "clusters")
         final = _joined([(r["shard"], pickle.loads(r["slice"]).tolist()) for r in slices_.collect()])
     finally:
         forget(spark, written)
-    inertia = result.groupBy("cluster").agg(F.sum("distance").alias("own"))
-    total = result.agg(F.sum("distance")).first()[0]
+    # a sum over a distance that does not fit is null as well
+    added = F.when(F.count(F.lit(1)) == F.count("distance"), F.sum(F.col("distance").cast("decimal(38,0)")))
+    inertia = result.groupBy("cluster").agg(added.alias("own"))
+    total = result.agg(added).first()[0]
     digests = spark.createDataFrame([(k, sha256(",".join(map(str, c)).encode()).hexdigest()) for k, c in enumerate(final)], "cluster int, centroid_sha256 string")
     summed = digests.join(inertia, "cluster").select("cluster", F.expr("try_cast(own AS long)").alias("cluster_inertia"), "centroid_sha256")
     return result.join(F.broadcast(summed), "cluster").select(
-        "vec_id", "cluster", F.expr("try_cast(distance AS long)").alias("distance"), "cluster_inertia",
+        "vec_id", "cluster", "distance", "cluster_inertia",
         F.lit(int(total) if total is not None and total < 1 << 63 else None).cast("long").alias("inertia"), "centroid_sha256")
 
 
