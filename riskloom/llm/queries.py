@@ -77,10 +77,14 @@ SELECT doc_id, size, source_size, target, (size * (epochs + CASE WHEN rest > 0 A
 """
 
 
+SHARD_BYTES = 256 << 10
+
+
 @query
 def op4_sharding(spark, sf_dir):
+    """Shards of at most 256 KiB, so that buckets split in tables of any size."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return sharding.shard(docs).drop("text")
+    return sharding.shard(docs, SHARD_BYTES).drop("text")
 
 
 @query

@@ -38,7 +38,7 @@ def test_known_diffs():
 
 
 def by_hand(rows, min_words=L.MIN_WORDS):
-    """rows: (doc_id, text) with distinct ids; the cleaned texts."""
+    """rows: (doc_id, text) with distinct ids; the cleaned texts, every text being aligned with all earlier ones that share a line."""
     first, lines = {}, {}
     for i, text in sorted(rows):
         lines[i] = [(n, x.strip(" \t\n\r\x0b\x0c")) for n, x in enumerate((text or "").split("\n")) if x.strip(" \t\n\r\x0b\x0c")]
@@ -50,7 +50,7 @@ def by_hand(rows, min_words=L.MIN_WORDS):
     pairs = set()
     for own in holders.values():
         own.sort()
-        pairs |= {(b, a) for k, a in enumerate(own) for b in own[k + 1:]} if len(own) <= L.RARE else {(b, own[0]) for b in own[1:]}
+        pairs |= {(b, a) for k, a in enumerate(own) for b in own[k + 1:]}
     gone = defaultdict(set)
     for later, earlier in pairs:
         matches = L.patience([x for _, x in lines[earlier]], [x for _, x in lines[later]])
@@ -71,7 +71,7 @@ def by_hand(rows, min_words=L.MIN_WORDS):
     return out
 
 
-def test_query_equals_all_candidate_pairs(spark, sf):
+def test_query_equals_every_pair(spark, sf):
     docs = table(spark, sf, "documents")
     want = by_hand([(r.doc_id, r.text) for r in docs.collect()])
     got = {r.doc_id: r.clean_text for r in L.line_dedup(docs).collect()}
@@ -113,6 +113,7 @@ def test_rows_with_one_id_and_text_are_one_document(documents):
     docs = documents(*[(1, "the same words stand in here")] * 3, clashing=False)
     assert [r.clean_text for r in L.line_dedup(docs).collect()] == ["the same words stand in here"] * 3
 
+
 def every_pair(rows, min_words=L.MIN_WORDS):
     """rows: (doc_id, text) with distinct ids and different lines; the cleaned texts when every text is aligned with every earlier one."""
     lines = {i: L.filled_lines(text.encode()) for i, text in rows}
@@ -164,10 +165,3 @@ def test_windows_cover_common_blocks():
     found, full = L.windows(rows, 5)
     assert {(s, e) for _, s, e in found} == {(0, 0), (0, 1), (0, 2), (8, 8)} and full == [0, 1, 2, 8]
     assert L.windows(rows, 10) == ([], [])
-
-
-def test_query_equals_every_pair(spark, sf, monkeypatch):
-    docs = table(spark, sf, "documents")
-    got = {r.doc_id: r.clean_text for r in L.line_dedup(docs).collect()}
-    monkeypatch.setattr(L, "RARE", 1 << 60)         # for by_hand alone, which then compares all earlier texts
-    assert got == by_hand([(r.doc_id, r.text) for r in docs.collect()])

@@ -6,7 +6,7 @@ import pytest
 
 from riskloom.llm import sharding
 from riskloom.llm.common import table
-from riskloom.llm.queries import QUERIES
+from riskloom.llm.queries import QUERIES, SHARD_BYTES
 
 
 def split(rows, limit, depth=0):
@@ -36,10 +36,25 @@ def test_shards_equal_recursive_splits(spark, sf, limit):
         assert own[0].shard_bytes <= limit or len(own) == 1
 
 
-def test_query_holds_every_document(spark, sf):
+def test_query_equals_recursive_splits(spark, sf):
+    sf = sf.replace("sf0.001", "sf0.01")
+    docs = table(spark, sf, "documents")
+    hashes = {r.doc_id: (r.h & (1 << 64) - 1, len((r.text or "").encode())) for r in docs.select("doc_id", "text", sharding._hash("doc_id", "text").alias("h")).collect()}
     rows = QUERIES["op4_sharding"](spark, sf).collect()
-    assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in table(spark, sf, "documents").collect())
-    assert sum(r.bytes for r in rows) == rows[0].shard_bytes
+    assert {r.doc_id: r.shard for r in rows} == split([(h, n, i) for i, (h, n) in hashes.items()], SHARD_BYTES) and len(rows) == len(hashes)
+    assert {r.doc_id: r.bytes for r in rows} == {i: n for i, (_, n) in hashes.items()}
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[r.shard] += r.bytes
+    assert len(sizes) > 10 and max(sizes.values()) <= SHARD_BYTES and all(r.shard_bytes == sizes[r.shard] for r in rows)
+
+
+def test_very_long_text(documents):
+    docs = documents(*[(i, "x" * 100) for i in range(50)], (99, "long " * 400_000), clashing=False)
+    rows = sharding.shard(docs, 1000).collect()
+    long, = (r for r in rows if r.doc_id == 99)
+    assert (long.bytes, long.shard_bytes, long.shard_rows) == (2_000_000, 2_000_000, 1)
+    assert all(r.shard_bytes <= 1000 for r in rows if r.doc_id != 99)
 
 
 def test_equal_rows_are_cut_into_pages(documents):
