@@ -39,7 +39,7 @@ def as_bag(names: list[str], rows: list[tuple]) -> Counter:
     return Counter(tuple(_plain(r[i]) for i in order) for r in rows)
 
 
-FAMILY = {"string": "VARCHAR", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
+FAMILY = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
 
 
 def compare(spark, sf_dir: str, build, statement: str) -> str:

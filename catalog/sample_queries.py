@@ -242,6 +242,23 @@ def csv_directory(spark, sf_dir):
     return _read_back(spark, "csv-directory", write, lambda at: readers.read_csv(spark, at, ("id", "snippet", "target")).drop("origin"))
 
 
+_CSV_TEXT = "text || chr(10) || '\"' || source || '\", ' || chr(13) || chr(10) || '\"\"' || doc_id"
+
+
+@register("csv_ranges", sql.query(["docs AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents)"], f"""
+  SELECT CAST(doc_id AS VARCHAR) AS id, {_CSV_TEXT} AS snippet, source AS target FROM docs""", id=S, snippet=S, target=S))
+def csv_ranges(spark, sf_dir):
+    """Whole documents with line breaks and quotes as values, read in ranges of 16 KiB: records, quotes and headers of two lines lie over their borders."""
+    docs = corpus.table(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
+    broken = F.concat("text", F.lit("\n\""), "source", F.lit('", \r\n""'), F.col("doc_id").cast("string"))
+    rows = docs.select(F.col("doc_id").alias("id"), broken.alias("snippet\nof \"code\""), F.col("source").alias("target"))
+
+    def read(at):
+        return readers.read_csv(spark, at, range_bytes=1 << 14).select("id", F.col("snippet\nof \"code\"").alias("snippet"), "target")
+
+    return _read_back(spark, "csv-ranges", lambda to: rows.write.csv(to, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False), read)
+
+
 @register("json_files", sql.query(SAMPLES, "SELECT CAST(row_id AS VARCHAR) AS id, code AS snippet, raw_label AS target FROM raw_samples", id=S, snippet=S, target=S))
 def json_files(spark, sf_dir):
     """A file for every 64 documents: an array of objects."""

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import csv
+import io
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskloom.functions.durable import durable
 from riskloom.operators import labels, samples
 from riskloom.registry import HIGH_RISK
+from riskloom.sources.csv_ranges import csv_records
 
 # FIXED VALUES: parts of column names that tell code and label columns.
 CODE_PARTS = ("code", "snippet", "source", "func", "function")
@@ -19,48 +22,33 @@ FIX_PAIR_COLUMNS = ("CVE_ID", "vuln_type", "language", "vulnerable_code", "patch
 _TEXT_LIMIT = str(64 * 1024 * 1024)
 
 
-def _csv(spark: SparkSession, **options):
-    """Quoted values may hold line breaks and doubled quotes.
+# quoted values may hold line breaks and doubled quotes
+_CSV = {"multiLine": "true", "quote": '"', "escape": '"', "maxCharsPerColumn": _TEXT_LIMIT, "mode": "PERMISSIVE"}
 
-    Such files cannot be split: ship large sets as many files or as Parquet.
-    """
-    return spark.read.options(header=True, multiLine=True, quote='"', escape='"', maxCharsPerColumn=_TEXT_LIMIT, **options)
-
-
-def _headers(spark: SparkSession, path: str, suffix: str) -> list[tuple[tuple[str, ...], list[str]]]:
-    """The files below ``path`` grouped by their header line; one job finds the first line of every file."""
-    lines = spark.read.option("pathGlobFilter", suffix).text(path)
-    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    heads = lines.select("value", F.col("_metadata.file_path").alias("path"), at.alias("at")).filter("at.block = 0") \
-        .groupBy("path").agg(F.min_by("value", "at").alias("head"))
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for row in heads.orderBy("path").collect():         # one line for each file
-        header = tuple(next(csv.reader([row["head"].removeprefix("\ufeff")]), ()))
-        if header:
-            groups.setdefault(header, []).append(row["path"])
-    return list(groups.items())
 
-
-def read_csv_groups(spark: SparkSession, path: str, columns: tuple[str, ...] | None = None, suffix: str = "*.csv") -> list[DataFrame]:
+def read_csv_groups(spark: SparkSession, path: str, columns: tuple[str, ...] | None = None, suffix: str = "*.csv",
+                    range_bytes: int | None = None) -> list[DataFrame]:
     """A third-party file or directory: one table for each header that occurs, all columns as text, with ``origin`` (the file).
 
-    Every file is read with its own header.  Rows with too few fields are kept, padded with nulls; rows with too many are
-    dropped.  ``columns`` selects those that exist; Spark then parses only these.
+    Every file is read with its own header, and a large file in many ranges, of ``range_bytes`` if given (see ``csv_records``).  Rows with too few fields are kept, padded with nulls; rows with too many are
+    dropped.  ``columns`` selects those that exist; Spark then parses only these.  Only the different headers pass through the driver.
     """
+    found = csv_records(spark, path, suffix, range_bytes)
+    files = durable(found.heads.join(found.files, "file"), "csv-files")
     out = []
-    for header, files in _headers(spark, path, suffix):
+    for row in files.groupBy("head").agg(F.min("path").alias("first")).orderBy("first").collect():
+        header = tuple(next(csv.reader(io.StringIO(row["head"].removeprefix("\ufeff"))), ()))
+        if not header:
+            continue
         names = _unique(header)
-        fields = [T.StructField(n, T.StringType()) for n in names]
-        raw = _csv(spark, mode="PERMISSIVE", enforceSchema=True) \
-            .schema(T.StructType([*fields, T.StructField(_MORE, T.StringType())])).csv(files)
-        kept = [n for n in names if columns is None or n in columns]
-        out.append(raw.filter(F.col(_MORE).isNull()).select(*[_named(n) for n in kept], F.col("_metadata.file_path").alias("origin")))
+        schema = ", ".join(f"c{i} string" for i in range(len(names) + 1))
+        own = files.filter(F.col("head") == row["head"]).select("file", F.col("path").alias("origin"))
+        raw = found.records.join(own, "file").select("origin", F.from_csv("record", schema, _CSV).alias("r"))
+        kept = [(i, n) for i, n in enumerate(names) if columns is None or n in columns]
+        out.append(raw.filter(F.col(f"r.c{len(names)}").isNull()).select(*[F.col(f"r.c{i}").alias(n) for i, n in kept], "origin"))
     return out
 
 
-_MORE = "_one_field_too_many"
-
-
 def _unique(header: tuple[str, ...]) -> list[str]:
     """Column names of a header; repeated and empty ones get a number, as two columns can't share a name."""
     seen: dict[str, int] = {}
@@ -80,9 +68,9 @@ def read_training_csv(spark: SparkSession, path: str) -> DataFrame:
     return samples.drop_incomplete(reduce(DataFrame.unionByName, [p.select("code", "label") for p in parts]))
 
 
-def read_csv(spark: SparkSession, path: str, columns: tuple[str, ...] | None = None, suffix: str = "*.csv") -> DataFrame:
+def read_csv(spark: SparkSession, path: str, columns: tuple[str, ...] | None = None, suffix: str = "*.csv", range_bytes: int | None = None) -> DataFrame:
     """All tables of ``read_csv_groups`` by column name; a column that a file lacks is null there."""
-    parts = read_csv_groups(spark, path, columns, suffix)
+    parts = read_csv_groups(spark, path, columns, suffix, range_bytes)
     if not parts:
         raise ValueError(f"no file with a header at {path}")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
