@@ -248,7 +248,8 @@ def overlaps(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id"
         .select("seq", "first", F.col("w.keys").alias("key"), F.col("w.starts").alias("start"), F.col("w.ends").alias("end"))
     spread = each.select("key", "seq", "first").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("df"), F.min(_order()).alias("least")).filter("df > 1") \
         .select("key", "df", F.col("least.seq").alias("earliest"), F.ceil(F.col("df") / CELL).cast("int").alias("cells"))
-    held = durable(each.join(spread, "key"), "windows")
+    # stored, so that Spark may split the rows of a very frequent window over several tasks of the join
+    held = durable(each.join(durable(spread, "window-counts"), "key"), "windows")
 
     def aligned(pairs: DataFrame) -> DataFrame:
         paired = pairs.join(parts.select(F.col("seq").alias("earlier"), F.col("lines").alias("earlier_lines")), "earlier") \

@@ -566,7 +566,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     # later copies, without their texts unless these are too short to lose anything
     size = F.octet_length("text").cast("long")
     copies = durable(rows.select("doc_id", "node", "other", "place", size.alias("n_bytes"), F.when(size < length, F.col("text")).otherwise(F.lit(b"")).alias("kept")), "text-keys")
-    least = copies.groupBy(F.col("node").alias("n"), F.col("other").alias("o")).agg(F.min("place").alias("least"), F.max("place").alias("most")).filter("least < most")
+    # stored, so that Spark may split the rows of a text with very many copies over several tasks of the join
+    least = durable(copies.groupBy(F.col("node").alias("n"), F.col("other").alias("o")).agg(F.min("place").alias("least"), F.max("place").alias("most")).filter("least < most"), "copied-texts")
     all_ = F.when(F.col("n_bytes") >= length, F.col("n_bytes")).otherwise(F.lit(0))
     later = copies.join(least, (F.col("node") == F.col("n")) & (F.col("other") == F.col("o"))).filter("place > least") \
         .select("doc_id", "n_bytes", all_.cast("long").alias("n_removed"), (all_ > 0).cast("long").alias("n_spans"), "kept")
