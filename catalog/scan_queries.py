@@ -369,6 +369,23 @@ def ranked_files(spark, sf_dir):
     return corpus_scan(spark, sf_dir).ranked
 
 
+@register("ranked_positions", sql.query([*FINDINGS, sql.SQL_CHAINS], f"""
+  SELECT repo, file, row_number() OVER (PARTITION BY repo ORDER BY composite_score DESC, file) AS position FROM ({RANKED_BODY})""", **AT, position=B))
+def ranked_positions(spark, sf_dir):
+    return corpus_scan(spark, sf_dir, "facts").file_positions().select("repo", "file", "position")
+
+
+@register("priority_positions", sql.query(PRIORITY, f"SELECT repo, file, line, issue, priority, position FROM ({PRIORITY_TOP})",
+                                          **AT_LINE, issue=S, priority=S, position=B))
+def priority_positions(spark, sf_dir):
+    return corpus_scan(spark, sf_dir, "facts").priority_positions().select("repo", "file", "line", "issue", "priority", "position")
+
+
+@register("chain_positions", sql.query(CHAINS, f"SELECT * FROM ({CHAIN_TOP})", **CHAIN, position=B))
+def chain_positions(spark, sf_dir):
+    return corpus_scan(spark, sf_dir, "facts").chain_positions()
+
+
 @register("attack_surface", sql.query(ENTRIES, """
   SELECT c.repo, count(*) FILTER (type <> 'Route Handler') AS total_entry_points,
     count(*) FILTER (type = 'Route Handler') AS total_endpoints, count(*) FILTER (type = 'File Upload') AS risky_uploads,

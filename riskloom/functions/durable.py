@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+#: What the innermost open ``storage`` deletes at its end.
+_OWNED: ContextVar[list[str] | None] = ContextVar("owned", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,17 +28,41 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def claim(spark: SparkSession, name: str, written: list[str] | None = None) -> str:
+    """A new path in the shared folder, for an owner: ``written``, else the open ``storage``, else nobody."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    owner = _OWNED.get() if written is None else written
+    if owner is not None:
+        owner.append(path)
+    return path
+
+
+@contextmanager
+def storage(spark: SparkSession) -> Iterator[list[str]]:
+    """Owns the tables that are stored inside and deletes them at the end; results are read inside.
+
+        with storage(spark):
+            split = stratified_split(samples, F.col("row_id"))
+            split.write.parquet(path)
+    """
+    owned: list[str] = []
+    token = _OWNED.set(owned)
+    try:
+        yield owned
+    finally:
+        _OWNED.reset(token)
+        remove(spark, owned)
+
+
 def durable(df: DataFrame, name: str, written: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet and read it back.
 
     Lineage is cut, lost executors cost nothing that is already written, and
-    later jobs prune columns and push filters into the files.  The folder is added
-    to ``written``, for an owner that will ``remove`` it.
+    later jobs prune columns and push filters into the files.  The table belongs to ``written``, whose owner
+    will ``remove`` it, or to the open ``storage``.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    if written is not None:
-        written.append(path)
+    path = claim(spark, name, written)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -36,6 +36,31 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, p
     return out if position else out.drop(rank)
 
 
+def ranked_position(df: DataFrame, groups: list[str], order: list[Column], name: str, written: list[str] | None = None) -> DataFrame:
+    """``df`` with the exact 1-based position of each row within its group, under a total order.
+
+    Rows are dealt to range partitions by group and order, and sorted there; a row's number in its task
+    plus the sizes of all tasks before is its place among all rows, and less the place of its group's first row its position.  No
+    group is sorted in one task, however many rows it has: only task sizes, one row a task, are added up in one.
+    The sorted rows are stored once, with their numbers.
+    """
+    task, number, before, first = "_task", "_number", "_before", "_first"
+    keys = [F.col(g).asc_nulls_first() for g in groups]
+    ordered = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    # a task's numbers count from its own multiple of 2 ** 33
+    stored = durable(ordered.withColumn(number, F.monotonically_increasing_id()), "ranked", written)
+    split = stored.withColumn(task, F.shiftright(number, 33)).withColumn(number, F.col(number).bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = split.groupBy(task).agg(F.count(F.lit(1)).alias("_size"))
+    offsets = sizes.select(task, (F.sum("_size").over(Window.orderBy(task)) - F.col("_size")).alias(before))
+    placed = split.join(offsets, task).withColumn(number, F.col(number) + F.col(before))
+    if not groups:
+        return placed.withColumn(name, F.col(number) + 1).drop(task, number, before)
+    tops = split.groupBy(*groups, task).agg(F.min(number).alias(number)).join(offsets, task) \
+        .groupBy(*[F.col(g).alias(f"_of_{i}") for i, g in enumerate(groups)]).agg(F.min(F.col(number) + F.col(before)).alias(first))
+    same = [F.col(g).eqNullSafe(F.col(f"_of_{i}")) for i, g in enumerate(groups)]
+    return placed.join(tops, same).withColumn(name, F.col(number) - F.col(first) + 1).select(*df.columns, name)
+
+
 def hashed_position(df: DataFrame, groups: list[str], key: Column, name: str, total: str) -> DataFrame:
     """Exact 1-based position of each row within its group, in md5 order of a unique key.
 

@@ -11,10 +11,12 @@ from riskloom.operators.hits import shortcut_mask
 from riskloom.registry import (
     CLASS_PREFIXES,
     CONTEXT_LINES,
+    DEFAULT,
     FINDING_COMMENTS,
     FUNCTION_PREFIXES,
     IMPORT_PREFIXES,
     STATS_COMMENTS,
+    Registry,
 )
 
 
@@ -54,8 +56,8 @@ def scannable_lines(line_table: DataFrame) -> DataFrame:
     return line_table.filter(is_scannable(F.col("code")))
 
 
-def file_profile(files: DataFrame) -> DataFrame:
-    """Line counts, size and shortcut signatures of every file.
+def file_profile(files: DataFrame, registry: Registry = DEFAULT) -> DataFrame:
+    """Line counts, size and the registry's shortcut signatures of every file.
 
     Everything is computed inside the file row: one read, no explode, no shuffle.
     """
@@ -77,7 +79,7 @@ def file_profile(files: DataFrame) -> DataFrame:
             count("is_class").alias("classes"),
             F.length("content").cast("bigint").alias("total_characters"),
             F.round(F.col("size_bytes") / 1024, 2).alias("size_kb"),
-            shortcut_mask().alias("shortcut_mask"),
+            shortcut_mask(registry=registry).alias("shortcut_mask"),
         )
     )
 

@@ -94,38 +94,46 @@ def _fixed_line(issue: Column, raw: Column) -> Column:
     return fix
 
 
-def patched_files(files: DataFrame) -> DataFrame:
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Columns that are computed once a row: a generator is neither merged with later projections nor passed by later filters."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def patched_files(files: DataFrame, registry: R.Registry = R.DEFAULT) -> DataFrame:
     """``(repo, file, fixed_lines, patched_content)`` of the files with findings, every fixed line in place.
 
     Lines are searched and fixed inside the row of their file: contents are
-    neither shuffled nor joined.  Line terminators are kept.
+    neither shuffled nor joined.  Of all lines only those that pass the gate are tried, and only fixed ones
+    are made anew; what lies between them is taken as it is.  Line terminators are kept.
     """
-    content = text.universal_newlines(F.col("content"))
     # Cut before every line that follows a terminator, so that terminators stay with their lines.
-    pieces = F.split(content, "(?<=" + text.LINE_BREAKS + ")")
+    pieces = F.split(text.universal_newlines(F.col("content")), "(?<=" + text.LINE_BREAKS + ")")
     ending = "(?s)" + text.LINE_BREAKS + "?\\z"
+    names = [s.name for s in registry.vulnerabilities]
+
+    def searched(piece: Column, i: Column) -> Column:
+        return F.struct(i.alias("i"), text.strip(piece).alias("code"))
+
+    def folded(x: Column) -> Column:
+        return F.struct(x["i"].alias("i"), matching.fold(x["code"]).alias("folded"))
 
-    def read(piece: Column) -> Column:
+    def fixed(x: Column) -> Column:
+        piece = F.get("pieces", x["i"])
         raw = F.regexp_replace(piece, ending, "")
-        code = text.strip(raw)
-        searchable = (code != "") & ~text.starts_with_any(code, R.FINDING_COMMENTS)
-        return F.struct(raw.alias("raw"), F.substring(piece, F.length(raw) + 1, F.length(piece)).alias("ending"),
-                        F.when(searchable, matching.fold(code)).alias("folded"))
-
-    names = [s.name for s in R.VULNERABILITIES]
-    gate, triggers = matching.may_match_sql("x.folded"), matching.triggers_sql("x.folded")
-    staged = (
-        files.select("repo", "file", F.transform(pieces, read).alias("lines"))
-        .withColumn("lines", F.expr(f"transform(lines, x -> named_struct('raw', x.raw, 'ending', x.ending, 'folded', x.folded, "
-                                    f"'trigger', CASE WHEN {gate} THEN {triggers} END))"))
-        .withColumn("lines", F.expr(f"transform(lines, x -> named_struct('raw', x.raw, 'ending', x.ending, "
-                                    f"'vuln_id', CASE WHEN x.trigger IS NOT NULL THEN {matching.first_match(R.VULNERABILITIES, 'x.folded', 'x.trigger')} END))"))
-        .filter(F.exists("lines", lambda x: x["vuln_id"].isNotNull()))
-    )
-
-    def put(x: Column) -> Column:
-        issue = matching.lookup(x["vuln_id"], names)
-        return F.concat(F.when(x["vuln_id"].isNull(), x["raw"]).otherwise(_fixed_line(issue, x["raw"])), x["ending"])
-
-    return staged.select("repo", "file", F.size(F.filter("lines", lambda x: x["vuln_id"].isNotNull())).cast("bigint").alias("fixed_lines"),
-                         F.array_join(F.transform("lines", put), "").alias("patched_content"))
+        return F.struct(x["i"].alias("i"), F.concat(_fixed_line(matching.lookup(x["vuln_id"], names), raw), F.substring(piece, F.length(raw) + 1, F.length(piece))).alias("line"))
+
+    def between(x: Column, k: Column) -> Column:
+        start = F.when(k > 0, F.get("fixes", k - 1)["i"] + 1).otherwise(F.lit(0))
+        return F.concat(F.array_join(F.slice("pieces", start + 1, x["i"] - start), ""), x["line"])
+
+    gate, triggers = matching.may_match_sql("x.folded", registry), matching.triggers_sql("x.folded", registry)
+    lined = _once(files.select("repo", "file", "content"), pieces=pieces).drop("content")
+    candidates = F.transform(F.filter(F.transform("pieces", searched), lambda x: (x["code"] != "") & ~text.starts_with_any(x["code"], R.FINDING_COMMENTS)), folded)
+    gated = _once(lined, lines=candidates).withColumn("lines", F.expr(f"transform(filter(lines, x -> {gate}), x -> named_struct('i', x.i, 'folded', x.folded, 'trigger', {triggers}))"))
+    match = matching.first_match(registry.vulnerabilities, "x.folded", "x.trigger", registry)
+    found = _once(gated, hits=F.expr(f"filter(transform(lines, x -> named_struct('i', x.i, 'vuln_id', {match})), x -> x.vuln_id IS NOT NULL)")).drop("lines")
+    made = _once(found.filter(F.size("hits") > 0), fixes=F.transform("hits", fixed))
+    last = F.element_at("fixes", -1)["i"] + 1
+    tail = F.array_join(F.slice("pieces", last + 1, F.size("pieces") - last), "")
+    return made.select("repo", "file", F.size("fixes").cast("bigint").alias("fixed_lines"),
+                       F.concat(F.array_join(F.transform("fixes", between), ""), tail).alias("patched_content"))

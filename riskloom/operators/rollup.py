@@ -120,10 +120,10 @@ def shortcuts_by_repo(profile: DataFrame) -> DataFrame:
     return profile.groupBy("repo").agg(F.bit_or("shortcut_mask").alias("shortcut_mask"))
 
 
-def shortcut_presence(profile: DataFrame) -> DataFrame:
-    """``(repo, shortcut, weight)`` for every shortcut signature found in a repository."""
+def shortcut_presence(profile: DataFrame, registry: R.Registry = R.DEFAULT) -> DataFrame:
+    """``(repo, shortcut, weight)`` for every shortcut signature found in a repository; ``profile`` is of the same registry."""
     known = F.array(*[F.struct(F.lit(i).alias("bit"), F.lit(s.name).alias("shortcut"), F.lit(s.weight).alias("weight"))
-                      for i, s in enumerate(R.SHORTCUTS)])
+                      for i, s in enumerate(registry.shortcuts)])
     return (
         shortcuts_by_repo(profile).select("repo", "shortcut_mask", F.inline(known))
         .filter("getbit(shortcut_mask, bit) = 1").select("repo", "shortcut", "weight")

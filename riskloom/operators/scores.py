@@ -182,9 +182,9 @@ def with_ml_adjustment(scored: DataFrame) -> DataFrame:
         F.greatest(F.col("base_score") - ml_points(F.col("project_ml_risk"), *R.ML_POINTS), F.lit(0)))
 
 
-def with_vibe_index(facts: DataFrame) -> DataFrame:
-    """``vibe_score``, ``vibe_category`` and the points of the five factors."""
-    shortcuts = sum((F.getbit("shortcut_mask", F.lit(i)) * s.weight for i, s in enumerate(R.SHORTCUTS)), F.lit(0))
+def with_vibe_index(facts: DataFrame, registry: R.Registry = R.DEFAULT) -> DataFrame:
+    """``vibe_score``, ``vibe_category`` and the points of the five factors; shortcuts weigh what the registry says."""
+    shortcuts = sum((F.getbit("shortcut_mask", F.lit(i)) * s.weight for i, s in enumerate(registry.shortcuts)), F.lit(0))
     points = [F.least((shortcuts if name == "shortcuts" else F.col(name)) * each, F.lit(cap)) for name, (each, cap) in R.VIBE_POINTS.items()]
     names = ("pts_high", "pts_secrets", "pts_chains", "pts_shortcuts", "pts_surface")
     out = facts.withColumns({n: p.cast("int") for n, p in zip(names, points)})
@@ -233,9 +233,9 @@ def with_grade(scored: DataFrame) -> DataFrame:
                             for i, name in enumerate(("grade_label", "grade_color", "grade_explanation"))})
 
 
-def repo_report(facts: DataFrame) -> DataFrame:
+def repo_report(facts: DataFrame, registry: R.Registry = R.DEFAULT) -> DataFrame:
     """All repository scores in one row per repository."""
-    return with_grade(with_maturity(with_vibe_index(with_ml_adjustment(with_security_score(facts)))))
+    return with_grade(with_maturity(with_vibe_index(with_ml_adjustment(with_security_score(facts)), registry)))
 
 
 def fingerprint(report: DataFrame) -> DataFrame:

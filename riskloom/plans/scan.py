@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskloom import registry as R
 from riskloom.functions.durable import durable, remove
-from riskloom.functions.ranking import top_per_group
+from riskloom.functions.ranking import ranked_position, top_per_group
 from riskloom.operators import advice, chains, hits, narrative, rollup, scores
 from riskloom.operators import lines as line_ops
 from riskloom.plans import train
@@ -102,7 +102,7 @@ class Scan:
 
     @cached_property
     def report(self) -> DataFrame:
-        return scores.repo_report(self.repo_facts)
+        return scores.repo_report(self.repo_facts, self._registry)
 
     @cached_property
     def fingerprint(self) -> DataFrame:
@@ -148,6 +148,25 @@ class Scan:
     def top_files(self, n: int) -> DataFrame:
         return top_per_group(self.ranked, ["repo"], scores.file_order(), n, "position")
 
+    @cached_property
+    def shortcuts(self) -> DataFrame:
+        return rollup.shortcut_presence(self.profile, self._registry)
+
+    def _placed(self, rows: DataFrame, order: list) -> DataFrame:
+        return ranked_position(rows, ["repo"], order, "position", self._written)
+
+    def file_positions(self) -> DataFrame:
+        """Every file with its position in the whole ranked list of its repository."""
+        return self._placed(self.ranked, scores.file_order())
+
+    def priority_positions(self) -> DataFrame:
+        """Every finding with its position in the whole list of its repository."""
+        return self._placed(self.prioritized, scores.priority_order())
+
+    def chain_positions(self) -> DataFrame:
+        """Every attack chain with its position in the whole list of its repository."""
+        return self._placed(self.chain_rows, chains.chain_order()).select(*chains.CHAIN_COLUMNS, "position")
+
     def top_risks(self, n: int) -> DataFrame:
         order = [F.col("confidence").desc(), F.col("file")]
         return top_per_group(self.risks, ["repo"], order, n, "position")
@@ -162,10 +181,10 @@ def scan(files: DataFrame, model: train.RiskModel | None = None, file_risks: Dat
     unknown.  All passes over the contents are narrow: nothing is shuffled
     before the matching lines are known.  ``store`` names the tables to be
     written when first used; ``code_width`` cuts the code kept with a match.
-    ``registry`` replaces the line signatures that are looked for; shortcuts and the scores keep their rules.
+    ``registry`` replaces the signatures that are looked for, shortcuts and their weights included.
     """
     facts = hits.line_facts(line_ops.lines(files), code_width=code_width, registry=registry)
-    profile = line_ops.file_profile(files)
+    profile = line_ops.file_profile(files, registry)
     if file_risks is None:
         file_risks = train.unknown_risks(files) if model is None else model.predict(files).select(
             "repo", "file", "ml_prediction", "confidence", "all_scores")

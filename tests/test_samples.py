@@ -1,4 +1,6 @@
 import hashlib
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -28,10 +30,42 @@ def test_prefix_width(rows):
 
 
 def test_copies_are_combined_before_the_shuffle(spark, rows):
-    plan = samples.keep_first(rows(("a", "H")), ["row_id"])._jdf.queryExecution().executedPlan().toString()
+    first = samples._first_of_each(rows(("a", "H")), samples.code_key(), ["row_id"])
+    plan = first._jdf.queryExecution().executedPlan().toString()
     assert "partial_min" in plan and "HashAggregate" in plan and "SortAggregate" not in plan and "Window" not in plan
 
 
+def test_no_text_is_shuffled(spark, rows):
+    """Rows are picked out by bitmaps where they are read."""
+    df = rows(("a", "H"), ("a", "S"), ("b", "S"))
+    for kept in (samples.keep_first(df, ["row_id"]), samples.augment(df, rows(("c", "H"), ("a", "S")), ["row_id"])):
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastExchange" in plan and not re.search(r"(?<!Broadcast)Exchange ", plan)
+
+
+def test_bitmaps_of_any_numbers(spark, monkeypatch):
+    """Negative, far apart and dense row numbers, in one piece, in many pieces, and by a join where bitmaps would be larger."""
+    rng = random.Random(5)
+    numbers = sorted({*range(-40_000, 40_000, 7), 0, -1, 1, 32_767, 32_768, 32_769, -32_767, -32_768, -32_769, 65_536, -65_536, *(rng.randrange(1 << 22) for _ in range(3000))})
+    rows = [(n, "ab"[n % 2] + str(n % 900)) for n in numbers]
+    df = spark.createDataFrame(rows, "row_id long, code string")
+    first = {}
+    for n, code in rows:
+        first.setdefault(code, n)
+    want = sorted(first.values())
+    wanted = spark.createDataFrame([(n,) for n in want], "row_id long")
+    assert sorted(r.row_id for r in samples.keep_first(df, ["row_id"]).collect()) == want
+    monkeypatch.setattr(samples, "PIECE_BYTES", 8192)
+    monkeypatch.setattr(samples, "SMALL_BYTES", 1 << 40)
+    some = sorted(rng.sample(numbers, 3000))
+    many = samples.rows_at(df, spark.createDataFrame([(n,) for n in some], "row_id long"), ["row_id"])
+    assert sorted(r.row_id for r in many.collect()) == some and "Union" in many._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(samples, "SMALL_BYTES", 0)
+    joined = samples.rows_at(df, spark.createDataFrame([(want[0],), (want[-1],)], "row_id long"), ["row_id"])
+    assert sorted(r.row_id for r in joined.collect()) == [want[0], want[-1]]
+    assert samples.rows_at(df, wanted.filter("false"), ["row_id"]).count() == 0
+
+
 def test_earlier_source_wins(rows):
     merged = samples.merge(rows(("a", "old")), rows(("a", "new"), ("b", "new")))
     got = {r.code: r.label for r in samples.keep_first(merged, ["source_rank", "row_id"], 500).collect()}
