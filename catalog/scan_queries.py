@@ -11,9 +11,10 @@ from catalog import corpus, sql
 from riskloom import prose
 from riskloom import registry as R
 from riskloom.functions import text
-from riskloom.functions.durable import durable, remove, shared_folder
+from riskloom.functions.durable import claim, durable, remove, shared_folder
 from riskloom.operators import advice, chains, hits, narrative, patching, rollup, scores, search
 from riskloom.operators import lines as line_ops
+from riskloom.operators.trigrams import TrigramIndex
 from riskloom.plans.scan import Scan, scan
 from riskloom.sinks import export
 from riskloom.sources import tree
@@ -325,6 +326,19 @@ def search_entries(spark, sf_dir):
     return search.search_entry_points(entry_points(spark, sf_dir), "request", "parameter")
 
 
+@register("search_findings_index", ORACLE["search_findings"])
+def search_findings_index(spark, sf_dir):
+    """The same search through a trigram index."""
+    with TrigramIndex(findings(spark, sf_dir), ("issue", "file")) as index:
+        return durable(search.search_findings(index.containing("SQL"), "SQL", "high"), "found")
+
+
+@register("search_entries_index", ORACLE["search_entries"])
+def search_entries_index(spark, sf_dir):
+    with TrigramIndex(entry_points(spark, sf_dir), ("file", "matched_code")) as index:
+        return durable(search.search_entry_points(index.containing("request"), "request", "parameter"), "found")
+
+
 @register("severity_counts", sql.query(FINDINGS, """
   SELECT repo, count(*) FILTER (severity = 'High') AS high, count(*) FILTER (severity = 'Medium') AS medium,
     count(*) FILTER (severity = 'Low') AS low FROM findings GROUP BY repo""", repo=S, high=B, medium=B, low=B))
@@ -339,6 +353,18 @@ def file_severity_pivot(spark, sf_dir):
     return rollup.severity_counts(findings(spark, sf_dir), "repo", "file")
 
 
+@register("stat_levels", sql.query([*STATS, *[c for c in FINDINGS if c not in STATS]], """
+  SELECT repo, file, GROUPING(repo, file)::BIGINT AS level, sum(files)::BIGINT AS files, sum(total_lines)::BIGINT AS total_lines, sum(blank_lines)::BIGINT AS blank_lines,
+    sum(comments)::BIGINT AS comments, sum(imports)::BIGINT AS imports, sum(functions)::BIGINT AS functions, sum(classes)::BIGINT AS classes,
+    sum(high)::BIGINT AS high, sum(medium)::BIGINT AS medium, sum(low)::BIGINT AS low
+  FROM (SELECT repo, file, 1 AS files, total_lines, blank_lines, comments, imports, functions, classes, 0 AS high, 0 AS medium, 0 AS low FROM file_stats JOIN sizes USING (repo, file)
+    UNION ALL SELECT repo, file, 0, 0, 0, 0, 0, 0, 0, (severity = 'High')::INT, (severity = 'Medium')::INT, (severity = 'Low')::INT FROM findings)
+  GROUP BY ROLLUP (repo, file)""", **AT, level=B, files=B, total_lines=B, blank_lines=B, comments=B, imports=B, functions=B, classes=B, high=B, medium=B, low=B))
+def stat_levels(spark, sf_dir):
+    found = corpus_scan(spark, sf_dir)
+    return rollup.stat_levels(found.profile, found.findings)
+
+
 @register("file_score", sql.query(FINDINGS, """
   SELECT c.repo, c.file, greatest(100 - coalesce(sum(CASE severity WHEN 'High' THEN 25 WHEN 'Medium' THEN 10 WHEN 'Low' THEN 2 END), 0), 0)
     AS score FROM contents c LEFT JOIN findings f USING (repo, file) GROUP BY c.repo, c.file""", **AT, score=B))
@@ -575,7 +601,10 @@ _EXTRACTED = {"fingerprint": ("security_grade", "total_vulnerabilities", "attack
     FROM file_stats JOIN sizes USING (repo, file) GROUP BY repo""", **AT_LINE, part=S, fields=S))
 def json_extract(spark, sf_dir):
     """Every record, parsed again: nothing is capped."""
-    records = export.json_extract(corpus_scan(spark, sf_dir, "facts"))
+    return _parsed_records(export.json_extract(corpus_scan(spark, sf_dir, "facts")))
+
+
+def _parsed_records(records):
     fields = None
     for part, names in _EXTRACTED.items():
         value = F.concat_ws("|", *[F.get_json_object("record", f"$.{n}") for n in names])
@@ -584,6 +613,22 @@ def json_extract(spark, sf_dir):
                           F.get_json_object("record", "$.line").cast("bigint").alias("line"), fields.alias("fields"))
 
 
+@register("json_objects", ORACLE["json_extract"])
+def json_objects(spark, sf_dir):
+    """One object of any length for each repository, written in many files and read again line by line."""
+    folder = claim(spark, "json-objects")
+    export.write_json_objects(corpus_scan(spark, sf_dir, "facts"), folder)
+    lines = spark.read.schema("value string, repo string").text(folder).filter(~F.col("value").startswith('{"repo":'))
+    single = F.regexp_extract("value", r'^,"(\w+)":\{', 1)
+    record = F.regexp_replace("value", r'^,("\w+":)?', "")
+    part = F.when(single != "", single).when(F.col("value").contains('"attack_type":'), "attack_chains").otherwise("prioritized_findings")
+    records = lines.filter((single != "") | F.col("value").rlike(r"^,?\{")).select("repo", part.alias("part"), record.alias("record"))
+    try:
+        return durable(_parsed_records(records), "json-objects-read")
+    finally:
+        remove(spark, [folder])
+
+
 # --- texts ----------------------------------------------------------------------
 
 def _sentence(key: str, column: str, least: int = 1) -> str:

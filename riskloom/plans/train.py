@@ -7,7 +7,9 @@ import itertools
 import json
 import math
 from dataclasses import dataclass, replace
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import ElementwiseProduct, Normalizer, VectorAssembler
@@ -17,7 +19,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.functions.durable import durable
+from riskloom.functions.durable import durable, remove, storage
 from riskloom.operators import features, samples
 
 
@@ -190,15 +192,19 @@ def _fit_classifier(rows: DataFrame, total: int, settings: Settings):
 
 
 def train(data: DataFrame, settings: Settings = Settings(), label: str = "label") -> RiskModel:
-    """Fit vectorizer and classifier on cleaned samples, which are stored once: several passes read them."""
-    data = durable(data.select("code", label), "training")
-    vectorizer = fit_vectorizer(data, settings)
-    rows, labels, total = _weighted(data, vectorizer, label)
-    rows = rows.persist()
+    """Fit vectorizer and classifier on cleaned samples, which are stored once, until the model is there: several passes read them."""
+    spark, written = data.sparkSession, []
     try:
-        return RiskModel(vectorizer, labels, _fit_classifier(rows, total, settings))
+        data = durable(data.select("code", label), "training", written)
+        vectorizer = fit_vectorizer(data, settings)
+        rows, labels, total = _weighted(data, vectorizer, label)
+        rows = rows.persist()
+        try:
+            return RiskModel(vectorizer, labels, _fit_classifier(rows, total, settings))
+        finally:
+            rows.unpersist()
     finally:
-        rows.unpersist()
+        remove(spark, written)
 
 
 def train_and_evaluate(data: DataFrame, key: Column, settings: Settings = Settings()) -> tuple[RiskModel, DataFrame]:
@@ -231,17 +237,35 @@ GRID = {
 }
 
 
-def tune(data: DataFrame, key: Column, grid: dict = GRID, folds: int = 5, max_iter: int = 5000) -> DataFrame:
-    """Mean accuracy of every setting over the folds, best first.
+def _at_once(spark: SparkSession, work, items: list, parallelism: int) -> list:
+    """``work`` of every item, ``parallelism`` of them at a time: the small jobs of several fits fill a cluster together."""
+    if parallelism <= 1 or len(items) <= 1:
+        return [work(x) for x in items]
+    pool = ThreadPool(min(parallelism, len(items)))
+    try:
+        return pool.map(inheritable_thread_target(spark)(work), items)
+    finally:
+        pool.close()
+        pool.join()
+
+
+def tune(data: DataFrame, key: Column, grid: dict = GRID, folds: int = 5, max_iter: int = 5000, parallelism: int = 4) -> DataFrame:
+    """Mean accuracy of every setting over the folds, best first, and the ``rows`` that it was measured on.
 
     A vocabulary is ordered by use, so the vocabularies of all sizes are prefixes of the largest: one vectorizer is
-    fitted for each fold and pair of n-gram ranges, and its features are shared by all values of ``c``.
+    fitted for each fold and pair of n-gram ranges, and its features are shared by all values of ``c``, which are fitted
+    ``parallelism`` at a time.  What is stored on the way is deleted.
     """
+    with storage(data.sparkSession):
+        return _tuned(data, key, grid, folds, max_iter, parallelism)
+
+
+def _tuned(data: DataFrame, key: Column, grid: dict, folds: int, max_iter: int, parallelism: int) -> DataFrame:
     dealt = durable(samples.stratified_folds(data, key, folds=folds), "folds")
     names = [n for n in grid if n != "c"]
     ranges = [n for n in names if n.endswith("_range")]
     largest = {n: max(grid[n]) for n in names if n not in ranges}
-    scores: dict[tuple, list[float]] = {}
+    scores: dict[tuple, list[tuple[int, float]]] = {}
     hit = (F.col("label") == F.col("ml_prediction")).cast("int")
     for fold in range(folds):
         kept, held = dealt.filter(F.col("fold") != fold), dealt.filter(F.col("fold") == fold)
@@ -255,12 +279,16 @@ def tune(data: DataFrame, key: Column, grid: dict = GRID, folds: int = 5, max_it
             vectorizer = fitted[shape].narrowed(base)
             rows, labels, total = _weighted(kept, vectorizer, "label")
             rows = rows.persist()
-            for c in grid["c"]:
+
+            def measured(c: float) -> tuple[int, float]:
                 model = RiskModel(vectorizer, labels, _fit_classifier(rows, total, replace(base, c=c)))
-                scores.setdefault((values, c), []).append(model.predict(held, "code").agg(F.avg(hit)).first()[0])
+                return tuple(model.predict(held, "code").agg(F.count(F.lit(1)), F.avg(hit)).first())
+
+            for c, found in zip(grid["c"], _at_once(data.sparkSession, measured, list(grid["c"]), parallelism)):
+                scores.setdefault((values, c), []).append(found)
             rows.unpersist()
-    results = [(*map(str, values), float(c), sum(found) / len(found)) for (values, c), found in scores.items()]
-    schema = ", ".join(f"{n} string" for n in names) + ", c double, accuracy double"
+    results = [(*map(str, values), float(c), sum(a for _, a in found) / len(found), sum(n for n, _ in found)) for (values, c), found in scores.items()]
+    schema = ", ".join(f"{n} string" for n in names) + ", c double, accuracy double, rows long"
     return data.sparkSession.createDataFrame(results, schema).orderBy(F.col("accuracy").desc(), *names, "c")
 
 

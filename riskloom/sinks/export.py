@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,7 +107,7 @@ def write_json_lines(scan: Scan, path: str, caps: dict[str, int] | None = None)
 def write_json(scan: Scan, path: str, caps: dict[str, int]) -> None:
     """One JSON object with the five parts for each repository.
 
-    An object is one row, so both lists must be capped; ``write_json_lines`` writes them whole.
+    An object is one row, so both lists must be capped; ``write_json_objects`` and ``write_json_lines`` write them whole.
     """
     if missing := {"attack_chains", "prioritized_findings"} - set(caps):
         raise ValueError(f"give caps for {sorted(missing)}")
@@ -118,6 +120,34 @@ def write_json(scan: Scan, path: str, caps: dict[str, int]) -> None:
     lists.select(whole.alias("value")).write.mode("overwrite").text(path)
 
 
+def write_json_objects(scan: Scan, path: str) -> None:
+    """One JSON object with the five parts for each repository, whole, however long its lists are.
+
+    A repository has a folder ``repo=...``; its files in the order of their names, one after the other, are the object.  Rows are sorted
+    over range partitions by repository and place and streamed into these files, so no task holds a repository and a long one is
+    written by many.  Spark commits all files at once: a task that fails and runs again leaves no half object.
+    """
+    lists = {"attack_chains": scan.chain_positions(), "prioritized_findings": scan.priority_positions()}
+    bundle = result_bundle(scan) | lists
+    repos = scan.repos.select("repo", F.regexp_extract(F.to_json(F.struct("repo")), r"^\{(.*)\}$", 1).alias("name"))
+    pieces = [repos.select("repo", F.lit(0).alias("section"), F.lit(0).alias("place"), F.concat(F.lit("{"), "name").alias("value"))]
+    for k, part in enumerate(EXTRACT, 1):
+        rows, last = bundle[part], F.lit("}" if k == len(EXTRACT) else "")
+        body = F.to_json(F.struct(*[c for c in rows.columns if c not in ("repo", "position")]))
+        if part in lists:
+            comma = F.when(F.col("position") > 1, F.lit(",")).otherwise(F.lit(""))
+            pieces += [repos.select("repo", F.lit(k).alias("section"), F.lit(0).alias("place"), F.lit(f',"{part}":[').alias("value")),
+                       rows.select("repo", F.lit(k).alias("section"), F.col("position").alias("place"), F.concat(comma, body).alias("value")),
+                       repos.select("repo", F.lit(k).alias("section"), F.lit(2 ** 62).alias("place"), F.concat(F.lit("]"), last).alias("value"))]
+        else:
+            found = repos.select("repo").join(rows.select("repo", body.alias("body")), "repo", "left")
+            pieces.append(found.select("repo", F.lit(k).alias("section"), F.lit(0).alias("place"),
+                                       F.concat(F.lit(f',"{part}":'), F.coalesce("body", F.lit("null")), last).alias("value")))
+    whole = reduce(DataFrame.unionByName, [p.withColumn("place", F.col("place").cast("bigint")) for p in pieces])
+    ordered = whole.repartitionByRange("repo", "section", "place").sortWithinPartitions("repo", "section", "place")
+    ordered.select("repo", "value").write.mode("overwrite").partitionBy("repo").text(path)
+
+
 def report_sections(scan: Scan) -> DataFrame:
     """``(repo, section, seq, text)``: headline fields, top findings, chains and files as text lines."""
     def section(number: int, rows: DataFrame, seq: Column, line: Column) -> DataFrame:

@@ -59,6 +59,26 @@ def test_json(result, tmp_path):
     assert sum(r["part"] == "prioritized_findings" for r in records) == 241
 
 
+def test_json_objects_of_any_length(spark, result, tmp_path):
+    """The files of a repository in order are one object: its lists are whole, ordered, and lie over several files."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        export.write_json_objects(result, str(tmp_path / "objects"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    found = {}
+    for folder in (tmp_path / "objects").glob("repo=*"):
+        files = sorted(folder.glob("part-*"))
+        found[folder.name] = (json.loads("".join(f.read_text() for f in files)), len(files))
+    assert set(found) == {"repo=r", "repo=s"} and (tmp_path / "objects" / "_SUCCESS").exists()
+    r, files = found["repo=r"]
+    assert list(r) == ["repo", *export.EXTRACT] and r["repo"] == "r" and files > 1
+    want = [(x.file, x.line, x.priority) for x in sorted((x for x in result.priority_positions().collect() if x.repo == "r"), key=lambda x: x.position)]
+    assert [(x["file"], x["line"], x["priority"]) for x in r["prioritized_findings"]] == want and len(want) == 240
+    assert len(r["attack_chains"]) == result.chain_rows.filter("repo = 'r'").count() > 50
+    assert found["repo=s"][0]["attack_chains"] == [] and found["repo=s"][0]["fingerprint"]["total_files"] == 1
+
+
 def test_lazy_unless_stored(spark, tmp_path, monkeypatch):
     from riskloom.plans import scan as plan
     written = []
