@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.functions.durable import remove, shared_folder
+from riskloom.functions.durable import claim
 
 #: What counts as white space between words: space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -60,21 +60,13 @@ def as_long(values: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(values, dtype=np.uint64).view(np.int64))
 
 
-def bucketed(df: DataFrame, key: str, name: str, written: list[str]) -> DataFrame:
-    """``df`` in a stored table with a bucket for each shuffle task, so that joins by ``key`` move the other side only.
+def bucketed(df: DataFrame, key: str, name: str, written: list[str]) -> tuple[DataFrame, str]:
+    """``df`` as a stored table with a bucket for each shuffle task, so that joins by ``key`` move the other side only, and the table's name.
 
     The files lie in the shared checkpoint folder, their path is added to ``written``.
     """
     spark, tasks = df.sparkSession, shuffle_tasks(df.sparkSession)
+    path = claim(spark, name, written)
     table = f"{name}_{uuid.uuid4().hex}"
-    path = f"{shared_folder(spark)}/{table}"
-    written.append(path)
     df.repartition(tasks, key).write.bucketBy(tasks, key).option("path", path).format("parquet").saveAsTable(table)
-    return spark.table(table)
-
-
-def forget(spark: SparkSession, written: list[str]) -> None:
-    """Delete stored tables, those with buckets also from the session's catalog."""
-    for path in written:
-        spark.sql(f"DROP TABLE IF EXISTS `{path.rsplit('/', 1)[-1]}`")
-    remove(spark, written)
+    return spark.table(table), table

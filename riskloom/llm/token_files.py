@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import os
 import unicodedata
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache, partial
 from itertools import chain
@@ -17,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskloom.functions.durable import durable, shared_folder
+from riskloom.functions.durable import claim, durable
 from riskloom.llm.common import shuffle_tasks, slices, utf8
 
 END = 2
@@ -310,6 +309,6 @@ def token_files(docs: DataFrame, vocabulary: str, end: int = END, doc_id: str =
     gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
-    path = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
+    path = claim(spark, "token-files")
     write_token_files(docs, vocabulary, path, end, doc_id, text)
     return read_token_files(spark, path)

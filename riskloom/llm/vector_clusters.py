@@ -13,8 +13,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.durable import durable
-from riskloom.llm.common import bucketed, forget, slices
+from riskloom.functions.durable import durable, remove
+from riskloom.llm.common import bucketed, slices
 
 DIMENSIONS, CLUSTERS, ROUNDS = 64, 8, 10
 SEED = 3
@@ -139,7 +139,7 @@ def clusters(vectors: DataFrame, count: int = CLUSTERS, rounds: int = ROUNDS, di
     centroids = whole_numbers(np.array([r["embedding"] for r in first], dtype=np.float64))
     slices_ = spark.createDataFrame([(s, _pack(_kept(centroids[:, at:at + width]))) for s, at in enumerate(range(0, dimensions, width))], "shard int, slice binary")
     written: list[str] = []
-    blocks = bucketed(rows.mapInArrow(partial(_blocks, dimensions=dimensions, width=width), "block long, shard int, data binary, ids binary"), "block", "vector_blocks", written)
+    blocks, stored = bucketed(rows.mapInArrow(partial(_blocks, dimensions=dimensions, width=width), "block long, shard int, data binary, ids binary"), "block", "vector_blocks", written)
     try:
         data = blocks.select("block", "shard", "data")
         for _ in range(rounds):
@@ -151,7 +151,8 @@ def clusters(vectors: DataFrame, count: int = CLUSTERS, rounds: int = ROUNDS, di
                          .select("vec_id", "cluster", F.expr("try_cast(distance AS long)").alias("distance")), "clusters")
         final = _joined([(r["shard"], pickle.loads(r["slice"]).tolist()) for r in slices_.collect()])
     finally:
-        forget(spark, written)
+        spark.sql(f"DROP TABLE IF EXISTS {stored}")
+        remove(spark, written)
     # a sum over a distance that does not fit is null as well
     added = F.when(F.count(F.lit(1)) == F.count("distance"), F.sum(F.col("distance").cast("decimal(38,0)")))
     inertia = result.groupBy("cluster").agg(added.alias("own"))
