@@ -12,6 +12,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from catalog.registry import QUERIES  # noqa: E402
 from catalog.session import session  # noqa: E402
+from riskloom.functions.durable import storage  # noqa: E402
 
 HEADLINE = (
     "lines", "file_stats", "findings", "entry_points", "chains", "vibe_presence", "priority_top200", "ranked_files",
@@ -32,7 +33,8 @@ def main() -> None:
     seconds = {}
     for name in wanted:
         start = time.perf_counter()
-        run(QUERIES[name](spark, sf_dir))
+        with storage(spark):
+            run(QUERIES[name](spark, sf_dir))
         seconds[name] = round(time.perf_counter() - start, 3)
     lines = QUERIES["lines"](spark, sf_dir).count()
     out = {

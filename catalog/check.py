@@ -11,6 +11,8 @@ import time
 from collections import Counter
 from pathlib import Path
 
+from riskloom.functions.durable import storage
+
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
           "labels conversations").split()
 
@@ -45,7 +47,11 @@ FAMILY = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "
 def compare(spark, sf_dir: str, build, statement: str) -> str:
     """Empty when names, types and rows agree, else what differs."""
     names, types, expected = oracle_rows(sf_dir, statement)
-    df = build(spark, sf_dir)
+    with storage(spark):
+        return _compared(build(spark, sf_dir), names, types, expected)
+
+
+def _compared(df, names: list[str], types: list[str], expected: list[tuple]) -> str:
     if sorted(df.columns) != sorted(names):
         return f"columns {sorted(df.columns)} and {sorted(names)}"
     spark_types = {n: FAMILY.get(t, t) for n, t in df.dtypes}

@@ -29,17 +29,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def claim(spark: SparkSession, name: str, written: list[str] | None = None) -> str:
-    """A new path in the shared folder, for an owner: ``written``, else the open ``storage``, else nobody."""
+    """A new path in the shared folder, known to its owners: ``written`` and the open ``storage``."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    owner = _OWNED.get() if written is None else written
-    if owner is not None:
-        owner.append(path)
+    for owner in (written, _OWNED.get()):
+        if owner is not None:
+            owner.append(path)
     return path
 
 
 @contextmanager
 def storage(spark: SparkSession) -> Iterator[list[str]]:
-    """Owns the tables that are stored inside and deletes them at the end; results are read inside.
+    """Owns all tables that are stored inside and deletes what is left of them at the end; results are read inside.
 
         with storage(spark):
             split = stratified_split(samples, F.col("row_id"))

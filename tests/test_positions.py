@@ -4,12 +4,16 @@ import os
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
-from riskloom.functions.durable import durable, shared_folder, storage
+from catalog.registry import QUERIES
+from riskloom.functions.durable import durable, remove, shared_folder, storage
 from riskloom.functions.ranking import hashed_position, ranked_position
 from riskloom.plans.scan import scan
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_positions_equal_a_sort(spark):
     rng = random.Random(3)
@@ -55,4 +59,17 @@ def test_stored_tables_have_an_owner(spark):
     mine: list[str] = []
     with storage(spark):
         durable(spark.range(3), "kept", mine)
-    assert len(mine) == 1 and set(os.listdir(folder)) - before       # an owner of its own
+        assert len(mine) == 1 and len(set(os.listdir(folder)) - before) == 1
+        remove(spark, mine)
+    assert set(os.listdir(folder)) == before
+
+
+@pytest.mark.parametrize("name", ["stratified_split", "csv_ranges", "search_findings_index", "dedupe_exact", "json_objects", "ranked_positions", "priority_top200", "tree_filter"])
+def test_nothing_is_left_of_a_query(spark, name):
+    if not os.path.exists(SF):
+        pytest.skip("test tables are not here")
+    folder = re.sub("^file:", "", shared_folder(spark))
+    before = set(os.listdir(folder))
+    with storage(spark):
+        assert QUERIES[name](spark, SF).collect()
+    assert set(os.listdir(folder)) == before
