@@ -44,11 +44,12 @@ def entries(rules: DataFrame, listed: DataFrame) -> DataFrame:
     ruled = rules.filter("rule IS NOT NULL AND verdict IS NOT NULL").groupBy("rule").agg(F.max("verdict").alias("verdict"))
     host_ = F.translate(F.regexp_extract("rule", "^[^/]*", 0), UPPER, LOWER)
     path_ = F.regexp_extract("rule", "^[^/]*(.*)$", 1)
-    ruled = ruled.select(_rule_key(host_, path_).alias("key"), "rule", "verdict", F.length("rule").alias("long"), F.length(host_).alias("host_long"), F.length(path_).alias("path_long"))
+    ruled = ruled.select(_rule_key(host_, path_).alias("key"), "rule", "verdict", F.length("rule").alias("long"), F.length(host_).alias("host_long"), F.length(path_).alias("path_long"),
+                         host_.alias("rule_host"))
     none = F.lit(None)
     plain = listed.select(canonical(F.col("url")).alias("key")).filter("key <> ''").distinct()
     return ruled.unionByName(plain.select(F.concat(F.lit("url "), "key").alias("key"), none.cast("string").alias("rule"), F.lit("block").alias("verdict"),
-                                          F.lit(-1).alias("long"), F.lit(0).alias("host_long"), none.cast("int").alias("path_long")))
+                                          F.lit(-1).alias("long"), F.lit(0).alias("host_long"), none.cast("int").alias("path_long"), none.cast("string").alias("rule_host")))
 
 
 def _bits(key: Column) -> list[Column]:
@@ -77,17 +78,22 @@ def possible(keys: DataFrame, filter_: DataFrame, blocks: int) -> DataFrame:
     return found.select("key")
 
 
-def candidates(urls: DataFrame, path_lengths: list[int]) -> DataFrame:
+def candidates(urls: DataFrame, known: DataFrame) -> DataFrame:
     """``(url, key)``: all keys under which a URL may be listed.
 
-    Its canonical form, and every host from itself up to its last label with every start of the path that is as long as some rule's path.
+    Its canonical form, and, for every host from itself up to its last label that some rule has, the starts of the path that are as long as
+    the paths of that host's rules.  Hosts meet the rules' hosts first, each once, so a long list costs a URL only the rules of its own host.
     """
+    parts = urls.withColumns({"host": host(F.col("url")), "path": path(F.col("url"))}).filter("host <> ''")
     labels = F.split("host", r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
-    lengths = F.filter(F.array(*[F.lit(n) for n in path_lengths]).cast("array<int>"), lambda n: n <= F.length("path"))
-    ruled = F.flatten(F.transform(hosts, lambda h: F.transform(lengths, lambda n: _rule_key(h, F.substring(F.col("path"), F.lit(1), n)))))
-    both = F.concat(F.array(F.concat(F.lit("url "), canonical(F.col("url")))), ruled)
-    return urls.withColumns({"host": host(F.col("url")), "path": path(F.col("url"))}).filter("host <> ''").select("url", F.explode(F.array_distinct(both)).alias("key"))
+    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
+    hosts = parts.select("host").distinct().select("host", F.explode(F.array_distinct(above)).alias("rule_host"))
+    ruled = known.filter("rule_host IS NOT NULL").select("rule_host", "path_long").distinct()
+    # stored, so that Spark may split the URLs of a host with a third of them over several tasks of the join
+    fits = durable(hosts.join(ruled, "rule_host").select(F.col("host").alias("of"), "rule_host", "path_long"), "host-rules")
+    started = parts.join(fits, F.col("host") == F.col("of")).filter(F.col("path_long") <= F.length("path"))
+    return parts.select("url", F.concat(F.lit("url "), canonical(F.col("url"))).alias("key")).unionByName(
+        started.select("url", _rule_key(F.col("rule_host"), F.substring(F.col("path"), F.lit(1), F.col("path_long"))).alias("key")))
 
 
 def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, url: str = "url") -> DataFrame:
@@ -101,11 +107,10 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, url: str = "url
     empty list allows all; an empty table gives no rows.
     """
     known = durable(entries(rules, listed), "url-list")
-    facts = known.agg(F.count(F.lit(1)).alias("n"), F.collect_set("path_long").alias("lengths")).first()
-    blocks = max(1, -(-facts["n"] // KEYS_PER_BLOCK))
+    blocks = max(1, -(-known.count() // KEYS_PER_BLOCK))
     filter_ = durable(bloom(known, blocks), "url-filter")
     own, found = fresh(pages, "url_judged", "found")
-    keys = durable(candidates(pages.select(F.col(f"`{url}`").cast("string").alias("url")).filter("url IS NOT NULL").distinct(), sorted(facts["lengths"])), "url-keys")
+    keys = durable(candidates(pages.select(F.col(f"`{url}`").cast("string").alias("url")).filter("url IS NOT NULL").distinct(), known), "url-keys")
     hits = durable(possible(keys.select("key").distinct(), filter_, blocks).join(known, "key"), "url-hits")
     order = F.struct("long", "host_long", "rule")
     best = keys.join(hits, "key").groupBy(F.col("url").alias(own)).agg(F.max_by(F.struct("rule", "verdict"), order).alias(found))

@@ -52,3 +52,19 @@ def test_filter_has_no_false_negatives_and_few_false_positives(spark, n):
     assert U.possible(keys, filter_, blocks).count() == n
     strange = spark.range(20_000).select(F.concat(F.lit("url other"), "id").alias("key"))
     assert U.possible(strange, filter_, blocks).count() < 0.02 * 20_000
+
+
+def test_a_url_costs_the_rules_of_its_own_host_only(spark):
+    """Hundreds of path lengths in the list: a URL of a host without rules has its canonical form as only key."""
+    rules = spark.createDataFrame([(f"site{i}.org/{'p' * i}", "block") for i in range(300)] + [("own.org/a", "block"), ("own.org/a/b", "allow"), ("org/", "allow")], "rule string, verdict string")
+    known = U.entries(rules, spark.createDataFrame([], "url string"))
+    urls = spark.createDataFrame([("http://www.other.com/ppppppppppp",), ("http://x.own.org/a/b/c",), ("http://site7.org/ppppppppppp",)], "url string")
+    counts = {r.url: r["count"] for r in U.candidates(urls, known).groupBy("url").count().collect()}
+    assert counts == {"http://www.other.com/ppppppppppp": 1, "http://x.own.org/a/b/c": 4, "http://site7.org/ppppppppppp": 3}
+
+
+def test_repeated_null_urls(spark):
+    pages = spark.createDataFrame([(1, None), (1, None), (2, None), (3, "http://a.com/")], "page_id long, url string")
+    got = U.judge(pages, spark.createDataFrame(RULES, "rule string, verdict string"), pages.select("url"))
+    assert sorted((r.page_id, r.host, r.path, r.rule or "", r.verdict) for r in got.collect()) == [
+        (1, "", "", "", "allow"), (1, "", "", "", "allow"), (2, "", "", "", "allow"), (3, "a.com", "/", "com/", "allow")]
