@@ -12,7 +12,7 @@ from riskloom import prose
 from riskloom import registry as R
 from riskloom.functions import text
 from riskloom.functions.durable import claim, durable, remove, shared_folder
-from riskloom.operators import advice, chains, hits, narrative, patching, rollup, scores, search
+from riskloom.operators import advice, borders, chains, hits, narrative, patching, rollup, scores, search
 from riskloom.operators import lines as line_ops
 from riskloom.operators.trigrams import TrigramIndex
 from riskloom.plans.scan import Scan, scan
@@ -193,6 +193,23 @@ def vibe_presence(spark, sf_dir):
     return rollup.shortcut_presence(line_ops.file_profile(corpus.files(spark, sf_dir)))
 
 
+def _pieces(spark, sf_dir):
+    """A repository for every document, cut into a file after each equals sign."""
+    files = corpus.files(spark, sf_dir)
+    cut = files.select("repo", "doc_id", F.posexplode(F.split("content", "(?<==)")).alias("n", "content"))
+    return cut.select(F.concat("repo", F.lit("/"), "doc_id").alias("repo"), F.format_string("part%08d.py", "n").alias("file"), "content",
+                      F.octet_length("content").cast("bigint").alias("size_bytes"))
+
+
+@register("vibe_joined", sql.query(LINES, " UNION ALL ".join(
+    f"SELECT repo || '/' || doc_id AS repo, {sql.sql_text(s.name)} AS shortcut, {s.weight} AS weight FROM contents "
+    f"WHERE {sql.test("replace(content, '=', '=' || chr(10))", s.pattern)}" for s in R.SHORTCUTS), repo=S, shortcut=S, weight=B))
+def vibe_joined(spark, sf_dir):
+    """Shortcuts over the joined text of a repository whose files end in the middle of them."""
+    files = _pieces(spark, sf_dir)
+    return rollup.shortcut_presence(borders.with_borders(line_ops.file_profile(files), files))
+
+
 @register("file_stats", sql.query(
     STATS, "SELECT * FROM file_stats JOIN sizes USING (repo, file)", **AT, **{c: B for c in line_ops.STATS}))
 def file_stats(spark, sf_dir):

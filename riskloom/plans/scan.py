@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from riskloom import registry as R
 from riskloom.functions.durable import durable, remove
 from riskloom.functions.ranking import ranked_position, top_per_group
-from riskloom.operators import advice, chains, hits, narrative, rollup, scores
+from riskloom.operators import advice, borders, chains, hits, narrative, rollup, scores
 from riskloom.operators import lines as line_ops
 from riskloom.plans import train
 
@@ -174,17 +174,20 @@ class Scan:
 
 def scan(files: DataFrame, model: train.RiskModel | None = None, file_risks: DataFrame | None = None,
          store: tuple[str, ...] = (), code_width: int | None = None,
-         registry: R.Registry = R.DEFAULT) -> Scan:
+         registry: R.Registry = R.DEFAULT, joined: bool = False) -> Scan:
     """Scan ``files(repo, file, content, size_bytes)``.
 
     File risks come from ``file_risks``, else from ``model``, else they are
     unknown.  All passes over the contents are narrow: nothing is shuffled
     before the matching lines are known.  ``store`` names the tables to be
     written when first used; ``code_width`` cuts the code kept with a match.
-    ``registry`` replaces the signatures that are looked for, shortcuts and their weights included.
+    ``registry`` replaces the signatures that are looked for, shortcuts and their weights included.  ``joined`` also finds shortcuts that
+    begin in one file and end in a later one of its repository.
     """
     facts = hits.line_facts(line_ops.lines(files), code_width=code_width, registry=registry)
     profile = line_ops.file_profile(files, registry)
+    if joined:
+        profile = borders.with_borders(profile, files, registry)
     if file_risks is None:
         file_risks = train.unknown_risks(files) if model is None else model.predict(files).select(
             "repo", "file", "ml_prediction", "confidence", "all_scores")

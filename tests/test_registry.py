@@ -36,3 +36,15 @@ def test_first_last_and_adjacent_lines_are_fixed(files):
     df = files(("r", "a.py", "x = eval(a)\ny = eval(b)\nplain\nz = eval(c)"), ("r", "b.py", "x = eval(a)\n"), ("r", "c.py", "# eval(a)\n\n"))
     got = {r.file: (r.fixed_lines, r.patched_content) for r in patching.patched_files(df).collect()}
     assert got == {"a.py": (3, "x = ast.literal_eval(a)\ny = ast.literal_eval(b)\nplain\nz = ast.literal_eval(c)"), "b.py": (1, "x = ast.literal_eval(a)\n")}
+
+
+def test_shortcuts_over_the_borders_of_files(files):
+    """Joined by name with a line break: a match may lie over two files, or over several short ones."""
+    rows = [("r", "a.py", "x = 1\npassword ="), ("r", "b.py", "'abcdef'\n"), ("s", "a.py", "eval("), ("s", "b.py", ""), ("s", "c.py", ""), ("s", "d.py", "  user_input)"),
+            ("t", "a.py", "password ="), ("t", "b.py", "x" * 2000), ("t", "c.py", "'abcdef'"), ("u", "b.py", "password ="), ("u", "a.py", "'abcdef'")]
+    df = files(*rows)
+    with scan(df, joined=True) as result:
+        assert {(r.repo, r.shortcut) for r in result.shortcuts.collect()} == {("r", "Hardcoded Credential"), ("s", "No Input Validation (direct use)")}
+        assert {r.repo: r.vibe_breakdown["Insecure Shortcuts"] for r in result.report.collect()} == {"r": 10, "s": 15, "t": 0, "u": 0}
+    with scan(df) as result:
+        assert result.shortcuts.count() == 0
