@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalog import corpus, sql
-from catalog.scan_queries import B, D, L, S, corpus_lines, register
+from catalog.scan_queries import ORACLE, B, D, L, S, corpus_lines, register
 from riskloom.functions import text
 from riskloom.functions.durable import durable, remove, shared_folder
 from riskloom.operators import features, hits, labels, samples
@@ -451,6 +451,17 @@ def char_vocab(spark, sf_dir):
     return features.vocabulary(features.term_counts(_texts(spark, sf_dir), features.char_ngrams()), features.CHAR_FEATURES)
 
 
+@register("word_vocab_heavy", ORACLE["word_vocab"])
+def word_vocab_heavy(spark, sf_dir):
+    """The word vocabulary when only the terms of full hash buckets are shuffled."""
+    return features.heavy_terms(_texts(spark, sf_dir), features.word_ngrams(), features.WORD_FEATURES)
+
+
+@register("char_vocab_heavy", ORACLE["char_vocab"])
+def char_vocab_heavy(spark, sf_dir):
+    return features.heavy_terms(_texts(spark, sf_dir), features.char_ngrams(), features.CHAR_FEATURES)
+
+
 def _idf_sql(table: str, size: int) -> str:
     return (f"SELECT term, count(DISTINCT doc_id) AS documents, "
             f"ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + count(DISTINCT doc_id))) + 1 AS idf "

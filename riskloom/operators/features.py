@@ -10,10 +10,13 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.functions.durable import durable
 from riskloom.functions.matching import SPACE_CLASS, WORD_CLASS
 
 WORD_FEATURES, CHAR_FEATURES = 4000, 2000
 WORD_RANGE, CHAR_RANGE = (1, 3), (2, 5)
+BUCKETS = 1 << 20       # hash buckets of terms; a literal of as many bits goes to every task
+FULLEST = 3             # times as many buckets as wanted terms are counted at first
 # A word character followed by word characters or dots, which keeps os.system whole.
 TOKEN = f"{WORD_CLASS}[\\p{{L}}\\p{{N}}_.]*{WORD_CLASS}"
 
@@ -104,6 +107,37 @@ def vocabulary(counts: DataFrame, size: int) -> DataFrame:
     return counts.orderBy(F.col("uses").desc(), "term").limit(size)
 
 
+def _in_buckets(bucket: Column, buckets: list[int], count: int) -> Column:
+    """Whether a bucket is among the given ones: a bit of a literal of ``count`` bits, not a join."""
+    bits = bytearray(count // 8)
+    for b in buckets:
+        bits[b >> 3] |= 1 << (b & 7)
+    octet = F.conv(F.hex(F.substring(F.lit(bytes(bits)), F.shiftright(bucket, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return F.getbit(octet, bucket.bitwiseAND(F.lit(7))) == 1
+
+
+def heavy_terms(samples: DataFrame, terms: Column, size: int, buckets: int = BUCKETS) -> DataFrame:
+    """The same ``(term, uses)`` as ``vocabulary`` of ``term_counts``, of which only a few terms are shuffled.
+
+    A first pass adds up uses by hash bucket: a bucket's sum is at least that of each of its terms.  The terms of the
+    fullest buckets are counted; the last of the ``size`` most used ones is a bound, and buckets whose sum is below it can hold no
+    other.  The rest, seldom any, is counted as well, so the result is exact.  Distinct terms grow with the corpus, buckets do not.
+    """
+    exploded = samples.select(F.explode(terms).alias("term"))
+    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+    sums = durable(exploded.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("sum")), "term-buckets")
+    fullest = [r["bucket"] for r in sums.orderBy(F.desc("sum"), "bucket").limit(FULLEST * size).collect()]
+
+    def counted_in(chosen: list[int]) -> DataFrame:
+        return exploded.filter(_in_buckets(bucket, chosen, buckets)).groupBy("term").agg(F.count(F.lit(1)).alias("uses"))
+
+    counts = durable(vocabulary(counted_in(fullest), size), "heavy-terms")
+    found = counts.agg(F.count(F.lit(1)).alias("n"), F.min("uses").alias("least")).first()
+    least = found["least"] if found["n"] == size else 0
+    rest = [r["bucket"] for r in sums.filter(F.col("sum") >= least).join(F.broadcast(sums.orderBy(F.desc("sum"), "bucket").limit(FULLEST * size)), "bucket", "left_anti").select("bucket").collect()]
+    return vocabulary(counts.unionByName(counted_in(rest)) if rest else counts, size)
+
+
 def inverse_document_frequency(samples: DataFrame, terms: Column, vocab: DataFrame) -> DataFrame:
     """``(term, documents, idf)`` with idf = ln((1 + samples) / (1 + documents)) + 1.
 

@@ -102,3 +102,20 @@ def test_ngrams_by_definition(spark, code):
 def test_confusion(spark):
     df = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b")], "label string, ml_prediction string")
     assert {r.actual: (r.a, r.b) for r in train.confusion(df, ["a", "b"]).collect()} == {"a": (1, 1), "b": (0, 1)}
+
+
+@pytest.mark.parametrize("buckets,fullest", [(1 << 12, 3), (8, 1), (64, 1), (1 << 20, 1)])
+def test_heavy_terms_equal_counts_of_all(spark, monkeypatch, buckets, fullest):
+    """However many terms share a bucket, and when the fullest buckets do not hold all of the most used terms."""
+    import random
+
+    rng = random.Random(buckets)
+    words = [f"t{i}" for i in range(700)]
+    rows = [(" ".join(rng.choices(words, [1 / (i + 1) for i in range(700)], k=rng.randint(0, 60))),) for _ in range(150)]
+    df = spark.createDataFrame(rows, "code string").select(F.split("code", " ").alias("terms"))
+    monkeypatch.setattr(features, "FULLEST", fullest)
+    for size in (5, 40, 5000):
+        want = features.vocabulary(features.term_counts(df, F.col("terms")), size).collect()
+        assert features.heavy_terms(df, F.col("terms"), size, buckets).collect() == want
+    empty = df.filter("false")
+    assert features.heavy_terms(empty, F.col("terms"), 5, buckets).count() == 0
