@@ -266,12 +266,13 @@ def _arrow() -> pa.Schema:
 def write_token_files(docs: DataFrame, vocabulary: str, path: str, end: int = END, doc_id: str = "doc_id", text: str = "text") -> None:
     """Encode every whole text, append ``end``, and write all identifiers in ascending order of doc_id.
 
-    Texts are shuffled once, into ranges of doc_id (null first; rows that share an id by their text).  A range is
+    Texts are shuffled once, into ranges of doc_id (null first) and, for rows that share an id or have none, of a hash of their text.  A range is
     walked in order and written group by group, so a task holds ``GROUP`` identifiers, or one document's.  The files are Parquet, a
     row for each group: documents, lengths, frequency table, checkpoints, checksums and the coder's words.
     """
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), utf8(text).alias("text"))
-    ranged = rows.repartitionByRange(shuffle_tasks(docs.sparkSession), F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+    order = F.asc_nulls_first("doc_id"), F.xxhash64("text"), F.col("text")
+    ranged = rows.repartitionByRange(shuffle_tasks(docs.sparkSession), *order[:2]).sortWithinPartitions(*order)
     ranged.mapInArrow(partial(_packed, path=vocabulary, end=end), SCHEMA).write.parquet(path)
 
 

@@ -100,3 +100,11 @@ def test_several_groups(spark, library, tmp_path):
     T.write_token_files(docs, PATH, str(tmp_path / "files"))
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in T.read_token_files(spark, str(tmp_path / "files")).collect()}
     assert got == expected(rows, library)
+
+
+def test_rows_without_id_are_spread(spark, documents):
+    """A third of all rows without an id: they are read back whole, first in the files, from more than one range."""
+    rows = [(None, f"text number {i} of many words") for i in range(300)] + [(i, f"named {i}") for i in range(600)]
+    got = T.token_files(documents(*rows, clashing=False), public_tokenizers.path("word_bpe_49k.json")).orderBy("start").collect()
+    assert len(got) == 900 and all(r.doc_id is None for r in got[:300]) and [r.doc_id for r in got[300:]] == list(range(600))
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:k]) for k in range(900)]
