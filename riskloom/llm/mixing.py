@@ -16,8 +16,11 @@ SEED = "mix"
 
 
 def text_quality(text: Column) -> Column:
-    """Between 0.5 and 1.5: half plus the share of the text's characters that are ASCII letters; 0.5 for no text."""
-    letters = F.length(F.regexp_replace(text, F.lit("[^A-Za-z]+"), F.lit("")))
+    """Between 0.5 and 1.5: half plus the share of the text's characters that are letters or marks of any script; 0.5 for no text.
+
+    Text of digits, symbols and white space is taken later than prose, in whatever script.
+    """
+    letters = F.length(F.regexp_replace(text, F.lit(r"[^\p{L}\p{M}]+"), F.lit("")))
     return F.coalesce(letters / F.nullif(F.length(text), F.lit(0)), F.lit(0.0)) + 0.5
 
 

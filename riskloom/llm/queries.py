@@ -55,7 +55,7 @@ ORACLE["op2_mixing"] = f"""
 WITH keyed AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
          xx, -ln((('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT + 0.5::DOUBLE) / {1 << 48}::DOUBLE)
-           / (coalesce(length(regexp_replace(text, '[^A-Za-z]+', '', 'g')) / nullif(length(text), 0)::DOUBLE, 0) + 0.5) AS key
+           / (coalesce(length(regexp_replace(text, '[^\\p{{L}}\\p{{M}}]+', '', 'g')) / nullif(length(text), 0)::DOUBLE, 0) + 0.5) AS key
   FROM (SELECT *, md5(coalesce(text, '')) AS xx FROM documents)),
 sizes AS (
   SELECT source, sum(size)::BIGINT AS source_size, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight

@@ -82,3 +82,9 @@ def test_rows_of_every_kind(spark, documents):
     assert {r.i: r["count"] for r in got} == {i: sum(t for j, t in times if j == i) for i, t in times if sum(t for j, t in times if j == i)}
     assert mixing.mix(docs.filter("doc_id < 0")).count() == 0
     assert mixing.mix(docs.filter("doc_id = 2")).collect()[0].taken_ == 0
+
+
+def test_quality_does_not_depend_on_the_script(spark):
+    rows = [("latin words here",), ("привет всем тут",), ("你好世界你好世",), ("नमस्ते दुनिया",), ("12 34 !! ??",), ("",), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "text string").select(mixing.text_quality(F.col("text"))).collect()]
+    assert min(got[:4]) > 1.3 and got[4:] == [0.5, 0.5, 0.5]
