@@ -76,7 +76,7 @@ def gate(registry: Registry = DEFAULT) -> tuple[str, ...] | None:
         if s not in known:
             if not s.needs:
                 return None
-            words.update(max((registry.triggers[n] for n in s.needs), key=lambda t: min(map(len, t))))
+            words.update(max((registry.literals(n) for n in s.needs), key=lambda t: min(map(len, t))))
     return tuple(sorted(words))
 
 
@@ -103,7 +103,7 @@ def may_match(folded: str = "folded", registry: Registry = DEFAULT) -> Column:
 
 def triggers_sql(folded: str = "folded", registry: Registry = DEFAULT) -> str:
     """SQL for a BIGINT with one bit per trigger present in a folded line."""
-    parts = [f"CASE WHEN {_contains(folded, registry.triggers[name])} THEN {bit}L ELSE 0L END"
+    parts = [f"CASE WHEN {_contains(folded, registry.literals(name))} THEN {bit}L ELSE 0L END"
              for name, bit in _bits(registry.line_signatures()).items()]
     return " | ".join(parts) or "0L"
 
@@ -133,7 +133,7 @@ def match_mask(signatures: tuple[Signature, ...], folded: str = "folded", trigge
 def text_mask(signatures: tuple[Signature, ...], folded: str = "folded", registry: Registry = DEFAULT) -> str:
     """Like ``match_mask`` for whole texts, which have no triggers of their own."""
     def found(s: Signature) -> str:
-        return " AND ".join([*(_contains(folded, registry.triggers[n]) for n in s.needs),
+        return " AND ".join([*(_contains(folded, registry.literals(n)) for n in s.needs),
                              f"rlike({folded}, {sql_text(folded_pattern(s.pattern))})"])
 
     return " | ".join(f"CASE WHEN {found(s)} THEN {1 << i} ELSE 0 END" for i, s in enumerate(signatures)) or "0"

@@ -211,7 +211,7 @@ class Registry(NamedTuple):
     """The signatures that a scan looks for; replace any of them to look for others.
 
     At most 31 sources and 31 sinks, since a line keeps them as bits.  ``triggers`` has the literals of every name
-    that a signature ``needs``; a signature that needs nothing is tried on every line.
+    that a signature ``needs``, beside those of the given signatures; a signature that needs nothing is tried on every line.
     """
 
     vulnerabilities: tuple[Signature, ...] = VULNERABILITIES
@@ -221,6 +221,9 @@ class Registry(NamedTuple):
     shortcuts: tuple[Signature, ...] = SHORTCUTS
     triggers: dict[str, tuple[str, ...]] = TRIGGERS
 
+    def literals(self, name: str) -> tuple[str, ...]:
+        return self.triggers[name] if name in self.triggers else TRIGGERS[name]
+
     def line_signatures(self) -> tuple[Signature, ...]:
         return (*self.vulnerabilities, *self.entry_points, *self.sources, *self.sinks)
 

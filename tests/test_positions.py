@@ -2,13 +2,12 @@
 
 import os
 import random
-import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from catalog.registry import QUERIES
-from riskloom.functions.durable import durable, remove, shared_folder, storage
+from riskloom.functions.durable import durable, remove, storage
 from riskloom.functions.ranking import hashed_position, ranked_position
 from riskloom.plans.scan import scan
 
@@ -46,30 +45,32 @@ def test_scan_lists(files):
         assert [r.position for r in result.priority_positions().orderBy("repo", "position").collect()] == [1, 2, 3]
 
 
+def local(paths):
+    return [p.removeprefix("file:") for p in paths]
+
+
 def test_stored_tables_have_an_owner(spark):
-    folder = re.sub("^file:", "", shared_folder(spark))
-    before = set(os.listdir(folder))
     with storage(spark) as owned:
         rows = durable(spark.range(10), "mine")
-        with storage(spark):
+        with storage(spark) as inner:
             hashed_position(spark.range(100).withColumn("g", F.lit(1)), ["g"], F.col("id"), "n", "all").collect()
-            assert len(set(os.listdir(folder)) - before) == 2
+            assert len(inner) == 1 and all(map(os.path.exists, local([*owned, *inner])))
+        assert not any(map(os.path.exists, local(inner)))
         assert rows.count() == 10 and len(owned) == 1
-    assert set(os.listdir(folder)) == before
+    assert not any(map(os.path.exists, local(owned)))
     mine: list[str] = []
-    with storage(spark):
+    with storage(spark) as owned:
         durable(spark.range(3), "kept", mine)
-        assert len(mine) == 1 and len(set(os.listdir(folder)) - before) == 1
+        assert mine == owned and os.path.exists(*local(mine))
         remove(spark, mine)
-    assert set(os.listdir(folder)) == before
+        assert not os.path.exists(*local(mine))
 
 
-@pytest.mark.parametrize("name", ["stratified_split", "csv_ranges", "search_findings_index", "dedupe_exact", "json_objects", "ranked_positions", "priority_top200", "tree_filter"])
+@pytest.mark.parametrize("name", ["stratified_split", "csv_ranges", "search_findings_index", "dedupe_exact", "json_objects", "ranked_positions", "priority_top200", "folds"])
 def test_nothing_is_left_of_a_query(spark, name):
     if not os.path.exists(SF):
         pytest.skip("test tables are not here")
-    folder = re.sub("^file:", "", shared_folder(spark))
-    before = set(os.listdir(folder))
-    with storage(spark):
+    with storage(spark) as owned:
         assert QUERIES[name](spark, SF).collect()
-    assert set(os.listdir(folder)) == before
+        assert any(map(os.path.exists, local(owned)))
+    assert not any(map(os.path.exists, local(owned)))
