@@ -27,7 +27,8 @@ GRAM = 24               # bytes of a gram
 PIECE = 1 << 20         # bytes whose grams are hashed, or whose suffixes are sorted, at a time
 TEXT = 8 << 20          # bytes of text that a task describes at a time
 RUN = 256               # windows in a fragment at most
-HOT = 1 << 11           # a gram in more different fragments than this, and than a sixteenth of a bucket, has its windows dealt out one by one
+HOT = 1 << 11           # a gram in more different fragments than this, and than a sixteenth of a bucket, has its windows dealt out one by one,
+MOST = 1 << 15          # and in any case one in more than this, so that what is sorted together stays small
 HOT_GRAMS = 1 << 20     # as many grams are treated so at most: those in most fragments
 LAST = np.iinfo(np.int64).max       # the place of rows without an id: after all others
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
@@ -552,7 +553,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     blob = "blob binary"
     grams = rows.select("node", "text").mapInArrow(partial(_gram_rows, buckets=tasks, length=length, gram=gram), f"bucket int, {blob}")
     shared = durable(grams.groupBy("bucket").applyInArrow(lambda t: _shared(t, tasks, hot), f"bin int, {blob}, grams long"), "shared-grams")
-    most = max(hot, (shared.agg(F.sum("grams")).first()[0] or 0) // (16 * tasks))
+    most = min(max(hot, (shared.agg(F.sum("grams")).first()[0] or 0) // (16 * tasks)), max(hot, MOST))
     found = shared.filter("bin < 0").select("blob").mapInArrow(_hot_rows, "name long, size long").filter(F.col("size") > most)
     hot_grams = np.array([r["name"] for r in found.orderBy(F.desc("size"), "name").limit(HOT_GRAMS).select("name").collect()], dtype=np.int64)
     texts = rows.withColumn("nameless", F.col("doc_id").isNull().cast("int")).drop("doc_id").mapInArrow(partial(_packed, bins=tasks), f"bin int, {blob}")

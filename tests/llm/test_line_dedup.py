@@ -165,3 +165,10 @@ def test_windows_cover_common_blocks():
     found, full = L.windows(rows, 5)
     assert {(s, e) for _, s, e in found} == {(0, 0), (0, 1), (0, 2), (8, 8)} and full == [0, 1, 2, 8]
     assert L.windows(rows, 10) == ([], [])
+
+
+def test_thousands_of_texts_share_one_line(spark):
+    line = "one line of many words that every text has"
+    rows = [(i, f"own {i}\n{line}\nend {i}") for i in range(3000)]
+    got = cleaned(spark, rows)
+    assert got[0] == rows[0][1] and all(got[i] == f"own {i}\nend {i}" for i in range(1, 3000))
