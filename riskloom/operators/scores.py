@@ -90,7 +90,7 @@ def ranked_files(files: DataFrame, counts: DataFrame, risks: DataFrame) -> DataF
     """Every file with its composite score and risk label, files without findings included."""
     used = ("high", "medium", "low", "chains")
     composite = (weighted(F.col("high"), F.col("medium"), F.col("low"))
-                 + F.least(F.col("chains") * 30, F.lit(60)) + ml_points(F.col("ml_prediction"), 20, 10))
+                 + F.least(F.col("chains") * R.COMPOSITE_CHAIN, F.lit(R.COMPOSITE_CHAIN_CAP)) + ml_points(F.col("ml_prediction"), *R.COMPOSITE_ML))
     return (
         files.select("repo", "file", text.path_key(F.col("file")).alias("file_norm"))
         .join(counts.select("repo", "file_norm", *used), ["repo", "file_norm"], "left")
@@ -210,8 +210,8 @@ def with_maturity(facts: DataFrame) -> DataFrame:
         F.when(secrets > 0, F.format_string("- %d credentials written into the source", secrets)),
         F.when(sql > 0, F.lit("- queries are built from text instead of bound")),
         F.when(many_entries, F.format_string("- %d entry points of high severity", entries)),
-        F.when(F.col("comments") > 10, F.lit("+ comment lines are present")),
-        F.when(F.col("functions") > 3, F.lit("+ code is split into functions")),
+        F.when(F.col("comments") > R.INDICATOR_COMMENTS, F.lit("+ comment lines are present")),
+        F.when(F.col("functions") > R.INDICATOR_FUNCTIONS, F.lit("+ code is split into functions")),
         F.when(clean, F.lit("+ no findings of high or medium severity")),
     ]
     return facts.withColumn("maturity_score", value).withColumns({

@@ -274,8 +274,7 @@ FILE_STEPS = ((80, "Critical"), (45, "High"), (15, "Medium"))
 GRADE_STEPS = ((90, "A"), (75, "B"), (55, "C"), (35, "D"))
 HIGH_RISK, MEDIUM_RISK, SAFE = "High Risk", "Medium Risk", "Safe"
 
-# --- FIXED VALUES: how many rows a result bundle shows per repository ------
-# FIXED VALUES: points, caps and steps of the repository scores.
+# --- FIXED VALUES: points, caps and steps of the repository scores ---------
 VIBE_FACTORS = ("High Severity Issues", "Hardcoded Secrets", "Attack Chains", "Insecure Shortcuts",
                 "Exposed Attack Surface")
 VIBE_POINTS = {"high": (7, 35), "secrets": (8, 20), "chains": (10, 25), "shortcuts": (1, 15), "high_inputs": (1, 5)}     # points each, cap
@@ -287,6 +286,11 @@ GRADE_DEDUCTIONS = {"critical_priority": 8, "high_priority": 3, "chains": 5}
 GRADE_VIBE_STEPS = ((80, 15), (60, 10))                     # above this vibe score, so many points
 ML_POINTS = (20, 10)                                        # off the base score for High and Medium Risk
 
+COMPOSITE_CHAIN, COMPOSITE_CHAIN_CAP = 30, 60               # points of a chain in a file's composite score, and their cap
+COMPOSITE_ML = (20, 10)                                     # points of a file classified High and Medium Risk
+INDICATOR_COMMENTS, INDICATOR_FUNCTIONS = 10, 3             # more than these count as indicators of maturity
+
+# --- FIXED VALUES: how many rows a result bundle shows per repository ------
 RESULT_CAPS = {"findings": 200, "prioritized_findings": 200, "entry_points": 100,
                "attack_chains": 50, "ranked_files": 50, "file_risks": 10}
 
