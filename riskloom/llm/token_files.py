@@ -7,7 +7,6 @@ import os
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache, partial
-from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -98,10 +97,19 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes], end: int) -> Iterator[np.ndarray]:
         split = [self.words(t) for t in texts]
-        self.learn(set(chain.from_iterable(split)))
-        last = (end.to_bytes(4, "little"),)
-        for words in split:
-            yield np.frombuffer(b"".join(chain(map(self.known.__getitem__, words), last)), "<u4")
+        known = self.known.get
+        found = [list(map(known, words)) for words in split]
+        # most words of a text are known; only the others are gathered, learnt and put in
+        gaps = [[k for k, ids in enumerate(own) if ids is None] for own in found]
+        missing = {words[k] for words, places in zip(split, gaps) for k in places}
+        if missing:
+            self.learn(missing)
+        last = end.to_bytes(4, "little")
+        for words, own, places in zip(split, found, gaps):
+            for k in places:
+                own[k] = self.known[words[k]]
+            own.append(last)
+            yield np.frombuffer(b"".join(own), "<u4")
 
 
 @lru_cache(maxsize=2)
