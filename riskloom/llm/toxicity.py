@@ -211,7 +211,10 @@ def _descend(model, docs, rows, sides, rng) -> None:
 
 
 def _calibrate(model, texts, truth, langs, prior) -> None:
-    """Fit scale and shift of the logit by weighted, smoothed logistic regression, then the thresholds."""
+    """Fit scale and shift of the logit by weighted, smoothed logistic regression, then the thresholds.
+
+    No threshold lies at or below the score of a text without words: what says nothing is kept, however few labels there are.
+    """
     raw = Scorer(model).scores(texts)
     logit = np.log(np.clip(raw, 1e-12, None) / np.clip(1 - raw, 1e-12, None))
     ones, zeros = max(1, truth.sum()), max(1, (1 - truth).sum())
@@ -228,11 +231,12 @@ def _calibrate(model, texts, truth, langs, prior) -> None:
     if found[0] > 0:
         model.scale, model.shift = float(found[0]), float(found[1])
     score = model_scores(model, texts)
-    model.threshold = _threshold(score, truth, weight)
+    least = float(model_scores(model, [""])[0]) + 1e-9
+    model.threshold = max(least, _threshold(score, truth, weight))
     for lang in {x for x in langs if x is not None}:
         own = np.array([x == lang for x in langs])
         if min(truth[own].sum(), (1 - truth[own]).sum()) >= 5:
-            model.thresholds[lang] = _threshold(score[own], truth[own], weight[own])
+            model.thresholds[lang] = max(least, _threshold(score[own], truth[own], weight[own]))
 
 
 def _threshold(score: np.ndarray, truth: np.ndarray, weight: np.ndarray | None = None) -> float:

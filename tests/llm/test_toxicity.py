@@ -69,7 +69,7 @@ def test_thresholds_are_those_of_the_whole_labelled_table(monkeypatch):
             pass
 
         def scores(self, texts):
-            return np.array([float(t) for t in texts])
+            return np.array([float(t or 0) for t in texts])
 
     def calibrated(ones, zeros, prior):
         model = toxicity.ToxicityModel(*[np.zeros(1, np.float32)] * 4)
