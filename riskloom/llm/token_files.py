@@ -19,7 +19,7 @@ from riskloom.functions.durable import claim, durable
 from riskloom.llm.common import shuffle_tasks, slices, utf8
 
 END = 2
-CACHE = 3 << 18             # words whose identifiers a Python worker remembers, and as many older ones
+CACHE = 5 << 18             # words whose identifiers a Python worker remembers, and as many older ones
 MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"      # ASCII punctuation but the apostrophe, which starts pieces
 LANES = 512                 # coder states that take turns in a block
 SEGMENT = 128               # steps (one symbol for every lane) between two checkpoints
