@@ -409,12 +409,10 @@ class Suffixes:
             equal &= x == y
         if (same[1:] & ~(rising | equal)).any():
             raise Collision
-        found = np.zeros(len(a) if len(a) else 0, dtype=bool)
-        found[:] = equal
         hashed = self.order(a[same[1:]], b[same[1:]]) == 0
         if (hashed & ~equal[same[1:]]).any():
             raise Collision
-        same[1:] &= found
+        same[1:] &= equal
         return order, same
 
 
