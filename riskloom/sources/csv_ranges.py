@@ -20,6 +20,8 @@ from riskloom.functions.durable import durable
 
 CHUNK = 4 << 20             # bytes of lines in a stored chunk, about
 HEAD = 1 << 20              # a header is shorter
+TASKS = 4                   # tasks a core that read small ranges
+TASK_BYTES = 128 << 20      # and the bytes of ranges that one of them reads at most, about
 CHUNKS = "file long, block long, chunk int, odd int, closes boolean, head binary, data binary"
 
 
@@ -94,16 +96,23 @@ class Records:
 
 
 @contextmanager
-def _ranges(spark: SparkSession, size: int | None) -> Iterator[None]:
-    """Files that are read inside are split into ranges of ``size`` bytes, or as the session says."""
-    name = "spark.sql.files.maxPartitionBytes"
-    before = spark.conf.get(name)
+def _ranges(spark: SparkSession, size: int | None, total: int) -> Iterator[None]:
+    """Files that are read inside, ``total`` bytes of them, are split into ranges of ``size`` bytes, or as the session says.
+
+    Small ranges are dealt to tasks together: to a few for each core, or more where a task would get more than
+    a task of the session's does.
+    """
+    names = "spark.sql.files.maxPartitionBytes", "spark.sql.files.maxPartitionNum", "spark.sql.files.openCostInBytes"
+    before = {name: spark.conf.get(name, None) for name in names}
     try:
         if size is not None:
-            spark.conf.set(name, str(size))
+            tasks = max(TASKS * spark.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+            for name, value in zip(names, (size, tasks, 0)):
+                spark.conf.set(name, str(value))
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def csv_records(spark: SparkSession, path: str, suffix: str = "*.csv", range_bytes: int | None = None, chunk: int = CHUNK) -> Records:
@@ -116,7 +125,9 @@ def csv_records(spark: SparkSession, path: str, suffix: str = "*.csv", range_byt
     lines = spark.read.options(lineSep="\n", pathGlobFilter=suffix).text(path)
     where = F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
     lines = lines.select(*where, F.expr("make_valid_utf8(value)").cast("binary").alias("value"))
-    with _ranges(spark, range_bytes):
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", suffix).load(path).select(F.col("_metadata.file_path").alias("path"), "length")
+    total = 0 if range_bytes is None else listed.agg(F.sum("length")).first()[0] or 0
+    with _ranges(spark, range_bytes, total):
         stored = durable(lines.mapInArrow(lambda batches: _chunks(batches, chunk), CHUNKS), "csv-chunks")
     order = Window.partitionBy("file").orderBy("block", "chunk")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -143,7 +154,6 @@ def csv_records(spark: SparkSession, path: str, suffix: str = "*.csv", range_byt
         joined = durable(joined.select("file", "is_head", text), "csv-border-records")
         whole = whole.unionByName(joined.filter("NOT is_head").select("file", F.col("text").alias("record")))
         heads = heads.unionByName(joined.filter("is_head").select("file", F.col("text").alias("head")))
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", suffix).load(path).select(F.col("_metadata.file_path").alias("path"))
     plain = lambda c: F.regexp_replace(F.col(c).cast("string"), "\r$", "").alias(c)
     return Records(whole.select("file", plain("record")).filter(F.trim("record") != ""),
                    heads.select("file", plain("head")), listed.select(F.xxhash64("path").alias("file"), "path"))

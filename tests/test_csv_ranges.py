@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from riskloom.functions.durable import storage
 from riskloom.sources import samples as readers
 from riskloom.sources.csv_ranges import csv_records
 
@@ -75,3 +76,14 @@ def test_ranges_are_read_by_many_tasks(spark, tmp_path):
     (tmp_path / "a.csv").write_text(written([(str(i), "v\nw") for i in range(2000)], ("id", "code")), newline="")
     found = csv_records(spark, str(tmp_path), range_bytes=2000)
     assert found.records.count() == 2000 and found.records.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_small_ranges_share_tasks(spark, tmp_path):
+    """Ranges stay as small as asked for, but one task reads many of them."""
+    (tmp_path / "a.csv").write_text(written([(str(i), "v\nw" * 20) for i in range(4000)], ("id", "code")), newline="")
+    with storage(spark) as owned:
+        found = csv_records(spark, str(tmp_path), range_bytes=500)
+        chunks = spark.read.parquet(next(p for p in owned if "csv-chunks" in p))
+        assert chunks.select("block").distinct().count() > 300 and len(chunks.inputFiles()) <= 4 * spark.sparkContext.defaultParallelism + 1
+        assert found.records.count() == 4000
+    assert spark.conf.get("spark.sql.files.maxPartitionNum", None) is None
