@@ -119,3 +119,29 @@ def test_heavy_terms_equal_counts_of_all(spark, monkeypatch, buckets, fullest):
         assert features.heavy_terms(df, F.col("terms"), size, buckets).collect() == want
     empty = df.filter("false")
     assert features.heavy_terms(empty, F.col("terms"), 5, buckets).count() == 0
+
+
+TEXTS = ["os.system(cmd) os.system(cmd)", "a", "", None, "  x\ty z ", "École élève élève", "don't  stop", "ΑΣ İx 😀b 😀b", "v" * 3000]
+
+
+def test_counted_char_ngrams(spark):
+    """Different n-grams in order with their uses, in lists that a task makes from words it remembers."""
+    df = features.with_tokens(spark.createDataFrame(list(enumerate(TEXTS)), "id int, code string"), F.col("code"))
+    whole = {r.id: r.t for r in df.select("id", features.char_ngrams((2, 4)).alias("t")).collect()}
+    got = features.char_ngram_counts(df.select("id", "_code"), (2, 4)).collect()
+    assert len(got) == len(TEXTS)
+    for r in got:
+        want = whole[r.id]
+        assert (r["_grams"] is None) == (want is None)
+        if want is not None:
+            assert [g.term for g in r["_grams"]] == sorted(set(want), key=str.encode) and [g.uses for g in r["_grams"]] == [want.count(g.term) for g in r["_grams"]]
+
+
+def test_char_counts_by_words_equal_counts_of_all(spark):
+    df = features.with_tokens(spark.createDataFrame([(t,) for t in TEXTS * 3], "code string"), F.col("code"))
+    want = features.vocabulary(features.term_counts(df, features.char_ngrams()), 5000).collect()
+    words = features.used_words(df)
+    assert words.filter(F.col("_code") == "os.system(cmd)").first().uses == 6
+    assert features.vocabulary(features.term_counts(words, features.char_ngrams(), "uses"), 5000).collect() == want
+    assert features.heavy_terms(words, features.char_ngrams(), 5000, 64, "uses").collect() == want
+    assert features.heavy_terms(words, features.char_ngrams(), 20, 64, "uses").collect() == want[:20]
