@@ -145,3 +145,22 @@ def test_char_counts_by_words_equal_counts_of_all(spark):
     assert features.vocabulary(features.term_counts(words, features.char_ngrams(), "uses"), 5000).collect() == want
     assert features.heavy_terms(words, features.char_ngrams(), 5000, 64, "uses").collect() == want
     assert features.heavy_terms(words, features.char_ngrams(), 20, 64, "uses").collect() == want[:20]
+
+
+def test_vectors_are_sparse_and_stored_once(spark, data, monkeypatch):
+    """Term vectors by definition, never dense, and no vectors kept in memory beside the regression's own."""
+    words, chars = ["os.system", "cmd", "os.system cmd"], [" o", "os", "xy", "s.s"]
+    df = features.with_tokens(spark.createDataFrame(list(enumerate(TEXTS)), "id int, code string"), F.col("code"))
+    for logs in (False, True):
+        rows = features.term_vectors(df, words, chars, (1, 2), (2, 3), logs).collect()
+        for r in rows:
+            tokens = r["_tokens"] or []
+            for vector, vocab, terms in ((r["_word_counts"], words, tokens + [" ".join(p) for p in zip(tokens, tokens[1:])]),
+                                         (r["_char_counts"], chars, reference_char_ngrams(r["_code"] or "", 2, 3))):
+                uses = {i: terms.count(t) for i, t in enumerate(vocab) if t in terms}
+                assert type(vector).__name__ == "SparseVector" and vector.size == len(vocab)
+                assert dict(zip(vector.indices.tolist(), vector.values.tolist())) == pytest.approx({i: 1 + math.log(n) if logs else n for i, n in uses.items()})
+    fit, plans = train._fit_classifier, []
+    monkeypatch.setattr(train, "_fit_classifier", lambda rows, *rest: (plans.append(rows), fit(rows, *rest))[1])
+    train.train(data, train.Settings(word_features=30, char_features=30, max_iter=2))
+    assert plans[0].inputFiles() and not plans[0].storageLevel.useMemory
