@@ -274,15 +274,16 @@ def _tuned(data: DataFrame, key: Column, grid: dict, folds: int, max_iter: int,
                 fitted[shape] = fit_vectorizer(kept, replace(base, **largest))
             vectorizer = fitted[shape].narrowed(base)
             rows, labels, total = _weighted(kept, vectorizer, "label")
-            rows = rows.persist()
+            # stored once for all values of ``c``, which read them several times
+            rows = durable(rows, "vectors")
+            vectors = durable(vectorizer.transform(held, F.col("code")).select("label", "features"), "held-vectors")
 
             def measured(c: float) -> tuple[int, float]:
                 model = RiskModel(vectorizer, labels, _fit_classifier(rows, total, replace(base, c=c)))
-                return tuple(model.predict(held, "code").agg(F.count(F.lit(1)), F.avg(hit)).first())
+                return tuple(model.judge(vectors).agg(F.count(F.lit(1)), F.avg(hit)).first())
 
             for c, found in zip(grid["c"], _at_once(data.sparkSession, measured, list(grid["c"]), parallelism)):
                 scores.setdefault((values, c), []).append(found)
-            rows.unpersist()
     results = [(*map(str, values), float(c), sum(a for _, a in found) / len(found), sum(n for n, _ in found)) for (values, c), found in scores.items()]
     schema = ", ".join(f"{n} string" for n in names) + ", c double, accuracy double, rows long"
     return data.sparkSession.createDataFrame(results, schema).orderBy(F.col("accuracy").desc(), *names, "c")

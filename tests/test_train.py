@@ -164,3 +164,11 @@ def test_vectors_are_sparse_and_stored_once(spark, data, monkeypatch):
     monkeypatch.setattr(train, "_fit_classifier", lambda rows, *rest: (plans.append(rows), fit(rows, *rest))[1])
     train.train(data, train.Settings(word_features=30, char_features=30, max_iter=2))
     assert plans[0].inputFiles() and not plans[0].storageLevel.useMemory
+
+
+def test_held_out_rows_are_vectorized_once_for_all_penalties(data, monkeypatch):
+    seen, transform = [], train.Vectorizer.transform
+    monkeypatch.setattr(train.Vectorizer, "transform", lambda self, df, code: (seen.append(1), transform(self, df, code))[1])
+    grid = {"word_features": (50,), "word_range": ((1, 2),), "char_features": (50,), "char_range": ((2, 3),), "c": (1.0, 5.0, 10.0)}
+    rows = train.tune(data, F.col("row_id"), grid, folds=2, max_iter=3).collect()
+    assert len(rows) == 3 and {r.rows for r in rows} == {data.count()} and len(seen) == 4
