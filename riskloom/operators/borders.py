@@ -2,43 +2,60 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import text
-from riskloom.functions.durable import durable
 from riskloom.functions.matching import fold
 from riskloom.functions.ranking import ranked_position
 from riskloom.operators.hits import shortcut_mask
 from riskloom.registry import DEFAULT, Registry
 
 WIDTH = 512             # characters on either side of a border that a match may use
+BLOCK = 4096            # files that are walked together
 
 
 def border_masks(files: DataFrame, registry: Registry = DEFAULT, width: int = WIDTH) -> DataFrame:
-    """``(repo, file, border_mask)``: the shortcuts in the last ``width`` characters of a file and as many of what follows it.
+    """``(repo, file, border_mask)``: the shortcuts in the last ``width`` characters of a file and as many of what follows it, where there are any.
 
     The files of a repository follow each other by name, a line break between them.  Only heads and tails are moved: every file gets its
-    position in the whole list, and then the heads after it by joins on the position.  What follows a file is gathered by doubling, since
-    ``width`` characters may be several short files: in every round a file whose following text is still short takes
-    that of the last file in it.
+    position in the whole list, and blocks of ``BLOCK`` positions are walked from their ends.  A head has one
+    character at least, so the first ``width`` files of a block, lent to the block before, hold all that may follow its last file.
     """
     folded = fold(text.universal_newlines(F.col("content")))
     ends = files.select("repo", "file", F.inline(F.array(F.struct(folded.alias("_folded"))))) \
-        .select("repo", "file", F.concat(F.lit("\n"), F.substring("_folded", 1, width)).alias("head"), F.expr(f"right(_folded, {width})").alias("tail"))
-    placed = ranked_position(ends, ["repo"], [F.col("file")], "position")
-    following = placed.select("repo", (F.col("position") - 1).alias("position"), F.col("head").alias("ahead"))
-    state = durable(placed.select("repo", "position").join(following, ["repo", "position"]), "heads")
-    span = 1
-    while span < width and not state.filter(F.length("ahead") < width).limit(1).isEmpty():
-        further = state.select(F.col("repo").alias("_repo"), (F.col("position") - span).alias("_position"), F.col("ahead").alias("_further"))
-        short, done = state.filter(F.length("ahead") < width), state.filter(F.length("ahead") >= width)
-        longer = short.join(further, (F.col("repo") == F.col("_repo")) & (F.col("position") == F.col("_position")), "left")
-        state = durable(done.unionByName(longer.select("repo", "position", F.substring(F.concat("ahead", F.coalesce("_further", F.lit(""))), 1, width).alias("ahead"))), "heads")
-        span *= 2
-    border = placed.select("repo", "file", "position", "tail").join(state, ["repo", "position"])
-    return border.select("repo", "file", F.inline(F.array(F.struct(F.concat("tail", "ahead").alias("_border"))))) \
-        .select("repo", "file", shortcut_mask("_border", registry).alias("border_mask"))
+        .select("repo", "file", F.concat(F.lit("\n"), F.substring("_folded", 1, width)).alias("head"),
+                F.expr(f"CASE WHEN length(_folded) > {width} THEN right(_folded, {width}) END").alias("tail"))
+    placed = ranked_position(ends, ["repo"], [F.col("file")], "position").filter("repo IS NOT NULL")
+    size = max(BLOCK, width)
+    place = (F.col("position") - 1) % size
+    own = F.floor((F.col("position") - 1) / size)
+    blocks = F.when((place < width) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
+    dealt = placed.select("repo", "file", "head", "tail", "position", F.explode(blocks).alias("block"), own.alias("own"))
+    lent = F.col("block") < F.col("own")
+    dealt = dealt.select("repo", "block", "position", "head", *[F.when(~lent, F.col(c)).alias(c) for c in ("file", "tail")], lent.alias("lent"))
+    walked = dealt.repartition("repo", "block").sortWithinPartitions("repo", "block", F.desc("position"))
+    border = walked.mapInArrow(partial(_bordered, width=width), "repo string, file string, _border string")
+    masks = border.select("repo", "file", shortcut_mask("_border", registry).alias("border_mask")).filter("border_mask <> 0")
+    return masks.groupBy("repo", "file").agg(F.bit_or("border_mask").alias("border_mask"))
+
+
+def _bordered(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """The end of every file with what follows it; rows come by block, last file first."""
+    block, ahead = None, ""
+    for batch in batches:
+        out = []
+        for repo, number, head, file, tail, lent in zip(*(batch.column(c).to_pylist() for c in ("repo", "block", "head", "file", "tail", "lent"))):
+            if (repo, number) != block:
+                block, ahead = (repo, number), ""
+            if ahead and not lent:
+                out.append((repo, file, (head[1:] if tail is None else tail) + ahead))
+            ahead = ((head or "") + ahead)[:width]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*out) if out else ([], [], []))], names=["repo", "file", "_border"])
 
 
 def with_borders(profile: DataFrame, files: DataFrame, registry: Registry = DEFAULT, width: int = WIDTH) -> DataFrame:

@@ -48,3 +48,18 @@ def test_shortcuts_over_the_borders_of_files(files):
         assert {r.repo: r.vibe_breakdown["Insecure Shortcuts"] for r in result.report.collect()} == {"r": 10, "s": 15, "t": 0, "u": 0}
     with scan(df) as result:
         assert result.shortcuts.count() == 0
+
+
+def test_borders_move_every_head_once(spark, files, monkeypatch):
+    """Blocks of few files, a match over many of them, and nothing is stored but the placed heads."""
+    from riskloom.operators import borders
+
+    stored = []
+    durable = borders.ranked_position.__globals__["durable"]
+    monkeypatch.setitem(borders.ranked_position.__globals__, "durable", lambda df, name, *a: (stored.append(name), durable(df, name, *a))[1])
+    monkeypatch.setattr(borders, "BLOCK", 32)
+    # a match over 13 files and two blocks, 11 of them without text; texts too long to be seen whole
+    parts = ["x"] * 25 + ["y" * 900 + "password ="] + [""] * 11 + ["'abcdef'" + "z" * 900, "eval(", "user_input)"]
+    rows = [("r", f"{i:02d}.py", c) for i, c in enumerate(parts)] + [("s", "a.py", "password ="), ("s", "b.py", "." * 512), ("s", "c.py", "'abcdef'")]
+    got = {(r.repo, r.file) for r in borders.border_masks(files(*rows), width=32).collect()}
+    assert got == {("r", "25.py"), ("r", "37.py"), ("r", "38.py")} and stored == ["ranked"]
