@@ -172,3 +172,14 @@ def test_held_out_rows_are_vectorized_once_for_all_penalties(data, monkeypatch):
     grid = {"word_features": (50,), "word_range": ((1, 2),), "char_features": (50,), "char_range": ((2, 3),), "c": (1.0, 5.0, 10.0)}
     rows = train.tune(data, F.col("row_id"), grid, folds=2, max_iter=3).collect()
     assert len(rows) == 3 and {r.rows for r in rows} == {data.count()} and len(seen) == 4
+
+
+def test_each_word_ngram_equals_the_arrays(spark):
+    """The same terms as often, made without lambdas."""
+    df = features.with_tokens(spark.createDataFrame([(t,) for t in [*TEXTS, "one", "one two", "one two three four"]], "code string"), F.col("code"))
+    for sizes in ((1, 3), (1, 2), (2, 3), (3, 3)):
+        want = sorted(r[0] for r in df.select(F.explode(features.word_ngrams(sizes))).collect())
+        made = features.each_word_ngram(df, sizes)
+        assert sorted(r.term for r in made.collect()) == want and "lambda" not in made._jdf.queryExecution().optimizedPlan().toString()
+    want = features.term_counts(df, features.word_ngrams())
+    assert sorted(features.heavy_terms(df, features.each_word_ngram, 5000, 64).collect()) == sorted(want.collect())
