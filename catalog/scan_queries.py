@@ -618,23 +618,25 @@ _EXTRACTED = {"fingerprint": ("security_grade", "total_vulnerabilities", "attack
     FROM file_stats JOIN sizes USING (repo, file) GROUP BY repo""", **AT_LINE, part=S, fields=S))
 def json_extract(spark, sf_dir):
     """Every record, parsed again: nothing is capped."""
-    return _parsed_records(export.json_extract(corpus_scan(spark, sf_dir, "facts", "profile")))
+    return _parsed_records(export.json_extract(corpus_scan(spark, sf_dir, "facts", "profile", "counts")))
 
 
 def _parsed_records(records):
+    """Each record is parsed once, for the fields of all parts."""
+    names = sorted({"file", "line"}.union(*_EXTRACTED.values()))
+    parsed = records.select("repo", "part", F.json_tuple("record", *names).alias(*[f"_{n}" for n in names]))
     fields = None
-    for part, names in _EXTRACTED.items():
-        value = F.concat_ws("|", *[F.get_json_object("record", f"$.{n}") for n in names])
+    for part, wanted in _EXTRACTED.items():
+        value = F.concat_ws("|", *[f"_{n}" for n in wanted])
         fields = F.when(F.col("part") == part, value) if fields is None else fields.when(F.col("part") == part, value)
-    return records.select("repo", "part", F.get_json_object("record", "$.file").alias("file"),
-                          F.get_json_object("record", "$.line").cast("bigint").alias("line"), fields.alias("fields"))
+    return parsed.select("repo", "part", F.col("_file").alias("file"), F.col("_line").cast("bigint").alias("line"), fields.alias("fields"))
 
 
 @register("json_objects", ORACLE["json_extract"])
 def json_objects(spark, sf_dir):
     """One object of any length for each repository, written in many files and read again line by line."""
     folder = claim(spark, "json-objects")
-    export.write_json_objects(corpus_scan(spark, sf_dir, "facts", "profile"), folder)
+    export.write_json_objects(corpus_scan(spark, sf_dir, "facts", "profile", "counts"), folder)
     lines = spark.read.schema("value string, repo string").text(folder).filter(~F.col("value").startswith('{"repo":'))
     single = F.regexp_extract("value", r'^,"(\w+)":\{', 1)
     record = F.regexp_replace("value", r'^,("\w+":)?', "")

@@ -20,7 +20,8 @@ class Scan:
 
     ``facts`` are the matching lines, ``profile`` one row per file, ``risks``
     the classifier's row per file.  Results are lazy: nothing runs while one is
-    built, and a result computes only what it needs.  Tables named in ``store``
+    built, and a result computes only what it needs.  Tables named in ``store``,
+    these or ``counts``, the sums per file key that most results start from,
     are written to the shared checkpoint folder when they are first used, so
     that several results share one pass over the contents; ``close``, or the end
     of a ``with`` block, deletes what was written.
@@ -29,13 +30,16 @@ class Scan:
     def __init__(self, facts: DataFrame, profile: DataFrame, risks: DataFrame, store: tuple[str, ...] = (),
                  registry: R.Registry = R.DEFAULT):
         self._tables = {"facts": facts, "profile": profile, "risks": risks}
-        if unknown := set(store) - set(self._tables):
+        if unknown := set(store) - {*self._tables, "counts"}:
             raise ValueError(f"no tables {sorted(unknown)}")
         self._store, self._registry = store, registry
         self._written: list[str] = []
 
     def _table(self, name: str) -> DataFrame:
-        return durable(self._tables[name], name, self._written) if name in self._store else self._tables[name]
+        return self._stored(name, self._tables[name])
+
+    def _stored(self, name: str, table: DataFrame) -> DataFrame:
+        return durable(table, name, self._written) if name in self._store else table
 
     def close(self) -> None:
         """Delete the stored tables; results that read them can't be computed any more."""
@@ -82,7 +86,7 @@ class Scan:
 
     @cached_property
     def counts(self) -> DataFrame:
-        return rollup.count_by_file_key(chains.reach(self.facts), self._registry)
+        return self._stored("counts", rollup.count_by_file_key(chains.reach(self.facts), self._registry))
 
     @cached_property
     def risk_by_key(self) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 
 from riskloom import registry as R
 from riskloom.functions.durable import durable
-from riskloom.plans.scan import scan
+from riskloom.plans.scan import Scan, scan
 from riskloom.sinks import export
 
 
@@ -79,6 +79,25 @@ def test_json_objects_of_any_length(spark, result, tmp_path):
     assert found["repo=s"][0]["attack_chains"] == [] and found["repo=s"][0]["fingerprint"]["total_files"] == 1
 
 
+def test_extract_counts_once_and_parses_once(spark, result):
+    """Matches are summed up per file once for all parts, and a record is parsed once for all its fields."""
+    from catalog.scan_queries import _parsed_records
+
+    def fields(scanned):
+        return sorted(map(str, _parsed_records(export.json_extract(scanned)).collect()))
+
+    tables = {n: getattr(result, n) for n in ("facts", "profile", "risks")}
+    with Scan(**tables, store=("facts", "profile", "counts")) as stored:
+        out = _parsed_records(export.json_extract(stored))
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Window [") == 1 and "get_json_object" not in plan and "json_tuple" in plan
+        assert fields(stored) == fields(result) and len(fields(stored)) > 300
+    record = '{"file":"a \\"b\\".py","line":7,"issue":"x","priority":null,"priority_score":1.50,"other":{"issue":"y"}}'
+    rows = spark.createDataFrame([("r", "prioritized_findings", record), ("r", "stats", "{")], "repo string, part string, record string")
+    assert [tuple(r) for r in _parsed_records(rows).collect()] == [
+        ("r", "prioritized_findings", 'a "b".py', 7, "x|1.50"), ("r", "stats", None, None, "")]
+
+
 def test_lazy_unless_stored(spark, tmp_path, monkeypatch):
     from riskloom.plans import scan as plan
     written = []

@@ -73,6 +73,20 @@ def test_matches_what_python_matches(spark, name):
         assert got[i] == want, (t, got[i], want)
 
 
+def test_branches_find_what_the_pattern_finds():
+    """A choice of words at the head of a pattern is tried word by word, each a literal."""
+    for s in (*R.SHORTCUTS, R.Signature("", r"(a\|b|c+)d|[|(]x|(a|b)*y|(?:e|f(g))h|ab?k", ())):
+        found = matching.branches(s.pattern)
+        for t in [*cases(), "a|bd", "ccd", "|x", "by", "eh", "fgh", "ak"]:
+            assert bool(re.search(s.pattern, t, re.I)) == any(re.search(p, t, re.I) for _, p in found), (s.pattern, t)
+            for literal, p in found:
+                assert all(m.group().lower().startswith(literal) for m in re.finditer(p.lower(), t.lower())), (p, literal)
+    heads = [literal for s in R.SHORTCUTS for literal, _ in matching.branches(s.pattern)]
+    assert heads.count("") == 1 and {"eval", "os.system", "password", "console.log", "/*", "+"} <= set(heads)
+    for whole in (r"\beval|x", "(?i)a|b", "[]a]|b", r"(a\b|b)c"):
+        assert matching.branches(whole) == [("", whole)]
+
+
 def test_first_match_follows_registry_order(spark):
     texts = [t for t in cases() if "\n" not in t]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, code string") \
