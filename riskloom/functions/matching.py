@@ -148,6 +148,34 @@ def triggers(folded: str = "folded", registry: Registry = DEFAULT) -> Column:
     return F.expr(triggers_sql(folded, registry))
 
 
+def _symbolic(name: str, registry: Registry) -> bool:
+    """Whether a trigger's literals all begin with a symbol: these are found much faster than words, whose first letters are everywhere."""
+    return not any(w[:1].isalnum() for w in registry.literals(name))
+
+
+def symbols_sql(folded: str = "folded", registry: Registry = DEFAULT) -> str:
+    """SQL for the bits of those triggers that are symbols."""
+    parts = [f"CASE WHEN {_contains(folded, registry.literals(name))} THEN {bit}L ELSE 0L END"
+             for name, bit in _bits(registry.line_signatures()).items() if _symbolic(name, registry)]
+    return " | ".join(parts) or "0L"
+
+
+def words_sql(symbols: str = "symbols", folded: str = "folded", registry: Registry = DEFAULT) -> str:
+    """SQL for a BIGINT with the bits of ``symbols`` and of every word that can matter beside them.
+
+    A word is looked for only in lines that have all symbols of a signature that needs it; elsewhere no such signature
+    can match and its bit stays 0.
+    """
+    signatures = registry.line_signatures()
+    bits, parts = _bits(signatures), [symbols]
+    for name in (n for n in bits if not _symbolic(n, registry)):
+        beside = {sum(bits[n] for n in set(s.needs) if _symbolic(n, registry)) for s in signatures if name in s.needs}
+        least = sorted(g for g in beside if not any(h != g and h & g == h for h in beside))
+        wanted = "" if least == [0] else "(" + " OR ".join(f"({symbols} & {g}L) = {g}L" for g in least) + ") AND "
+        parts.append(f"CASE WHEN {wanted}{_contains(folded, registry.literals(name))} THEN {bits[name]}L ELSE 0L END")
+    return " | ".join(parts)
+
+
 def _match(signature: Signature, folded: str, trigger: str, registry: Registry) -> str:
     mask = sum(_bits(registry.line_signatures())[n] for n in signature.needs)
     return f"({trigger} & {mask}L) = {mask}L AND rlike({folded}, {sql_text(folded_pattern(signature.pattern))})"
@@ -167,14 +195,26 @@ def match_mask(signatures: tuple[Signature, ...], folded: str = "folded", trigge
 
 
 def text_mask(signatures: tuple[Signature, ...], folded: str = "folded", registry: Registry = DEFAULT) -> str:
-    """Like ``match_mask`` for whole texts, which have no triggers of their own."""
+    """Like ``match_mask`` for whole texts, which have no triggers of their own.
+
+    Symbols are looked for first.  A need that the literals at the heads of all branches hold is not looked for again, and
+    words that are needed besides only in texts with such a literal.
+    """
     def one(literal: str, pattern: str) -> str:
         match = f"rlike({folded}, {sql_text(folded_pattern(pattern))})"
         return f"({_contains(folded, [literal])} AND {match})" if literal else match
 
     def found(s: Signature) -> str:
-        return " AND ".join([*(_contains(folded, registry.literals(n)) for n in s.needs),
-                             "(" + " OR ".join(one(*b) for b in branches(s.pattern)) + ")"])
+        cut = branches(s.pattern)
+        heads = list(dict.fromkeys(literal for literal, _ in cut))
+        needs = [n for n in s.needs if not all(any(w in h for w in registry.literals(n)) for h in heads)]
+        words = [n for n in needs if not _symbolic(n, registry)]
+        tests = [_contains(folded, registry.literals(n)) for n in needs if n not in words]
+        if words and all(heads):
+            tests.append(_contains(folded, heads))
+            cut = [("", p) for _, p in cut] if len(cut) == 1 else cut
+        tests += [_contains(folded, registry.literals(n)) for n in words]
+        return " AND ".join([*tests, "(" + " OR ".join(one(*b) for b in cut) + ")"])
 
     return " | ".join(f"CASE WHEN {found(s)} THEN {1 << i} ELSE 0 END" for i, s in enumerate(signatures)) or "0"
 

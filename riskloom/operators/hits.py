@@ -10,10 +10,12 @@ from riskloom import registry as R
 from riskloom.functions import matching, text
 
 
-def line_facts(line_table: DataFrame, carry: tuple[str, ...] = (), code_width: int | None = None, registry: R.Registry = R.DEFAULT) -> DataFrame:
+def line_facts(line_table: DataFrame, carry: tuple[str, ...] = (), code_width: int | None = None, registry: R.Registry = R.DEFAULT,
+               kept: Column | None = None) -> DataFrame:
     """``(repo, file, line, code, vuln_id, entry_id, src_mask, snk_mask)`` for lines that match anything.
 
     ``carry`` names further line columns to keep, such as ``raw``; ``code_width`` cuts the kept code, which is whole by default.
+    Rows that are ``kept``, a test of ``line`` or of a carried column, stay without a match.
 
     Narrow from the file to the result.  ``inline`` keeps the optimizer from
     pushing a filter below the column it tests, which would compute that
@@ -29,15 +31,21 @@ def line_facts(line_table: DataFrame, carry: tuple[str, ...] = (), code_width: i
     by_flow = F.expr(f"""inline(array(named_struct(
         'src_mask', {matching.match_mask(registry.sources, registry=registry)}, 'snk_mask', {matching.match_mask(registry.sinks, registry=registry)})))""")
     ids = ["repo", "file", "line", *carry]
-    kept = code if code_width is None else F.substring(code, 1, code_width)
+    cut = code if code_width is None else F.substring(code, 1, code_width)
+    by_symbols = F.expr(f"inline(array(named_struct('symbols', {matching.symbols_sql(registry=registry)})))")
+
+    def wanted(test: Column) -> Column:
+        return test if kept is None else kept | test
+
     return (
-        line_table.filter(searchable)
+        line_table.filter(wanted(searchable))
         .select(*ids, "code", F.inline(F.array(F.struct(F.coalesce(matching.fold(code), F.lit("")).alias("folded")))))
-        .filter(matching.may_match(registry=registry))
-        .select(*ids, "code", "folded", matching.triggers(registry=registry).alias("trigger"))
+        .filter(wanted(matching.may_match(registry=registry)))
+        .select(*ids, "code", "folded", by_symbols)
+        .select(*ids, "code", "folded", F.expr(matching.words_sql(registry=registry)).alias("trigger"))
         .select(*ids, "code", "folded", "trigger", by_line)
-        .select(*ids, kept.alias("code"), "vuln_id", "entry_id", by_flow)
-        .filter("vuln_id IS NOT NULL OR entry_id IS NOT NULL OR src_mask <> 0 OR snk_mask <> 0")
+        .select(*ids, cut.alias("code"), "vuln_id", "entry_id", by_flow)
+        .filter(wanted(F.expr("vuln_id IS NOT NULL OR entry_id IS NOT NULL OR src_mask <> 0 OR snk_mask <> 0")))
     )
 
 

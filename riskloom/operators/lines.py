@@ -56,35 +56,55 @@ def scannable_lines(line_table: DataFrame) -> DataFrame:
     return line_table.filter(is_scannable(F.col("code")))
 
 
-def file_profile(files: DataFrame, registry: Registry = DEFAULT) -> DataFrame:
-    """Line counts, size and the registry's shortcut signatures of every file.
+STATS = ("total_lines", "blank_lines", "comments", "imports", "functions", "classes", "total_characters")
+PROFILE = (*STATS, "size_kb", "shortcut_mask")
 
-    Everything is computed inside the file row: one read, no explode, no shuffle.
-    """
-    def count(flag: str) -> Column:
-        return F.size(F.filter("stripped", lambda c: line_classes(c)[flag])).cast("bigint")
 
+def _stripped(files: DataFrame) -> DataFrame:
+    """Files with their ``stripped`` lines and ``folded`` content."""
     return (
         files.select("repo", "file", "size_bytes", text.universal_newlines(F.col("content")).alias("content"))
         .withColumn("stripped", F.transform(text.split_lines(F.col("content")), text.strip))
         .withColumn("folded", fold(F.col("content")))
-        .select(
-            "repo",
-            "file",
-            F.size("stripped").cast("bigint").alias("total_lines"),
-            count("is_blank").alias("blank_lines"),
-            count("is_comment").alias("comments"),
-            count("is_import").alias("imports"),
-            count("is_function").alias("functions"),
-            count("is_class").alias("classes"),
-            F.length("content").cast("bigint").alias("total_characters"),
-            F.round(F.col("size_bytes") / 1024, 2).alias("size_kb"),
-            shortcut_mask(registry=registry).alias("shortcut_mask"),
-        )
     )
 
 
-STATS = ("total_lines", "blank_lines", "comments", "imports", "functions", "classes", "total_characters")
+def _profile(registry: Registry) -> list[Column]:
+    """The columns ``PROFILE`` of ``_stripped`` files."""
+    def count(flag: str) -> Column:
+        return F.size(F.filter("stripped", lambda c: line_classes(c)[flag])).cast("bigint")
+
+    return [
+        F.size("stripped").cast("bigint").alias("total_lines"),
+        count("is_blank").alias("blank_lines"),
+        count("is_comment").alias("comments"),
+        count("is_import").alias("imports"),
+        count("is_function").alias("functions"),
+        count("is_class").alias("classes"),
+        F.length("content").cast("bigint").alias("total_characters"),
+        F.round(F.col("size_bytes") / 1024, 2).alias("size_kb"),
+        shortcut_mask(registry=registry).alias("shortcut_mask"),
+    ]
+
+
+def file_profile(files: DataFrame, registry: Registry = DEFAULT) -> DataFrame:
+    """Line counts, size and the registry's shortcut signatures of every file.
+
+    Everything is computed inside the file row: one read, no explode, no shuffle.
+    """
+    return _stripped(files).select("repo", "file", *_profile(registry))
+
+
+def profiled_lines(files: DataFrame, registry: Registry = DEFAULT) -> DataFrame:
+    """``(repo, file, profile, line, code)``: files and their lines in one pass over the contents.
+
+    A file's own row comes before its lines, with ``line`` 0 and no code.
+    """
+    own, none = F.array(F.lit(None).cast("string")), F.array().cast("array<string>")
+    return (
+        _stripped(files).select("repo", "file", "stripped", F.struct(*_profile(registry)).alias("profile"))
+        .select("repo", "file", "profile", F.posexplode(F.concat(own, F.coalesce("stripped", none))).alias("line", "code"))
+    )
 
 
 def file_stats(files: DataFrame) -> DataFrame:

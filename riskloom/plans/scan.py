@@ -24,15 +24,19 @@ class Scan:
     these or ``counts``, the sums per file key that most results start from,
     are written to the shared checkpoint folder when they are first used, so
     that several results share one pass over the contents; ``close``, or the end
-    of a ``with`` block, deletes what was written.
+    of a ``with`` block, deletes what was written.  ``both`` has the rows of
+    ``facts`` and, with ``line`` 0, of ``profile`` from a single pass over the
+    contents; when both are named in ``store``, it is written first and the
+    profiles are taken from it.
     """
 
     def __init__(self, facts: DataFrame, profile: DataFrame, risks: DataFrame, store: tuple[str, ...] = (),
-                 registry: R.Registry = R.DEFAULT):
+                 registry: R.Registry = R.DEFAULT, both: DataFrame | None = None):
         self._tables = {"facts": facts, "profile": profile, "risks": risks}
         if unknown := set(store) - {*self._tables, "counts"}:
             raise ValueError(f"no tables {sorted(unknown)}")
         self._store, self._registry = store, registry
+        self._both = both if {"facts", "profile"} <= set(store) else None
         self._written: list[str] = []
 
     def _table(self, name: str) -> DataFrame:
@@ -52,13 +56,21 @@ class Scan:
     def __exit__(self, *_) -> None:
         self.close()
 
+    @cached_property
+    def _pass(self) -> DataFrame:
+        return durable(self._both, "pass", self._written)
+
     @cached_property
     def facts(self) -> DataFrame:
-        return self._table("facts")
+        if self._both is None:
+            return self._table("facts")
+        return self._pass.filter("line > 0").drop(*line_ops.PROFILE)
 
     @cached_property
     def profile(self) -> DataFrame:
-        return self._table("profile")
+        if self._both is None:
+            return self._table("profile")
+        return durable(self._pass.filter("line = 0").select("repo", "file", *line_ops.PROFILE), "profile", self._written)
 
     @cached_property
     def risks(self) -> DataFrame:
@@ -190,9 +202,18 @@ def scan(files: DataFrame, model: train.RiskModel | None = None, file_risks: Dat
     """
     facts = hits.line_facts(line_ops.lines(files), code_width=code_width, registry=registry)
     profile = line_ops.file_profile(files, registry)
+    both = facts_and_profile(files, code_width, registry)
     if joined:
-        profile = borders.with_borders(profile, files, registry)
+        profile, both = borders.with_borders(profile, files, registry), None
     if file_risks is None:
         file_risks = train.unknown_risks(files) if model is None else model.predict(files).select(
             "repo", "file", "ml_prediction", "confidence", "all_scores")
-    return Scan(facts, profile, file_risks, store, registry)
+    return Scan(facts, profile, file_risks, store, registry, both)
+
+
+def facts_and_profile(files: DataFrame, code_width: int | None = None, registry: R.Registry = R.DEFAULT) -> DataFrame:
+    """The matching lines, and with ``line`` 0 a row with the profile of every file, from one narrow pass over the contents."""
+    whole = F.col("line") == 0
+    rows = hits.line_facts(line_ops.profiled_lines(files, registry), carry=("profile",), code_width=code_width, registry=registry, kept=whole)
+    profile = [F.when(whole, F.col(f"profile.{c}")).alias(c) for c in line_ops.PROFILE]
+    return rows.select("repo", "file", "line", "code", "vuln_id", "entry_id", "src_mask", "snk_mask", *profile)

@@ -2,6 +2,7 @@ import json
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from riskloom import registry as R
 from riskloom.functions.durable import durable
@@ -79,6 +80,30 @@ def test_json_objects_of_any_length(spark, result, tmp_path):
     assert found["repo=s"][0]["attack_chains"] == [] and found["repo=s"][0]["fingerprint"]["total_files"] == 1
 
 
+def test_contents_are_read_once_for_facts_and_profile(spark):
+    """Matching lines and file profiles come from one pass over the contents, files without content or lines included."""
+    texts = [None, "", "\n", "q = request.args\r\neval(q)\n\n", "# x\x0bimport a\u2028def f():\n  pass\u3000", "password\n=\n'abc'", "plain", "eval(" + "x" * 300]
+    rows = [("r" if i % 2 else None, f"f{i}.py", t, len(t or "")) for i, t in enumerate(texts)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(content):
+        seen.add(1)
+        return content
+
+    df = spark.createDataFrame(rows, "repo string, file string, content string, size_bytes bigint")
+    counted = df.withColumn("content", F.udf(read, "string").asNondeterministic()("content"))
+    apart = scan(df, code_width=100)
+    with scan(counted, file_risks=apart.risks, store=("facts", "profile", "counts"), code_width=100) as stored:
+        got = {n: getattr(stored, n) for n in ("facts", "profile")}
+        for name, table in got.items():
+            want = getattr(apart, name)
+            assert table.dtypes == want.dtypes
+            assert sorted(map(str, table.collect())) == sorted(map(str, want.collect())), name
+        assert got["profile"].count() == len(rows) and got["facts"].count() == 3
+        assert export.json_extract(stored).count() == export.json_extract(apart).count()
+        assert seen.value == len(rows)
+
+
 def test_extract_counts_once_and_parses_once(spark, result):
     """Matches are summed up per file once for all parts, and a record is parsed once for all its fields."""
     from catalog.scan_queries import _parsed_records

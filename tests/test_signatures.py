@@ -73,6 +73,31 @@ def test_matches_what_python_matches(spark, name):
         assert got[i] == want, (t, got[i], want)
 
 
+def test_words_are_looked_for_beside_their_symbols(spark):
+    """A word without the symbols that its signatures need is not looked for; every signature still matches what it matched."""
+    own = R.Signature("Own", r"frob\s*@", ("frob", "at"))
+    wide = R.Registry(vulnerabilities=(*R.VULNERABILITIES, own), triggers={**R.TRIGGERS, "frob": ("frob",), "at": ("@",)})
+    for registry in (R.DEFAULT, wide):
+        rows = spark.createDataFrame([(t,) for t in (*cases(), "frob @", "frob", "@ frob")], "code string") \
+            .withColumn("folded", matching.fold(F.col("code"))).withColumn("all_triggers", matching.triggers(registry=registry)) \
+            .withColumn("symbols", F.expr(matching.symbols_sql(registry=registry))) \
+            .withColumn("trigger", F.expr(matching.words_sql(registry=registry)))
+        signatures = (registry.vulnerabilities, registry.entry_points, registry.sources, registry.sinks)
+        both = [F.expr(matching.match_mask(s, trigger=t, registry=registry)) for s in signatures for t in ("trigger", "all_triggers")]
+        found = rows.select("code", F.array(*both).alias("m"), F.col("trigger").alias("t"), F.col("all_triggers").alias("all")).collect()
+        assert all(r.m[0::2] == r.m[1::2] and r.t & r["all"] == r.t for r in found) and sum(r.t != r["all"] for r in found) > 5
+        assert {r.code: r.t == 0 for r in found if r.code in ("evaluate(x)", "frob", "plain prose")} == {
+            "evaluate(x)": False, "frob": True, "plain prose": True}
+
+
+def test_needs_that_a_head_holds_are_not_looked_for_twice():
+    """Words of a file signature are looked for once, and a second choice of words only beside the first."""
+    by_name = {s.name: matching.text_mask((s,)) for s in R.SHORTCUTS}
+    assert by_name["Hardcoded Credential"].count("'password'") == 1 and by_name["Wildcard CORS"].count("'cors'") == 0
+    md5 = by_name["MD5 for Passwords"]
+    assert md5.index("'('") < md5.index("'md5'") < md5.index("'pwd'") and md5.count("'md5'") == 1
+
+
 def test_branches_find_what_the_pattern_finds():
     """A choice of words at the head of a pattern is tried word by word, each a literal."""
     for s in (*R.SHORTCUTS, R.Signature("", r"(a\|b|c+)d|[|(]x|(a|b)*y|(?:e|f(g))h|ab?k", ())):
