@@ -183,3 +183,30 @@ def test_each_word_ngram_equals_the_arrays(spark):
         assert sorted(r.term for r in made.collect()) == want and "lambda" not in made._jdf.queryExecution().optimizedPlan().toString()
     want = features.term_counts(df, features.word_ngrams())
     assert sorted(features.heavy_terms(df, features.each_word_ngram, 5000, 64).collect()) == sorted(want.collect())
+
+
+def test_terms_counted_in_arrays(spark):
+    """Vocabularies, document counts and weights of whole arrays of tokens equal those of the columns, and texts are passed over once for both blocks."""
+    texts = [*TEXTS, "one", "one two one two", "one two three four", "ﬁne naïve x.y..z _a__ 1.5 a.b.", "\x85a\x1cbb cc d"] * 2
+    df = features.with_tokens(spark.createDataFrame(list(enumerate(texts)), "id int, code string"), F.col("code"))
+    assert all(features._tokens(None if r["_code"] is None else r.lower) == (r["_tokens"] or []) for r in df.select("_code", "_tokens", F.lower("_code").alias("lower")).collect())
+    for sizes, size, buckets in (((1, 3), 5000, 1 << 20), ((1, 3), 9, 8), ((2, 2), 4, 64)):
+        want = features.vocabulary(features.term_counts(df, features.word_ngrams(sizes)), size).collect()
+        assert features.heavy_word_terms(df, size, sizes, buckets).collect() == want
+    want = sorted(features.term_counts(df, features.char_ngrams((2, 4))).collect())
+    assert sorted(features.char_term_counts(features.used_words(df), (2, 4)).collect()) == want
+    made = train.fit_vectorizer(df.select("code"), train.Settings(20, (1, 2), 30, (2, 3)))
+    for name, terms, vocab, idf in (("words", features.word_ngrams((1, 2)), made.words, made.word_idf), ("chars", features.char_ngrams((2, 3)), made.chars, made.char_idf)):
+        vocab_df = spark.createDataFrame([(t,) for t in vocab], "term string")
+        by_term = {r.term: r.idf for r in features.inverse_document_frequency(df, terms, vocab_df).collect()}
+        assert dict(zip(vocab, idf)) == pytest.approx(by_term)
+    scored = made.transform(df.select("code"), F.col("code"))
+    assert str(scored._jdf.queryExecution().optimizedPlan()).count("ArrowEvalPython") == 1
+    for r in scored.collect():
+        word = {i: v for i, v in zip(r.features.indices.tolist(), r.features.values.tolist()) if i < 20}
+        tokens = features._tokens((r.code or "").lower())
+        counts = {i: n for i, t in enumerate(made.words) if (n := (tokens + [" ".join(p) for p in zip(tokens, tokens[1:])]).count(t))}
+        weights = {i: (1 + math.log(n)) * made.word_idf[i] for i, n in counts.items()}
+        norm = math.sqrt(sum(w * w for w in weights.values()))
+        assert r.features.size == len(made.words) + len(made.chars)
+        assert {i: v for i, v in word.items()} == pytest.approx({i: w / norm for i, w in weights.items()})
