@@ -561,17 +561,46 @@ def tfidf_vectors(df: DataFrame, words: list[str], chars: list[str], word_range:
 
     1 + ln(count), times idf, each vocabulary's part of length 1.
     """
+    made = _weigher(np.array(word_idf, np.float64), np.array(char_idf, np.float64))
+    found = _vectors(df, _FEATURES, words, chars, word_range, char_range, made)
+    return found.select(*df.columns, F.col("_vectors.features").alias("features"))
+
+
+_FEATURES = StructType([StructField("features", VectorUDT())])
+
+
+def _weigher(by_word: np.ndarray, by_char: np.ndarray) -> Callable[[tuple, tuple, int], list[pa.Array]]:
+    """Makes ``features`` of counted terms."""
     def weighted(texts: np.ndarray, places: np.ndarray, counts: np.ndarray, idf: np.ndarray, rows: int) -> np.ndarray:
         values = (np.log(counts) + 1) * idf[places]
         return values / np.sqrt(np.bincount(texts, values * values, rows))[texts]
 
     def made(word: tuple, char: tuple, rows: int) -> list[pa.Array]:
         texts = np.concatenate([word[0], char[0]])
-        places = np.concatenate([word[1], char[1] + len(words)])
+        places = np.concatenate([word[1], char[1] + len(by_word)])
         values = np.concatenate([weighted(*word, by_word, rows), weighted(*char, by_char, rows)])
         order = np.argsort(texts, kind="stable")
-        return [_sparse(texts[order], places[order], values[order], rows, len(words) + len(chars))]
+        return [_sparse(texts[order], places[order], values[order], rows, len(by_word) + len(by_char))]
 
-    by_word, by_char = np.array(word_idf, np.float64), np.array(char_idf, np.float64)
-    found = _vectors(df, StructType([StructField("features", VectorUDT())]), words, chars, word_range, char_range, made)
-    return found.select(*df.columns, F.col("_vectors.features").alias("features"))
+    return made
+
+
+def tfidf_of_counts(df: DataFrame, word_idf: list[float], char_idf: list[float]) -> DataFrame:
+    """``tfidf_vectors`` from the ``_word_counts`` and ``_char_counts`` of ``term_vectors``, whose vocabularies may be longer: terms beyond the idf are left out."""
+    made = _weigher(np.array(word_idf, np.float64), np.array(char_idf, np.float64))
+    sizes = len(word_idf), len(char_idf)
+
+    def counted(vectors: pa.StructArray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        lists = vectors.field("indices")
+        places = lists.flatten().to_numpy()
+        texts = np.repeat(np.arange(len(vectors)), pc.list_value_length(lists).to_numpy())
+        kept = places < size
+        return texts[kept], places[kept].astype(np.int64), vectors.field("values").flatten().to_numpy()[kept]
+
+    @F.arrow_udf(_FEATURES)
+    def vectors(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for word, char in parts:
+            yield pa.StructArray.from_arrays(made(counted(word, sizes[0]), counted(char, sizes[1]), len(word)), names=["features"])
+
+    kept = [c for c in df.columns if c not in ("_word_counts", "_char_counts")]
+    return df.withColumn("_vectors", vectors(F.unwrap_udt("_word_counts"), F.unwrap_udt("_char_counts"))).select(*kept, F.col("_vectors.features").alias("features"))

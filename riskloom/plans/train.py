@@ -54,8 +54,13 @@ class Vectorizer:
         return features.term_vectors(df.withColumn("_code", code), self.words, self.chars, s.word_range, s.char_range, sublinear).drop("_code")
 
     def transform(self, df: DataFrame, code: Column) -> DataFrame:
-        """Add ``features``; every step runs inside the row, without a shuffle."""
+        """Add ``features``; every step runs inside the row, without a shuffle.
+
+        Rows that have their ``counts``, over vocabularies of which these are the heads, are not read again.
+        """
         s = self.settings
+        if "_word_counts" in df.columns:
+            return features.tfidf_of_counts(df, self.word_idf, self.char_idf)
         prepared = df.withColumn("_code", code)
         return features.tfidf_vectors(prepared, self.words, self.chars, s.word_range, s.char_range, self.word_idf, self.char_idf).drop("_code")
 
@@ -235,8 +240,8 @@ def tune(data: DataFrame, key: Column, grid: dict = GRID, folds: int = 5, max_it
     """Mean accuracy of every setting over the folds, best first, and the ``rows`` that it was measured on.
 
     A vocabulary is ordered by use, so the vocabularies of all sizes are prefixes of the largest: one vectorizer is
-    fitted for each fold and pair of n-gram ranges, and its features are shared by all values of ``c``, which are fitted
-    ``parallelism`` at a time.  What is stored on the way is deleted.
+    fitted and terms are counted once for each fold and pair of n-gram ranges.  Its features are shared by all values of
+    ``c``, and all settings of a pair are fitted ``parallelism`` at a time.  What is stored on the way is deleted.
     """
     with storage(data.sparkSession):
         return _tuned(data, key, grid, folds, max_iter, parallelism)
@@ -249,27 +254,30 @@ def _tuned(data: DataFrame, key: Column, grid: dict, folds: int, max_iter: int,
     largest = {n: max(grid[n]) for n in names if n not in ranges}
     scores: dict[tuple, list[tuple[int, float]]] = {}
     hit = (F.col("label") == F.col("ml_prediction")).cast("int")
-    for fold in range(folds):
-        kept, held = dealt.filter(F.col("fold") != fold), dealt.filter(F.col("fold") == fold)
-        fitted = {}
+    for fold, shape in itertools.product(range(folds), itertools.product(*[grid[n] for n in ranges])):
+        vectorizer = fit_vectorizer(dealt.filter(F.col("fold") != fold), Settings(max_iter=max_iter, **largest, **dict(zip(ranges, shape))))
+        # texts are read once for the vocabularies of all sizes, and for the rows of both sides
+        counted = durable(vectorizer.counts(dealt, F.col("code")), "counts")
+        prepared, fits = {}, []
         for values in itertools.product(*[grid[n] for n in names]):
             chosen = dict(zip(names, values))
-            base = Settings(max_iter=max_iter, **chosen)
-            shape = tuple(chosen[n] for n in ranges)
-            if shape not in fitted:
-                fitted[shape] = fit_vectorizer(kept, replace(base, **largest))
-            vectorizer = fitted[shape].narrowed(base)
-            rows, labels, total = _weighted(kept, vectorizer, "label")
+            if tuple(chosen[n] for n in ranges) != shape:
+                continue
+            own = vectorizer.narrowed(Settings(max_iter=max_iter, **chosen))
+            rows, labels, total = _weighted(counted.filter(F.col("fold") != fold), own, "label")
             # stored once for all values of ``c``, which read them several times
             rows = durable(rows, "vectors")
-            vectors = durable(vectorizer.transform(held, F.col("code")).select("label", "features"), "held-vectors")
+            vectors = durable(own.transform(counted.filter(F.col("fold") == fold), F.col("code")).select("label", "features"), "held-vectors")
+            prepared[values] = own, rows, labels, total, vectors
+            fits += [(values, c) for c in grid["c"]]
 
-            def measured(c: float) -> tuple[int, float]:
-                model = RiskModel(vectorizer, labels, _fit_classifier(rows, total, replace(base, c=c)))
-                return tuple(model.judge(vectors).agg(F.count(F.lit(1)), F.avg(hit)).first())
+        def measured(fit: tuple[tuple, float]) -> tuple[int, float]:
+            own, rows, labels, total, vectors = prepared[fit[0]]
+            model = RiskModel(own, labels, _fit_classifier(rows, total, replace(own.settings, c=fit[1])))
+            return tuple(model.judge(vectors).agg(F.count(F.lit(1)), F.avg(hit)).first())
 
-            for c, found in zip(grid["c"], _at_once(data.sparkSession, measured, list(grid["c"]), parallelism)):
-                scores.setdefault((values, c), []).append(found)
+        for fit, found in zip(fits, _at_once(data.sparkSession, measured, fits, parallelism)):
+            scores.setdefault(fit, []).append(found)
     results = [(*map(str, values), float(c), sum(a for _, a in found) / len(found), sum(n for n, _ in found)) for (values, c), found in scores.items()]
     schema = ", ".join(f"{n} string" for n in names) + ", c double, accuracy double, rows long"
     return data.sparkSession.createDataFrame(results, schema).orderBy(F.col("accuracy").desc(), *names, "c")

@@ -210,3 +210,18 @@ def test_terms_counted_in_arrays(spark):
         norm = math.sqrt(sum(w * w for w in weights.values()))
         assert r.features.size == len(made.words) + len(made.chars)
         assert {i: v for i, v in word.items()} == pytest.approx({i: w / norm for i, w in weights.items()})
+
+
+def test_texts_are_counted_once_for_all_sizes(spark, data, monkeypatch):
+    """One count of terms a fold, for both sides and all sizes of vocabularies, and the same features as from the texts."""
+    seen, counts = [], train.Vectorizer.counts
+    monkeypatch.setattr(train.Vectorizer, "counts", lambda self, *args: (seen.append(1), counts(self, *args))[1])
+    grid = {"word_features": (20, 50), "word_range": ((1, 2),), "char_features": (30, 50), "char_range": ((2, 3),), "c": (1.0, 10.0)}
+    rows = train.tune(data, F.col("row_id"), grid, folds=2, max_iter=2).collect()
+    assert len(rows) == 8 and {r.rows for r in rows} == {data.count()} and len(seen) == 2
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "id int, code string")
+    whole = train.fit_vectorizer(df, train.Settings(30, (1, 2), 40, (2, 3)))
+    small = whole.narrowed(train.Settings(7, (1, 2), 9, (2, 3)))
+    want = {r.id: r.features for r in small.transform(df, F.col("code")).collect()}
+    got = small.transform(whole.counts(df, F.col("code")), F.col("code"))
+    assert got.columns == ["id", "code", "features"] and {r.id: r.features for r in got.collect()} == want
