@@ -225,3 +225,12 @@ def test_texts_are_counted_once_for_all_sizes(spark, data, monkeypatch):
     want = {r.id: r.features for r in small.transform(df, F.col("code")).collect()}
     got = small.transform(whole.counts(df, F.col("code")), F.col("code"))
     assert got.columns == ["id", "code", "features"] and {r.id: r.features for r in got.collect()} == want
+
+
+def test_both_fits_of_an_evaluation_run_at_once(data, monkeypatch):
+    import threading
+
+    both, fit = threading.Barrier(2, timeout=120), train._fit_classifier
+    monkeypatch.setattr(train, "_fit_classifier", lambda *args: (both.wait(), fit(*args))[1])
+    model, scored = train.train_and_evaluate(data, F.col("row_id"), train.Settings(50, (1, 2), 50, (2, 3), max_iter=3))
+    assert scored.count() == 36 and model.labels == ["High Risk", "Medium Risk", "Safe"] and not both.broken
